@@ -1,6 +1,8 @@
 """The registered queries of this subpackage. SQL holds those that DuckDB can express."""
 
+from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_suffix_dedup, op9_simhash_dedup)}
 SQL: dict[str, str] = {}
