@@ -1,8 +1,10 @@
 """The registered queries of this subpackage. SQL holds those that DuckDB can express."""
 
+from .packing import op7_best_fit_packing
 from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
+from .token_output import op3_token_output
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_suffix_dedup, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_output, op5_suffix_dedup, op7_best_fit_packing, op9_simhash_dedup)}
 SQL: dict[str, str] = {}
