@@ -1,10 +1,13 @@
 """The registered queries of this subpackage. SQL holds those that DuckDB can express."""
 
+from .language_id import op2_language_id
 from .packing import op7_best_fit_packing
 from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 from .token_output import op3_token_output
+from .topk_search import OP8_SQL, op8_exact_topk
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_output, op5_suffix_dedup, op7_best_fit_packing, op9_simhash_dedup)}
-SQL: dict[str, str] = {}
+_ALL = (op1_substring_dedup, op2_language_id, op3_token_output, op5_suffix_dedup, op7_best_fit_packing, op8_exact_topk, op9_simhash_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op8_exact_topk": OP8_SQL}

@@ -58,10 +58,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id bigint, fp bigint")
 
 
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `size` bytes of its second column."""
+def _slices(batch: pa.RecordBatch, size: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `size` bytes of a text column."""
     if batch.num_rows:
-        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1), batch.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(lo, hi - lo)
