@@ -1,5 +1,7 @@
 """The registered queries of this subpackage. SQL holds those that DuckDB can express."""
 
+from .decontamination import op6_decontamination
+from .html_extract import op4_html_extraction
 from .language_id import op2_language_id
 from .packing import op7_best_fit_packing
 from .simhash_dedup import op9_simhash_dedup
@@ -8,6 +10,16 @@ from .suffix_dedup import op5_suffix_dedup
 from .token_output import op3_token_output
 from .topk_search import OP8_SQL, op8_exact_topk
 
-_ALL = (op1_substring_dedup, op2_language_id, op3_token_output, op5_suffix_dedup, op7_best_fit_packing, op8_exact_topk, op9_simhash_dedup)
+_ALL = (
+    op1_substring_dedup,
+    op2_language_id,
+    op3_token_output,
+    op4_html_extraction,
+    op5_suffix_dedup,
+    op6_decontamination,
+    op7_best_fit_packing,
+    op8_exact_topk,
+    op9_simhash_dedup,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op8_exact_topk": OP8_SQL}
