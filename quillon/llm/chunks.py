@@ -22,10 +22,13 @@ from .common import ship
 from .hashing import mix
 
 CHUNK_BYTES = 3 << 20
-KEYS = "bucket int, chunk int, kind int, n int, keys binary, docs binary, ids binary"
+KEYS = "bucket int, chunk int, kind int, n int, keys binary, more binary, docs binary, ids binary"
 ANSWERS = "chunk int, bucket int, kind int, bits binary"
-#: Which keys get the answer 1: those of another chunk, or those that another chunk has in a document with a smaller id.
-OTHER, SMALLER, PASS = 0, 1, 9
+#: Which keys get the answer 1: those of another chunk, or those that another chunk has in a document with a smaller id. FAMILY: two answers
+#: for each pair of a family and a member: whether a smaller document has the member, and whether it has not though some document that is not the family's first
+#: has a member of its own.
+#: TIMES: how many owners all chunks together have counted for the key.
+OTHER, SMALLER, FAMILY, TIMES, PASS = 0, 1, 2, 3, 9
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -46,8 +49,8 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int) -> DataFrame:
-    """(chunk, data): some documents of a chunk as a compressed Arrow stream of (doc_id, text)."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, data): some documents of a chunk as a compressed Arrow stream of (doc_id, text) and the columns to keep, as k0, k1 and so on."""
     ship(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,31 +81,41 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int) -> DataF
         if held:
             yield flush(held)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "chunk int, data binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep))).mapInArrow(pack, "chunk int, data binary")
+
+
+def rows_of(packed: pa.Table) -> pa.Table:
+    """A chunk's rows sorted by id and text: blobs arrive in any order, and positions must mean the same in every pass."""
+    t = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in packed.column("data").to_pylist()])
+    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def documents(packed: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """The ids and texts of a chunk's rows."""
-    t = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in packed.column("data").to_pylist()]).combine_chunks()
+    """The ids and texts of a chunk's rows in that order."""
+    t = rows_of(packed)
     ids, text = t.column(0), t.column(1)
     return (ids.combine_chunks() if ids.num_chunks != 1 else ids.chunk(0)), (text.combine_chunks() if text.num_chunks != 1 else text.chunk(0))
 
 
 class KeySet:
-    """The distinct keys of a chunk in a fixed order: by bucket, then by key. owner: the smallest document index that has the key."""
+    """The distinct keys of a chunk in a fixed order: by bucket, then by key, then by member. owner: the smallest document index that has the key."""
 
-    def __init__(self, keys: np.ndarray, spread: np.ndarray, n_buckets: int, docs: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, spread: np.ndarray, n_buckets: int, docs: np.ndarray | None = None, members: np.ndarray | None = None):
         bucket = (mix(spread.copy()) % np.uint64(n_buckets)).astype(np.uint32)
-        order = np.argsort(keys)
+        order = np.argsort(keys) if members is None else np.lexsort((members, keys))
         order = order[np.argsort(bucket[order].astype(np.uint16), kind="stable")] if n_buckets < 1 << 16 else order[np.argsort(bucket[order], kind="stable")]
         k, b = keys[order], bucket[order]
         first = np.ones(len(k), bool)
         first[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+        if members is not None:
+            m = members[order]
+            first[1:] |= m[1:] != m[:-1]
         self.n = int(first.sum())
         self.group = np.empty(len(k), np.int64)  # of each occurrence its distinct key
         self.group[order] = np.cumsum(first) - 1
         at = np.flatnonzero(first)
         self.keys, self.buckets, self.times = k[at], b[at], np.diff(np.append(at, len(k)))
+        self.members = None if members is None else m[at]
         if docs is not None:
             d = docs[order]
             self.owner = np.minimum.reduceat(d, at) if len(at) else d[:0]
@@ -115,30 +128,71 @@ class KeySet:
         for lo, hi in zip([0, *cuts], [*cuts, self.n], strict=True) if self.n else []:
             k = self.keys[lo:hi]
             docs = own = None
+            more = pressed(self.owners[lo:hi].astype(np.uint32)) if kind == TIMES else None if self.members is None else pressed(self.members[lo:hi])
             if ids is not None:
                 used, local = np.unique(self.owner[lo:hi], return_inverse=True)
                 docs, own = pressed(local.astype(np.uint32)), pressed(ids[used])
-            out.append((int(self.buckets[lo]), chunk, kind, int(hi - lo), pressed(np.diff(k, prepend=np.uint64(0))), docs, own))
+            out.append((int(self.buckets[lo]), chunk, kind, int(hi - lo), pressed(np.diff(k, prepend=np.uint64(0))), more, docs, own))
+        return out
+
+    def count_owners(self, of: np.ndarray) -> None:
+        """Counts the distinct values of `of`, one for each occurrence, for each key."""
+        pair = np.unique(self.group * (int(of.max(initial=0)) + 1) + of)
+        self.owners = np.bincount(pair // (int(of.max(initial=0)) + 1), minlength=self.n)
+
+    def totals(self, rows: list[tuple[int, bytes]]) -> np.ndarray:
+        """Of each distinct key what all chunks have counted."""
+        out = np.zeros(self.n, np.int64)
+        for bucket, blob in rows:
+            lo, hi = np.searchsorted(self.buckets, [bucket, bucket + 1])
+            out[lo:hi] = unpressed(blob, np.uint32)
         return out
 
-    def answers(self, rows: list[tuple[int, bytes]]) -> np.ndarray:
+    def answers(self, rows: list[tuple[int, bytes]], question: int = 0) -> np.ndarray:
         """One flag for each distinct key from (bucket, bits)."""
         out = np.zeros(self.n, bool)
         for bucket, bits in rows:
             lo, hi = np.searchsorted(self.buckets, [bucket, bucket + 1])
-            out[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
+            size = -(-(hi - lo) // 8)
+            out[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8, size, question * size), count=hi - lo).view(bool)
         return out
 
 
 def key_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 4 + [pa.binary()] * 3
-    names = ["bucket", "chunk", "kind", "n", "keys", "docs", "ids"]
+    kinds = [pa.int32()] * 4 + [pa.binary()] * 4
+    names = ["bucket", "chunk", "kind", "n", "keys", "more", "docs", "ids"]
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
 def passed(chunk: int, data: bytes) -> tuple:
     """A row that comes back to its chunk as it is, with the answers."""
-    return (-1 - chunk, chunk, PASS, 0, data, None, None)
+    return (-1 - chunk, chunk, PASS, 0, data, None, None, None)
+
+
+def _flags(keys: np.ndarray, docs: np.ndarray | None, members: np.ndarray | None) -> list[np.ndarray]:
+    """The answers to the keys of a bucket, each of which is there once for each chunk that has it."""
+    order = np.argsort(keys) if members is None else np.lexsort((members, keys))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    k = keys[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+
+    def over(f, values, first):
+        at = np.flatnonzero(first)
+        return np.repeat(f.reduceat(values, at), np.diff(np.append(at, len(values))))
+
+    if docs is None:
+        return [(over(np.add, np.ones(len(k), np.int32), first) > 1)[back]]
+    d = docs[order]
+    if members is None:
+        return [(over(np.minimum, d, first) < d)[back]]
+    m = members[order]
+    alike = first.copy()
+    alike[1:] |= m[1:] != m[:-1]
+    has = over(np.minimum, d, alike) < d
+    alone = ~has & (d > over(np.minimum, d, first))
+    return [has[back], (~has & over(np.maximum, alone.view(np.uint8), first).view(bool))[back]]
 
 
 def answered(keys: DataFrame) -> DataFrame:
@@ -147,24 +201,24 @@ def answered(keys: DataFrame) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         out = [(r["chunk"], r["bucket"], PASS, r["keys"]) for r in rows if r["kind"] == PASS]
-        for kind in (OTHER, SMALLER):
+        if own := [r for r in rows if r["kind"] == TIMES]:
+            keys = np.concatenate([np.cumsum(unpressed(r["keys"], np.uint64)) for r in own])
+            _, back, _ = np.unique(keys, return_inverse=True, return_counts=True)
+            total = np.bincount(back, np.concatenate([unpressed(r["more"], np.uint32) for r in own]))[back].astype(np.uint32)
+            for r, x in zip(own, np.split(total, np.cumsum([r["n"] for r in own])[:-1]), strict=True):
+                out.append((r["chunk"], r["bucket"], TIMES, pressed(x)))
+        for kind in (OTHER, SMALLER, FAMILY):
             if own := [r for r in rows if r["kind"] == kind]:
                 keys = np.concatenate([np.cumsum(unpressed(r["keys"], np.uint64)) for r in own])
-                if kind == SMALLER:
+                docs = members = None
+                if kind != OTHER:
                     docs = np.concatenate([unpressed(r["ids"], np.int64)[unpressed(r["docs"], np.uint32)] for r in own])
-                order = np.argsort(keys)
-                k = keys[order]
-                first = np.ones(len(k), bool)
-                first[1:] = k[1:] != k[:-1]
-                at = np.flatnonzero(first)
-                times = np.diff(np.append(at, len(k)))
-                flag = np.zeros(len(k), bool)
-                if kind == OTHER:
-                    flag[order] = np.repeat(times > 1, times)
-                else:
-                    flag[order] = np.repeat(np.minimum.reduceat(docs[order], at), times) < docs[order]
-                for r, f in zip(own, np.split(flag, np.cumsum([r["n"] for r in own])[:-1]), strict=True):
-                    out.append((r["chunk"], r["bucket"], kind, np.packbits(f).tobytes()))
+                if kind == FAMILY:
+                    members = np.concatenate([unpressed(r["more"], np.uint64) for r in own])
+                flags = _flags(keys, docs, members)
+                for i, r in enumerate(own):
+                    at = sum(x["n"] for x in own[:i])
+                    out.append((r["chunk"], r["bucket"], kind, b"".join(np.packbits(f[at : at + r["n"]]).tobytes() for f in flags)))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), pa.int32(), pa.binary()])], names=["chunk", "bucket", "kind", "bits"])
 
     return keys.groupBy("bucket").applyInArrow(answer, ANSWERS)

@@ -100,25 +100,59 @@ class _Bytes:
         at, once = np.unique(at, return_index=True)
         return at, C.KeySet(key[once], key[once], n_buckets, doc[once])
 
-    def suffixes(self, near: np.ndarray, live: np.ndarray, n_buckets: int) -> tuple[np.ndarray, C.KeySet]:
-        """Positions whose string of the full length holds one of the anchors near, with the ranks of that string."""
-        held = np.zeros(len(self.data) + self.length + 1, np.int32)
-        held[near + 1] = 1
-        held = np.cumsum(held, dtype=np.int32)
-        at, key, spread = [], [], []
-        reach = self.length - self.short + 1
+    def families(self, near: np.ndarray, live: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, C.KeySet, np.ndarray]:
+        """(first, last, keys, doc): the anchors' stretches of suffixes that have the anchor as their smallest rank.
+
+        Equal strings of the full length have it at the same place, so they are found in stretches of equal anchors. A stretch's member key stands for
+        the bytes from its first start to its last end.
+        """
+        want = np.zeros(len(self.data) + 1, bool)
+        want[near] = True
+        width = self.length - self.short + 1
+        lows, highs, family, member = [], [], [], []
         for lo, hi, row in self.blocks(live):
-            n = hi - lo - self.length + 1
-            p = np.arange(lo, lo + n)
-            p = p[(self.o[row[:n] + 1] - p >= self.length) & (held[lo + reach : lo + reach + n] > held[lo : lo + n])]
-            if len(p):
+            if not want[lo:hi].any():
+                continue
+            ranks, full = doubled(self.data[lo:hi], [self.short, self.length])
+            least = _sliding(np.minimum, ranks, width)[: len(full)]
+            p = np.flatnonzero(self.o[row[: len(full)] + 1] - np.arange(lo, lo + len(full)) >= self.length)
+            anchors = np.flatnonzero(want[lo : lo + len(ranks)])
+            after = np.searchsorted(anchors, p)
+            at = np.full(len(p), -1)
+            open_ = np.arange(len(p))
+            while len(open_):  # the next anchor, and the next, until one holds the smallest rank or lies beyond
+                i = after[open_]
+                a = np.append(anchors, len(ranks) + width)[np.minimum(i, len(anchors))]
+                open_, a = open_[a < p[open_] + width], a[a < p[open_] + width]
+                found = ranks[a] == least[p[open_]]
+                at[open_[found]] = a[found]
+                open_ = open_[~found]
+                after[open_] += 1
+            p, at = p[at >= 0], at[at >= 0]
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            first, last = p[begin], np.append(p[begin[1:] - 1], p[-1:]) if len(p) else p
+            lows.append(first + lo)
+            highs.append(last + lo)
+            family.append(ranks[at[begin]] >> U(24))
+            member.append(rank_pairs(full[first] + (last - first).astype(U), full[last]))
+        lows, highs, family, member = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((lows, np.int64), (highs, np.int64), (family, U), (member, U)))
+        doc = self.row_index(lows)
+        return lows, highs, C.KeySet(family, family, n_buckets, doc, member), doc
+
+    def suffixes(self, at: np.ndarray, live: np.ndarray, n_buckets: int) -> tuple[C.KeySet, np.ndarray]:
+        """(keys, doc) for the strings of the full length at these positions, in ascending order."""
+        key, spread, seen = [], [], 0
+        for lo, hi, _ in self.blocks(live):
+            here = at[np.searchsorted(at, lo) : np.searchsorted(at, hi - self.length, side="right")] - lo
+            if len(here):
                 (ranks,) = doubled(self.data[lo:hi], [self.short])
-                a, b = ranks[p - lo], ranks[p - lo + self.length - self.short]
-                at.append(p)
+                a, b = ranks[here], ranks[here + self.length - self.short]
                 key.append(rank_pairs(a, b))
                 spread.append(a * U(0x9FB21C651E98DF25) ^ (b + (a >> U(17))))
-        at, key, spread = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((at, np.int64), (key, U), (spread, U)))
-        return at, C.KeySet(key, spread, n_buckets, self.row_index(at))
+                seen += len(here)
+        assert seen == len(at)
+        doc = self.row_index(at)
+        return C.KeySet(np.concatenate([np.zeros(0, U), *key]), np.concatenate([np.zeros(0, U), *spread]), n_buckets, doc), doc
 
     def row_index(self, at: np.ndarray) -> np.ndarray:
         """The document index of each position."""
@@ -135,6 +169,17 @@ def _passed(got: dict, tag: bytes, dtype) -> np.ndarray:
     return C.unpressed(next(x for _, x in got[C.PASS] if x[:1] == tag)[1:], dtype)
 
 
+def _state(chunk: int, **arrays: np.ndarray) -> list[tuple]:
+    """What a chunk leaves for itself, under tags of one letter."""
+    return [C.passed(chunk, tag.encode() + C.pressed(x)) for tag, x in arrays.items()]
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, ends included."""
+    n = last - first + 1
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 def _cut(b: _Bytes, gone: np.ndarray) -> pa.Table:
     """OUT for the bytes that are not gone."""
     per = lambda x: np.concatenate([[0], np.cumsum(x)])
@@ -161,9 +206,10 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Prefixes double from 8 to 16 and so on up to just over half the length, then once more to the full length; at the last two
     Spark sorts the ranks of the whole corpus by buckets. After the first of these sorts a suffix drops out if its prefix is unique, so only suffixes
-    that can still have an equal take part in the next. That sort takes the suffixes whose rank is the smallest among neighbours, at least one
-    in any string of the full length and at the same place in equal strings. Documents equal to an earlier one as a whole
-    leave before, past the threshold at once.
+    that can still have an equal take part in the next. That sort takes the suffixes whose rank is the smallest among neighbours (anchors): any string of
+    the full length holds one, and equal strings hold it at the same place. Before the last sort, stretches of suffixes around an anchor that agree as a whole
+    with those of a smaller document are settled at once; where some stretch of an anchor does not, each suffix of the anchor is ranked by itself. Documents
+    equal to an earlier one as a whole leave at the start.
     """
     if length < 16:
         raise ValueError("strings of at least 16 bytes are needed")
@@ -184,31 +230,44 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def second(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Bytes(t, length)
         gone = copies(b, got)
-        return C.key_table([*b.anchors(~gone, fewer)[1].rows(chunk, C.OTHER), C.passed(chunk, b"g" + C.pressed(gone.view(np.uint8)))])
+        return C.key_table([*b.anchors(~gone, fewer)[1].rows(chunk, C.OTHER), *_state(chunk, g=gone.view(np.uint8))])
 
     def third(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Bytes(t, length)
         gone = _passed(got, b"g", np.uint8).view(bool)
         at, keys = b.anchors(~gone, fewer)
         near = at[(keys.answers(got.get(C.OTHER, [])) | (keys.owner < keys.last))[keys.group]]
-        _, found = b.suffixes(near, ~gone, n)
-        state = [C.passed(chunk, tag + C.pressed(x)) for tag, x in ((b"g", gone.view(np.uint8)), (b"n", near.astype(np.uint32)))]
-        return C.key_table([*found.rows(chunk, C.SMALLER, b.ids), *state])
+        _, _, found, _ = b.families(near, ~gone, fewer)
+        return C.key_table([*found.rows(chunk, C.FAMILY, b.ids), *_state(chunk, g=gone.view(np.uint8), n=near.astype(np.uint32))])
+
+    def fourth(chunk: int, t: pa.Table, got: dict) -> pa.Table:
+        b = _Bytes(t, length)
+        gone = _passed(got, b"g", np.uint8).view(bool)
+        lows, highs, keys, doc = b.families(_passed(got, b"n", np.uint32).astype(np.int64), ~gone, fewer)
+        answers = got.get(C.FAMILY, [])
+        later = doc > keys.owner[keys.group]
+        hit, ask = keys.answers(answers)[keys.group] | later, keys.answers(answers, 1)[keys.group] & ~later
+        at = _ranges(lows[ask], highs[ask])
+        found, _ = b.suffixes(at, ~gone, n)
+        return C.key_table([*found.rows(chunk, C.SMALLER, b.ids), *_state(chunk, g=gone.view(np.uint8), l=lows[hit].astype(np.uint32), h=highs[hit].astype(np.uint32), a=at.astype(np.uint32))])
 
     def last(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Bytes(t, length)
         gone = _passed(got, b"g", np.uint8).view(bool)
-        at, keys = b.suffixes(_passed(got, b"n", np.uint32).astype(np.int64), ~gone, n)
-        hit = at[_later(keys, got.get(C.SMALLER, []), b.row_index(at))]
-        edge = np.zeros(len(b.data) + 1, np.int8)
-        edge[hit] += 1
-        edge[hit + length] -= 1
-        return _cut(b, (np.cumsum(edge, dtype=np.int32)[:-1] > 0) | np.repeat(gone, b.sizes))
+        at = _passed(got, b"a", np.uint32).astype(np.int64)
+        keys, doc = b.suffixes(at, ~gone, n)
+        hit = at[_later(keys, got.get(C.SMALLER, []), doc)]
+        edge = np.zeros(len(b.data) + 1, np.int32)
+        for begin, end in ((hit, hit), (_passed(got, b"l", np.uint32).astype(np.int64), _passed(got, b"h", np.uint32).astype(np.int64))):
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, end + length, -1)
+        return _cut(b, (np.cumsum(edge)[:-1] > 0) | np.repeat(gone, b.sizes))
 
     one = C.answered(C.emitted(packed, first))
     two = C.answered(C.with_answers(packed, one, second, C.KEYS))
     three = C.answered(C.with_answers(packed, two, third, C.KEYS))
-    return C.with_answers(packed, three, last, OUT)
+    four = C.answered(C.with_answers(packed, three, fourth, C.KEYS))
+    return C.with_answers(packed, four, last, OUT)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
