@@ -3,6 +3,7 @@
 from .decontamination import op6_decontamination
 from .html_extract import op4_html_extraction
 from .language_id import op2_language_id
+from .line_dedup import op10_line_dedup
 from .packing import op7_best_fit_packing
 from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op1_substring_dedup
@@ -20,6 +21,7 @@ _ALL = (
     op7_best_fit_packing,
     op8_exact_topk,
     op9_simhash_dedup,
+    op10_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op8_exact_topk": OP8_SQL}
