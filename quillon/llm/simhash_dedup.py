@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -21,8 +21,8 @@ BITS = 64
 STEP = 1 << 17
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): a bit of fp is set if it is set in over half of the XXH64 values (seed 42) of the document's shingles.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns to keep: a bit of fp is set if it is set in over half of the XXH64 values (seed 42) of the document's shingles.
 
     A-Z are lowered; shingles are `shingle` words in a row joined by one space, repeats included, or the whole sequence if there are fewer words; without words fp is 0.
     """
@@ -53,9 +53,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     cuts = np.flatnonzero(np.diff(o, prepend=-1))
                     ones[o[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
                 fp = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
+    return rows.mapInArrow(of, "doc_id bigint, fp bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c))
 
 
 def _slices(batch: pa.RecordBatch, size: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
@@ -144,6 +145,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fingerprint_components(stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), distance)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of docs but for near duplicates: of each component the row with the smallest id stays (of repeated rows one; of rows without any id one for each fingerprint)."""
+    columns = docs.columns
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, tuple(c for c in columns if c != id_col)).select("doc_id", "fp", *[F.col(f"`{c}`").alias(f"c_{c}") for c in columns if c != id_col]), "rows")
+    groups = fingerprint_components(rows.select("doc_id", "fp"), distance).select("fp", "component_id").distinct()
+    first = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("fp", f"c_{text_col}")
+    first = first.withColumn("n_", F.row_number().over(by)).where("n_ = 1")
+    return first.select(*[F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col) if c == id_col else F.col(f"`c_{c}`").alias(c) for c in columns])
+
+
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
