@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def round_half_up(c: Column, digits: int) -> Column:
 
 def utf8_without_errors(c: Column) -> Column:
     """Text from bytes; sequences that aren't UTF-8 vanish. Valid rows, nearly all, are decoded by the JVM; the others by an Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def lenient(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))

@@ -26,5 +26,5 @@ def trigram_search(df: DataFrame, id_col: str, column: str, grams: DataFrame, te
     wanted = sorted({text.lower()[i : i + 3] for i in range(len(text) - 2)})
     if not wanted:
         return search(df, column, text, kind, ignore_case)
-    found = grams.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("id")
-    return search(df.join(found, F.col(id_col) == F.col("id"), "left_semi"), column, text, kind, ignore_case)
+    found = grams.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select(F.col("id").alias("_id"))
+    return search(df.join(found, F.col(id_col) == F.col("_id"), "left_semi"), column, text, kind, ignore_case)

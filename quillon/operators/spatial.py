@@ -293,5 +293,8 @@ def region_area(frame: DataFrame, box: tuple[float, float, float, float], step:
     border's length times step / 2.
     """
     x0, y0, x1, y1 = box
-    rows = frame.withColumn("_id", F.monotonically_increasing_id()).withColumn("_x", F.explode(F.sequence(F.lit(x0 + step / 2), F.lit(x1), F.lit(step)))).withColumn("_y", F.explode(F.sequence(F.lit(y0 + step / 2), F.lit(y1), F.lit(step))))
-    return rows.groupBy(*frame.columns).agg((F.sum(F.when(inside(F.col("_x"), F.col("_y")), 1).otherwise(0)) * step * step).alias("region_area"))
+    cells = lambda name, lo, hi: F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil((hi - lo) / step) - 1)))).alias(name)
+    rows = frame.withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.select("*", cells("_i", x0, x1)).select("*", cells("_j", y0, y1))
+    hit = F.when(inside(x0 + (F.col("_i") + 0.5) * step, y0 + (F.col("_j") + 0.5) * step), 1).otherwise(0)
+    return rows.groupBy("_id").agg(*[F.first(c).alias(c) for c in frame.columns], (F.sum(hit) * step * step).alias("region_area")).drop("_id")
