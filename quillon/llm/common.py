@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +67,31 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def parts_for(total: int, each: int, least: int = 12) -> int:
     """How many parts of about `each` units hold `total`: grows in proportion, so that a part's size does not."""
     return max(least, -(-int(total) // each))
+
+
+def trim() -> None:
+    """Gives freed memory of this process back: Spark's Python workers live on, and share an executor's memory with its other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks: one thing at a time, so that an operator does not carry the caches of those before it."""
+    slot = vars(sys).setdefault("_quillon_kept", {})
+    if key not in slot:
+        forget()
+        slot[key] = make()
+    return slot[key]
+
+
+def forget() -> None:
+    """Drops what the worker keeps; operators that keep nothing begin with this."""
+    slot = vars(sys).setdefault("_quillon_kept", {})
+    if slot:
+        slot.clear()
+        trim()

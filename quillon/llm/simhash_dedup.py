@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import forget, ship, stored, trim
 from .components import components
 from .hashing import utf8, words
 
@@ -31,8 +31,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
+        forget()
         for whole in batches:
-            for b in _slices(whole):
+            for b in _slices(whole, 1 << 20):
                 flat, doc = words(b.column(1))
                 n = np.bincount(doc, minlength=b.num_rows)
                 first = np.cumsum(n) - n
@@ -54,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     ones[o[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
                 fp = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *keep])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
     return rows.mapInArrow(of, "doc_id bigint, fp bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c))
@@ -93,6 +95,11 @@ def _linked(distance: int):
     return of
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; counted unsigned, as a signed number's bits are those of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
     at = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
     size = np.diff(np.append(at, len(key)))
@@ -101,7 +108,7 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
     run = np.repeat(np.arange(len(at)), size)
     for d in range(1, 8):
         i = np.flatnonzero(few[:-d] & (run[d:] == run[:-d])) if len(key) > d else np.zeros(0, np.int64)
-        near = np.bitwise_count(fp[i] ^ fp[i + d]) <= distance
+        near = _differing(fp[i], fp[i + d]) <= distance
         out.append(np.stack([fp[i[near]], fp[i[near] + d]], axis=1))
     for lo, n in zip(at[size > 8].tolist(), size[size > 8].tolist(), strict=True):
         f = fp[lo : lo + n]
@@ -111,7 +118,7 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
             todo[front] = False
             while front:
                 i = front.pop()
-                new = np.flatnonzero(todo & (np.bitwise_count(f ^ f[i]) <= distance))
+                new = np.flatnonzero(todo & (_differing(f, f[i]) <= distance))
                 todo[new] = False
                 out.append(np.stack([f[new], np.full(len(new), f[i])], axis=1))
                 front += new.tolist()
@@ -148,12 +155,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of docs but for near duplicates: of each component the row with the smallest id stays (of repeated rows one; of rows without any id one for each fingerprint)."""
     columns = docs.columns
-    rows = stored(fingerprints(docs, id_col, text_col, shingle, tuple(c for c in columns if c != id_col)).select("doc_id", "fp", *[F.col(f"`{c}`").alias(f"c_{c}") for c in columns if c != id_col]), "rows")
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
+    rows = stored(fingerprints(named, "id", "text", shingle, tuple(f"c_{i}" for i in range(len(columns)))), "rows")
     groups = fingerprint_components(rows.select("doc_id", "fp"), distance).select("fp", "component_id").distinct()
     first = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("fp", f"c_{text_col}")
+    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("fp", f"c_{columns.index(text_col)}")
     first = first.withColumn("n_", F.row_number().over(by)).where("n_ = 1")
-    return first.select(*[F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col) if c == id_col else F.col(f"`c_{c}`").alias(c) for c in columns])
+    return first.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
