@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,11 +63,11 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, i
             bins[i], offsets[i] = used, 0
             used += 1
             continue
-        # what 2 N[g] changes by if a bin of gap g takes s; N[0] stays 0, as full bins don't count
-        change = n[: capacity + 1 - s] - n[s:]
-        change[0] -= 1  # a full bin adds no square of its own
+        # what the sum of squares changes by if a bin of gap g, s or more, takes s: N[g] falls by one and N[g - s] grows by one
+        change = 2 * (n[: capacity + 1 - s] - n[s:] + 1)
+        change[0] = 1 - 2 * n[s]  # a bin that becomes full counts no more
         change[n[s:] == 0] = capacity**3
-        change[-1] = n[capacity - s] + 1  # a new bin: nothing is taken away
+        change[-1] = 2 * n[capacity - s] + 1  # a new bin: nothing is taken away
         g = int(np.argmin(change)) + s
         if g == capacity:
             b, used = used, used + 1
@@ -80,6 +81,30 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, i
     return bins, offsets, used
 
 
+def close_up(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) after the pieces of the bins that stayed open have been placed again, longest first and where the least is left, if that saves bins."""
+    fill = np.bincount(bins, lengths, minlength=1)
+    loose = np.flatnonzero(fill[bins] < capacity)
+    gaps: list[tuple[int, int]] = []
+    again, used = np.empty(len(loose), np.int64), 0
+    for i in np.argsort(-lengths[loose], kind="stable").tolist():
+        s = int(lengths[loose[i]])
+        k = bisect_left(gaps, (s, -1))
+        gap, again[i] = gaps.pop(k) if k < len(gaps) else (capacity, used)
+        used += gap == capacity
+        if gap > s:
+            insort(gaps, (gap - s, int(again[i])))
+    bins = bins.copy()
+    if used < len(np.unique(bins[loose])):
+        bins[loose] = again + len(fill)
+    order = np.lexsort((np.arange(len(bins)), bins))
+    ends = np.cumsum(lengths[order])
+    first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+    offsets = np.empty(len(bins), np.int64)
+    offsets[order] = ends - lengths[order] - np.repeat((ends - lengths[order])[first], np.diff(np.append(first, len(bins))))
+    return bins, offsets
+
+
 def packed(rows: DataFrame, capacity: int) -> DataFrame:
     """rows (with length, 1 to capacity, and doc_id, piece) with sequence_id and offset: gapless from 0 in each sequence.
 
@@ -95,7 +120,8 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
             return
         t = pa.Table.from_batches(held)
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins, offsets, _ = place(t.column("length").to_numpy(), capacity)
+        lengths = t.column("length").to_numpy()
+        bins, offsets = close_up(lengths, place(lengths, capacity)[0], capacity)
         base = TaskContext.get().partitionId() << 32
         t = t.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
         yield from t.combine_chunks().to_batches(max_chunksize=20_000)
