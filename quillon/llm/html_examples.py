@@ -5,21 +5,21 @@ _MORE = "Nobody could say later who rang the bell first, though many people reme
 _MID = "It was the wettest spring in a century."
 _SHORT = "Then it stopped."
 
-#: (page, article blocks)
+#: (page, article blocks). Blocks are told apart by their text, so what is kept is worded unlike what is dropped.
 PAGES = [
     (
-        f"<html><head><title>Flood</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/x'>Sport</a></li></ul></nav><div class='ad'>{_MID}</div>"
+        f"<html><head><title>Flood</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/x'>Sport</a></li></ul></nav><div class='ad'>And here is a bright new car.</div>"
         f"<article><h1>The flood</h1><p>{_LONG}</p><p>{_SHORT}</p><p>{_MORE} <a href='/d'>Dogs</a></p></article><footer>&copy; Town Paper &middot; {_MID}</footer></body></html>",
         ["The flood", _LONG, _SHORT, f"{_MORE} Dogs"],
     ),
     (
         f"<body><header><h1>Town Paper</h1><p>{_MID}</p></header><main><h2>After the water</h2><p>{_LONG}</p><ul><li>Bring boots.</li><li>Bring bread.</li></ul><p>Go.</p>"
-        f"<div class='share'><a href='#'>Share</a></div><div class='comments'><p>{_MORE}</p><p>So true.</p></div></main><aside><p>{_LONG}</p></aside><footer><p>{_MORE}</p></footer></body>",
+        f"<div class='share'><a href='#'>Share</a></div><div class='comments'><p>{_MORE}</p><p>So true.</p></div></main><aside><p>Also read this. {_LONG}</p></aside><footer><p>{_MORE}</p></footer></body>",
         ["After the water", _LONG, "Bring boots.", "Bring bread.", "Go."],
     ),
     (
         f"<body><div id='cookie-notice'>We use cookies. {_MID}</div><div id='menu'><a href='/'>Start</a> <a href='/a'>About us</a></div><div id='content'><h1>A quiet night</h1><p>{_LONG}</p>"
-        f"<p>{_MORE}</p><p>{_MID}</p></div><div class='sidebar'><p>{_LONG}</p></div><form><p>Your address here</p></form><div id='footer'>{_MID}</div></body>",
+        f"<p>{_MORE}</p><p>{_MID}</p></div><div class='sidebar'><p>Seen today. {_LONG}</p></div><form><p>Your address here</p></form><div id='footer'>Imprint. {_MID}</div></body>",
         ["A quiet night", _LONG, _MORE, _MID],
     ),
     (
@@ -29,7 +29,7 @@ PAGES = [
     ),
     (
         f"<body><div role='banner'>{_MID}</div><article class='post'><header><h1>Letter</h1></header><p>{_SHORT}</p><blockquote>{_LONG}</blockquote><p><a href='/a'>A linked line</a></p>"
-        f"<div class='advertisement'>{_LONG}</div><p>{_MORE}</p><aside>{_MID}</aside></article><section id='comments'><article class='comment'><p>{_LONG}</p></article></section></body>",
+        f"<div class='advertisement'>Buy now. {_LONG}</div><p>{_MORE}</p><aside>{_MID}</aside></article><section id='comments'><article class='comment'><p>I agree. {_LONG}</p></article></section></body>",
         ["Letter", _SHORT, _LONG, "A linked line", _MORE],
     ),
     (f"<body><div class='popup'>{_LONG}</div><div class='newsletter'><p>{_MORE}</p></div><article><p>{_MID}</p></article><p>{_LONG}</p><p>{_SHORT}</p></body>", [_MID]),
@@ -38,9 +38,3 @@ PAGES = [
     (f"<body><h1>Short note</h1><p>{_MID}</p><p>{_SHORT}</p></body>", ["Short note", _MID, _SHORT]),
     (f"<body><article><ul><li><a href='/s1'>Part one of the story</a></li><li><a href='/s2'>Part two</a></li></ul><p>{_LONG}</p></article></body>", ["Part one of the story", "Part two", _LONG]),
 ]
-# the fifth page says the same words in a kept quotation and in dropped blocks; blocks are told apart by their text, so those differ
-PAGES[4] = (PAGES[4][0].replace(f"advertisement'>{_LONG}", f"advertisement'>Buy now. {_LONG}").replace(f"comment'><p>{_LONG}", f"comment'><p>I agree. {_LONG}"), PAGES[4][1])
-PAGES[0] = (PAGES[0][0].replace(f"ad'>{_MID}", "ad'>And here is a bright new car."), PAGES[0][1])
-PAGES[1] = (PAGES[1][0].replace(f"<aside><p>{_LONG}", f"<aside><p>Also read this. {_LONG}"), PAGES[1][1])
-PAGES[2] = (PAGES[2][0].replace(f"sidebar'><p>{_LONG}", f"sidebar'><p>Seen today. {_LONG}").replace(f"footer'>{_MID}", f"footer'>Imprint. {_MID}"), PAGES[2][1])
-PAGES[6] = (PAGES[6][0], PAGES[6][1])
