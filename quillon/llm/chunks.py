@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import forget, ship, trim
 from .hashing import mix
 
 CHUNK_BYTES = 3 << 20
@@ -70,6 +70,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, keep: tu
                 blobs.append(sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "data"])
 
+        forget()
         held, size = [], 0
         for b in batches:
             for at in range(0, b.num_rows, 2048):
@@ -80,6 +81,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, keep: tu
                     held, size = [], 0
         if held:
             yield flush(held)
+        held = []
+        trim()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep))).mapInArrow(pack, "chunk int, data binary")
 
@@ -224,9 +227,14 @@ def answered(keys: DataFrame) -> DataFrame:
     return keys.groupBy("bucket").applyInArrow(answer, ANSWERS)
 
 
+def _trimmed(table: pa.Table) -> pa.Table:
+    trim()
+    return table
+
+
 def emitted(packed: DataFrame, f: Callable[[int, pa.Table], list[tuple]]) -> DataFrame:
     """KEYS of each chunk."""
-    return packed.groupBy("chunk").applyInArrow(lambda key, t: key_table(f(key[0].as_py(), t)), KEYS)
+    return packed.groupBy("chunk").applyInArrow(lambda key, t: _trimmed(key_table(f(key[0].as_py(), t))), KEYS)
 
 
 def with_answers(packed: DataFrame, answers: DataFrame, f: Callable[[int, pa.Table, dict], pa.Table], schema: str) -> DataFrame:
@@ -236,6 +244,7 @@ def with_answers(packed: DataFrame, answers: DataFrame, f: Callable[[int, pa.Tab
         got: dict[int, list] = {}
         for r in right.to_pylist():
             got.setdefault(r["kind"], []).append((r["bucket"], r["bits"]))
-        return f(key[0].as_py(), left, got)
+        forget()
+        return _trimmed(f(key[0].as_py(), left, got))
 
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import sys
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import kept, ship
 from .simhash_dedup import _slices
 
 #: Items of one index and bytes of their texts: what is broadcast at a time. More items make more indexes, each of which all documents are searched with.
@@ -43,7 +43,7 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int, str]], df: Counter, n_items: int, mean_words: float, threshold: float, least_words: int):
-        self.threshold = threshold
+        self.threshold, self.key = threshold, uuid.uuid4().hex
         parsed = [(i, terms(t)) for i, t in items]
         parsed = [(i, w, t) for (i, w), (_, t) in zip(parsed, items, strict=True) if len(w) >= least_words]
         self.ids = np.array([i for i, _, _ in parsed], np.int64)
@@ -119,7 +119,7 @@ def _searched(held, question: float, answer: float):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = held.value
-        known = vars(sys).setdefault("_quillon_terms", {}).setdefault(id(index), {})
+        known = kept(("terms", index.key), dict)
         stride = max(64, index.longest)
         for whole in batches:
             for b in _slices(whole):
@@ -131,7 +131,7 @@ def _searched(held, question: float, answer: float):
                     if c is None:
                         x = _REST.sub("", w.lower())
                         c = index.vocabulary.get(x, -1) if x else -2
-                        if len(known) > 500_000:
+                        if len(known) > 300_000:
                             known.clear()
                         known[w] = c
                     code.append(c)

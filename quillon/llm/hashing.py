@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+#: Items of a sequence that are hashed together.
+STRETCH = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +39,19 @@ class Rolling:
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of values[s:e] for each s, e; equal contents give equal hashes wherever they stand. uint8 values are looked up in a random table."""
+        if len(values) > 2 * STRETCH and len(starts):
+            # a stretch of the sequence at a time, so that powers and sums stay small
+            order = np.argsort(starts, kind="stable")
+            s, e = starts[order], ends[order]
+            out, i = np.empty(len(s), U), 0
+            while i < len(s):
+                j = int(np.searchsorted(s, s[i] + STRETCH))
+                out[order[i:j]] = self._direct(values[s[i] : int(e[i:j].max())], s[i:j] - s[i], e[i:j] - s[i])
+                i = j
+            return out
+        return self._direct(values, starts, ends)
+
+    def _direct(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(values)
         self._grow(n + 1)
         at = np.zeros(n + 1, U)

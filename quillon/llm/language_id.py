@@ -11,13 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import forget, ship, trim
 from .simhash_dedup import _slices
 
 #: Symbols: 0 for anything but letters, 1 to 26 for a to z, the others for all other letters by code point.
 SYMBOLS = 64
 CODES = SYMBOLS**3
 UNKNOWN = "und"
+#: Bytes of text whose trigrams are counted together.
+SLICE = 1 << 20
 
 
 def _symbols() -> np.ndarray:
@@ -98,9 +100,10 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     ship(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
-            for b in _slices(whole):
+            for b in _slices(whole, SLICE):
                 row, code, n, _ = trigrams(b.column(1))
                 lang = b.column(0).dictionary_encode()
                 of = lang.indices.to_numpy()
@@ -130,9 +133,10 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         p = held.value
         for whole in batches:
-            for b in _slices(whole, column=at):
+            for b in _slices(whole, SLICE, at):
                 if p.languages:
                     cosine, letters = p.cosines(b.column(at))
                     best = np.argmax(cosine, axis=1)
@@ -142,6 +146,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
                 else:
                     name, score = pa.array([UNKNOWN] * b.num_rows), np.zeros(b.num_rows)
                 yield pa.RecordBatch.from_arrays([*b.columns, name, pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+        trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     return docs.mapInArrow(label, schema)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: A worker forgets its words and starts anew when it knows more than these.
 KNOWN = 500_000
 
@@ -41,11 +42,8 @@ class WordEncoder:
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
-        """The one encoder of this process, kept between tasks."""
-        held = vars(sys).setdefault("_quillon_encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        """The encoder of this process, kept between tasks."""
+        return kept(("encoder", path), lambda: cls(path))
 
     def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at = len(self.known)
