@@ -165,9 +165,9 @@ def table_counts(spark, sf_dir):
 
 def _dangling_sql(where: str = "") -> str:
     return f"""
-SELECT sum(CASE WHEN NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_nationkey < 5) THEN 1 ELSE 0 END) AS without_customer,
-       sum(CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) THEN 1 ELSE 0 END) AS without_lines,
-       sum(CASE WHEN NOT EXISTS (SELECT 1 FROM labels d WHERE d.doc_id = o.o_orderkey) THEN 1 ELSE 0 END) AS without_label
+SELECT CAST(sum(CASE WHEN NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_nationkey < 5) THEN 1 ELSE 0 END) AS BIGINT) AS without_customer,
+       CAST(sum(CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) THEN 1 ELSE 0 END) AS BIGINT) AS without_lines,
+       CAST(sum(CASE WHEN NOT EXISTS (SELECT 1 FROM labels d WHERE d.doc_id = o.o_orderkey) THEN 1 ELSE 0 END) AS BIGINT) AS without_label
 FROM orders o {where}"""
 
 
@@ -318,9 +318,9 @@ def round_half_up(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", S.round_half_up(F.col("p_retailprice").cast("decimal(30,10)") / 8, 2).cast("double").alias("price"))
 
 
-@query("SELECT r_name, list_sort(list_distinct(list_transform(range(1, length(r_name) - 1), lambda i: substring(lower(r_name), i, 3)))) AS grams FROM region")
+@query("SELECT r_name, array_to_string(list_sort(list_distinct(list_transform(range(1, length(r_name) - 1), lambda i: substring(lower(r_name), i, 3)))), ',') AS grams FROM region")
 def trigram_decomposition(spark, sf_dir):
-    return _t(spark, sf_dir, "region").select("r_name", F.array_sort(S.trigrams(F.lower("r_name"))).alias("grams"))
+    return _t(spark, sf_dir, "region").select("r_name", F.array_join(F.array_sort(S.trigrams(F.lower("r_name"))), ",").alias("grams"))
 
 
 # geometry: axis-parallel rectangles from table columns, so that plain arithmetic gives the same
@@ -344,7 +344,7 @@ def polygon_area(spark, sf_dir):
     return _boxes(spark, sf_dir).select("n_nationkey", F.round(G.area(F.col("way")), 6).alias("area"))
 
 
-@query(f"SELECT n_nationkey, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy FROM ({_BOX})")
+@query(f"SELECT n_nationkey, CAST(x0 + x1 AS DOUBLE) / 2 AS cx, CAST(y0 + y1 AS DOUBLE) / 2 AS cy FROM ({_BOX})")
 def polygon_centroid(spark, sf_dir):
     c = G.centroid(F.col("way"))
     return _boxes(spark, sf_dir).select("n_nationkey", F.round(G.x(c), 6).alias("cx"), F.round(G.y(c), 6).alias("cy"))
