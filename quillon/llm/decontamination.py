@@ -88,7 +88,8 @@ class Index:
         fine = total >= self.block_need[key % self.n_blocks]
         alive = key[fine]
         # items of those blocks, by active terms, then by all terms
-        p, j = _postings(passage, term, self.at)
+        near = np.isin(passage, alive // self.n_blocks)
+        p, j = _postings(passage[near], term[near], self.at)
         inside = np.isin(p * self.n_blocks + self.item[j] // BLOCK, alive)
         p, j = p[inside], j[inside]
         n = len(self.ids)
@@ -122,7 +123,7 @@ def _searched(held, question: float, answer: float):
         known = kept(("terms", index.key), dict)
         stride = max(64, index.longest)
         for whole in batches:
-            for b in _slices(whole):
+            for b in _slices(whole, 2 << 20):
                 split = pc.utf8_split_whitespace(b.column(1).fill_null(""))
                 flat = split.flatten().dictionary_encode()
                 code = []
