@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, ship, stored
+from .common import parts_for, ship, stored, trim
 from .simhash_dedup import _slices
 from .tokens import WordEncoder, vocabulary_path
 
@@ -45,6 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
                 if keep_ids:  # pieces follow one another without gaps
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECE + (", ids array<int>" if keep_ids else ""))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, shared_folder, ship, text_bytes
+from .common import forget, parts_for, shared_folder, ship, text_bytes, trim
 from .simhash_dedup import _slices
 from .tokens import WordEncoder, vocabulary_path
 
@@ -41,6 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(so_far + ends - n), pa.array(n), lists], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
                 so_far += int(ends[-1])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(parts_for(text_bytes(docs, text_col), FILE_TEXT), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FORMAT)
@@ -60,6 +61,7 @@ def token_index(tokens: DataFrame) -> DataFrame:
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             lists = b.column(4)
             o, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
