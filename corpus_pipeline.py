@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came before; documents of which nothing but white space is left go. n_chars counts the new text."""
-    out = remove_repeated_lines(docs, keep=("lang", "source"))
+    out = remove_repeated_lines(docs, keep=("lang", "source"), exact=1)
     return out.where(F.col("text").rlike(r"\S") | (F.col("n_removed") == 0)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -85,7 +85,7 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
 class _Lines:
     """The lines of a chunk's documents, white space at their ends aside, in ascending order of (document, line)."""
 
-    def __init__(self, packed: pa.Table, least: int):
+    def __init__(self, packed: pa.Table, exact: int):
         self.table = C.rows_of(packed)
         self.row_ids, text = (self.table.column(i).combine_chunks() for i in (0, 1))
         self.texts = text.to_pylist()
@@ -95,15 +95,15 @@ class _Lines:
         self.doc = np.repeat(np.arange(len(self.lines)), [len(y) for y in self.lines])
         self.data, self.o = utf8(pa.array(flat, pa.large_string()))
         self.size = np.diff(self.o)
-        self.long = np.flatnonzero(self.size >= least)
+        self.full = np.flatnonzero(self.size >= exact)
 
     def whole(self, n_buckets: int) -> C.KeySet:
-        """Long lines as keys, owned by the first of them here."""
-        s, e = self.o[self.long], self.o[self.long + 1]
-        return C.KeySet(BYTES.spans(self.data, s, e), OTHER.spans(self.data, s, e), n_buckets, self.long)
+        """Lines of the exact pass as keys, owned by the first of them here."""
+        s, e = self.o[self.full], self.o[self.full + 1]
+        return C.KeySet(BYTES.spans(self.data, s, e), OTHER.spans(self.data, s, e), n_buckets, self.full)
 
     def firsts(self, got: list, keys: C.KeySet) -> np.ndarray:
-        """The long lines that no earlier line equals, here or elsewhere."""
+        """The lines of the exact pass that no earlier line equals, here or elsewhere."""
         return np.sort(keys.owner[~keys.answers(got)])
 
     def parts(self, lines: np.ndarray, edits: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, C.KeySet]:
@@ -126,34 +126,35 @@ class _Lines:
         return at, own, keys
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24, keep: tuple[str, ...] = (), exact: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, text and the columns to keep, text without the lines that an earlier line is at most `edits` edits away from.
 
     Lines end at "\\n"; white space at the ends of a line is no part of the comparison; edits are of UTF-8 bytes. Earlier: of a smaller document id (null is the smallest; rows with
-    equal ids in the order of their texts), or before it in the same document. An earlier line counts even if it goes itself. Lines shorter than `least` bytes stay, and
-    so does what is between other lines. A null text stays null, with no lines; repeated rows lose what they repeat.
+    equal ids in the order of their texts), or before it in the same document. An earlier line counts even if it goes itself. Lines shorter than `least` bytes go
+    only if an earlier line equals them, and stay if they are shorter than `exact` bytes (`least`, if None) or blank; so does what is between other lines. A null text stays null, with no lines; repeated rows lose what they repeat.
 
     Equal lines are settled by their keys alone. Of what is left, a line's edits + 1 segments are index entries, and a line probes for the segments of lines of its
     length or up to `edits` shorter; of two lines within the edits one holds a segment of the other at one of the places probed. Lines that share no key with another line drop out. The others
     go to the buckets of their shared keys and are compared there. A key that more than CELL lines share is dealt into cells: every two blocks of its lines meet in one.
     """
+    exact = least if exact is None else max(1, exact)
     n = parts_for(text_bytes(docs, text_col), C.CHUNK_BYTES, 24)
     packed = C.chunked(docs, id_col, text_col, n, keep)
 
     def first(chunk: int, t: pa.Table) -> list[tuple]:
-        b = _Lines(t, least)
+        b = _Lines(t, exact)
         return b.whole(n).rows(chunk, C.SMALLER, b.ids[b.doc])
 
     def second(chunk: int, t: pa.Table, got: dict) -> pa.Table:
-        b = _Lines(t, least)
+        b = _Lines(t, exact)
         lines = b.firsts(got.get(C.SMALLER, []), b.whole(n))
-        _, _, keys = b.parts(lines, edits, n)
+        _, _, keys = b.parts(lines[b.size[lines] >= least], edits, n)
         return C.key_table([*keys.rows(chunk, C.TIMES), C.passed(chunk, C.pressed(lines.astype(np.uint32)))])
 
     def third(chunk: int, t: pa.Table, got: dict) -> pa.Table:
-        b = _Lines(t, least)
+        b = _Lines(t, exact)
         lines = C.unpressed(got[C.PASS][0][1], np.uint32).astype(np.int64)
-        line, own, keys = b.parts(lines, edits, n)
+        line, own, keys = b.parts(lines[b.size[lines] >= least], edits, n)
         total = keys.totals(got.get(C.TIMES, []))[keys.group]
         key = keys.keys[keys.group]
         rows = []
@@ -181,9 +182,9 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "data"])
 
     def last(chunk: int, t: pa.Table, got: dict) -> pa.Table:
-        b = _Lines(t, least)
+        b = _Lines(t, exact)
         stay = np.ones(len(b.doc), bool)
-        stay[b.long] = False
+        stay[b.full] = False
         stay[C.unpressed(got[C.PASS][0][1], np.uint32)] = True
         for _, x in got.get(C.OTHER, []):
             stay[C.unpressed(x, np.uint32)] = False
@@ -259,5 +260,5 @@ def _compared(table: pa.Table, edits: int) -> pa.Table:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), exact=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

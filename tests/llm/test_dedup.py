@@ -116,6 +116,26 @@ def test_lines(spark, docs, rows, cell, monkeypatch):
     assert bag(remove_repeated_lines(frame, keep=("bucket",)).collect()) == bag(expected)
 
 
+def test_short_lines(spark, docs, rows):
+    """Every line that is not blank goes if an earlier one equals it; only lines of 24 bytes and more go for edits."""
+    every = rows + [(500, "yes\n\n x\nAll rights reserved.\n}\n日", "en", "s", 0, 7, "b", "f", 1, "xx", "?"), (501, "All rights reserved.\nNo.7\n\n}\nyes \nAll rights reserved!\n日\nNo.7", "en", "s", 0, 7, "b", "f", 1, "xx", "?")]
+    low = -(2**63)
+    seen, expected = set(), []
+    for r in sorted(every, key=lambda r: (low if r[0] is None else r[0], r[1] is not None, r[1] or "")):
+        kept = []
+        for x in (r[1] or "").split("\n"):
+            b = x.strip().encode()
+            again = b in seen or (len(b) >= 24 and any(len(p) >= 24 and within(p, b, 2) for p in seen))
+            if b:
+                seen.add(b)
+            if not again:
+                kept.append(x)
+        expected.append((r[0], None if r[1] is None else "\n".join(kept)))
+    got = remove_repeated_lines(spark.createDataFrame(every, docs.schema), exact=1)
+    assert bag(got.select("doc_id", "text").collect()) == bag(expected)
+    assert got.where("doc_id = 501").first().text == "No.7\n\nAll rights reserved!"
+
+
 def fingerprint(text, n=3):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[k : k + n]) for k in range(len(w) - n + 1)] or ([" ".join(w)] if w else [])
