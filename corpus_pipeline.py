@@ -7,8 +7,8 @@ from quillon.llm.common import stored
 from quillon.llm.decontamination import contaminated
 from quillon.llm.language_id import UNKNOWN, held_out, learn, predict
 from quillon.llm.line_dedup import remove_repeated_lines
+from quillon.llm.near_dedup import one_of_similar
 from quillon.llm.packing import pack_documents
-from quillon.llm.simhash_dedup import one_of_each
 from quillon.llm.tokens import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return one_of_similar(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,11 @@ def fingerprint_components(prints: DataFrame, distance: int = 2) -> DataFrame:
     rows = nodes.select(F.explode(keys).alias("key"), "fp")
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
     edges = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "a bigint, b bigint")
+    return named_components(prints, nodes, edges)
+
+
+def named_components(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """prints (doc_id, fp) with the smallest doc of the nodes (fp, doc) that edges (a, b) connect with each fp."""
     roots = components(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -157,7 +162,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = docs.columns
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
     rows = stored(fingerprints(named, "id", "text", shingle, tuple(f"c_{i}" for i in range(len(columns)))), "rows")
-    groups = fingerprint_components(rows.select("doc_id", "fp"), distance).select("fp", "component_id").distinct()
+    return first_of_each(rows, fingerprint_components(rows.select("doc_id", "fp"), distance), columns, text_col)
+
+
+def first_of_each(rows: DataFrame, prints: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The columns c_0, c_1, ... of rows (doc_id, fp, c_0, ...) under their names, for the first row of each component of prints (fp, component_id)."""
+    groups = prints.select("fp", "component_id").distinct()
     first = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("fp", f"c_{columns.index(text_col)}")
     first = first.withColumn("n_", F.row_number().over(by)).where("n_ = 1")

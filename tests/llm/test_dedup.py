@@ -10,9 +10,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.llm import line_dedup, simhash_dedup, suffix_dedup
+from quillon.llm import line_dedup, near_dedup, simhash_dedup, suffix_dedup
 from quillon.llm.components import components
 from quillon.llm.line_dedup import remove_repeated_lines, within
+from quillon.llm.near_dedup import one_of_similar
 from quillon.llm.simhash_dedup import fingerprint_components, near_duplicates, one_of_each
 from quillon.llm.substring_dedup import COVER, PERIOD, remove_repeats
 from quillon.llm.suffix_dedup import remove_earlier
@@ -191,6 +192,48 @@ def test_simhash_families(spark):
     assert bag(got) == bag(brute_components(rows))
 
 
+@pytest.mark.parametrize("common", [4, 10**9])
+def test_near_copies(spark, docs, rows, common, monkeypatch):
+    """Every pair with a Jaccard similarity of five-word shingles of 0.8 or more is connected, also within large families and beside a passage that many hold."""
+    monkeypatch.setattr(near_dedup, "COMMON", common)
+    rnd = random.Random(9)
+    say = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    passage, more = say(30), []
+    for f in range(12):
+        base = say(rnd.choice([20, 60, 150])).split(" ")
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(9)}"
+            more.append(" ".join(w) + (f" {passage}" if f % 3 == 0 else ""))
+    more += [f"{say(10)} {passage} {say(10)}" for _ in range(30)]
+    every = rows + [(1000 + i, t, *rows[0][2:]) for i, t in enumerate(more)]
+
+    def sets(text):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    held = [sets(r[1]) for r in every]
+    root = list(range(len(every)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(held):
+        for j in range(i):
+            if x == held[j] or 5 * len(x & held[j]) >= 4 * len(x | held[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least: dict = {}
+    for i, r in enumerate(every):
+        least.setdefault(find(i), []).extend([r[0]] if r[0] is not None else [])
+    got = one_of_similar(spark.createDataFrame(every, docs.schema))
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(min(x) for x in least.values())
+
+
 def test_blocks_are_bounded():
     masks = simhash_dedup.blocks_for(2)
     assert max(64 - m.bit_count() for m in masks) <= 12
@@ -224,6 +267,7 @@ def test_empty(none):
     assert remove_repeated_lines(none).count() == 0
     assert near_duplicates(none).count() == 0
     assert one_of_each(none).count() == 0
+    assert one_of_similar(none).count() == 0
 
 
 def test_sampled_positions_follow_the_text():
