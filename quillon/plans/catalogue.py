@@ -54,8 +54,14 @@ def contains_ci(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(F.col("text").ilike("%the%")).select("doc_id", "source")
 
 
-@query("SELECT page_id, url FROM pages WHERE url ILIKE '%casino%'")
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%license%'")
 def contains_trigram(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return trigram_search(docs, "doc_id", "text", trigram_table(docs, "doc_id", "text"), "license").select("doc_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE url ILIKE '%casino%'")
+def contains_trigram_url(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
     return trigram_search(pages, "page_id", "url", trigram_table(pages, "page_id", "url"), "Casino").select("page_id", "url")
 

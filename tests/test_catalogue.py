@@ -46,3 +46,10 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark):
     assert any("EqualTo(c_name" in f for f in pushed_filters(QUERIES["exact_match"](spark, SF)))
     assert any("StringStartsWith(text" in f for f in pushed_filters(QUERIES["prefix"](spark, SF)))
+
+
+def test_trigrams_of_whole_texts(spark, duck):
+    df = QUERIES["contains_trigram"](spark, SF)
+    assert df.columns == ["doc_id"] and any(f.endswith("documents.parquet") for f in df.inputFiles())
+    found = duck.sql("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')").fetchall()
+    assert found and sorted(r.doc_id for r in df.collect()) == sorted(x for (x,) in found)
