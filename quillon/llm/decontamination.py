@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, ship
+from .hashing import mix
 from .simhash_dedup import _slices
 
 #: Items of one index and bytes of their texts: what is broadcast at a time. More items make more indexes, each of which all documents are searched with.
@@ -22,12 +23,21 @@ INDEX_ITEMS, INDEX_BYTES = 20_000, 16 << 20
 BLOCK = 8
 K1, B = 1.2, 0.75
 _REST = re.compile(r"[\W_]+")
+#: Letters of scripts without spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han): each is a term of its own.
+_ALONE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_PIECE = re.compile(f"[{_ALONE}]|[^{_ALONE}]+")
 PAIRS = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, passage bigint"
 
 
 def terms(text: str) -> list[str]:
-    """Words between white space, lowered, with nothing but letters and digits."""
-    return [w for w in (_REST.sub("", x) for x in text.lower().split()) if w]
+    """Words between white space, lowered, with nothing but letters and digits; single letters where a script has no spaces."""
+    return [w for x in text.lower().split() for w in _pieces(x)]
+
+
+def _pieces(word: str) -> list[str]:
+    """The terms of a lowered word."""
+    x = _REST.sub("", word)
+    return ([x] if x else []) if x.isascii() else _PIECE.findall(x)
 
 
 def _grams(words: list, n: int = 3) -> set:
@@ -45,9 +55,10 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], df: Counter, n_items: int, mean_words: float, threshold: float, least_words: int):
         self.threshold, self.key = threshold, uuid.uuid4().hex
         parsed = [(i, terms(t)) for i, t in items]
+        short = [(i, w) for i, w in parsed if 0 < len(w) < least_words]
         parsed = [(i, w, t) for (i, w), (_, t) in zip(parsed, items, strict=True) if len(w) >= least_words]
         self.ids = np.array([i for i, _, _ in parsed], np.int64)
-        self.vocabulary = {t: k for k, t in enumerate(dict.fromkeys(t for _, w, _ in parsed for t in w))}
+        self.vocabulary = {t: k for k, t in enumerate(dict.fromkeys(t for w in [*(w for _, w, _ in parsed), *(w for _, w in short)] for t in w))}
         self.longest = max((len(w) for _, w, _ in parsed), default=1)
         rows = []
         self.need = np.zeros(len(parsed))
@@ -79,6 +90,35 @@ class Index:
         self.block_max = np.maximum.reduceat(self.share[active], first) if len(first) else np.zeros(0)
         self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min(initial=9) for b in range(self.n_blocks)])
         self.active = active
+        # short items by length: their terms in a row, the items of each, and a hash of each to look up
+        self.starts = np.zeros(n, bool)
+        rows_of: dict[int, dict[tuple, list[int]]] = {}
+        for i, w in short:
+            row = tuple(self.vocabulary[t] for t in w)
+            self.starts[row[0]] = True
+            rows_of.setdefault(len(w), {}).setdefault(row, []).append(i)
+        self.short = []
+        for size, found in sorted(rows_of.items()):
+            h = _row_hashes(np.array(list(found), np.int64).ravel(), np.arange(len(found)) * size, size)
+            order = np.argsort(h)
+            self.short.append((size, h[order], [list(found.items())[k] for k in order.tolist()]))
+
+    def rows(self, doc: np.ndarray, word: np.ndarray) -> list[tuple[int, int, int]]:
+        """(document, item, place) of each short item's first place in each document where all its terms stand in a row; word has -1 for other terms."""
+        out = []
+        begin = np.flatnonzero(self.starts[word]) if self.short else np.zeros(0, np.int64)  # -1 is the entry after the vocabulary
+        for size, hashes, found in self.short:
+            s = begin[begin + size <= len(word)]
+            s = s[doc[s] == doc[s + size - 1]]
+            h = _row_hashes(word, s, size)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            s, at = s[hashes[at] == h], at[hashes[at] == h]
+            _, first = np.unique(doc[s] * len(hashes) + at, return_index=True)
+            for p, k in zip(s[first].tolist(), at[first].tolist(), strict=True):
+                row, ids = found[k]
+                if tuple(word[p : p + size].tolist()) == row:
+                    out += [(int(doc[p]), i, p) for i in ids]
+        return out
 
     def search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all pairs that reach the threshold, from the distinct (passage, term), sorted."""
@@ -102,6 +142,13 @@ class Index:
         return key[fine] // n, key[fine] % n, total[fine]
 
 
+def _row_hashes(word: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    h = np.zeros(len(start), np.uint64)
+    for k in range(size):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word[start + k].astype(np.uint64) + np.uint64(1))
+    return h
+
+
 def _postings(passage: np.ndarray, term: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The passage and the posting of each posting of the passages' terms."""
     n = at[term + 1] - at[term]
@@ -126,19 +173,20 @@ def _searched(held, question: float, answer: float):
             for b in _slices(whole, 2 << 20):
                 split = pc.utf8_split_whitespace(b.column(1).fill_null(""))
                 flat = split.flatten().dictionary_encode()
-                code = []
+                code, size = [], []
                 for w in flat.dictionary.to_pylist():
                     c = known.get(w)
                     if c is None:
-                        x = _REST.sub("", w.lower())
-                        c = index.vocabulary.get(x, -1) if x else -2
+                        c = tuple(index.vocabulary.get(x, -1) for x in _pieces(w.lower()))
                         if len(known) > 300_000:
                             known.clear()
                         known[w] = c
-                    code.append(c)
-                word = np.array(code, np.int64)[flat.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int64)
-                doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-                doc, word = doc[word > -2], word[word > -2]
+                    code += c
+                    size.append(len(c))
+                which, size, code = flat.indices.to_numpy(zero_copy_only=False), np.array(size, np.int64), np.array(code, np.int64)
+                n = size[which]  # terms of each word: none, one, or its letters
+                word = code[np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                doc = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False)), n)
                 first = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 step = (np.arange(len(doc)) - first[doc]) // stride
                 wide = int(step.max(initial=0)) + 2
@@ -158,6 +206,7 @@ def _searched(held, question: float, answer: float):
                     share = lambda x, near=near, words=words: len(x & (near if len(next(iter(x))) == 3 else _grams(words, len(next(iter(x)))))) / len(x) if x else 1.0
                     if share(q) >= question and share(a) >= answer:
                         out.append((d, int(index.ids[i]), s, share(q), share(a), int(max(0, k) * stride)))
+                out += [(d, i, 1.0, 1.0, 1.0, int(p - first[d])) for d, i, p in index.rows(doc, word)]
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 ids = b.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage"])
@@ -170,7 +219,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     A passage is two strides of words, one begins at each stride, and a stride is as long as the longest item, so that any item lies in one as a whole. Its BM25 score against an item, as a share of the item's score
     against itself, must reach `threshold`; then the word triples of the item's question (all lines but the last, or the only one) and answer (the last line) must be in
-    the passage to the shares `question` and `answer`. Items of fewer than least_words words, or null ones, are not looked for. Null texts match nothing. Items
+    the passage to the shares `question` and `answer`. Items of fewer than least_words terms
+    are found where all their terms stand in a row, at any place, with a score and overlaps of 1; null ones and those without terms are not looked for. Null texts match nothing. Items
     with equal ids count as one; no items give no pairs.
     """
     spark = docs.sparkSession

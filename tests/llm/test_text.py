@@ -254,6 +254,20 @@ def test_decontamination(spark, docs, rows, none, monkeypatch):
     assert contaminated(none, bench).count() == 0 and contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_items_of_every_length(spark):
+    """Items of under eight terms are found where all their terms stand in a row; those of scripts without spaces by their characters."""
+    items = [(1, "Who was first?\nNobody knows"), (2, "Paris"), (3, "東京の一番高い建物は何ですか。\n東京スカイツリー"), (4, "水是什么"), (5, "รถไฟฟ้า"), (6, "twice the same twice the same"), (7, "... !"), (8, "Who was")]
+    docs = [
+        (10, "so: who WAS first? nobody\nknows, he said"), (11, "who was the first? nobody knows"), (12, "in paris."), (13, "parisian"), (14, "前文東京の一番高い建物は何ですか。東京スカイツリー後文"), (15, "他问：水是什么？"), (16, "水 什么是"),
+        (17, "นั่งรถไฟฟ้าไป"), (18, "twice the same twice same the same"), (19, "it was twice the same twice the same"), (20, "who"), (21, "was first"), (22, None), (23, ""), (24, "who was first? nobody"),
+    ]
+    found = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(10, 1), (10, 8), (11, 8), (24, 8), (12, 2), (14, 3), (15, 4), (17, 5), (19, 6)}
+    assert {(r.doc_id, r.passage) for r in found.where("item_id in (1, 6)").collect()} == {(10, 1), (19, 2)}
+    few = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items[1:2], "item_id bigint, text string"))
+    assert [tuple(r) for r in few.collect()] == [(12, 2, 1.0, 1.0, 1.0, 1)]
+
+
 def test_bounds_lose_nothing():
     """The search over blocks finds every pair that plain BM25 puts above the threshold."""
     from collections import Counter
