@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,9 @@ _LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>"
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template title textarea select button svg iframe object canvas audio video math".split())
+SILENT = frozenset("script style noscript template title textarea select button svg iframe object canvas audio video".split())
+#: Those of them whose content is no markup: nothing but their own end tag ends them. The others also end with the block they are in.
+RAW = frozenset("script style noscript title textarea iframe".split())
 #: Elements that end a block.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose purpose is passed on to what they hold.
@@ -56,7 +59,8 @@ class _Holder:
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """The text blocks of a page in order, and FEATURES of each.
 
-    White space of a block becomes one space; character references are decoded; comments, scripts and the like are no text. Markup that is cut off at the end is dropped.
+    White space of a block becomes one space; character references are decoded; comments, scripts and the like are no text. Markup that is cut off at the end is dropped,
+    and so is what follows a raw-text element without an end tag.
     """
     stack = [_Holder("html", "", None)]
     texts: list[str] = []
@@ -65,6 +69,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     linked = words_linked = 0
     heading = has_article = False
     at, end = 0, len(page)
+    opened: Counter = Counter()
+    quiet, depth, inside = "", 0, Counter()  # the silent element around this place, how often it is open, and blocks opened in it
 
     def flush() -> None:
         nonlocal held, words_linked
@@ -78,7 +84,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
 
     def say(raw: str) -> None:
         nonlocal words_linked
-        if raw:
+        if raw and not quiet:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
             if linked:
@@ -108,7 +114,23 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         name = (m["name"] or "").lower()
         if not name:
             continue
+        closed = m["attrs"].endswith("/")
+        if quiet and m["close"]:
+            if name == quiet:
+                depth -= 1
+                quiet = quiet if depth else ""
+                continue
+            if name not in BLOCK or inside[name] or not opened[name]:
+                inside[name] -= inside[name] > 0
+                continue
+            quiet = ""
+        elif quiet and name not in RAW:
+            if not closed:
+                depth += name == quiet and name not in ("button", "select")  # these two end where the next one begins
+                inside[name] += name in BLOCK
+            continue
         if m["close"]:
+            opened[name] -= opened[name] > 0
             if name == "a":
                 linked = max(0, linked - 1)
             if name in BLOCK:
@@ -120,9 +142,10 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                     flush()
                 del stack[i:]
             continue
-        closed = m["attrs"].endswith("/")
         if name in SILENT:
-            if not closed:
+            if not closed and name not in RAW:
+                quiet, depth, inside = name, 1, Counter()
+            elif not closed:
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
                 if not stop:
                     break
@@ -136,6 +159,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if name in BLOCK:
             flush()
             linked = 0
+            opened[name] += not closed
         if name == "a":
             linked += 1
         if name[:1] == "h" and name[1:].isdigit():

@@ -193,6 +193,20 @@ def test_pages(page, text):
     assert main_text(page or "", trained()) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><div><video src=x></div><p>the rest</p></article>", "the rest"), ("<article><p>a<button>no</p><p>b</p><div><object><object>no</object></div>c</article>", "a b c"),
+        ("<article>a<svg><title>no</title><svg>no</svg>no<style></svg></style></svg>b<canvas><div>no</div>no</canvas> c</article>", "a b c"),
+        ("<article>a<select><option>no<option>no</select> b<template><p>no</p></p><div>no</div></template> c<video>no <b>no</b></i></video> d</article>", "a b c d"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "so x=2 holds"), ("<article><p>a</p><script>b</p><p>c</p></article>", "a"),
+        ("<article><ul><li><audio src=x></li><li>one</li></ul><p>two<button>no<button>no</button> three</p></article>", "one two three"),
+    ],
+)
+def test_silence_ends_with_its_block(page, text):
+    assert " ".join(blocks(page)[0]) == text
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a</article>", "old", 9), (2, None, None, "old", 9), (1, "u", "<article>a</article>", "old", 9)], "page_id int, url string, html string, text string, n_chars int")
     assert bag(extract(pages).collect()) == bag([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0)])
