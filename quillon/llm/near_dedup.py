@@ -20,6 +20,8 @@ SAMPLE, COMMON, TOLD = 1 << 16, 4, 1 << 20
 #: Documents of a key that are compared with one another at once; of more, first neighbours and the smallest only, then those that this has not connected.
 FEW = 8
 PAIRS = 1 << 18
+#: Bits of a set's sign.
+BITS = 1024
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,25 +56,33 @@ def set_names(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return np.where(size > 0, name, U(0)).view(np.int64), size
 
 
+def signs(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """BITS bits for each row's set, each telling whether an odd number of shingles fall to it: two sets differ in at least as many shingles as their signs do in bits."""
+    odd = np.bincount(row * BITS + (h % U(BITS)).astype(np.int64), minlength=rows * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1)
+
+
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     """How many of a set's first shingles hold one of every set that is similar enough: such a set shares at least percent of the larger one's size."""
     return size + (-percent * size) // 100 + 1
 
 
 def named(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """(doc_id, fp) and the columns to keep: fp names the shingle set."""
+    """(doc_id, fp, size, sign) and the columns to keep: fp names the shingle set."""
     ship(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for whole in batches:
             for b in _slices(whole, 1 << 20):
-                name, _ = set_names(*shingle_sets(b.column(1), shingle), b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), *b.columns[2:]], names=["doc_id", "fp", *keep])
+                row, h = shingle_sets(b.column(1), shingle)
+                name, size = set_names(row, h, b.num_rows)
+                sign = pa.array([x.tobytes() for x in signs(row, h, b.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), pa.array(size.astype(np.int32)), sign, *b.columns[2:]], names=["doc_id", "fp", "size", "sign", *keep])
         trim()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
-    return rows.mapInArrow(of, "doc_id bigint, fp bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c))
+    return rows.mapInArrow(of, "doc_id bigint, fp bigint, size int, sign binary" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c))
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +197,15 @@ def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the Jaccard similarity."""
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have the Jaccard similarity: those that their signs do not rule out are compared as sets."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (utf8(b.column(i))[0].reshape(b.num_rows, BITS // 8) for i in (3, 4))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield b.select(["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * both))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -207,29 +224,34 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 fit[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(fit))
 
+    sign = rows.groupBy("fp").agg(F.max("size").alias("size"), F.max("sign").alias("sign"))
+    one, two = (sign.select(F.col("fp").alias(k), F.col("size").alias(f"n{k}"), F.col("sign").alias(f"s{k}")) for k in "ab")
+    signed = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb")
+    pairs = stored(signed.mapInArrow(possible, "a bigint, b bigint"), "possible")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    held = stored(texts.join(ends, "fp", "left_semi").select("fp", "text").mapInArrow(sets, "fp bigint, held binary"), "sets")
+    held = stored(rows.select("fp", "text").join(ends, "fp", "left_semi").mapInArrow(sets, "fp bigint, held binary").groupBy("fp").agg(F.max("held").alias("held")), "sets")
     both = pairs.join(held.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(judged, "a bigint, b bigint")
 
 
 def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between shingle sets of rows (fp, text): they connect the same sets as all pairs of the similarity do.
+    """Links (a, b) between shingle sets of rows (fp, size, sign, text): they connect the same sets as all pairs of the similarity do.
 
     Two such sets share a shingle among the first of each, in any one order of all shingles. Sets that share one are compared themselves. Of a key that many sets share, the pairs that
     the first comparisons have already connected are left out.
     """
     spark = rows.sparkSession
-    texts = stored(rows.groupBy("fp").agg(F.min(text_col).alias("text")).select("fp", "text"), "texts")
+    rows = rows.select("fp", "size", "sign", F.col(text_col).alias("text"))
+    texts = rows.select("fp", "text")
     told = spark.sparkContext.broadcast(common_shingles(texts, shingle))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     entries = texts.mapInArrow(_entries(told, shingle, percent), "key bigint, fp bigint, size int")
     met = stored(entries.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(percent), "key bigint, a bigint, b bigint"), "met")
-    links = stored(_similar(met.where("key IS NULL").select("a", "b").distinct(), texts, shingle, percent), "links")
+    links = stored(_similar(met.where("key IS NULL").select("a", "b").distinct(), rows, shingle, percent), "links")
     roots = components(links)
     more = met.where("key IS NOT NULL").join(roots, F.col("a") == F.col("node"), "left").select("key", F.col("b").alias("size"), F.col("a").alias("fp"), F.coalesce("root", "a").alias("root"))
     pairs = stored(more.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_apart(percent), "a bigint, b bigint").distinct(), "pairs")
-    return links.union(stored(_similar(pairs, texts, shingle, percent), "links"))
+    return links.union(stored(_similar(pairs, rows, shingle, percent), "links"))
 
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
