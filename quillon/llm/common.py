@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -16,10 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Bytes of rows that a Python worker gets at a time: long texts come in smaller batches, not in larger ones.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of every executor, once per application."""
+    """Makes this package importable in the Python workers of every executor, once per application, and bounds the bytes of the session's Arrow batches, unless they are bounded closer."""
+    held = re.match(r"\d+", spark.conf.get(_BATCH, None) or "")
+    if not held or int(held[0]) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -34,11 +34,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         encoder, part, so_far = WordEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in _slices(whole):
-                ids, n = encoder.encode(b.column(1))
-                if end_id is not None:
-                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                ids, n = encoder.encode(b.column(1), end_id)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(so_far + ends - n), pa.array(n), lists], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
                 so_far += int(ends[-1])
         trim()
