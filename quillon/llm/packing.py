@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         encoder = WordEncoder.of_worker(tokenizer)
         for whole in batches:
             for b in _slices(whole):
-                ids, n = encoder.encode(b.column(1))
-                ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
+                ids, n = encoder.encode(b.column(1), end_id)
+                ids = ids.astype("<u4", copy=False)
                 count = -(-n // capacity)
                 doc = np.repeat(np.arange(len(n)), count)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
@@ -82,23 +81,18 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, i
     return bins, offsets, used
 
 
-def close_up(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) after the pieces of the bins that stayed open have been placed again, longest first and where the least is left, if that saves bins."""
-    fill = np.bincount(bins, lengths, minlength=1)
-    loose = np.flatnonzero(fill[bins] < capacity)
-    gaps: list[tuple[int, int]] = []
-    again, used = np.empty(len(loose), np.int64), 0
-    for i in np.argsort(-lengths[loose], kind="stable").tolist():
-        s = int(lengths[loose[i]])
-        k = bisect_left(gaps, (s, -1))
-        gap, again[i] = gaps.pop(k) if k < len(gaps) else (capacity, used)
-        used += gap == capacity
-        if gap > s:
-            insort(gaps, (gap - s, int(again[i])))
-    bins = bins.copy()
-    if used < len(np.unique(bins[loose])):
+def settled(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each length, given longest first: the pieces of bins that stay open are taken out and placed once more by the same rule, as long as that saves bins."""
+    bins = place(lengths, capacity)[0]
+    while True:
+        fill = np.bincount(bins, lengths, minlength=1)
+        loose = np.flatnonzero(fill[bins] < capacity)
+        again, _, used = place(lengths[loose], capacity)
+        if used >= len(np.unique(bins[loose])):
+            break
         bins[loose] = again + len(fill)
-    order = np.lexsort((np.arange(len(bins)), bins))
+        bins = np.unique(bins, return_inverse=True)[1]
+    order = np.argsort(bins, kind="stable")
     ends = np.cumsum(lengths[order])
     first = np.flatnonzero(np.diff(bins[order], prepend=-1))
     offsets = np.empty(len(bins), np.int64)
@@ -107,10 +101,10 @@ def close_up(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[np.n
 
 
 def packed(rows: DataFrame, capacity: int) -> DataFrame:
-    """rows (with length, 1 to capacity, and doc_id, piece) with sequence_id and offset: gapless from 0 in each sequence.
+    """rows (with length, 1 to capacity, and doc_id, piece) with sequence_id and offset: gapless from 0 in each sequence. rows must be a stored table, whose rows keep their order.
 
-    Rows are dealt at random into parts of about TOGETHER, and each part is packed by itself, longest first. A part loses the gaps of a few bins at most,
-    whatever the input is.
+    Rows are dealt by their places in the table into parts of about TOGETHER, so that equal or null ids are spread too, and each part is packed by itself, longest first.
+    A part loses the gaps of a few bins at most, whatever the input is. Equal rows are packed as often as they are there; no rows give none.
     """
     ship(rows.sparkSession)
     names = [f.name for f in rows.schema]
@@ -122,18 +116,22 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
         t = pa.Table.from_batches(held)
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = t.column("length").to_numpy()
-        bins, offsets = close_up(lengths, place(lengths, capacity)[0], capacity)
+        bins, offsets = settled(lengths, capacity)
         base = TaskContext.get().partitionId() << 32
         t = t.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
         yield from t.combine_chunks().to_batches(max_chunksize=20_000)
 
     n = parts_for(rows.count(), TOGETHER, 1)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint, offset bigint"
-    return rows.repartition(n, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 30))).select(*names).mapInArrow(pack, schema)
+    return rows.repartition(n, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))).select(*names).mapInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """The pieces of all documents with the sequence that each is in and its place there; keep_ids adds the ids of each piece."""
+    """The pieces of all documents with the sequence that each is in and its place there; keep_ids adds the ids of each piece.
+
+    Null texts are empty, so a document has one piece at least, of end_id alone; null and repeated ids stay as they are, each row a document; other columns are ignored.
+    A very long text is cut into as many pieces as it needs, within one batch of Arrow.
+    """
     return packed(stored(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, keep_ids), "pieces"), capacity)
 
 
