@@ -14,8 +14,8 @@ from .hashing import BYTES, OTHER, U, mix, utf8
 #: Lines of a key that one task compares with one another; more are compared block by block.
 CELL = 1024
 OUT = "doc_id bigint, n_lines bigint, n_removed bigint, text string"
-PARTS = "bucket int, chunk int, data binary"
-FOUND = "chunk int, bucket int, kind int, bits binary"
+PARTS = "bucket bigint, chunk bigint, data binary"
+FOUND = "chunk bigint, bucket bigint, kind int, bits binary"
 
 
 def segments(length: np.ndarray, edits: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +97,16 @@ class _Lines:
         self.size = np.diff(self.o)
         self.full = np.flatnonzero(self.size >= exact)
 
-    def whole(self, n_buckets: int) -> C.KeySet:
+    def whole(self, buckets: C.Buckets) -> C.KeySet:
         """Lines of the exact pass as keys, owned by the first of them here."""
         s, e = self.o[self.full], self.o[self.full + 1]
-        return C.KeySet(BYTES.spans(self.data, s, e), OTHER.spans(self.data, s, e), n_buckets, self.full)
+        return C.KeySet(BYTES.spans(self.data, s, e), OTHER.spans(self.data, s, e), buckets, self.full)
 
     def firsts(self, got: list, keys: C.KeySet) -> np.ndarray:
         """The lines of the exact pass that no earlier line equals, here or elsewhere."""
         return np.sort(keys.owner[~keys.answers(got)])
 
-    def parts(self, lines: np.ndarray, edits: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, C.KeySet]:
+    def parts(self, lines: np.ndarray, edits: int, buckets: C.Buckets) -> tuple[np.ndarray, np.ndarray, C.KeySet]:
         """(line, whether the key is an index entry, keys): each line's own segments, and the substrings where it may hold those of others."""
         size, begin = self.size[lines], self.o[lines]
         at, s, e, tag, own = [], [], [], [], []
@@ -121,7 +121,7 @@ class _Lines:
             own.append(np.full(int(fits.sum()), mine))
         at, s, e, tag, own = map(np.concatenate, (at, s, e, tag, own))
         h = mix(BYTES.spans(self.data, s, e) + tag * U(0x9E3779B97F4A7C15))
-        keys = C.KeySet(h, h ^ U(0x5555), n_buckets)
+        keys = C.KeySet(h, h ^ U(0x5555), buckets)
         keys.count_owners(at)
         return at, own, keys
 
@@ -130,7 +130,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_lines, n_removed, text and the columns to keep, text without the lines that an earlier line is at most `edits` edits away from.
 
     Lines end at "\\n"; white space at the ends of a line is no part of the comparison; edits are of UTF-8 bytes. Earlier: of a smaller document id (null is the smallest; rows with
-    equal ids in the order of their texts), or before it in the same document. An earlier line counts even if it goes itself. Lines shorter than `least` bytes go
+    equal ids in an order that their contents fix), or before it in the same document. An earlier line counts even if it goes itself. Lines shorter than `least` bytes go
     only if an earlier line equals them, and stay if they are shorter than `exact` bytes (`least`, if None) or blank; so does what is between other lines. A null text stays null, with no lines; repeated rows lose what they repeat.
 
     Equal lines are settled by their keys alone. Of what is left, a line's edits + 1 segments are index entries, and a line probes for the segments of lines of its
@@ -139,22 +139,22 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     exact = least if exact is None else max(1, exact)
     n = parts_for(text_bytes(docs, text_col), C.CHUNK_BYTES, 24)
-    packed = C.chunked(docs, id_col, text_col, n, keep)
+    packed, buckets = C.chunked(docs, id_col, text_col, n, keep), C.Buckets(n)
 
     def first(chunk: int, t: pa.Table) -> list[tuple]:
         b = _Lines(t, exact)
-        return b.whole(n).rows(chunk, C.SMALLER, b.ids[b.doc])
+        return b.whole(buckets).rows(chunk, C.SMALLER, b.ids[b.doc], chunk)
 
     def second(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Lines(t, exact)
-        lines = b.firsts(got.get(C.SMALLER, []), b.whole(n))
-        _, _, keys = b.parts(lines[b.size[lines] >= least], edits, n)
+        lines = b.firsts(got.get(C.SMALLER, []), b.whole(buckets))
+        _, _, keys = b.parts(lines[b.size[lines] >= least], edits, buckets)
         return C.key_table([*keys.rows(chunk, C.TIMES), C.passed(chunk, C.pressed(lines.astype(np.uint32)))])
 
     def third(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Lines(t, exact)
         lines = C.unpressed(got[C.PASS][0][1], np.uint32).astype(np.int64)
-        line, own, keys = b.parts(lines[b.size[lines] >= least], edits, n)
+        line, own, keys = b.parts(lines[b.size[lines] >= least], edits, buckets)
         total = keys.totals(got.get(C.TIMES, []))[keys.group]
         key = keys.keys[keys.group]
         rows = []
@@ -179,7 +179,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 w.write_table(blob)
             rows.append((int(bucket[rows_of[0]]), chunk, sink.getvalue().to_pybytes()))
         rows.append((-1 - chunk, chunk, C.pressed(lines.astype(np.uint32))))
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "chunk", "data"])
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "data"])
 
     def last(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Lines(t, exact)
@@ -193,8 +193,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         count = [0 if t is None else len(y) for t, y in zip(b.texts, b.lines, strict=True)]
         return pa.table([b.row_ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array([int((~f).sum()) for f in flags], pa.int64()), pa.array(texts, pa.string()), *b.table.columns[2:]], names=["doc_id", "n_lines", "n_removed", "text", *keep])
 
-    one = C.answered(C.emitted(packed, first))
-    two = C.answered(C.with_answers(packed, one, second, C.KEYS))
+    one = C.answered(C.emitted(packed, first), buckets)
+    two = C.answered(C.with_answers(packed, one, second, C.KEYS), buckets)
     three = C.with_answers(packed, two, third, PARTS)
     four = three.groupBy("bucket").applyInArrow(lambda t: _compared(t, edits), FOUND)
     kept = [f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c]
@@ -256,7 +256,7 @@ def _compared(table: pa.Table, edits: int) -> pa.Table:
                 settle(np.full(len(rest), i), rest)
         for chunk in np.unique(chunks[gone]).tolist():
             out.append((chunk, int(table.column("bucket")[0].as_py()), C.OTHER, C.pressed(lines[gone & (chunks == chunk)].astype(np.uint32))))
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "kind", "bits"])
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "kind", "bits"])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

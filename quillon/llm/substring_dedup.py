@@ -64,19 +64,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window <= PERIOD:
         raise ValueError(f"a window needs more than {PERIOD} words")
     n = parts_for(text_bytes(docs, text_col), C.CHUNK_BYTES, 24)
-    packed = C.chunked(docs, id_col, text_col, n)
+    packed, buckets = C.chunked(docs, id_col, text_col, n), C.Buckets(n)
     size = window - PERIOD + 1
 
     def anchors(w: _Words) -> tuple[np.ndarray, C.KeySet]:
         at = w.anchors(window)
         a, b = w.runs(at, size)
-        return at, C.KeySet(a, b, n)
+        return at, C.KeySet(a, b, buckets)
 
     def shared_windows(w: _Words, at: np.ndarray, keys: C.KeySet, got: list) -> tuple[np.ndarray, C.KeySet]:
         again = keys.answers(got) | (keys.times > 1)
         starts = w.windows(at[again[keys.group]], window)
         a, b = w.runs(starts, window)
-        return starts, C.KeySet(a, b, n)
+        return starts, C.KeySet(a, b, buckets)
 
     def first(chunk: int, t: pa.Table) -> list[tuple]:
         return anchors(_Words(t))[1].rows(chunk, C.OTHER)
@@ -91,7 +91,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         w = _Words(t)
         starts = C.unpressed(got[C.PASS][0][1], np.uint32).astype(np.int64)
         a, b = w.runs(starts, window)
-        keys = C.KeySet(a, b, n)
+        keys = C.KeySet(a, b, buckets)
         hit = starts[(keys.answers(got.get(C.OTHER, [])) | (keys.times > 1))[keys.group]]
         edge = np.zeros(len(w.doc) + 1, np.int32)
         np.add.at(edge, hit, 1)
@@ -108,8 +108,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - base, pa.int64()), pa.array(end - base, pa.int64())], ["start", "end"]))
         return pa.table([w.ids.cast(pa.int64()), pa.array(w.counts, pa.int64()), pa.array(np.bincount(w.doc[gone], minlength=w.n_docs), pa.int64()), kept, spans], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    one = C.answered(C.emitted(packed, first))
-    two = C.answered(C.with_answers(packed, one, second, C.KEYS))
+    one = C.answered(C.emitted(packed, first), buckets)
+    two = C.answered(C.with_answers(packed, one, second, C.KEYS), buckets)
     return C.with_answers(packed, two, last, OUT)
 
 

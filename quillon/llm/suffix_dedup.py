@@ -78,13 +78,13 @@ class _Bytes:
                 end = min(hi, at + BLOCK + self.length - 1)
                 yield at, end, row[at - lo : end - lo]
 
-    def texts(self, n_buckets: int) -> tuple[np.ndarray, C.KeySet]:
+    def texts(self, buckets: C.Buckets) -> tuple[np.ndarray, C.KeySet]:
         """The whole documents as keys."""
         rows = np.flatnonzero(self.sizes >= self.length)
         a, b = BYTES.spans(self.data, self.o[rows], self.o[rows + 1]), OTHER.spans(self.data, self.o[rows], self.o[rows + 1])
-        return rows, C.KeySet(a, b, n_buckets, self.index[rows])
+        return rows, C.KeySet(a, b, buckets, self.index[rows])
 
-    def anchors(self, live: np.ndarray, n_buckets: int) -> tuple[np.ndarray, C.KeySet]:
+    def anchors(self, live: np.ndarray, buckets: C.Buckets) -> tuple[np.ndarray, C.KeySet]:
         """Sampled positions with the ranks of their prefixes of the shorter length."""
         at, key, doc = [], [], []
         for lo, hi, row in self.blocks(live):
@@ -98,9 +98,9 @@ class _Bytes:
             doc.append(self.index[row[p]])
         at, key, doc = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((at, np.int64), (key, U), (doc, np.int64)))
         at, once = np.unique(at, return_index=True)
-        return at, C.KeySet(key[once], key[once], n_buckets, doc[once])
+        return at, C.KeySet(key[once], key[once], buckets, doc[once])
 
-    def families(self, near: np.ndarray, live: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, C.KeySet, np.ndarray]:
+    def families(self, near: np.ndarray, live: np.ndarray, buckets: C.Buckets) -> tuple[np.ndarray, np.ndarray, C.KeySet, np.ndarray]:
         """(first, last, keys, doc): the anchors' stretches of suffixes that have the anchor as their smallest rank.
 
         Equal strings of the full length have it at the same place, so they are found in stretches of equal anchors. A stretch's member key stands for
@@ -137,9 +137,9 @@ class _Bytes:
             member.append(rank_pairs(full[first] + (last - first).astype(U), full[last]))
         lows, highs, family, member = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((lows, np.int64), (highs, np.int64), (family, U), (member, U)))
         doc = self.row_index(lows)
-        return lows, highs, C.KeySet(family, family, n_buckets, doc, member), doc
+        return lows, highs, C.KeySet(family, family, buckets, doc, member), doc
 
-    def suffixes(self, at: np.ndarray, live: np.ndarray, n_buckets: int) -> tuple[C.KeySet, np.ndarray]:
+    def suffixes(self, at: np.ndarray, live: np.ndarray, buckets: C.Buckets) -> tuple[C.KeySet, np.ndarray]:
         """(keys, doc) for the strings of the full length at these positions, in ascending order."""
         key, spread, seen = [], [], 0
         for lo, hi, _ in self.blocks(live):
@@ -152,7 +152,7 @@ class _Bytes:
                 seen += len(here)
         assert seen == len(at)
         doc = self.row_index(at)
-        return C.KeySet(np.concatenate([np.zeros(0, U), *key]), np.concatenate([np.zeros(0, U), *spread]), n_buckets, doc), doc
+        return C.KeySet(np.concatenate([np.zeros(0, U), *key]), np.concatenate([np.zeros(0, U), *spread]), buckets, doc), doc
 
     def row_index(self, at: np.ndarray) -> np.ndarray:
         """The document index of each position."""
@@ -215,17 +215,17 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("strings of at least 16 bytes are needed")
     n = parts_for(text_bytes(docs, text_col), C.CHUNK_BYTES, 24)
     packed = C.chunked(docs, id_col, text_col, n)
-    fewer = max(12, n // 3)
+    buckets, fewer = C.Buckets(n), C.Buckets(max(12, n // 3))
 
     def copies(b: _Bytes, got: dict) -> np.ndarray:
-        rows, keys = b.texts(n)
+        rows, keys = b.texts(buckets)
         out = np.zeros(len(b.sizes), bool)
         out[rows] = _later(keys, got.get(C.SMALLER, []), b.index[rows])
         return out
 
     def first(chunk: int, t: pa.Table) -> list[tuple]:
         b = _Bytes(t, length)
-        return b.texts(n)[1].rows(chunk, C.SMALLER, b.ids)
+        return b.texts(buckets)[1].rows(chunk, C.SMALLER, b.ids)
 
     def second(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Bytes(t, length)
@@ -248,14 +248,14 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         later = doc > keys.owner[keys.group]
         hit, ask = keys.answers(answers)[keys.group] | later, keys.answers(answers, 1)[keys.group] & ~later
         at = _ranges(lows[ask], highs[ask])
-        found, _ = b.suffixes(at, ~gone, n)
+        found, _ = b.suffixes(at, ~gone, buckets)
         return C.key_table([*found.rows(chunk, C.SMALLER, b.ids), *_state(chunk, g=gone.view(np.uint8), l=lows[hit].astype(np.uint32), h=highs[hit].astype(np.uint32), a=at.astype(np.uint32))])
 
     def last(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Bytes(t, length)
         gone = _passed(got, b"g", np.uint8).view(bool)
         at = _passed(got, b"a", np.uint32).astype(np.int64)
-        keys, doc = b.suffixes(at, ~gone, n)
+        keys, doc = b.suffixes(at, ~gone, buckets)
         hit = at[_later(keys, got.get(C.SMALLER, []), doc)]
         edge = np.zeros(len(b.data) + 1, np.int32)
         for begin, end in ((hit, hit), (_passed(got, b"l", np.uint32).astype(np.int64), _passed(got, b"h", np.uint32).astype(np.int64))):
@@ -263,10 +263,10 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(edge, end + length, -1)
         return _cut(b, (np.cumsum(edge)[:-1] > 0) | np.repeat(gone, b.sizes))
 
-    one = C.answered(C.emitted(packed, first))
-    two = C.answered(C.with_answers(packed, one, second, C.KEYS))
-    three = C.answered(C.with_answers(packed, two, third, C.KEYS))
-    four = C.answered(C.with_answers(packed, three, fourth, C.KEYS))
+    one = C.answered(C.emitted(packed, first), buckets)
+    two = C.answered(C.with_answers(packed, one, second, C.KEYS), fewer)
+    three = C.answered(C.with_answers(packed, two, third, C.KEYS), fewer)
+    four = C.answered(C.with_answers(packed, three, fourth, C.KEYS), buckets)
     return C.with_answers(packed, four, last, OUT)
 
 
