@@ -162,86 +162,121 @@ def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.add.reduceat(value[order], first) if len(first) else np.zeros(0)
 
 
+def _held(index: Index, texts: pa.Array, question: float, answer: float) -> list[tuple]:
+    """(text, item, score, question overlap, answer overlap, first word of the passage) of all pairs among some texts."""
+    known = kept(("terms", index.key), dict)
+    stride = max(64, index.longest)
+    split = pc.utf8_split_whitespace(texts.fill_null(""))
+    flat = split.flatten().dictionary_encode()
+    code, size = [], []
+    for w in flat.dictionary.to_pylist():
+        c = known.get(w)
+        if c is None:
+            c = tuple(index.vocabulary.get(x, -1) for x in _pieces(w.lower()))
+            if len(known) > 300_000:
+                known.clear()
+            known[w] = c
+        code += c
+        size.append(len(c))
+    which, size, code = flat.indices.to_numpy(zero_copy_only=False), np.array(size, np.int64), np.array(code, np.int64)
+    n = size[which]  # terms of each word: none, one, or its letters
+    word = code[np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    doc = np.repeat(np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False)), n)
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    step = (np.arange(len(doc)) - first[doc]) // stride
+    wide = int(step.max(initial=0)) + 2
+    # passages of two strides, one each stride: a word is in the one that begins at its stride and in the one before
+    hit = np.flatnonzero(word >= 0)
+    where = np.concatenate([(doc * wide + step + 1)[hit], (doc * wide + step)[hit]])
+    n = len(index.vocabulary) + 1
+    both = np.unique(where * n + np.tile(word[hit], 2))
+    passage, item, score = index.search(both // n, both % n)
+    out = []
+    for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
+        d, k = p // wide, p % wide - 1
+        lo = first[d] + max(0, k) * stride
+        words = word[lo : min(first[d + 1], first[d] + (k + 2) * stride)].tolist()
+        q, a = index.parts[i]
+        near = _grams(words)
+        share = lambda x, near=near, words=words: len(x & (near if len(next(iter(x))) == 3 else _grams(words, len(next(iter(x)))))) / len(x) if x else 1.0
+        if share(q) >= question and share(a) >= answer:
+            out.append((d, int(index.ids[i]), s, share(q), share(a), int(max(0, k) * stride)))
+    return out + [(d, i, 1.0, 1.0, 1.0, int(p - first[d])) for d, i, p in index.rows(doc, word)]
+
+
 def _searched(held, question: float, answer: float):
     """Pairs of the documents of batches (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = held.value
-        known = kept(("terms", index.key), dict)
-        stride = max(64, index.longest)
         for whole in batches:
             for b in _slices(whole, 2 << 20):
-                split = pc.utf8_split_whitespace(b.column(1).fill_null(""))
-                flat = split.flatten().dictionary_encode()
-                code, size = [], []
-                for w in flat.dictionary.to_pylist():
-                    c = known.get(w)
-                    if c is None:
-                        c = tuple(index.vocabulary.get(x, -1) for x in _pieces(w.lower()))
-                        if len(known) > 300_000:
-                            known.clear()
-                        known[w] = c
-                    code += c
-                    size.append(len(c))
-                which, size, code = flat.indices.to_numpy(zero_copy_only=False), np.array(size, np.int64), np.array(code, np.int64)
-                n = size[which]  # terms of each word: none, one, or its letters
-                word = code[np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                doc = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False)), n)
-                first = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                step = (np.arange(len(doc)) - first[doc]) // stride
-                wide = int(step.max(initial=0)) + 2
-                # passages of two strides, one each stride: a word is in the one that begins at its stride and in the one before
-                hit = np.flatnonzero(word >= 0)
-                where = np.concatenate([(doc * wide + step + 1)[hit], (doc * wide + step)[hit]])
-                n = len(index.vocabulary) + 1
-                both = np.unique(where * n + np.tile(word[hit], 2))
-                passage, item, score = index.search(both // n, both % n)
-                out = []
-                for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
-                    d, k = p // wide, p % wide - 1
-                    lo = first[d] + max(0, k) * stride
-                    words = word[lo : min(first[d + 1], first[d] + (k + 2) * stride)].tolist()
-                    q, a = index.parts[i]
-                    near = _grams(words)
-                    share = lambda x, near=near, words=words: len(x & (near if len(next(iter(x))) == 3 else _grams(words, len(next(iter(x)))))) / len(x) if x else 1.0
-                    if share(q) >= question and share(a) >= answer:
-                        out.append((d, int(index.ids[i]), s, share(q), share(a), int(max(0, k) * stride)))
-                out += [(d, i, 1.0, 1.0, 1.0, int(p - first[d])) for d, i, p in index.rows(doc, word)]
-                columns = list(zip(*out, strict=True)) or [()] * 6
+                columns = list(zip(*_held(held.value, b.column(1), question, answer), strict=True)) or [()] * 6
                 ids = b.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage"])
 
     return of
 
 
+def _indexes(items: DataFrame, item_id: str, item_text: str, threshold: float, least_words: int) -> Iterator[Index]:
+    """An index for each group of items, one after another; the driver holds one group and the counts of the items' terms."""
+    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_text).cast("string")).orderBy(item_id, item_text)
+    df: Counter = Counter()
+    n = total = 0
+    for _, text in rows.toLocalIterator():
+        words = terms(text)
+        df.update(set(words))
+        n, total = n + 1, total + len(words)
+    stream = iter(rows.toLocalIterator())
+    while group := _group(stream):
+        yield Index(group, df, n, total / n, threshold, least_words)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, question: float = 0.5, answer: float = 0.5, least_words: int = 8) -> DataFrame:
     """Pairs of a document and an item that one of its passages holds: doc_id, item_id, the best passage's score, overlaps and first word.
 
     A passage is two strides of words, one begins at each stride, and a stride is as long as the longest item, so that any item lies in one as a whole. Its BM25 score against an item, as a share of the item's score
     against itself, must reach `threshold`; then the word triples of the item's question (all lines but the last, or the only one) and answer (the last line) must be in
     the passage to the shares `question` and `answer`. Items of fewer than least_words terms
-    are found where all their terms stand in a row, at any place, with a score and overlaps of 1; null ones and those without terms are not looked for. Null texts match nothing. Items
-    with equal ids count as one; no items give no pairs.
+    are found where all their terms stand in a row, at any place, with a score and overlaps of 1; null ones and those without terms are not looked for. Null texts match nothing. Documents, or items,
+    with equal ids or without one count as one, whose best pair is told; no items give no pairs. A long text is searched in whole.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_text).cast("string")).orderBy(item_id, item_text)
-    df: Counter = Counter()
-    n = total = 0
-    for _, text in rows.toLocalIterator():
-        words = terms(text)
-        df.update(set(words))
-        n, total = n + 1, total + len(words)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = spark.createDataFrame([], PAIRS)
-    stream = iter(rows.toLocalIterator())
-    while group := _group(stream):
-        index = Index(group, df, n, total / n, threshold, least_words)
+    for index in _indexes(items, item_id, item_text, threshold, least_words):
         found = found.union(source.mapInArrow(_searched(spark.sparkContext.broadcast(index), question, answer), PAIRS))
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", F.negative("passage").alias("back"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap", F.negative("best.back").alias("passage"))
 
 
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, question: float = 0.5, answer: float = 0.5, least_words: int = 8) -> DataFrame:
+    """The rows of docs whose texts hold none of the items, by the rules of contaminated().
+
+    Each row is judged by its own text, so null or equal ids, repeated rows and columns of any names stay as they are; null and empty texts stay.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    for index in _indexes(items, item_id, item_text, threshold, least_words):
+        leaks = _leaks(spark.sparkContext.broadcast(index), question, answer)
+        docs = docs.where(~leaks(F.col(f"`{text_col}`").cast("string")))
+    return docs
+
+
+def _leaks(held, question: float, answer: float):
+    """Whether a text holds an item, as a function of a column."""
+
+    @F.arrow_udf("boolean")
+    def of(column: pa.Array) -> pa.Array:
+        out, at = np.zeros(len(column), bool), 0
+        for b in _slices(pa.RecordBatch.from_arrays([column], names=["text"]), 2 << 20, 0):
+            out[[at + x[0] for x in _held(held.value, b.column(0), question, answer)]] = True
+            at += b.num_rows
+        return pa.array(out)
+
+    return of
+
+
 def _group(stream: Iterator) -> list[tuple[int, str]]:
     out, size = [], 0
     for i, text in islice(stream, INDEX_ITEMS):

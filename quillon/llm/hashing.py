@@ -102,3 +102,52 @@ def prefixes8(data: np.ndarray) -> np.ndarray:
         k = (len(data) - r) // 8
         out[r::8] = np.frombuffer(data[r : r + 8 * k].tobytes(), "<u8")[: len(out[r::8])]
     return out
+
+
+_P = [U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # fixed values of XXH64
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << U(bits)) | (x >> U(64 - bits))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turned(acc + lane * _P[1], 31) * _P[0]
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of data[s:e] for each s, e: all spans advance together by stripes, lanes and bytes, each as long as it has some left."""
+    word = prefixes8(np.concatenate([data, np.zeros(8, np.uint8)]))  # eight bytes from each position on
+    size = (ends - starts).astype(np.int64)
+    at, stripes, p = starts.astype(np.int64), size >> 5, list(map(int, _P))
+    h = np.full(len(at), (seed + p[4]) % 2**64, U)
+    long = np.flatnonzero(stripes)
+    if len(long):
+        acc = [np.full(len(long), x, U) for x in ((seed + p[0] + p[1]) % 2**64, (seed + p[1]) % 2**64, seed, (seed - p[0]) % 2**64)]
+        for k in range(int(stripes.max())):
+            on = np.flatnonzero(stripes[long] > k)
+            for i in range(4):
+                acc[i][on] = _round(acc[i][on], word[at[long[on]] + 32 * k + 8 * i])
+        x = _turned(acc[0], 1) + _turned(acc[1], 7) + _turned(acc[2], 12) + _turned(acc[3], 18)
+        for a in acc:
+            x = (x ^ _round(np.zeros_like(a), a)) * _P[0] + _P[3]
+        h[long] = x
+    h += size.astype(U)
+    at, left = at + 32 * stripes, size & 31
+    for k in range(3):
+        on = np.flatnonzero(left >= 8 * (k + 1))
+        x = h[on] ^ _round(np.zeros(len(on), U), word[at[on] + 8 * k])
+        h[on] = _turned(x, 27) * _P[0] + _P[3]
+    at, left = at + (left & 24), left & 7
+    on = np.flatnonzero(left & 4)
+    h[on] = _turned(h[on] ^ ((word[at[on]] & U(0xFFFFFFFF)) * _P[0]), 23) * _P[1] + _P[2]
+    at, left = at + (left & 4), left & 3
+    for k in range(3):
+        on = np.flatnonzero(left > k)
+        h[on] = _turned(h[on] ^ ((word[at[on] + k] & U(0xFF)) * _P[4]), 11) * _P[0]
+    h ^= h >> U(33)
+    h *= _P[1]
+    h ^= h >> U(29)
+    h *= _P[2]
+    h ^= h >> U(32)
+    return h

@@ -4,6 +4,9 @@ _LONG = "The river had risen for three days before anyone in the lower town bega
 _MORE = "Nobody could say later who rang the bell first, though many people remember the sound, and the dogs that would not be quiet all night."
 _MID = "It was the wettest spring in a century."
 _SHORT = "Then it stopped."
+_THIRD = "In the morning the square lay under a hand of brown water, and boats that belonged to nobody were tied to the lamp posts as if they had always been there."
+_FOURTH = "We ask all who come here to read these lines with care before they go on, because there are rules in this house that hold for every guest and for every day."
+_LINKED = "The mill, the old bridge and the school were closed for a week while the council looked for another way to bring bread and milk into the lower streets."
 
 #: (page, article blocks). Blocks are told apart by their text, so what is kept is worded unlike what is dropped.
 PAGES = [
@@ -37,4 +40,62 @@ PAGES = [
     ("<body><ul><li><a href='/a'>Apples</a></li><li><a href='/b'>Bread and butter</a></li></ul><p><a href='/c'>All goods of this shop in one list</a></p></body>", []),
     (f"<body><h1>Short note</h1><p>{_MID}</p><p>{_SHORT}</p></body>", ["Short note", _MID, _SHORT]),
     (f"<body><article><ul><li><a href='/s1'>Part one of the story</a></li><li><a href='/s2'>Part two</a></li></ul><p>{_LONG}</p></article></body>", ["Part one of the story", "Part two", _LONG]),
+    (
+        f"<body><p><a href='/'>Home</a> <a href='/n'>News</a> <a href='/s'>Sport</a></p><p>{_MID}</p><p><a href='/w'>All the news of the week</a></p><h2>The mill</h2><p>{_LONG}</p><p>{_SHORT}</p><p>{_MORE}</p>"
+        f"<p><a href='/m'>More of this kind</a></p><p>Printed daily.</p><p><a href='/i'>Imprint</a></p></body>",
+        ["The mill", _LONG, _SHORT, _MORE],
+    ),
+    (
+        f"<body><div class='top-menu'><a href='/'>Start</a> <a href='/a'>About</a></div><div class='social-history'><h1>A social history</h1><p>{_LONG}</p><p>{_MORE}</p><p>{_SHORT}</p></div>"
+        f"<div class='social'><a href='/s'>Tell others</a></div><div class='cookie-notice'><p>{_FOURTH}</p></div></body>",
+        ["A social history", _LONG, _MORE, _SHORT],
+    ),
+    (
+        f"<body><div id='share-prices'><h2>Prices</h2><p>{_THIRD}</p><p>{_MID}</p><p>{_LONG}</p></div><div class='comments-section'><p>{_MORE}</p><p>Well said.</p></div><div class='ad-box'><p>{_FOURTH}</p></div></body>",
+        ["Prices", _THIRD, _MID, _LONG],
+    ),
+    (
+        f"<body><table><tr><td><a href='/1'>One</a></td><td><a href='/2'>Two</a></td></tr><tr><td>Weather</td><td><a href='/3'>Three and more</a></td></tr></table><table><tr><td><h1>Bread</h1><p>{_LINKED}</p><p>{_THIRD}</p></td></tr></table>"
+        f"<p><a href='/4'>Back to the list of stories</a></p><p>All rights reserved.</p></body>",
+        ["Bread", _LINKED, _THIRD],
+    ),
+    (
+        f"<body><div><a href='/a'>First page</a></div><div>Edition of today</div><div><a href='/b'>Second page</a></div><div><p>{_LINKED} <a href='/c'>The council</a> <a href='/d'>The mill</a> said so.</p><p>{_SHORT}</p><p>{_LONG}</p></div>"
+        f"<div><a href='/e'>Read also: another long story about bread</a></div><div>Write to us</div><div><a href='/f'>Contact</a></div></body>",
+        [f"{_LINKED} The council The mill said so.", _SHORT, _LONG],
+    ),
+    (f"<body><div class='notice'><p>{_FOURTH}</p></div><div class='sidebar-left'><p>{_THIRD}</p></div><div class='story'><p>{_LONG}</p><p>{_SHORT}</p></div><div class='related-box'><p>{_LINKED}</p></div></body>", [_LONG, _SHORT]),
+]
+
+#: Parts of further pages: (markup, its article blocks). Every start goes with every article and every end.
+_STARTS = [
+    "",
+    "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>",
+    f"<header><div class='logo'>Town Paper</div><p>{_MID}</p></header>",
+    "<div class='ad'>A bright new car waits for you.</div>",
+    f"<div class='popup-wrap'><p>{_FOURTH}</p><p>Yes</p></div>",
+]
+_ARTICLES = [
+    (f"<article><h1>The flood</h1><p>{_LONG}</p><p>{_SHORT}</p></article>", ["The flood", _LONG, _SHORT]),
+    (f"<article><p>{_SHORT}</p></article>", [_SHORT]),
+    (f"<article><p>{_LONG}</p><p>Go.</p><p>{_MORE}</p></article>", [_LONG, "Go.", _MORE]),
+    (f"<main><h2>After</h2><ul><li>Boots.</li><li><a href='/b'>Bread</a></li></ul><p>{_THIRD}</p><p>Over.</p></main>", ["After", "Boots.", "Bread", _THIRD, "Over."]),
+    (f"<article><p>{_THIRD}</p><div class='social-history'><h3>Before</h3><p>{_LONG}</p></div></article>", [_THIRD, "Before", _LONG]),
+    (f"<article class='post'><p>{_LONG}</p><div class='share-links'><a href='#'>Send it</a></div><p>{_THIRD}</p><aside><p>{_LINKED}</p></aside></article>", [_LONG, _THIRD]),
+]
+_ENDS = [
+    "",
+    "<footer>Imprint</footer>",
+    "<footer><p>A long list of the people who have made this page, with all their names and houses.</p></footer>",
+    "<div class='comments'><p>I was there that night, and I can tell you that nobody rang any bell at all.</p><p>No.</p></div>",
+    "<form><p>Your name and your address</p><button>Send</button></form><p><a href='/x'>Next page</a></p>",
+    "<p>Somewhere below the article there is a line that belongs to nothing, as long as any other line of the page.</p>",
+]
+PAGES += [(f"<body>{start}{markup}{end}</body>", wanted) for start in _STARTS for markup, wanted in _ARTICLES for end in _ENDS]
+#: The same without an element that says where the article is.
+_PLAIN = [
+    (f"<h1>The flood</h1><p>{_LONG}</p><p>{_SHORT}</p><p>{_MORE}</p>", ["The flood", _LONG, _SHORT, _MORE]),
+    (f"<div class='text'><p>{_THIRD}</p><p>{_LONG}</p></div>", [_THIRD, _LONG]),
+    (f"<div class='search-history'><h2>After</h2><p>{_LINKED}</p><p>{_MORE}</p></div>", ["After", _LINKED, _MORE]),
 ]
+PAGES += [(f"<body>{start}{markup}{end}</body>", wanted) for start in _STARTS for markup, wanted in _PLAIN for end in _ENDS[:-1]]

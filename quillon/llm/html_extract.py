@@ -16,7 +16,7 @@ from .common import ship
 from .html_examples import PAGES
 from .simhash_dedup import _slices
 
-_TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<other>[!?/][^>]*)>)")
+_TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<other>[!?][^>]*|/)>)")
 _LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -36,7 +36,10 @@ MARKS = frozenset(
     "subscribe subscription tags toolbar topbar widget widgets".split()
 )
 TOP = frozenset("header masthead heading".split())
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "marked", "page_has_article", "heading")
+#: Parts that say nothing of a purpose.
+NEUTRAL = frozenset("a area article bar big block body bottom box button buttons col column container content entry group inner item items left link links list main outer page panel post right row section small the top wrap wrapper".split())
+#: marks: how much of a class name around the block marks what is not the article, from 0 to 1; a hint that words and links can outweigh.
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "marks", "page_has_article", "heading")
 
 
 class _Holder:
@@ -44,16 +47,24 @@ class _Holder:
 
     def __init__(self, name: str, attrs: str, above: _Holder | None):
         values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
-        parts = {p.lower() for k in ("class", "id", "role") for p in _PART.findall(values.get(k, ""))}
         self.name = name
         inside = above.article if above else False
         self.article = inside or name in MAIN or values.get("role") == "main" or "articlebody" in values.get("itemprop", "").lower()
-        marked = name in SIDE or bool(parts & MARKS) or (not inside and (name == "header" or bool(parts & TOP)))
+        words = MARKS if inside else MARKS | TOP
+        own = max((_share(token, words) for k in ("class", "id", "role") for token in values.get(k, "").split()), default=0.0)
+        if name in SIDE or (name == "header" and not inside):
+            own = 1.0
         hidden = "display:none" in values.get("style", "").replace(" ", "").lower() or values.get("aria-hidden") == "true" or re.search(r"(^|\s)hidden(\s|$|/)", attrs) is not None
-        # a page or an article is not a part beside itself, whatever its class says
-        self.marks = (above.marks if above else 0) + int((marked and name not in ("html", "body")) or hidden)
-        if name in MAIN and not hidden and not parts & {"comment", "comments", "reply", "related", "promo", "ad"}:
-            self.marks = above.marks if above else 0
+        # a page or an article is not a part beside itself, whatever its class says, unless it is a comment and no more
+        if name in ("html", "body") or (name in MAIN and own < 1):
+            own = 0.0
+        self.marks = max(above.marks if above else 0.0, 1.0 if hidden else own)
+
+
+def _share(token: str, words: frozenset[str]) -> float:
+    """How many parts of a class name are among the words, of those that say anything."""
+    parts = [p for x in _PART.findall(token) if (p := x.lower()) not in NEUTRAL]
+    return sum(p in words for p in parts) / len(parts) if parts else 0.0
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
@@ -70,6 +81,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     heading = has_article = False
     at, end = 0, len(page)
     opened: Counter = Counter()
+    ends: dict[str, int] = {}
     quiet, depth, inside = "", 0, Counter()  # the silent element around this place, how often it is open, and blocks opened in it
 
     def flush() -> None:
@@ -102,6 +114,10 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             continue
         say(page[at:lt])
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        if not m and nxt == "/" and not (page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha()):
+            say("<")  # no tag begins or ends here
+            at = lt + 1
+            continue
         if not m:
             break
         at = m.end()
@@ -124,10 +140,12 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 inside[name] -= inside[name] > 0
                 continue
             quiet = ""
-        elif quiet and name not in RAW:
+        elif quiet and name in BLOCK and name != "option" and not any(inside.values()) and not _closes(page, quiet, at, ends):
+            quiet = ""  # it never ends: a block does not belong to it
+        if quiet and not m["close"] and name not in RAW:
             if not closed:
                 depth += name == quiet and name not in ("button", "select")  # these two end where the next one begins
-                inside[name] += name in BLOCK
+                inside[name] += name in BLOCK and name != "option"
             continue
         if m["close"]:
             opened[name] -= opened[name] > 0
@@ -180,14 +198,24 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     return texts, np.column_stack([own[:, :2], beside[:-2], beside[2:], own[:, 2:4], np.full(len(own), has_article), own[:, 4]])
 
 
+def _closes(page: str, name: str, at: int, ends: dict[str, int]) -> bool:
+    """Whether an end tag of the name follows; ends keeps where the next one is."""
+    if ends.get(name, -1) < at:
+        m = re.compile(rf"</{re.escape(name)}[\s>]", re.IGNORECASE).search(page, at)
+        ends[name] = m.start() if m else len(page)
+    return ends[name] < len(page)
+
+
 class Tree:
-    """A binary decision tree grown by Gini impurity."""
+    """A binary decision tree grown by Gini impurity. root: the feature of the first test, if it is given."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, root: int | None = None):
         self.share = float(y.mean()) if len(y) else 0.0
         self.feature = -1
         best = len(y) * self.share * (1 - self.share) - 1e-9
-        if depth and best > 0:
+        if root is not None:
+            self.feature, self.cut = root, 0.5
+        elif depth and best > 0:
             for f in range(x.shape[1]):
                 values = np.unique(x[:, f])
                 for cut in (values[1:] + values[:-1]) / 2:
@@ -200,6 +228,10 @@ class Tree:
             low = x[:, self.feature] <= self.cut
             self.low, self.high = Tree(x[low], y[low], depth - 1), Tree(x[~low], y[~low], depth - 1)
 
+    def used(self) -> set[int]:
+        """The features that decide anywhere."""
+        return set() if self.feature < 0 else {self.feature} | self.low.used() | self.high.used()
+
     def accepts(self, x: np.ndarray) -> np.ndarray:
         if self.feature < 0:
             return np.full(len(x), self.share > 0.5)
@@ -210,7 +242,7 @@ class Tree:
 
 
 def trained(pages: list[tuple[str, list[str]]] = PAGES) -> Tree:
-    """The tree for labelled pages: each with the texts of its blocks that belong to the article."""
+    """The tree for labelled pages: each with the texts of its blocks that belong to the article. Pages that say by an element where their article is are learnt apart from those that don't."""
     xs, ys = [], []
     for page, wanted in pages:
         texts, x = blocks(page)
@@ -219,7 +251,7 @@ def trained(pages: list[tuple[str, list[str]]] = PAGES) -> Tree:
             raise ValueError(f"labelled blocks that are not in their page: {missing}")
         xs.append(x)
         ys.append(np.array([t in wanted for t in texts], np.float64))
-    return Tree(np.concatenate(xs), np.concatenate(ys))
+    return Tree(np.concatenate(xs), np.concatenate(ys), root=FEATURES.index("page_has_article"))
 
 
 def main_text(page: str, tree: Tree) -> str:
@@ -231,7 +263,7 @@ def main_text(page: str, tree: Tree) -> str:
 def extract(pages: DataFrame, html_col: str = "html", tree: Tree | None = None) -> DataFrame:
     """pages without html_col, with text (the blocks of the article joined by one space, empty if there are none) and n_chars (its code points).
 
-    A null or empty page has an empty text. Columns named text or n_chars are replaced.
+    A null or empty page has an empty text. Columns named text or n_chars are replaced; all others, and repeated rows, stay. A long page is read in whole; no rows give none.
     """
     ship(pages.sparkSession)
     tree = tree or trained()

@@ -12,144 +12,188 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, ship, trim
-from .simhash_dedup import _slices
+from .simhash_dedup import _slices, by_slices
 
-#: Symbols: 0 for anything but letters, 1 to 26 for a to z, the others for all other letters by code point.
-SYMBOLS = 64
-CODES = SYMBOLS**3
+DIMENSION = 1024
 UNKNOWN = "und"
-#: Bytes of text whose trigrams are counted together.
-SLICE = 1 << 20
+#: Bytes of text whose trigrams are counted together, and texts and trigrams whose vectors are made at a time.
+SLICE, ROWS, STEP = 1 << 20, 256, 4096
+#: Languages that a task sums up before it passes the sums on.
+LANGUAGES = 64
 
 
-def _symbols() -> np.ndarray:
-    """The symbol of every code point; upper case counts as lower case. Kept by the worker."""
-    held = vars(sys).setdefault("_quillon_symbols", {})
+def _folded() -> np.ndarray:
+    """For every code point that of its letter in lower case, 0 for anything but letters. Kept by the worker."""
+    held = vars(sys).setdefault("_quillon_letters", {})
     if "table" not in held:
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
             if (x := chr(c)).isalpha():
-                x = ord(x.lower()[0])
-                table[c] = x - 96 if 97 <= x <= 122 else 27 + x % (SYMBOLS - 27)
+                table[c] = ord(x.lower()[0])
         held["table"] = table
     return held["table"]
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, count) of the distinct letter trigrams of each text, sorted by row, and the number of letters of each text.
+def letter_vectors(letters: np.ndarray, dimension: int = DIMENSION, seed: int = 7) -> np.ndarray:
+    """A random vector of -1 and 1 for each letter, the same one wherever it is made; 0 stands for what parts words."""
+    held = vars(sys).setdefault("_quillon_vectors", {})
+    if len(held) > 20_000:
+        held.clear()
+    out = []
+    for x in letters.tolist():
+        if (x, dimension, seed) not in held:
+            held[x, dimension, seed] = np.random.default_rng([seed, x]).integers(0, 2, dimension, dtype=np.int8) * 2 - 1
+        out.append(held[x, dimension, seed])
+    return np.array(out, np.int8).reshape(-1, dimension)
 
-    Runs of other characters count as one symbol, which a trigram may begin or end with.
+
+class Trigrams:
+    """The letter trigrams of some texts: those around each letter, with its neighbours, where a run of other characters counts as one.
+
+    letters: the alphabet of the texts. codes: their different trigrams, as three places in the alphabet. row, code, count: how often each text has each, sorted by row.
+    n_letters: of each text.
     """
-    texts = texts.fill_null("")
-    n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    points = np.frombuffer(("\n".join(texts.to_pylist()) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol, row = _symbols()[points], np.repeat(np.arange(len(n)), n)
-    letters = np.bincount(row[symbol > 0], minlength=len(n))
-    keep = (symbol > 0) | np.concatenate([[True], symbol[:-1] > 0])
-    s, row = np.concatenate([[0], symbol[keep]]).astype(np.int64), row[keep]
-    code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    middle = s[1:-1] > 0
-    both, count = np.unique(row[: len(code)][middle] * CODES + code[middle], return_counts=True)
-    return both // CODES, both % CODES, count, letters
-
-
-def vectors(codes: np.ndarray, dimension: int, seed: int = 7) -> np.ndarray:
-    """Trigram hypervectors: random letter vectors of -1 and 1, rotated by their distance to the end of the trigram and multiplied."""
-    letter = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimension), dtype=np.int8) * 2 - 1
-    a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
-    return np.roll(letter, 2, axis=1)[a] * np.roll(letter, 1, axis=1)[b] * letter[c]
 
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("")
+        n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        points = np.frombuffer(("\n".join(texts.to_pylist()) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol, row = _folded()[points], np.repeat(np.arange(len(n)), n)
+        self.n_letters = np.bincount(row[symbol > 0], minlength=len(n))
+        keep = (symbol > 0) | np.concatenate([[True], symbol[:-1] > 0])
+        symbol, row = np.concatenate([np.zeros(1, np.uint32), symbol[keep]]), row[keep]
+        there = np.zeros(0x110000, bool)
+        there[symbol] = True
+        self.letters = np.flatnonzero(there)
+        place = np.zeros(0x110000, np.int64)
+        place[self.letters] = np.arange(len(self.letters))
+        s, size = place[symbol], len(self.letters)
+        code = (s[:-2] * size + s[1:-1]) * size + s[2:]
+        middle = symbol[1:-1] > 0
+        code, row = code[middle], row[: len(code)][middle]
+        # texts of a slice have few different letters, so that trigrams are few too: they are told apart by a table, or else by sorting
+        if size**3 <= 1 << 24:
+            there = np.zeros(size**3, bool)
+            there[code] = True
+            self.codes = np.flatnonzero(there)
+            number = np.zeros(size**3, np.int32)
+            number[self.codes] = np.arange(len(self.codes))
+            code = number[code]
+        else:
+            self.codes, code = np.unique(code, return_inverse=True)
+        both, self.count = np.unique(row * max(1, len(self.codes)) + code, return_counts=True)
+        self.row, self.code = both // max(1, len(self.codes)), both % max(1, len(self.codes))
+
+    def vectors(self, codes: np.ndarray, dimension: int) -> np.ndarray:
+        """Vectors of some of the codes: letter vectors rotated by their distance to the end of the trigram and multiplied."""
+        letter, size, x = letter_vectors(self.letters, dimension), len(self.letters), self.codes[codes]
+        return np.roll(letter, 2, axis=1)[x // size**2] * np.roll(letter, 1, axis=1)[x // size % size] * letter[x % size]
+
+    def bundles(self, group: np.ndarray, n: int, dimension: int) -> np.ndarray:
+        """Sums of the vectors of the trigrams of each group, as often as they occur; group: of each (row, code)."""
+        out = np.zeros((n, dimension), np.float64)
+        used, code = np.unique(self.code, return_inverse=True)
+        for lo in range(0, len(used), STEP):
+            part = (code >= lo) & (code < lo + STEP)
+            count = np.zeros((n, min(STEP, len(used) - lo)), np.float32)
+            np.add.at(count, (group[part], code[part] - lo), self.count[part])
+            out += count @ self.vectors(used[lo : lo + STEP], dimension).astype(np.float32)
+        return out
+
+    def documents(self, dimension: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, vectors of ROWS texts): the bundle of each text's trigrams."""
+        for lo in range(0, len(self.n_letters), ROWS):
+            hi = min(lo + ROWS, len(self.n_letters))
+            a, b = np.searchsorted(self.row, [lo, hi])
+            used, code = np.unique(self.code[a:b], return_inverse=True)
+            out = np.zeros((hi - lo, dimension), np.float32)
+            for k in range(0, len(used), STEP):
+                part = (code >= k) & (code < k + STEP)
+                count = np.zeros((hi - lo, min(STEP, len(used) - k)), np.float32)
+                count[self.row[a:b][part] - lo, code[part] - k] = self.count[a:b][part]
+                out += count @ self.vectors(used[k : k + STEP], dimension).astype(np.float32)
+            yield lo, out
 
-class Profiles:
-    """Language prototypes: bundles of the vectors of all trigrams of a language's texts.
 
-    A document is the bundle of its own trigrams, so its product with a prototype is the sum of the products of its trigrams with it, and these are kept for each trigram.
-    Its length follows from its counts, as different trigrams' vectors are orthogonal but for chance.
-    """
+class Profiles:
+    """Language prototypes: the bundles of the vectors of all trigrams of a language's texts, scaled to length 1."""
 
-    def __init__(self, counts: dict[str, dict[int, int]], dimension: int = 4096):
-        self.languages = sorted(counts)
-        self.codes = np.array(sorted({c for x in counts.values() for c in x}), np.int64)
-        place = {c: i for i, c in enumerate(self.codes.tolist())}
-        freq = np.zeros((len(self.codes), len(self.languages)), np.float64)
-        for j, language in enumerate(self.languages):
-            for c, n in counts[language].items():
-                freq[place[c], j] = n
-        freq /= np.maximum(np.sqrt((freq**2).sum(axis=0)), 1e-300)
-        steps = [slice(i, i + 2048) for i in range(0, len(self.codes), 2048)]
-        prototypes = sum((vectors(self.codes[s], dimension).astype(np.float32).T @ freq[s].astype(np.float32) for s in steps), np.zeros((dimension, len(self.languages)), np.float32))
-        prototypes /= np.maximum(np.linalg.norm(prototypes, axis=0), 1e-30)
-        products = [vectors(self.codes[s], dimension).astype(np.float32) @ prototypes for s in steps]
-        self.products = np.concatenate([np.zeros((0, len(self.languages)), np.float32), *products]).astype(np.float64) / np.sqrt(dimension)
+    def __init__(self, bundles: dict[str, np.ndarray], dimension: int = DIMENSION):
+        self.languages, self.dimension = sorted(bundles), dimension
+        held = np.array([bundles[x] for x in self.languages], np.float64).reshape(-1, dimension)
+        self.prototypes = (held / np.maximum(np.linalg.norm(held, axis=1), 1e-30)[:, None]).T.astype(np.float32)
 
     def cosines(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The cosine of each text with each language, and the number of letters of each text."""
-        row, code, count, letters = trigrams(texts)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        gain = np.where((self.codes[at] == code)[:, None], self.products[at], 0) * count[:, None]
-        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        """The cosine of each text's vector with each prototype, and the number of letters of each text."""
+        t = Trigrams(texts)
         out = np.zeros((len(texts), len(self.languages)))
-        if len(begin):
-            size = np.sqrt(np.add.reduceat(count.astype(np.float64) ** 2, begin))
-            out[row[begin]] = np.add.reduceat(gain, begin, axis=0) / size[:, None]
-        return out, letters
-
-
-def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension: int = 4096) -> Profiles:
-    """Profiles from all rows with a language. What reaches the driver is at most CODES counts for each language."""
+        for lo, v in t.documents(self.dimension):
+            out[lo : lo + len(v)] = (v @ self.prototypes) / np.maximum(np.linalg.norm(v, axis=1), 1e-30)[:, None]
+        return out, t.n_letters
+
+    def labels(self, texts: pa.Array) -> pa.Array:
+        """(lang, score) of each text."""
+        if not self.languages:
+            return pa.StructArray.from_arrays([pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))], ["lang", "score"])
+        cosine, letters = self.cosines(texts)
+        best = np.argmax(cosine, axis=1)
+        score = np.clip(cosine[np.arange(len(best)), best], 0, 1) * (letters > 0)
+        name = pc.if_else(pa.array(letters > 0), pa.array(self.languages).take(pa.array(best)), UNKNOWN)
+        return pa.StructArray.from_arrays([name, pa.array(score)], ["lang", "score"])
+
+
+def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension: int = DIMENSION) -> Profiles:
+    """Profiles from all rows with a language and a text; none from no rows. What reaches the driver is `dimension` sums for each different language, 8 KB by default."""
     ship(rows.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            names = pa.array([x for x in sums for _ in range(dimension)], pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(dimension, dtype=np.int32), len(sums))), pa.array(np.concatenate([np.zeros(0), *sums.values()]))], names=["lang", "place", "total"])
+
         forget()
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
             for b in _slices(whole, SLICE):
-                row, code, n, _ = trigrams(b.column(1))
-                lang = b.column(0).dictionary_encode()
-                of = lang.indices.to_numpy()
-                for i, language in enumerate(lang.dictionary.to_pylist()):
-                    own = of[row] == i
-                    sums.setdefault(language, np.zeros(CODES, np.int64))
-                    sums[language] += np.bincount(code[own], n[own], CODES).astype(np.int64)
-        for language, x in sums.items():
-            c = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(c), pa.string()), pa.array(c), pa.array(x[c])], names=["lang", "code", "n"])
-
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found: dict[str, dict[int, int]] = {}
-    for r in rows.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toLocalIterator():
-        found.setdefault(r.lang, {})[r.code] = r.n
+                t, lang = Trigrams(b.column(1)), b.column(0).dictionary_encode()
+                names, of = lang.dictionary.to_pylist(), lang.indices.to_numpy()[t.row]
+                for lo in range(0, len(names), LANGUAGES):
+                    part = (of >= lo) & (of < lo + LANGUAGES)
+                    some = names[lo : lo + LANGUAGES]
+                    for name, x in zip(some, t.bundles(np.where(part, of - lo, len(some)), len(some) + 1, dimension), strict=False):
+                        sums[name] = sums.get(name, 0) + x
+                    if len(sums) >= LANGUAGES:
+                        yield told()
+                        sums.clear()
+        if sums:
+            yield told()
+        trim()
+
+    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    found: dict[str, np.ndarray] = {}
+    for r in rows.mapInArrow(bundle, "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total")).toLocalIterator():
+        found.setdefault(r.lang, np.zeros(dimension))[r.place] = r.total
     return Profiles(found, dimension)
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the cosine with that language (0 to 1); ties go to the first language by name.
+    """docs with lang_pred and score, the cosine of the text's vector with that language's prototype (0 to 1); ties go to the first language by name.
 
-    A text that is null or has no letters is "und" with the score 0, and so is any text if there are no profiles.
+    A text that is null or has no letters is "und" with the score 0, and so is any text if there are no profiles. Columns named lang_pred or score are replaced; all others,
+    and repeated rows, stay. A text is read in whole, whatever its length.
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(profiles)  # CODES numbers for each language at most
-    at = docs.columns.index(text_col)
+    held = spark.sparkContext.broadcast(profiles)  # as many numbers for each language as vectors have
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def label(column: pa.Array) -> pa.Array:
         forget()
-        p = held.value
-        for whole in batches:
-            for b in _slices(whole, SLICE, at):
-                if p.languages:
-                    cosine, letters = p.cosines(b.column(at))
-                    best = np.argmax(cosine, axis=1)
-                    score = np.clip(cosine[np.arange(len(best)), best], 0, 1) * (letters > 0)
-                    name = pa.array(p.languages).take(pa.array(best))
-                    name = pc.if_else(pa.array(letters > 0), name, UNKNOWN)
-                else:
-                    name, score = pa.array([UNKNOWN] * b.num_rows), np.zeros(b.num_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, name, pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
-        trim()
+        return by_slices(held.value.labels, column, SLICE)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(label, schema)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), label(F.col(f"`{text_col}`").cast("string")).alias("found"))
+    return both.select(*[F.col(f"row.`{c}`") for c in kept], F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -157,7 +201,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimension: int = 4096) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimension: int = DIMENSION) -> DataFrame:
     """doc_id, text, held_out, lang_pred and score for every row of docs, learnt from the rows that aren't held out."""
     profiles = learn(docs.where(~held_out(id_col)), text_col, lang_col, dimension)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))

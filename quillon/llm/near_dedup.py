@@ -1,4 +1,4 @@
-"""Near-duplicate documents: links of an exact Jaccard similarity of word shingles, found by prefixes of the shingle sets."""
+"""Near-duplicate documents: links of an exact Jaccard similarity of word shingles, found by SimHash blocks and by prefixes of the shingle sets."""
 
 from __future__ import annotations
 
@@ -6,17 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, ship, stored, trim
 from .components import components
-from .hashing import BYTES, U, mix, utf8, words
-from .simhash_dedup import _slices, first_of_each, named_components
+from .hashing import BYTES, U, mix, utf8
+from .simhash_dedup import _slices, by_slices, first_of_each, named_nodes, near_fingerprints, shingles, simhash
 
 #: Documents of the sample that common shingles are counted in, occurrences that make one common, and how many are told to all tasks. They settle the order of shingles only: any order finds all pairs.
-SAMPLE, COMMON, TOLD = 1 << 16, 4, 1 << 20
+SAMPLE, COMMON, TOLD = 1 << 14, 4, 1 << 18
 #: Documents of a key that are compared with one another at once; of more, first neighbours and the smallest only, then those that this has not connected.
 FEW = 8
 PAIRS = 1 << 18
@@ -26,20 +25,8 @@ BITS = 1024
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text, sorted: `shingle` words in a row joined by one space, A-Z lowered, or the whole sequence if there are fewer words."""
-    flat, doc = words(texts)
-    n = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(n) - n
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")
-    data = lower[np.frombuffer(joined[0].as_py().encode(), np.uint8)]
-    ends = np.cumsum(np.diff(utf8(flat)[1]) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    size = np.minimum(shingle, n)
-    count = np.where(n > 0, n - size + 1, 0)
-    row = np.repeat(np.arange(len(texts)), count)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    h = BYTES.spans(data, starts[at], ends[at + size[row] - 1])
+    data, starts, ends, row = shingles(texts, shingle)
+    h = BYTES.spans(data, starts, ends)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
@@ -67,22 +54,21 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size + (-percent * size) // 100 + 1
 
 
-def named(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """(doc_id, fp, size, sign) and the columns to keep: fp names the shingle set."""
-    ship(docs.sparkSession)
+def named(text: Column, shingle: int) -> Column:
+    """fp (the name of a text's shingle set), size and sign of a text column."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(texts: pa.Array) -> pa.Array:
+        row, h = shingle_sets(texts, shingle)
+        name, size = set_names(row, h, len(texts))
+        sign = pa.array([x.tobytes() for x in signs(row, h, len(texts))], pa.binary())
+        return pa.StructArray.from_arrays([pa.array(name), pa.array(size.astype(np.int32)), sign], ["fp", "size", "sign"])
+
+    @F.arrow_udf("fp bigint, size int, sign binary")
+    def sets(column: pa.Array) -> pa.Array:
         forget()
-        for whole in batches:
-            for b in _slices(whole, 1 << 20):
-                row, h = shingle_sets(b.column(1), shingle)
-                name, size = set_names(row, h, b.num_rows)
-                sign = pa.array([x.tobytes() for x in signs(row, h, b.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), pa.array(size.astype(np.int32)), sign, *b.columns[2:]], names=["doc_id", "fp", "size", "sign", *keep])
-        trim()
+        return by_slices(of, column)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
-    return rows.mapInArrow(of, "doc_id bigint, fp bigint, size int, sign binary" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c))
+    return sets(text.cast("string"))
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,20 +220,28 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(judged, "a bigint, b bigint")
 
 
-def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between shingle sets of rows (fp, size, sign, text): they connect the same sets as all pairs of the similarity do.
+def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int, distance: int = 2) -> DataFrame:
+    """Links (a, b) between shingle sets of rows (fp, size, sign, sim, text): they connect the same sets as all pairs of the similarity do.
 
-    Two such sets share a shingle among the first of each, in any one order of all shingles. Sets that share one are compared themselves. Of a key that many sets share, the pairs that
-    the first comparisons have already connected are left out.
+    Candidates come from two sides. Sets whose SimHash fingerprints (sim) are at most `distance` bits apart meet in pigeonhole blocks. But a similarity of 0.8 leaves ten of 64 bits
+    different, more than blocks can cover, so sets also meet by their shingles: two similar sets share one among the first of each, in any one order of all shingles.
+    All candidates are compared as sets. Of a key that many sets share, the pairs that the first comparisons have already connected are left out.
     """
     spark = rows.sparkSession
-    rows = rows.select("fp", "size", "sign", F.col(text_col).alias("text"))
+    rows = rows.select("fp", "size", "sign", "sim", F.col(text_col).alias("text"))
+    prints = rows.select("fp", "sim").distinct()
+    first = prints.groupBy("sim").agg(F.min("fp").alias("first"))
+    equal = prints.join(first, "sim").where("fp <> first").select(F.least("fp", "first").alias("a"), F.greatest("fp", "first").alias("b"))
+    near = near_fingerprints(first.select(F.col("sim").alias("fp")), distance)
+    ends = [first.select(F.col("sim").alias(k), F.col("first").alias(f"f{k}")) for k in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
     texts = rows.select("fp", "text")
     told = spark.sparkContext.broadcast(common_shingles(texts, shingle))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     entries = texts.mapInArrow(_entries(told, shingle, percent), "key bigint, fp bigint, size int")
     met = stored(entries.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(percent), "key bigint, a bigint, b bigint"), "met")
-    links = stored(_similar(met.where("key IS NULL").select("a", "b").distinct(), rows, shingle, percent), "links")
+    pairs = met.where("key IS NULL").select("a", "b").union(equal).union(near).distinct()
+    links = stored(_similar(pairs, rows, shingle, percent), "links")
     roots = components(links)
     more = met.where("key IS NOT NULL").join(roots, F.col("a") == F.col("node"), "left").select("key", F.col("b").alias("size"), F.col("a").alias("fp"), F.coalesce("root", "a").alias("root"))
     pairs = stored(more.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_apart(percent), "a bigint, b bigint").distinct(), "pairs")
@@ -256,12 +250,16 @@ def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int) ->
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but for near duplicates: documents are linked if their sets of shingles have a Jaccard similarity of at least `percent` / 100; of each component
-    the row with the smallest id stays (of repeated rows one; of rows without any id one for each set). Texts without words are all alike.
+    one row with the smallest id stays (of a component without ids, the one that its set and text put first). Texts without words, null ones too, are all alike.
+
+    Components are of texts, not of ids: different texts with one id stay both. Columns of any names stay as they are; no rows give none.
     """
+    ship(docs.sparkSession)
     columns = docs.columns
-    aliased = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
-    rows = stored(named(aliased, "id", "text", shingle, tuple(f"c_{i}" for i in range(len(columns)))), "rows")
+    aliased = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
+    text = F.col(f"c_{columns.index(text_col)}")
+    whole = aliased.select(F.col(f"c_{columns.index(id_col)}").cast("bigint").alias("doc_id"), named(text, shingle).alias("set"), simhash(text, shingle).alias("sim"), *aliased.columns)
+    rows = stored(whole.select("doc_id", "set.fp", "set.size", "set.sign", "sim", *aliased.columns), "rows")
     links = similar_pairs(rows, f"c_{columns.index(text_col)}", shingle, percent)
-    prints = rows.select("doc_id", "fp")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    return first_of_each(rows, named_components(prints, nodes, links), columns, text_col)
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    return first_of_each(rows, named_nodes(nodes, links), columns, text_col)

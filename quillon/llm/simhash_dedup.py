@@ -8,60 +8,79 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, ship, stored, trim
 from .components import components
-from .hashing import utf8, words
+from .hashing import utf8, words, xxh64
 
 BITS = 64
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 17
 
 
+def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, row) of the shingles of each text, repeats included: n words in a row joined by one space, A-Z lowered, or the whole sequence if there are fewer words."""
+    flat, doc = words(texts)
+    count = np.bincount(doc, minlength=len(texts))
+    first = np.cumsum(count) - count
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")
+    data = lower[np.frombuffer(joined[0].as_py().encode(), np.uint8)]
+    ends = np.cumsum(np.diff(utf8(flat)[1]) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    size = np.minimum(n, count)
+    have = np.where(count > 0, count - size + 1, 0)
+    row = np.repeat(np.arange(len(texts)), have)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have) + first[row]
+    return data, starts[at], ends[at + size[row] - 1], row
+
+
+def simhashes(texts: pa.Array, shingle: int) -> np.ndarray:
+    """The fingerprint of each text: a bit is set if it is set in over half of the XXH64 values (seed 42) of its shingles; without words it is 0."""
+    data, starts, ends, row = shingles(texts, shingle)
+    h = xxh64(data, starts, ends, 42)
+    ones = np.zeros((len(texts), BITS), np.int64)
+    for lo in range(0, len(h), STEP):
+        bits = np.unpackbits(h[lo : lo + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        o = row[lo : lo + STEP]
+        cuts = np.flatnonzero(np.diff(o, prepend=-1))
+        ones[o[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+    count = np.bincount(row, minlength=len(texts))
+    return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def by_slices(f, column: pa.Array, size: int = 1 << 20) -> pa.Array:
+    """f of a text column, about `size` bytes at a time."""
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    out = [f(b.column(0)) for b in _slices(batch, size, 0)] or [f(column)]
+    trim()
+    return pa.concat_arrays(out)
+
+
+def simhash(text: Column, shingle: int = 3) -> Column:
+    """The fingerprint of a text column as a bigint; see simhashes()."""
+
+    @F.arrow_udf("bigint")
+    def of(column: pa.Array) -> pa.Array:
+        forget()
+        return by_slices(lambda x: pa.array(simhashes(x, shingle)), column)
+
+    return of(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) and the columns to keep: a bit of fp is set if it is set in over half of the XXH64 values (seed 42) of the document's shingles.
+    """(doc_id, fp) and the columns to keep: the fingerprint of each text.
 
-    A-Z are lowered; shingles are `shingle` words in a row joined by one space, repeats included, or the whole sequence if there are fewer words; without words fp is 0.
+    A-Z are lowered; shingles are `shingle` words in a row joined by one space, repeats included, or the whole sequence if there are fewer words; without words, as for a null, fp is 0.
     """
     ship(docs.sparkSession)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), simhash(F.col(f"`{text_col}`"), shingle).alias("fp"), *(F.col(f"`{c}`") for c in keep))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = np.arange(256, dtype=np.uint8)
-        lower[65:91] += 32
-        forget()
-        for whole in batches:
-            for b in _slices(whole, 1 << 20):
-                flat, doc = words(b.column(1))
-                n = np.bincount(doc, minlength=b.num_rows)
-                first = np.cumsum(n) - n
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")
-                text = lower[np.frombuffer(joined[0].as_py().encode(), np.uint8)].tobytes()
-                ends = np.cumsum(np.diff(utf8(flat)[1]) + 1) - 1
-                starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-                size = np.minimum(shingle, n)
-                count = np.where(n > 0, n - size + 1, 0)
-                owner = np.repeat(np.arange(b.num_rows), count)
-                at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
-                s, e = starts[at], ends[at + size[owner] - 1]
-                h = np.fromiter(map(lambda x, y, t=text, f=xxhash.xxh64_intdigest: f(t[x:y], 42), s.tolist(), e.tolist()), np.uint64, len(at))
-                ones = np.zeros((b.num_rows, BITS), np.int64)
-                for lo in range(0, len(h), STEP):
-                    bits = np.unpackbits(h[lo : lo + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    o = owner[lo : lo + STEP]
-                    cuts = np.flatnonzero(np.diff(o, prepend=-1))
-                    ones[o[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-                fp = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *keep])
-        trim()
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
-    return rows.mapInArrow(of, "doc_id bigint, fp bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c))
-
-
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+
+def _slices(batch: pa.RecordBatch, size: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `size` bytes of a text column."""
     if batch.num_rows:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -127,49 +146,64 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
 
 
-def fingerprint_components(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """prints (doc_id, fp) with component_id, the smallest doc_id that links of at most `distance` bits reach.
+def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """Links (a, b) between the different fingerprints of prints (fp) that are at most `distance` bits apart, as many as connect them all.
 
-    Equal fingerprints are one node from the start. A node has a row for each choice of left-out blocks; rows that agree on the others meet, and their distance
-    is counted. What leaves a block is a forest of its links, never all its pairs. Null ids belong to the component of
-    their fingerprint but don't name it, unless there is no other.
+    A fingerprint has a row for each choice of left-out blocks; rows that agree on the others meet, and their distance is counted. What leaves a block is a forest of
+    its links, never all its pairs.
     """
     ship(prints.sparkSession)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in blocks_for(distance)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    rows = nodes.select(F.explode(keys).alias("key"), "fp")
+    rows = prints.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
-    edges = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "a bigint, b bigint")
-    return named_components(prints, nodes, edges)
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "a bigint, b bigint")
 
 
-def named_components(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """prints (doc_id, fp) with the smallest doc of the nodes (fp, doc) that edges (a, b) connect with each fp."""
+def fingerprint_components(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """prints (doc_id, fp) with component_id, the smallest doc_id that links of at most `distance` bits reach.
+
+    Equal fingerprints are one node from the start. Null ids belong to the component of their fingerprint but don't name it, unless there is no other; rows with equal
+    ids are documents of their own. No rows give none.
+    """
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    named = named_nodes(nodes, near_fingerprints(prints, distance))
+    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def named_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of nodes (fp, doc): the root of the nodes that edges (a, b) connect, and the smallest doc of them."""
     roots = components(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fp and component_id for every row of docs; see fingerprints() and fingerprint_components()."""
+    """doc_id, fp and component_id for every row of docs; see fingerprints() and fingerprint_components().
+
+    Null ids and repeated rows stay; a null or empty text has the fingerprint 0; a long text is hashed in whole, its bits counted in stretches; other columns are ignored.
+    """
     return fingerprint_components(stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), distance)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs but for near duplicates: of each component the row with the smallest id stays (of repeated rows one; of rows without any id one for each fingerprint)."""
+    """The rows of docs but for near duplicates: of each component one row with the smallest id stays (of a component without ids, any one of its rows that fp and text put first).
+
+    Components are of texts, not of ids: different texts with one id stay both. Columns of any names stay as they are.
+    """
     columns = docs.columns
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
-    rows = stored(fingerprints(named, "id", "text", shingle, tuple(f"c_{i}" for i in range(len(columns)))), "rows")
-    return first_of_each(rows, fingerprint_components(rows.select("doc_id", "fp"), distance), columns, text_col)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
+    at = {c: f"c_{columns.index(c)}" for c in (id_col, text_col)}
+    rows = stored(fingerprints(named, at[id_col], at[text_col], shingle, tuple(named.columns)), "rows")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    return first_of_each(rows, named_nodes(nodes, near_fingerprints(rows, distance)), columns, text_col)
 
 
-def first_of_each(rows: DataFrame, prints: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    """The columns c_0, c_1, ... of rows (doc_id, fp, c_0, ...) under their names, for the first row of each component of prints (fp, component_id)."""
-    groups = prints.select("fp", "component_id").distinct()
+def first_of_each(rows: DataFrame, groups: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The columns c_0, c_1, ... of rows (doc_id, fp, c_0, ...) under their names, for the first row of each root of groups (fp, root, component_id)."""
     first = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).orderBy("fp", f"c_{columns.index(text_col)}")
+    by = Window.partitionBy("root").orderBy("fp", f"c_{columns.index(text_col)}")
     first = first.withColumn("n_", F.row_number().over(by)).where("n_ = 1")
     return first.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)])
 

@@ -4,118 +4,169 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
 
 #: Candidates and queries of one index block.
-CANDIDATES, QUERIES = 8192, 4096
+CANDIDATES, QUERIES = 4096, 65536
+#: Bits of a limb of a score that is too large for one integer.
+LIMB = 62
 
 
 def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of integers as a matrix; shorter rows end in zeros."""
+    """Rows of numbers as a matrix; shorter rows end in zeros."""
     lists = lists.combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     n = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(n), width), np.int64)
+    out = np.zeros((len(n), width))
     out[np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors: for each dimension the vectors by ascending component."""
+    """Postings of a block of vectors, scaled so that no component is larger than 1: for each dimension the vectors by ascending component."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
+        scaled = np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max(initial=0))[1]))
+        self.order = np.argsort(scaled, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(scaled, self.order.T, axis=0).T.copy()
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, ties to smaller ids, without own.
+    def possible(self, query: np.ndarray, k: int) -> np.ndarray:
+        """The vectors that may be among the k best of a query: all that are, and few others.
 
         The impact of a posting is query component times vector component, less the smallest such product of its dimension, so none is negative. Segments of postings are
         added by descending impact, in bands whose bound falls by four each time. A vector can still gain no more than the largest impacts left of all dimensions.
-        What cannot reach the k-th best sum even so is out by proof; once few are left they are scored exactly.
+        What cannot reach the k-th best sum even so, rounding included, is out by proof; the search ends when few are left or no postings.
         """
-        n, d = self.vectors.shape
+        query = np.ldexp(query, -int(np.frexp(np.abs(query).max(initial=0))[1]))
+        n, d = len(self.ids), len(query)
         ends = self.sorted[:, [0, -1]] * query[:, None]
-        floor, bound = ends.min(axis=1), int((ends.max(axis=1) - ends.min(axis=1)).max(initial=0))
+        floor = ends.min(axis=1)
+        bound, slack = float((ends.max(axis=1) - floor).max(initial=0)), 8 * (d + 1) ** 2 * 2.0**-52
         sums, done = np.zeros(n), np.zeros(d, np.int64)  # postings that are done, from the end with the largest impacts
-        need = min(k + 1, n)  # the query's own row may be among the best
+        need, bands = min(k, n), 0
         while True:
-            bound = bound // 4 if bound > 3 else -1
-            at, gain, left = [], [], 0
+            bound, bands = (bound / 4, bands + 1) if bands < 12 else (-1.0, bands)
+            at, gain, left = [], [], 0.0
             for j in np.flatnonzero(query):
-                s, q = self.sorted[j], int(query[j])
+                s, q = self.sorted[j], query[j]
                 # impact q * v - floor > bound holds from some place on, or up to it if q is negative
                 if q > 0:
-                    upto = n - int(np.searchsorted(s, (bound + int(floor[j])) // q, side="right")) if bound >= 0 else n
+                    upto = n - int(np.searchsorted(s, (bound + floor[j]) / q, side="right")) if bound >= 0 else n
+                    upto = max(upto, int(done[j]))
                     part = slice(n - upto, n - done[j])
                 else:
-                    upto = int(np.searchsorted(s, -((bound + int(floor[j])) // -q), side="left")) if bound >= 0 else n
+                    upto = int(np.searchsorted(s, (bound + floor[j]) / q, side="left")) if bound >= 0 else n
+                    upto = max(upto, int(done[j]))
                     part = slice(done[j], upto)
                 if upto > done[j]:
                     at.append(self.order[j][part])
                     gain.append(s[part] * q - floor[j])
                     done[j] = upto
                 if upto < n:
-                    left += max(0, int(s[n - 1 - upto] if q > 0 else s[upto]) * q - int(floor[j]))
+                    left += max(0.0, float((s[n - 1 - upto] if q > 0 else s[upto]) * q - floor[j]))
             if at:
                 sums += np.bincount(np.concatenate(at), np.concatenate(gain), n)
             kth = np.partition(sums, n - need)[n - need]
-            possible = np.flatnonzero(sums + left >= kth)
+            possible = np.flatnonzero(sums + left + slack >= kth - slack)
             if bound < 0 or len(possible) <= max(64, n // 64):
-                break
-        possible = possible[self.ids[possible] != own]
-        scores = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -scores))[:k]
-        return self.ids[possible[best]], scores[best]
+                return possible
+
+
+def _best(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int, exact: bool) -> tuple[list[int], list[int]]:
+    """(places, scores) of the k largest integer inner products, ties to smaller ids; exact: no sum leaves the range where integers of 64 bits hold it."""
+    if exact:
+        scores = vectors.astype(np.int64) @ query.astype(np.int64)
+        best = np.lexsort((ids, -scores))[:k]
+        return best.tolist(), scores[best].tolist()
+    q = [int(x) for x in query.tolist()]
+    scores = [sum(a * int(b) for a, b in zip(q, v, strict=True)) for v in vectors.tolist()]
+    best = sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k]
+    return best, [scores[i] for i in best]
+
+
+def _limbs(score: int, n: int) -> list[int]:
+    """A score as n integers that sort as it does."""
+    out = []
+    for _ in range(n - 1):
+        out.append(score & ((1 << LIMB) - 1))
+        score >>= LIMB
+    return [score, *reversed(out)]
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row of queries (id, v) against candidates (id, v), v arrays of integers.
+    """(query_id, rank, vec_id, score) for each row of queries (id, v) against candidates (id, v), v arrays of whole numbers.
 
-    Score: the inner product, a missing component being zero. Ties go to smaller ids; a candidate with the query's id is its own row and takes no part. Null ids or vectors take none either.
-    Of queries with equal ids the smallest vector asks. Fewer than k candidates: all of them; no queries or candidates: no rows.
+    Score: the integer inner product, a missing component being zero; one that 64 bits don't hold is ranked all the same but told as NULL. Ties go to smaller ids. Null ids or vectors take no part.
+    A query's own row, a candidate with its id and its vector, takes no part, but others with its id do; each of several rows with one id asks by itself, and so has ranks of its own.
+    Fewer than k candidates: all of them; no queries or candidates: no rows.
 
-    Both sides are dealt into blocks by a hash of the id. Each block of queries meets each block of candidates in a task of its own, which builds the
+    Equal rows are counted first. Both sides are dealt into blocks by a hash of id and vector. Each block of queries meets each block of candidates in a task of its own, which builds the
     index of its candidates and returns k rows for each query at most; the best of those are the result.
     """
     ship(candidates.sparkSession)
-    queries = queries.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
-    candidates = candidates.where("id is not null and v is not null")
-    n, width = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
-    m, wide = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    count = lambda df: df.where("id is not null and v is not null").groupBy("id", "v").agg(F.count("*").alias("times"))
+    queries, candidates = count(queries), count(candidates)
+    sizes = [F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))]
+    (n, width, most), (m, wide, far) = candidates.agg(*sizes).first(), queries.agg(*sizes).first()
     width = max(width or 0, wide or 0, 1)
+    reach = width * int(most or 0) * int(far or 0)
+    limbs, exact = max(1, -(-(reach.bit_length() + 1) // LIMB)), reach < 1 << LIMB
     rows, columns = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
+    name = F.xxhash64("id", "v")
+    block = lambda count: F.pmod(F.xxhash64(name), F.lit(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-    left = candidates.select("id", "v", F.lit(False).alias("asks"), block(rows).alias("r"), every(columns).alias("c"))
-    right = queries.select("id", "v", F.lit(True).alias("asks"), block(columns).alias("c"), every(rows).alias("r"))
+    left = candidates.select("id", "v", "times", name.alias("q"), F.lit(False).alias("asks"), block(rows).alias("r"), every(columns).alias("c"))
+    right = queries.select("id", "v", "times", name.alias("q"), F.lit(True).alias("asks"), block(columns).alias("c"), every(rows).alias("r"))
 
     def search(table: pa.Table) -> pa.Table:
-        ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy()
+        ids, asks, times, names = (table.column(c).to_numpy() for c in ("id", "asks", "times", "q"))
         vectors = _matrix(table.column("v"), width)
         out = []
         if not asks.all():
-            index = ImpactIndex(ids[~asks], vectors[~asks])
+            there, many, called = ids[~asks], times[~asks], names[~asks]
+            index = ImpactIndex(there, vectors[~asks])
             for q in np.flatnonzero(asks).tolist():
-                found, scores = index.top(vectors[q], ids[q], k)
-                out.append(np.stack([np.full(len(found), ids[q]), found, scores], axis=1))
-        got = np.concatenate([np.zeros((0, 3), np.int64), *out])
-        return pa.table({"query_id": got[:, 0], "vec_id": got[:, 1], "score": got[:, 2]})
-
-    found = left.unionByName(right).groupBy("r", "c").applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                at = index.possible(vectors[q], k + 1)  # the query's own row may be among the best
+                left = many[at] - ((there[at] == ids[q]) & (called[at] == names[q]))
+                at, left = at[left > 0], left[left > 0]
+                best, scores = _best(there[at], index.vectors[at], vectors[q], k, exact)
+                out += [(int(ids[q]), int(names[q]), int(times[q]), int(there[at[i]]), int(min(left[i], k)), _limbs(x, limbs)) for i, x in zip(best, scores, strict=True)]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["query_id", "q", "asked", "vec_id", "times", "key"])
+
+    found = left.unionByName(right).groupBy("r", "c").applyInArrow(search, "query_id bigint, q bigint, asked bigint, vec_id bigint, times bigint, key array<bigint>")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    by = Window.partitionBy("query_id", "q").orderBy(F.desc("key"), "vec_id", "copy")
+    found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("asked"))))
+    return found.select("query_id", "rank", "vec_id", (F.get("key", F.lit(0)) if limbs == 1 else _narrow(limbs)).alias("score"))
+
+
+def _narrow(limbs: int) -> Column:
+    """The score of a key of several limbs, NULL where 64 bits don't hold it: all limbs above the last two must be no more than the sign."""
+    part, full = lambda i: F.get("key", F.lit(i)), (1 << LIMB) - 1
+    negative, fits, top = part(0) < 0, F.lit(True), part(limbs - 2)
+    if limbs > 2:
+        fits = part(0) == F.when(negative, F.lit(-1)).otherwise(F.lit(0))
+        for i in range(1, limbs - 2):
+            fits = fits & (part(i) == F.when(negative, F.lit(full)).otherwise(F.lit(0)))
+        top = top - F.when(negative, F.lit(full + 1)).otherwise(F.lit(0))
+    return F.when(fits & top.between(-2, 1), top * F.lit(full + 1) + part(limbs - 1))
 
 
 def quantised(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): floor(256 x) of each component as double; vectors that are null or hold null or non-finite components are left out."""
-    x = F.transform(vector_col, lambda c: c.cast("double"))
+    """(id, v): floor(256 x) of each component as a double that is a whole number; vectors that are null or hold null or non-finite components, 256 times taken too, are left out."""
+    x = F.transform(vector_col, lambda c: _floor(c.cast("double") * 256))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return rows.where(F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
+    return rows.where(F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("bigint").alias("id"), x.alias("v"))
+
+
+def _floor(c: Column) -> Column:
+    """The floor of a double as a double: those beyond 2**53 are whole already, and a bigint would not hold all of them."""
+    return F.when(F.abs(c) < float(1 << 53), F.floor(c).cast("double") + 0.0).otherwise(c)
 
 
 def op8_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Language ID, tokens, packing, HTML, search, decontamination and the pipeline."""
 
-import hashlib
 import html
 import os
 import random
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, packing, topk_search
 from quillon.llm.common import shared_folder
-from quillon.llm.decontamination import contaminated, terms
+from quillon.llm.decontamination import contaminated, terms, without_items
 from quillon.llm.html_examples import PAGES
-from quillon.llm.html_extract import blocks, extract, main_text, trained
-from quillon.llm.language_id import Profiles, identify, predict, trigrams, vectors
+from quillon.llm.html_extract import FEATURES, blocks, extract, main_text, trained
+from quillon.llm.language_id import Profiles, Trigrams, identify, letter_vectors, predict
 from quillon.llm.packing import pack_documents, place
 from quillon.llm.token_output import read_tokens, token_index, write_tokens
 from quillon.llm.tokens import WordEncoder, check, vocabulary_path
@@ -60,40 +59,89 @@ def test_language_cases(spark, docs, rows, none):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
 
 
-def test_cosine_is_that_of_the_vectors():
-    texts = pa.array(["the cat sat on the mat", "le chat est sur le tapis rouge", None, "42"])
-    counts = {}
-    for name, t in (("en", "the cat and the hat and the mat"), ("fr", "le chat et le tapis et la maison")):
-        _, code, n, _ = trigrams(pa.array([t]))
-        counts[name] = dict(zip(code.tolist(), n.tolist(), strict=True))
-    p = Profiles(counts, 8192)
-    got, letters = p.cosines(texts)
-    row, code, n, _ = trigrams(texts)
-    for i in (0, 1):
-        known = np.isin(code[row == i], p.codes)
-        doc = (vectors(code[row == i][known], 8192).astype(float) * n[row == i][known][:, None]).sum(0)
-        size = np.sqrt((n[row == i] ** 2).sum() * 8192)
+def plain_vector(text, dimension):
+    """The bundle of a text by the definition: for each letter its own vector, times its neighbours' rotated by one and two."""
+    letters, gap = [0], True
+    for c in text or "":
+        if c.isalpha():
+            letters.append(ord(c.lower()[0]))
+        elif letters[-1]:
+            letters.append(0)
+    letters += [0] if letters[-1] else []
+    out = np.zeros(dimension)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        if b:
+            x, y, z = letter_vectors(np.array([a, b, c]), dimension).astype(int)
+            out += np.roll(x, 2) * np.roll(y, 1) * z
+    return out
+
+
+@pytest.mark.parametrize("rows,step", [(256, 4096), (2, 7)])
+def test_cosine_is_that_of_the_vectors(rows, step, monkeypatch):
+    from quillon.llm import language_id
+
+    monkeypatch.setattr(language_id, "ROWS", rows)
+    monkeypatch.setattr(language_id, "STEP", step)
+    texts = ["the cat sat on the mat", "le chat est sur le tapis rouge", None, "42", "Где кошка?", "É é", "日本語 猫", "x", ""]
+    learnt = {"en": ["the cat and the hat", "and the mat"], "fr": ["le chat et le tapis et la maison"], "ru": ["кошка и дом"]}
+    t = Trigrams(pa.array([x for y in learnt.values() for x in y]))
+    group = np.repeat([0, 1, 2], [2, 1, 1])
+    bundles = t.bundles(group[t.row], 3, 512)
+    for got, y in zip(bundles, learnt.values(), strict=True):
+        assert np.array_equal(got, sum(plain_vector(x, 512) for x in y))
+    p = Profiles(dict(zip(learnt, bundles, strict=True)), 512)
+    got, letters = p.cosines(pa.array(texts))
+    for i, text in enumerate(texts):
+        v = plain_vector(text, 512)
         for j, name in enumerate(p.languages):
-            proto = sum(vectors(np.array([c]), 8192)[0].astype(float) * k for c, k in counts[name].items())
-            assert abs(doc @ proto / np.linalg.norm(proto) / size - got[i, j]) < 1e-3
-    assert got.argmax(axis=1)[:2].tolist() == [0, 1] and letters.tolist()[2:] == [0, 0]
+            w = sum(plain_vector(x, 512) for x in learnt[name])
+            assert abs(got[i, j] - v @ w / max(1e-9, np.linalg.norm(v) * np.linalg.norm(w))) < 1e-5
+    assert [p.languages[x] for x in got.argmax(axis=1)[[0, 1, 4]]] == ["en", "fr", "ru"] and letters.tolist() == [17, 24, 0, 0, 8, 2, 4, 1, 0]
+
+
+def test_letters_have_vectors_of_their_own():
+    letters = np.array([ord(c) for c in "éмèлöщεabcß日本"])
+    v = letter_vectors(letters, 1024).astype(int)
+    assert np.abs(v @ v.T - 1024 * np.eye(len(letters))).max() < 200
+
+
+def test_many_languages(spark, monkeypatch):
+    """A value of lang for each row, and more of them than a task sums up at a time."""
+    from quillon.llm import language_id
+
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = [(i, f"{chr(97 + i % 26) * 3} {chr(98 + i % 20)}", f"l{i}") for i in range(20)]
+    p = language_id.learn(spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(1), dimension=64)
+    assert p.languages == sorted(r[2] for r in rows)
+    for _, text, lang in rows:
+        v = plain_vector(text, 64)
+        assert np.allclose(p.prototypes[:, p.languages.index(lang)], v / np.linalg.norm(v), atol=1e-6)
 
 
 # tokens
 
 
 def test_encoder(tokenizer, rows):
+    assert check(vocabulary_path(), ["<|ENDOFTEXT|> <|endoftext|>. <|StartOfText|>,x İ, İ. i̇, a̓, K. ſ's", "word### a!!! b,,, c'' d'. ====, x=== y" + "=" * 99 + " z" + "!?" * 40])
     odd = ["don't I'LL. WON'T,", "A.B., ç., x9. 9. <|endoftext|> <|startoftext|>. é́, İstanbul, K \x1d a b　c. 힣", "a.'s 's. 't,", "́ ́a", "x​. ﬁ. Ǆ.", None, "", " . , .. ,. "]
     assert check(vocabulary_path(), odd + [r[1] for r in rows])
 
 
+def test_encoder_on_odd_texts(tokenizer):
+    """Texts of special tokens in any case, letters that grow when lowered, combining marks, control characters, tails."""
+    rnd = random.Random(1)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "İ", "ı", "ſ", "K", "Å", "\u0301", "\u0307", "\u0345", "\u200b", "\xa0", "\x85", "\x1c", "\x00", "'s", "'T", "'", "’s", ".", ",", "..", "a", "B", "é", "É", "ß", "ẞ"]
+    bits += ["1", "٣", "²", "ª", "µ", "ﬁ", "Σ", "日", "한", "ᄀ", "ᅡ", "ŉ", "-", "|", "<", ">", "<|", " ", "\n", "\t", "\u3000", "😀", "word", "!!", "###", "=" * 30]
+    assert check(vocabulary_path(), ["".join(rnd.choices(bits, k=rnd.randint(1, 12))) for _ in range(20_000)], 7)
+
+
 def test_encoder_forgets(tokenizer, monkeypatch):
     from quillon.llm import tokens
 
     monkeypatch.setattr(tokens, "KNOWN", 50)
     e = WordEncoder(vocabulary_path())
     for i in range(6):
-        text = " ".join(f"word{i * 40 + k} same" for k in range(40))
+        text = " ".join(f"word{'abcdefghij'[i]}{'klmnopqrstuvwxyz'[k % 16]}{k // 16}. Same, {'x' * (1 + k)}!?" for k in range(40))
         assert e.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -140,6 +188,7 @@ def test_packing(spark, docs, rows, none, tokenizer, capacity):
             end += length
         assert end <= capacity
     assert len(bins) <= 1.1 * total / capacity + 2
+    assert len({r.sequence_id for r in got if r.doc_id is None or r.doc_id == 310}) > 1
     assert pack_documents(none, vocabulary_path()).count() == 0
 
 
@@ -164,6 +213,21 @@ def test_rule():
     assert used == len(fill)
 
 
+def test_every_piece_follows_the_rule():
+    """Pieces of open bins that are placed once more go by the same rule: what is left is a packing of place() for some order."""
+    rnd = np.random.default_rng(5)
+    lengths = -np.sort(-rnd.integers(1, 100, 500))
+    bins, offsets = packing.settled(lengths, 100)
+    fill = np.bincount(bins, lengths)
+    once = place(lengths, 100)[2]
+    assert fill.max() <= 100 and (fill > 0).sum() <= once
+    loose = np.flatnonzero(fill[bins] < 100)
+    assert place(lengths[loose], 100)[2] >= len(np.unique(bins[loose]))  # no further round would save a bin
+    for b in np.unique(bins):
+        order = np.argsort(offsets[bins == b])
+        assert np.array_equal(offsets[bins == b][order], np.cumsum(lengths[bins == b][order]) - lengths[bins == b][order])
+
+
 def test_parts(spark, monkeypatch, docs):
     monkeypatch.setattr(packing, "TOGETHER", 20)
     got = pack_documents(docs, vocabulary_path(), capacity=256).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e")).collect()
@@ -207,6 +271,30 @@ def test_silence_ends_with_its_block(page, text):
     assert " ".join(blocks(page)[0]) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>a </ b and the rest</p></article>", "a </ b and the rest"), ("a </ b and the rest", "a </ b and the rest"), ("<article><p>one</p><button>x<p>two</p></article>", "one two"), ("<article><p>one</p><object data=x><p>two</p></article>", "one two"),
+        ("<article>a </> b</article>", "a b"), ("<article><p>one</p><select><option>x<p>two</p></article>", "one two"),
+    ],
+)
+def test_nothing_else_is_lost(page, text):
+    assert " ".join(blocks(page)[0]) == text
+
+
+def test_words_and_neighbours_decide_without_an_article():
+    """Pages without an element or class that says where the article is."""
+    tree = trained()
+    assert {FEATURES.index(x) for x in ("link_density_before", "link_density_after", "words_after")} <= tree.used()
+    long = "The council met on the first day of the month and spoke for many hours about the bridge, which has been closed since the spring of last year."
+    more = "Most of those who came wanted it open again before the winter, and some of them had brought drawings of how it could be done for little money."
+    links = lambda *x: "<p>" + " ".join(f"<a href='/{k}'>{k}</a>" for k in x) + "</p>"
+    assert main_text(f"<body>{links('Home', 'News')}<p>Since 1901</p>{links('All stories')}<h1>The bridge</h1><p>{long}</p><p>It rained.</p><p>{more}</p>{links('Next', 'Back')}<p>Imprint below</p>{links('Imprint')}</body>", tree) == f"The bridge {long} It rained. {more}"
+    assert main_text(f"<body><div class='social-history'><p>{long}</p><p>{more}</p></div><div class='social-buttons'>{links('Tell')}</div></body>", tree) == f"{long} {more}"
+    assert main_text(f"<body><div class='top-nav'><p>{long}</p></div><p>{more}</p><p>{long} {more}</p><div id='reader-comments'><p>{long}</p></div></body>", tree).startswith(more)
+    assert main_text(f"<article><div class='social-history'><p>{long}</p></div><div class='comments'><p>{more}</p></div></article>", tree) == long
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a</article>", "old", 9), (2, None, None, "old", 9), (1, "u", "<article>a</article>", "old", 9)], "page_id int, url string, html string, text string, n_chars int")
     assert bag(extract(pages).collect()) == bag([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0)])
@@ -245,6 +333,24 @@ def test_topk(spark, monkeypatch):
     assert top_k(vectors.limit(0), vectors, 5).count() == 0 and top_k(vectors, vectors.limit(0), 5).count() == 0
 
 
+def test_topk_rows_and_large_scores(spark):
+    """Equal ids: a row's own copy takes no part, all others do. Scores beyond 64 bits rank exactly and are told as NULL."""
+    rnd = np.random.default_rng(8)
+    data = [(int(i), [int(x) for x in v]) for i, v in zip(rnd.choice([0, 50, 100, 3, 4], 60), rnd.integers(-3, 3, (60, 2)), strict=True)]
+    big = [(0, [10**17, 1]), (50, [10**17, 2]), (3, [-(10**17), 1]), (4, [3, -5]), (5, [10**17, 1])]
+    huge = [(0, [1e300, 3.0]), (50, [-1e300, 2.0]), (3, [1e250, 1.0]), (4, [0.0, 7.0]), (5, [5e299, -1.0])]
+    for rows in (data, big, [(i, [4 * 10**9 * x for x in v]) for i, v in data], huge):
+        rows = [(i, [float(x) for x in v]) for i, v in rows]
+        frame = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(3)
+        got = [tuple(r) for r in top_k(frame, frame.where("id % 50 = 0"), 5).collect()]
+        expected = []
+        for n, (q, v) in enumerate(rows):
+            if q % 50 == 0:
+                scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), c) for m, (c, w) in enumerate(rows) if m != n)[:5]
+                expected += [(q, k + 1, c, -s if -(2**63) <= -s < 2**63 else None) for k, (s, c) in enumerate(scores)]
+        assert bag(got) == bag(expected)
+
+
 # decontamination
 
 
@@ -263,7 +369,10 @@ def test_decontamination(spark, docs, rows, none, monkeypatch):
     found = contaminated(frame, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(1000, 0), (1001, 1), (1002, 30), (1005, 3), (1005, 4), (None, 7)}  # 1007 lacks the answer
     assert all(r.score >= 0.8 and r.question_overlap >= 0.5 and r.answer_overlap >= 0.5 for r in found)
+    left = without_items(frame, bench)
+    assert left.columns == frame.columns and bag(left.collect()) == bag(r for r in frame.collect() if (r.doc_id, r.text) not in {(d, t) for d, t in planted if d in (1000, 1001, 1002, 1005, None)})
     monkeypatch.setattr(decontamination, "INDEX_ITEMS", 7)
+    assert bag(without_items(frame, bench).collect()) == bag(left.collect()) and without_items(none, bench).count() == 0
     assert {(r.doc_id, r.item_id) for r in contaminated(frame, bench).collect()} == {(r.doc_id, r.item_id) for r in found}
     assert contaminated(none, bench).count() == 0 and contaminated(frame, bench.limit(0)).count() == 0
 
@@ -329,14 +438,20 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert len({i for i in ids("simhash_dedup") if i is not None and 100 <= i < 115}) <= 2  # the first copy, and what short lines the others have left
     assert 900 in ids("simhash_dedup") and 900 not in ids("decontamination")
     assert ids("decontamination") == ids("simhash_dedup") - {900} and ids("best_fit_packing") == ids("decontamination")
+    same = [(None, f"clean text number {i} of those that have no id and tell of other things each time {i * 7}", None, "s", 1) for i in range(3)] + [(77, f"another text {i} under one id with words of its own like w{i} and v{i}", None, "s", 1) for i in range(3)]
+    leaks = [(None, f"{item} as everybody knows", None, "s", 1), (77, f"we read that {item}", None, "s", 1)]
+    held = spark.createDataFrame(same + leaks, plain.schema)
+    assert bag(P.decontamination(spark, held, folder).select("text").collect()) == bag((r[1],) for r in same)
+    nothing = plain.limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, nothing, folder)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == list(P.COLUMNS))
     again = P.run(spark, folder).select("doc_id", "piece", "length", "ids_crc32").collect()
     assert bag(again) == bag(seen["best_fit_packing"].select("doc_id", "piece", "length", "ids_crc32").collect())
 
 
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-
-
-def test_predict_keeps_columns(spark, docs):
-    out = predict(docs.drop("lang_pred", "score"), Profiles({}, 64))
-    assert out.columns[-2:] == ["lang_pred", "score"]
+def test_predict_replaces_its_columns(spark, docs, none):
+    out = predict(docs, Profiles({}, 64))
+    assert out.columns == [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+    assert {(r.lang_pred, r.score) for r in out.select("lang_pred", "score").collect()} == {("und", 0.0)} and out.count() == docs.count()
+    assert predict(none, Profiles({"en": np.ones(64)}, 64)).count() == 0
