@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
-from quillon.llm.decontamination import contaminated
+from quillon.llm.decontamination import without_items
 from quillon.llm.language_id import UNKNOWN, held_out, learn, predict
 from quillon.llm.line_dedup import remove_repeated_lines
 from quillon.llm.near_dedup import one_of_similar
@@ -27,14 +27,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more. Candidates share a block of their SimHash fingerprints or a shingle."""
     return one_of_similar(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Documents without a passage of the benchmark, each judged by its own text, whatever its id."""
+    return without_items(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
