@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +31,15 @@ def to_int(c: Column) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """The wall clock of 'Sat Aug 01 01:59:54 +0000 2020' or of an ISO time; any offset is dropped, not applied."""
-    parts = r"^\w{3} (\w{3} \d{1,2} \d{2}:\d{2}:\d{2}) [+-]\d{4} (\d{4})$"
-    legacy = F.try_to_timestamp(F.when(c.rlike(parts), F.regexp_replace(c, parts, "$1 $2")), F.lit("MMM d HH:mm:ss yyyy"))
+    """The wall clock of 'Sat Aug 01 01:59:54 +0000 2020' or of an ISO time; any offset is dropped, not applied, and the session's time zone has no part in it."""
+    parts = r"^\w{3} (\w{3}) (\d{1,2}) (\d{2}:\d{2}:\d{2}) [+-]\d{4} (\d{4})$"
+    part = lambda i: F.regexp_extract(c, parts, i)
+    # three letters for each month: the place of a month's name says which one it is
+    at = F.position(part(1), F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")) + 2
+    month = F.when((at > 2) & (at % 3 == 0), F.lpad((at / 3).cast("int").cast("string"), 2, "0"))
+    legacy = F.concat(part(4), F.lit("-"), month, F.lit("-"), F.lpad(part(2), 2, "0"), F.lit(" "), part(3))
     iso = F.regexp_replace(c, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return F.coalesce(legacy.cast("timestamp_ntz"), F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).try_cast("timestamp_ntz"))
+    return F.when(c.rlike(parts), legacy).when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).try_cast("timestamp_ntz")
 
 
 def clean_source(c: Column) -> Column:
@@ -74,10 +77,7 @@ def round_half_up(c: Column, digits: int) -> Column:
 
 
 def utf8_without_errors(c: Column) -> Column:
-    """Text from bytes; sequences that aren't UTF-8 vanish. Valid rows, nearly all, are decoded by the JVM; the others by an Arrow-batched function."""
-    @F.pandas_udf("string")
-    def lenient(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    raw = c.cast("binary")
-    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(lenient(F.when(~F.is_valid_utf8(c.cast("string")), raw)))
+    """Text from bytes; sequences that aren't UTF-8 vanish. Replacement characters that are there already stay: they step aside while the broken sequences are replaced and removed."""
+    text, mark, aside = c.cast("string"), "\ufffd", "\ufdd0\ufdd1\ufdd0"
+    repaired = F.replace(F.translate(F.make_valid_utf8(F.replace(text, F.lit(mark), F.lit(aside))), mark, ""), F.lit(aside), F.lit(mark))
+    return F.when(F.is_valid_utf8(text), text).otherwise(repaired)

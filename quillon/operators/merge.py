@@ -40,6 +40,18 @@ def new_rows(target: DataFrame | None, staged: DataFrame, keys: list[str], requi
     return rows.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def append_rows(target: DataFrame, rows: list[dict]) -> DataFrame:
+    """target and some rows of values; columns that a row does not name are NULL, and values are cast to the target's types."""
+    names = [c for c in target.columns if any(c in r for r in rows)]
+    added = target.sparkSession.createDataFrame([tuple(r.get(c) for c in names) for r in rows], target.select(*names).schema)
+    return target.unionByName(added, allowMissingColumns=True)
+
+
+def stamped(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """df with the time of the load in a column."""
+    return df.withColumn(column, F.current_timestamp().cast("timestamp_ntz"))
+
+
 def _orderable(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() not in ("map", "variant")
 
@@ -51,8 +63,9 @@ def insert_ignore(target: DataFrame, staged: DataFrame, keys: list[str], require
 
 
 def upsert_greatest(target: DataFrame, staged: DataFrame, key: str, counters: list[str]) -> DataFrame:
-    """Both sides by key: counters take the larger value, NULLs aside; other columns keep the stored value if the row was there."""
-    one = new_rows(None, staged, [key], [key])
+    """Both sides by key: counters take the largest value, NULLs aside, of all staged rows of the key too; other columns keep the stored value if the row was there."""
+    same = Window.partitionBy(F.col(key))
+    one = new_rows(None, staged.withColumns({c: F.max(c).over(same) for c in counters}), [key], [key])
     t, s = target.alias("t"), one.alias("s")
     joined = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full")
     stored = F.col(f"t.{key}").isNotNull()

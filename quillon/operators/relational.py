@@ -16,6 +16,32 @@ def exists(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right, on, "left_semi")
 
 
+def band_join(left: DataFrame, right: DataFrame, a: str, b: str, low: float, high: float) -> DataFrame:
+    """Pairs (as "a" and "b") with low < b - a < high, both ends open.
+
+    Values fall into buckets as wide as the band, and each left row meets the buckets that the band can reach: an equi-join, with at most three rows for each left one. NULLs have no partner.
+    """
+    width = high - low
+    dealt = left.alias("a").withColumn("_bucket", F.explode(F.sequence(F.floor((F.col(f"a.{a}") + low) / width), F.floor((F.col(f"a.{a}") + high) / width))))
+    placed = right.alias("b").withColumn("_bucket", F.floor(F.col(f"b.{b}") / width))
+    joined = dealt.join(placed, "_bucket")
+    return joined.where((F.col(f"b.{b}") > F.col(f"a.{a}") + low) & (F.col(f"b.{b}") < F.col(f"a.{a}") + high)).drop("_bucket")
+
+
+def contains_join(left: DataFrame, right: DataFrame, text: str, part: str) -> DataFrame:
+    """Pairs where a left text holds a right part. NULLs have no partner; left and right have no column in common.
+
+    A text that holds a part has each word inside it, between blanks, as a word of its own. So parts meet the texts by the longest of their inner words, in an equi-join on one row for each
+    different word of a text, and only then is the whole part looked for. Parts without an inner word are looked for in all texts.
+    """
+    pieces = F.split(F.col(part), " ", -1)
+    inner = F.when(F.size(pieces) > 2, F.array_max(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 2), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))))
+    parts = right.withColumn("_inner", inner["w"])
+    texts = left.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), " ", -1))))
+    met = texts.join(parts.where(F.col("_inner").isNotNull()), F.col("_word") == F.col("_inner")).drop("_word").where(F.col(text).contains(F.col(part)))
+    return met.union(left.join(parts.where(F.col("_inner").isNull()), F.col(text).contains(F.col(part))).select(*met.columns)).drop("_inner")
+
+
 def with_existence(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str) -> DataFrame:
     """left with a flag: whether a non-null left_key is among the right keys. Each left row stays one row."""
     ids = right.select(F.col(right_key).alias("_key")).where("_key is not null").distinct().withColumn(name, F.lit(True))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,10 +200,15 @@ def contains(a: Column, b: Column) -> Column:
     return F.when(b["kind"] == "POINT", of_point).otherwise(covered & ~crossed & ~pierced)
 
 
+def outline(g: Column) -> Column:
+    """The edges of a geometry: closed for polygons, open for lines."""
+    lines = F.flatten(F.transform(F.flatten(g["parts"]), lambda r: _edges(r, False)))
+    return F.when(g["kind"].isin("POLYGON", "MULTIPOLYGON"), _all_edges(g)).otherwise(lines)
+
+
 def borders_meet(a: Column, b: Column) -> Column:
     """Whether the boundaries (or lines) of two geometries cross or touch."""
-    edges = lambda g: F.when(g["kind"].isin("POLYGON", "MULTIPOLYGON"), _all_edges(g)).otherwise(F.flatten(F.transform(F.flatten(g["parts"]), lambda r: _edges(r, False))))
-    return F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: _meet(e, f)))
+    return F.exists(outline(a), lambda e: F.exists(outline(b), lambda f: _meet(e, f)))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -221,15 +228,95 @@ def border_distance(g: Column, px: Column, py: Column) -> Column:
     return F.array_min(F.transform(_all_edges(g), lambda e: _to_segment(e, px, py)))
 
 
-def near_border(g: Column, other: Column, d: float, steps: int = 16) -> Column:
-    """Whether all of a geometry's edges lie within d of the other's border, judged at `steps` points of each edge."""
-    at = lambda e, i: (e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * i / steps, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * i / steps)
-    return F.forall(_all_edges(g), lambda e: F.forall(F.sequence(F.lit(0), F.lit(steps)), lambda i: border_distance(other, *at(e, i)) <= d))
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _slab(at: Column, rate: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """From where to where at + t * rate lies between low and high; NULL if nowhere."""
+    one, two = (low - at) / F.nullif(rate, F.lit(0.0)), (high - at) / F.nullif(rate, F.lit(0.0))
+    always = (rate == 0) & (at >= low) & (at <= high)
+    return F.when(always, float("-inf")).otherwise(F.least(one, two)), F.when(always, float("inf")).otherwise(F.greatest(one, two))
+
+
+def _stretch(e: Column, s: Column, d: float) -> Column:
+    """The part of an edge, from 0 at its start to 1 at its end, that lies within d of a segment: (lo, hi), or NULL.
+
+    Those points form a convex set, two discs and the rectangle between them, so an edge runs through it in one stretch.
+    """
+    length = F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
+    base = F.struct(
+        e["a"]["x"].alias("px"), e["a"]["y"].alias("py"), (e["b"]["x"] - e["a"]["x"]).alias("vx"), (e["b"]["y"] - e["a"]["y"]).alias("vy"), s["a"].alias("a"), s["b"].alias("b"), length.alias("n"),
+        F.coalesce((s["b"]["x"] - s["a"]["x"]) / F.nullif(length, F.lit(0.0)), F.lit(1.0)).alias("ux"), F.coalesce((s["b"]["y"] - s["a"]["y"]) / F.nullif(length, F.lit(0.0)), F.lit(0.0)).alias("uy"),
+    )
+
+    def disc(o: Column, c: Column) -> Column:
+        terms = F.struct(
+            (o["vx"] * o["vx"] + o["vy"] * o["vy"]).alias("q"), (o["vx"] * (o["px"] - c["x"]) + o["vy"] * (o["py"] - c["y"])).alias("h"),
+            ((o["px"] - c["x"]) * (o["px"] - c["x"]) + (o["py"] - c["y"]) * (o["py"] - c["y"]) - d * d).alias("k"),
+        )
+
+        def roots(t: Column) -> Column:
+            under = t["h"] * t["h"] - t["q"] * t["k"]
+            root = F.sqrt(F.greatest(under, F.lit(0.0)))
+            point = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+            return F.when((t["q"] == 0) & (t["k"] <= 0), point).when((t["q"] > 0) & (under >= 0), F.struct(((-t["h"] - root) / F.nullif(t["q"], F.lit(0.0))).alias("lo"), ((root - t["h"]) / F.nullif(t["q"], F.lit(0.0))).alias("hi")))
+
+        return _let(terms, roots)
+
+    def whole(o: Column) -> Column:
+        along = _slab((o["px"] - o["a"]["x"]) * o["ux"] + (o["py"] - o["a"]["y"]) * o["uy"], o["vx"] * o["ux"] + o["vy"] * o["uy"], F.lit(0.0), o["n"])
+        aside = _slab(o["ux"] * (o["py"] - o["a"]["y"]) - o["uy"] * (o["px"] - o["a"]["x"]), o["ux"] * o["vy"] - o["uy"] * o["vx"], F.lit(-d), F.lit(d))
+        both = along[0].isNotNull() & aside[0].isNotNull()
+        between = F.when(both & (F.greatest(along[0], aside[0]) <= F.least(along[1], aside[1])), F.struct(F.greatest(along[0], aside[0]).alias("lo"), F.least(along[1], aside[1]).alias("hi")))
+        found = F.array(disc(o, o["a"]), disc(o, o["b"]), between)
+        ends = F.struct(F.greatest(F.lit(0.0), F.array_min(F.transform(found, lambda x: x["lo"]))).alias("lo"), F.least(F.lit(1.0), F.array_max(F.transform(found, lambda x: x["hi"]))).alias("hi"))
+        return F.when(F.exists(found, lambda x: x.isNotNull()), ends)
+
+    return _let(_let(base, whole), lambda x: F.when(x["lo"] <= x["hi"], x))
+
+
+def near_border(g: Column, other: Column, d: float) -> Column:
+    """Whether all of a geometry's edges (or of a line) lie within d of the other's border, exactly: the stretches of an edge that lie within d of some segment must cover it."""
+
+    def covered(e: Column) -> Column:
+        parts = F.array_sort(F.filter(F.transform(outline(other), lambda s: _stretch(e, s, d)), lambda x: x.isNotNull()))
+        reach = F.aggregate(parts, F.lit(0.0), lambda r, x: F.when(x["lo"] <= r + 1e-12, F.greatest(r, x["hi"])).otherwise(r))
+        return (F.size(parts) > 0) & (F.coalesce(F.get(parts, F.lit(0))["lo"], F.lit(1.0)) <= 1e-12) & (reach >= 1 - 1e-12)
+
+    return F.forall(outline(g), covered)
+
+
+#: Fixed values of the public transformation between the two systems (EPSG 1623): shifts in metres, turns in seconds of arc, scale in millionths.
+_SHIFT, _TURN, _SCALE = (570.8, 85.7, 462.8), (4.998, 1.587, 5.261), 3.56
+WGS84, BESSEL = (6378137.0, 1 / 298.257223563), (6377397.155, 1 / 299.1528128)
+
+
+def shift_matrix() -> list[list[float]]:
+    """What turns geocentric coordinates, less the shift, from WGS 84 to the Bessel ellipsoid."""
+    x, y, z = (math.radians(t / 3600) for t in _TURN)
+    return np.linalg.inv((1 + _SCALE * 1e-6) * np.array([[1, -z, y], [z, 1, -x], [-y, x, 1]])).tolist()
+
+
+def to_bessel(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Longitude and latitude on the Bessel ellipsoid of degrees of WGS 84, both in degrees at height 0."""
+    (a, f), (bessel, g) = WGS84, BESSEL
+    e2 = f * (2 - f)
+    lam, phi = F.radians(lon), F.radians(lat)
+    n = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    there = (n * F.cos(phi) * F.cos(lam) - _SHIFT[0], n * F.cos(phi) * F.sin(lam) - _SHIFT[1], n * (1 - e2) * F.sin(phi) - _SHIFT[2])
+    x, y, z = (sum((m * c for m, c in zip(row[1:], there[1:], strict=True)), row[0] * there[0]) for row in shift_matrix())
+    b, e2 = bessel * (1 - g), g * (2 - g)
+    p = F.hypot(x, y)
+    t = F.atan2(z * bessel, p * b)
+    up = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(t), F.lit(3.0)), p - e2 * bessel * F.pow(F.cos(t), F.lit(3.0)))
+    return F.degrees(F.atan2(y, x)), F.degrees(up)
 
 
 def krovak(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Easting and northing (EPSG 5514: both negative) of degrees on the Bessel ellipsoid; no datum shift is applied."""
-    a, f = 6377397.155, 1 / 299.1528128
+    a, f = BESSEL
     e = math.sqrt(2 * f - f * f)
     phi_c, lon_0, alpha, phi_p, k_p = *map(math.radians, (49.5, 24 + 50 / 60, 30 + 17 / 60 + 17.30311 / 3600, 78.5)), 0.9999
     big_a = a * math.sqrt(1 - e * e) / (1 - (e * math.sin(phi_c)) ** 2)
@@ -248,11 +335,16 @@ def krovak(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def transform(g: Column, srid: int) -> Column:
-    """The geometry in another system: 4326 to 5514, or to its own; NULL for others."""
+    """The geometry in another system: 4326 to 5514, by the shift between their ellipsoids and the projection, or to its own; NULL for others."""
 
     def moved(p):
-        e, n = krovak(p["x"], p["y"])
-        return F.struct(e.alias("x"), n.alias("y"))
+        lon, lat = to_bessel(p["x"], p["y"])
+
+        def projected(q):
+            e, n = krovak(q["lon"], q["lat"])
+            return F.struct(e.alias("x"), n.alias("y"))
+
+        return _let(F.struct(lon.alias("lon"), lat.alias("lat")), projected)
 
     parts = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, moved)))
     projected = F.struct(g["kind"].alias("kind"), F.lit(srid).alias("srid"), parts.alias("parts")).cast(GEOMETRY)
@@ -276,25 +368,123 @@ def geojson(g: Column, properties: Column) -> Column:
     return F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":{"type":"'), name, F.lit('","coordinates":'), coordinates, F.lit("}}"))
 
 
+def srid_of(df: DataFrame, column: str) -> DataFrame:
+    """(srid): the systems of a geometry column's values, each once."""
+    return df.select(F.col(column)["srid"].alias("srid")).where("srid IS NOT NULL").distinct()
+
+
+def _dealt(polygons: DataFrame, polygon: str, cell: float) -> tuple[DataFrame, list[int]]:
+    """polygons with _b (bounds), _l, _cx and _cy, and the levels that there are: cells double in size from level to level, and each polygon takes the level where it covers four cells at most."""
+    box = F.col("_b")
+    most = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    rows = polygons.withColumn("_b", bounds(F.col(polygon))).withColumn("_l", F.when(most > cell, F.ceil(F.log2(most / cell))).otherwise(0).cast("int")).where("_b IS NOT NULL")
+    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / _size(cell)), F.floor(hi / _size(cell))))
+    levels = sorted(r[0] for r in rows.select("_l").distinct().collect())  # as many as doublings between the smallest and the largest polygon
+    return rows.withColumn("_cx", grid(box["x0"], box["x1"])).withColumn("_cy", grid(box["y0"], box["y1"])), levels
+
+
+def _size(cell: float) -> Column:
+    return F.lit(cell) * F.pow(F.lit(2.0), F.col("_l"))
+
+
+def _placed(rows: DataFrame, x: Column, y: Column, levels: list[int], cell: float) -> DataFrame:
+    """rows with _l, _cx and _cy: the cell of a place at each level."""
+    each = rows.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    return each.withColumn("_cx", F.floor(x / _size(cell))).withColumn("_cy", F.floor(y / _size(cell)))
+
+
 def contains_join(polygons: DataFrame, points: DataFrame, cell: float, polygon: str = "way", px: str = "px", py: str = "py") -> DataFrame:
-    """Pairs of a polygon and a point inside it. Polygons are dealt into the grid cells of their bounding boxes and meet the points of the cell in an equi-join; `cell` is the side of a cell."""
-    box = bounds(F.col(polygon))
-    grid = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
-    dealt = polygons.withColumn("_b", box).withColumn("_cx", F.explode(grid(F.col("_b.x0"), F.col("_b.x1")))).withColumn("_cy", F.explode(grid(F.col("_b.y0"), F.col("_b.y1"))))
-    placed = points.withColumn("_cx", F.floor(F.col(px) / cell)).withColumn("_cy", F.floor(F.col(py) / cell))
+    """Pairs of a polygon and a point inside it. Polygons are dealt into grid cells by their bounding boxes and meet the points of the cell in an equi-join; `cell` is the side of the smallest cells.
+
+    A large polygon takes larger cells, so that none has more than four rows, and a point has one for each size of cells that is there.
+    """
+    dealt, levels = _dealt(polygons, polygon, cell)
+    placed = _placed(points, F.col(px), F.col(py), levels, cell)
     inside = F.col(px).between(F.col("_b.x0"), F.col("_b.x1")) & F.col(py).between(F.col("_b.y0"), F.col("_b.y1"))
-    return dealt.join(placed, ["_cx", "_cy"]).where(inside & contains_point(F.col(polygon), F.col(px), F.col(py))).drop("_b", "_cx", "_cy")
+    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(inside & contains_point(F.col(polygon), F.col(px), F.col(py))).drop("_b", "_l", "_cx", "_cy")
+
 
+def contains_polygons(outer: DataFrame, inner: DataFrame, cell: float, a: str = "way", b: str = "inner") -> DataFrame:
+    """Pairs of an outer polygon and a geometry that it contains, by the same grid: what is inside has the lower left corner of its bounding box there, so it stands in one cell of each size."""
+    dealt, levels = _dealt(outer, a, cell)
+    boxes = inner.withColumn("_i", bounds(F.col(b))).where("_i IS NOT NULL")
+    placed = _placed(boxes, F.col("_i.x0"), F.col("_i.y0"), levels, cell)
+    fits = (F.col("_b.x0") <= F.col("_i.x0")) & (F.col("_b.y0") <= F.col("_i.y0")) & (F.col("_b.x1") >= F.col("_i.x1")) & (F.col("_b.y1") >= F.col("_i.y1"))
+    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(fits & contains(F.col(a), F.col(b))).drop("_b", "_i", "_l", "_cx", "_cy")
 
-def region_area(frame: DataFrame, box: tuple[float, float, float, float], step: float, inside) -> DataFrame:
-    """frame with region_area: the area of the part of box where inside(x, y) holds, by cells of side `step` judged at their middles.
 
-    inside is any expression over frame's geometries: covers_point, border_distance and so on. This stands in for buffers and overlays of polygons; the error is about the
-    border's length times step / 2.
+def _sides(geometry: dict | None) -> np.ndarray:
+    """(ax, ay, bx, by) of all edges of a polygon's rings."""
+    rings = [[(p["x"], p["y"]) for p in r] for part in (geometry["parts"] if geometry else []) for r in part]
+    return np.array([(*p, *q) for r in rings for p, q in zip(r, r[1:] + r[:1], strict=True)], np.float64).reshape(-1, 4)
+
+
+def _inside(e: np.ndarray, y: float) -> np.ndarray:
+    """From where to where a level line is inside a polygon."""
+    cut = e[(e[:, 1] > y) != (e[:, 3] > y)]
+    return np.sort(cut[:, 0] + (y - cut[:, 1]) * (cut[:, 2] - cut[:, 0]) / (cut[:, 3] - cut[:, 1])).reshape(-1, 2)
+
+
+def _beside(e: np.ndarray, y: float, d: float) -> np.ndarray:
+    """From where to where a level line is within d of each edge."""
+    lo, hi = np.full(len(e), np.inf), np.full(len(e), -np.inf)
+
+    def take(on: np.ndarray, x: np.ndarray) -> None:
+        lo[on], hi[on] = np.minimum(lo[on], x), np.maximum(hi[on], x)
+
+    for x, at in ((e[:, 0], e[:, 1]), (e[:, 2], e[:, 3])):
+        on = np.abs(y - at) <= d
+        r = np.sqrt(d * d - (y - at[on]) ** 2)
+        take(on, x[on] - r)
+        take(on, x[on] + r)
+    n = np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1])
+    n[n == 0] = 1
+    for side in (-d, d):
+        dx, dy = -(e[:, 3] - e[:, 1]) / n * side, (e[:, 2] - e[:, 0]) / n * side
+        one, two = e[:, 1] + dy, e[:, 3] + dy
+        on = (one - y) * (two - y) <= 0
+        on &= one != two
+        t = (y - one[on]) / (two[on] - one[on])
+        take(on, e[on, 0] + dx[on] + t * (e[on, 2] - e[on, 0]))
+    return np.stack([lo, hi], axis=1)[lo <= hi]
+
+
+def _covers(parts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.sort(parts[:, 0]), x, side="right") > np.searchsorted(np.sort(parts[:, 1]), x, side="left")
+
+
+def zone_area(g: Column, d: float, within: Column | None = None, without: Column | None = None, strips: int = 4096) -> Column:
+    """The area of what lies within d of a polygon, inside another one and outside a third, where they are given: buffer, intersection and difference in one.
+
+    Along each of about `strips` level lines the lengths are exact; between lines they are taken as even, but no corner lies between the borders of a strip, so the error falls with the
+    strips' height faster than in proportion, and is largest where round borders end. NULL for a NULL geometry; an Arrow function of whole columns, as no expression sweeps a line.
     """
-    x0, y0, x1, y1 = box
-    cells = lambda name, lo, hi: F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil((hi - lo) / step) - 1)))).alias(name)
-    rows = frame.withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.select("*", cells("_i", x0, x1)).select("*", cells("_j", y0, y1))
-    hit = F.when(inside(x0 + (F.col("_i") + 0.5) * step, y0 + (F.col("_j") + 0.5) * step), 1).otherwise(0)
-    return rows.groupBy("_id").agg(*[F.first(c).alias(c) for c in frame.columns], (F.sum(hit) * step * step).alias("region_area")).drop("_id")
+
+    @F.arrow_udf("double")
+    def area_of(core: pa.Array, inside: pa.Array, outside: pa.Array) -> pa.Array:
+        out = []
+        for c, i, o in zip(core.to_pylist(), inside.to_pylist(), outside.to_pylist(), strict=True):
+            if c is None:
+                out.append(None)
+                continue
+            e, inner, outer = _sides(c), _sides(i), _sides(o)
+            low, high = e[:, [1, 3]].min() - d, e[:, [1, 3]].max() + d
+            # no corner and no end of a round border lies inside a strip
+            corners = np.concatenate([e[:, 1], e[:, 1] - d, e[:, 1] + d, inner[:, 1], outer[:, 1]])
+            corners = np.unique(np.clip(corners, low, high))
+            each = np.maximum(1, np.ceil(np.diff(corners) / (high - low) * strips)).astype(int)
+            total = 0.0
+            steps = np.repeat(np.diff(corners) / each, each)
+            for y, step in zip((np.concatenate([[0], np.cumsum(steps)[:-1]]) + low + steps / 2).tolist(), steps.tolist(), strict=True):
+                zone, there, gone = np.concatenate([_beside(e, y, d), _inside(e, y)]), _inside(inner, y), _inside(outer, y)
+                ends = np.unique(np.concatenate([zone.ravel(), there.ravel(), gone.ravel()]))
+                middle = (ends[1:] + ends[:-1]) / 2
+                on = _covers(zone, middle) & ~_covers(gone, middle)
+                if i is not None:
+                    on &= _covers(there, middle)
+                total += float(np.diff(ends)[on].sum()) * step
+            out.append(total)
+        return pa.array(out, pa.float64())
+
+    none = F.lit(None).cast(GEOMETRY)
+    return area_of(g, none if within is None else within, none if without is None else without)

@@ -27,7 +27,7 @@ def ingest(spark: SparkSession, path: str, store: Store, batch: str | None = Non
         n = records.count()
         bad = rejects(records).count()
         lost = coercion_losses(accepted(records)).first().asDict()
-        added = store.load(batch or path, flatten(records))
+        added = store.load(batch or path, flatten(records, placed=True))
     finally:
         records.unpersist()
     seconds = time.time() - began

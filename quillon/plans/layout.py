@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .store import Store
 
 #: (table, lookup) and the layout that serves it.
 ADVICE = [
@@ -29,32 +27,41 @@ ADVICE = [
 ]
 
 
-def describe_layout(spark: SparkSession, table: str) -> DataFrame:
-    """(table_name, lookup, layout) of a table."""
+def advice(spark: SparkSession, table: str) -> DataFrame:
+    """(table_name, lookup, layout): what would serve a table's look-ups."""
     return spark.createDataFrame([r for r in ADVICE if r[0] == table], "table_name STRING, lookup STRING, layout STRING")
 
 
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each column chunk: file, row_group, rows, column, compressed bytes, and bounds as text. Only footers' files are opened, one task for each of them."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-
-        schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("row_count", pa.int64()), ("column", pa.string()), ("bytes", pa.int64()), ("low", pa.string()), ("high", pa.string())])
-        for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
-                rows = []
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for c in range(group.num_columns):
-                        column, s = group.column(c), group.column(c).statistics
-                        bounds = (str(s.min), str(s.max)) if s is not None and s.has_min_max else (None, None)
-                        rows.append({"file": file.rsplit("/", 1)[-1], "row_group": g, "row_count": group.num_rows, "column": column.path_in_schema, "bytes": column.total_compressed_size, "low": bounds[0], "high": bounds[1]})
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content").where(F.col("path").endswith(".parquet"))
-    return files.mapInArrow(read, "file STRING, row_group INT, row_count BIGINT, column STRING, bytes BIGINT, low STRING, high STRING")
+def describe_layout(store: Store, table: str) -> DataFrame:
+    """(table_name, layout, columns, files, batches, path): what there is. The snapshots of the published batches, in no order, and the clustered copies with their bloom filters."""
+    done = store.batches()
+    rows = [(table, "snapshot", "", None, 1, f"{b['path']}/{table}") for b in done]
+    for x in store.layouts():
+        if x["table"] == table:
+            rows.append((table, "clustered", ", ".join(x["order"]), x["files"], x["batches"], x["path"]))
+            rows += [(table, "bloom filter", c, x["files"], x["batches"], x["path"]) for c in x["bloom"]]
+    return store.spark.createDataFrame(rows, "table_name STRING, layout STRING, columns STRING, files INT, batches INT, path STRING")
+
+
+def footers(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A row for each column chunk of the first `files` files (all, if None): file, row_group, row_count, column, compressed bytes, and bounds as text.
+
+    The driver opens each file and reads its footer alone, through the Hadoop file system that holds it.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(root, "*.parquet")), []
+    for status in sorted(found, key=lambda s: s.getPath().getName())[:files]:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+        try:
+            for g, block in enumerate(reader.getFooter().getBlocks()):
+                for c in block.getColumns():
+                    s = c.getStatistics()
+                    low, high = (s.minAsString(), s.maxAsString()) if s is not None and s.hasNonNullValue() else (None, None)
+                    rows.append((status.getPath().getName(), g, block.getRowCount(), c.getPath().toDotString(), c.getTotalSize(), low, high))
+        finally:
+            reader.close()
+    return spark.createDataFrame(rows, "file STRING, row_group INT, row_count BIGINT, column STRING, bytes BIGINT, low STRING, high STRING")
 
 
 def plan_text(df: DataFrame) -> str:

@@ -30,31 +30,46 @@ class Store:
         fs, p = self._fs(f"{self.root}/_manifest")
         if not fs.exists(p):
             return []
-        names = sorted(s.getPath().toString() for s in fs.listStatus(p))
-        return [json.loads(r.value) for n in names for r in self.spark.read.text(n, wholetext=True).collect()]
+        return [json.loads(self._text(fs, s.getPath())) for s in sorted(fs.listStatus(p), key=lambda s: s.getPath().toString())]
 
-    def table(self, name: str) -> DataFrame:
-        """All published rows of a table."""
-        paths = [f"{b['path']}/{name}" for b in self.batches()]
+    def _text(self, fs, path) -> str:
+        """A small file, read by the driver."""
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _tell(self, path: str, what: dict) -> None:
+        """Writes a small file; fails if it is there."""
+        fs, p = self._fs(path)
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(what).encode()))
+        out.close()
+
+    def table(self, name: str, batches: list[dict] | None = None) -> DataFrame:
+        """All published rows of a table, or those of some batches."""
+        paths = [f"{b['path']}/{name}" for b in (self.batches() if batches is None else batches)]
         if not paths:
             return self.spark.createDataFrame([], struct(name))
         return self.spark.read.schema(struct(name)).parquet(*paths)
 
     def load(self, batch: str, tables: dict[str, DataFrame], nulls_distinct: bool = False) -> dict[str, int]:
-        """Adds the rows of a batch whose keys are new, and tells how many of each table; nothing if the batch was loaded before."""
+        """Adds the rows of a batch whose keys are new, and tells how many of each table; nothing if the batch was loaded before.
+
+        Of several rows of a key the first by file and line is kept where the tables say where rows come from (_at), else the first by all columns.
+        """
         done = self.batches()
         if any(b["id"] == batch for b in done):
             return dict.fromkeys(TABLES, 0)
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         added = {}
         for name in TABLES:
-            fresh = new_rows(self.table(name) if done else None, tables[name], KEYS[name], REQUIRED[name], nulls_distinct=nulls_distinct)
-            fresh.write.parquet(f"{path}/{name}")
+            order = [F.col("_at")] if "_at" in tables[name].columns else None
+            fresh = new_rows(self.table(name, done) if done else None, tables[name], KEYS[name], REQUIRED[name], order, nulls_distinct)
+            fresh.select(*struct(name).fieldNames()).write.parquet(f"{path}/{name}")
             added[name] = self.spark.read.schema(struct(name)).parquet(f"{path}/{name}").count()
-        fs, p = self._fs(f"{self.root}/_manifest/{len(done):08d}.json")
-        out = fs.create(p, False)  # fails if another writer was faster
-        out.write(bytearray(json.dumps({"id": batch, "path": path, "added": added}).encode()))
-        out.close()
+        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added})  # fails if another writer was faster
         return added
 
     def compact(self, name: str, order: list[str], files: int, bloom: list[str] = ()) -> str:
@@ -62,4 +77,10 @@ class Store:
         path = f"{self.root}/clustered/{name}-{uuid.uuid4().hex}"
         rows = self.table(name).repartitionByRange(files, *[F.col(c) for c in order]).sortWithinPartitions(*order)
         rows.write.options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}).parquet(path)
+        self._tell(f"{self.root}/_layout/{uuid.uuid4().hex}.json", {"table": name, "order": order, "files": files, "bloom": list(bloom), "path": path, "batches": len(self.batches())})
         return path
+
+    def layouts(self) -> list[dict]:
+        """What compact() has written: table, order, files, bloom, path and the number of batches that it holds."""
+        fs, p = self._fs(f"{self.root}/_layout")
+        return [json.loads(self._text(fs, s.getPath())) for s in fs.listStatus(p)] if fs.exists(p) else []

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import utf8_without_errors
 from ..schemas import RAW
 
 
 def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl.gz", partitions: int | None = None) -> DataFrame:
-    """(file, value): the lines of all files that match, blank ones left out.
+    """(file, line, value): the lines of all files that match, blank ones left out; bytes that aren't UTF-8 vanish. line grows within a file.
 
-    A gzip file is read by one task, so lines are dealt out again before they are parsed.
+    A gzip file is read by one task, so where there are fewer files than cores, or `partitions` is given, lines are dealt out again before they are parsed.
     """
-    rows = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-    return rows.repartition(partitions or max(spark.sparkContext.defaultParallelism, 1))
+    files = spark.read.option("pathGlobFilter", pattern).text(path)
+    rows = files.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), utf8_without_errors(F.col("value")).alias("value")).where(F.trim("value") != "")
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    if partitions is None and len(files.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(partitions or cores)
 
 
 def parsed(rows: DataFrame, column: str = "value") -> DataFrame:

@@ -115,7 +115,62 @@ def test_load_twice_and_overlap(spark, archive, tmp_path):
     clustered = spark.read.parquet(path)
     assert clustered.count() == 8
     assert any("EqualTo(user_id,10)" in f for f in layout.pushed_filters(clustered.where("user_id = 10").select("id")))
-    assert layout.describe_layout(spark, "users").count() == 3
+    assert layout.advice(spark, "users").count() == 3
+    assert sorted((r.layout, r.columns, r.files) for r in layout.describe_layout(store, "tweets").collect()) == [("bloom filter", "quoted_status_id", 2), ("clustered", "user_id, created_at", 2), ("snapshot", "", None), ("snapshot", "", None), ("snapshot", "", None)]
+    assert [r.layout for r in layout.describe_layout(store, "places").collect()] == ["snapshot"] * 3
+    assert found.where("column = 'id'").agg(F.min(F.col("low").cast("long")), F.max(F.col("high").cast("long"))).first()[:] == (1, 8)
+    assert layout.footers(spark, path, 1).select("file").distinct().count() == 1
+    clustered.createOrReplaceTempView("clustered_tweets")
+    spark.sql("CREATE TABLE tweets_of_test USING parquet AS SELECT id, user_id FROM clustered_tweets")
+    layout.analyze(spark, "tweets_of_test")
+    assert "8 rows" in str([r.data_type for r in spark.sql("DESCRIBE EXTENDED tweets_of_test").collect() if r.col_name == "Statistics"])
+    spark.sql("DROP TABLE tweets_of_test")
+    assert etl.system_info(spark)["spark"] == spark.version
+
+
+def test_undecodable_bytes_vanish(spark, archive, records):
+    """Broken sequences go, replacement characters that are there stay."""
+    assert {r.id: r.full_text for r in flatten(records)["tweets"].collect()}[6] == "bad  byte"
+    rows = [bytearray(b) for b in (b"a\xffb", b"\xe2\x82", "é\ufffdx".encode() + b"\xc3(", "plain \ufffd".encode(), b"\xf0\x9f\x98\x80\xed\xa0\x80", b"")]
+    got = spark.createDataFrame([(i, b) for i, b in enumerate(rows)], "i int, b binary").select("i", S.utf8_without_errors(F.col("b")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [bytes(b).decode("utf-8", "ignore") for b in rows]
+
+
+def test_first_of_a_key_by_file_and_line(spark, tmp_path):
+    """Of several rows of a key the one that stands first in the first file stays, whatever its values are."""
+    for name, users in (("a", ["zz", "mm"]), ("b", ["aa"])):
+        with gzip.open(tmp_path / f"{name}.jsonl.gz", "wt") as f:
+            for k, u in enumerate(users):
+                f.write(json.dumps({"id": k, "user": {"id": 1, "screen_name": u}}) + "\n")
+    store = Store(spark, str(tmp_path / "store"))
+    etl.ingest(spark, str(tmp_path), store)
+    assert rows(store.table("users").select("id", "screen_name")) == [(1, "zz")]
+    follow(spark, str(tmp_path), stream := Store(spark, str(tmp_path / "stream")), str(tmp_path / "cp"), files_at_a_time=2).awaitTermination(120)
+    assert rows(stream.table("users").select("id", "screen_name")) == [(1, "zz")]
+
+
+def test_wall_clock_in_any_zone(spark):
+    """No session time zone, and no hour that a zone leaves out, moves a time."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("Europe/Bratislava", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.createDataFrame([("Sun Mar 29 02:30:00 +0000 2020",), ("2020-03-29T02:30:00Z",), ("Sun Mat 29 02:30:00 +0000 2020",), ("Sun Feb 30 02:30:00 +0000 2020",)], "s string")
+            assert [r.t for r in df.select(S.timestamp(F.col("s")).cast("string").alias("t")).collect()] == ["2020-03-29 02:30:00", "2020-03-29 02:30:00", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_values_survive_a_round_trip(spark, tmp_path):
+    """NULL, tab, quote, newline and backslash through the files of a table, and through a delimited text."""
+    values = [(1, None), (2, "tab\there"), (3, 'a "quote"'), (4, "line\nbreak"), (5, "back\\slash"), (6, "")]
+    df = spark.createDataFrame(values, "i int, s string")
+    df.write.parquet(str(tmp_path / "p"))
+    assert rows(spark.read.parquet(str(tmp_path / "p"))) == values
+    options = {"sep": "\t", "nullValue": "\\N", "emptyValue": "", "multiLine": True, "escape": '"', "quoteAll": True}
+    df.coalesce(1).write.options(**options).csv(str(tmp_path / "c"))
+    back = spark.read.options(**options).schema("i int, s string").csv(str(tmp_path / "c"))
+    assert rows(back.where("s IS NOT NULL AND s <> ''")) == [v for v in values if v[1]]
 
 
 def test_stream_equals_batch(spark, archive, tmp_path):

@@ -1,8 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillon.operators import relational as R
 from quillon.operators import spatial as G
-from quillon.operators.merge import insert_ignore, upsert_greatest
+from quillon.operators.merge import append_rows, insert_ignore, upsert_greatest
 from quillon.operators.search import search, trigram_search, trigram_table
 
 
@@ -26,6 +28,17 @@ def test_upsert(spark):
     assert vals(upsert_greatest(target, staged, "id", ["n"])) == [(1, 5, "old"), (2, 4, "old"), (3, 1, "new")]
 
 
+def test_upsert_of_repeated_keys(spark):
+    target = spark.createDataFrame([(1, 5, "old")], "id int, n int, s string")
+    staged = spark.createDataFrame([(1, 3, "a"), (1, 9, "b"), (2, None, "a"), (2, 4, "c"), (None, 7, "x")], "id int, n int, s string")
+    assert vals(upsert_greatest(target, staged, "id", ["n"])) == [(1, 9, "old"), (2, 4, "a")]
+
+
+def test_values(spark):
+    df = append_rows(spark.createDataFrame([(1, "a", 1.5)], "i int, s string, d double"), [{"i": 2, "s": 'tab\tand "quote"'}, {"s": None, "i": 3}])
+    assert vals(df) == [(1, "a", 1.5), (2, 'tab\tand "quote"', None), (3, None, None)]
+
+
 def test_null_orders(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2), ("b", 3)], "k string, v int")
     assert vals(R.distinct_on(df, ["k"], [R.desc("v")])) == [("a", None), ("b", 3)]
@@ -70,10 +83,66 @@ def test_contains(spark):
 
 
 def test_regions(spark):
-    sq = spark.createDataFrame([(1, "POLYGON((0 0,10 0,10 10,0 10,0 0))")], "i int, t string").select("i", G.from_wkt(F.col("t"), 5514).alias("g"))
-    ring = G.region_area(sq, (-2, -2, 12, 12), 0.25, lambda x, y: ~G.covers_point(F.col("g"), x, y) & (G.border_distance(F.col("g"), x, y) <= 1))
-    assert abs(ring.first().region_area - (40 + 3.1416)) < 1.5
-    assert sq.select(G.border_distance(F.col("g"), F.lit(5), F.lit(5)).alias("d")).first().d == 5
+    sq = spark.createDataFrame([(1, "POLYGON((0 0,10 0,10 10,0 10,0 0))"), (2, "POLYGON((0 0,10 0,0 10,0 0),(1 1,2 1,2 2,1 2,1 1))"), (3, None)], "i int, t string").select("i", G.from_wkt(F.col("t"), 5514).alias("g"))
+    right = G.from_wkt(F.lit("POLYGON((5 -50,50 -50,50 50,5 50,5 -50))"), 5514)
+    got = {r.i: r for r in sq.select("i", G.zone_area(F.col("g"), 1.0).alias("all"), G.zone_area(F.col("g"), 1.0, without=F.col("g")).alias("ring"), G.zone_area(F.col("g"), 1.0, right, F.col("g")).alias("half")).collect()}
+    pi = 3.14159265
+    assert abs(got[1].all - (100 + 40 + pi)) < 1e-3 and abs(got[1].ring - (40 + pi)) < 1e-3 and abs(got[1].half - (20 + pi / 2)) < 1e-3
+    assert abs(got[2].all - (50 + 20 + 200**0.5 + pi)) < 1e-2 and abs(got[2].ring - (20 + 200**0.5 + pi + 1)) < 1e-2  # the hole is all within reach
+    assert got[3].all is None
+    assert sq.where("i = 1").select(G.border_distance(F.col("g"), F.lit(5), F.lit(5)).alias("d")).first().d == 5
+
+
+def test_near_border_is_exact(spark):
+    """Edges that leave the zone between any points that one might look at, and lines; against the distances of many points."""
+    rnd = random.Random(3)
+    box = "POLYGON((0 0,10 0,10 10,0 10,0 0))"
+    lines = ["LINESTRING(-1 5,11 5)", "LINESTRING(1 1,9 1)", "LINESTRING(0.9 1,0.9 9)", "LINESTRING(-1 -1,11 -1)", "LINESTRING(5 11,5 11)", "LINESTRING(0 0,10 10)", "LINESTRING(-0.5 -0.5,-0.5 10.5,10.5 10.5)", "LINESTRING(0 1.001,10 1.001)", "POLYGON((0 0,10 0,10 10,0 10,0 0))"]
+    lines += [f"LINESTRING({rnd.uniform(-2, 12)} {rnd.uniform(-2, 2)},{rnd.uniform(-2, 12)} {rnd.uniform(-2, 2)})" for _ in range(60)]
+    df = geo(spark, *lines).withColumn("b", G.from_wkt(F.lit(box), 5514))
+    points = lambda e: F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: G.border_distance(F.col("b"), e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * i / 2000, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * i / 2000))
+    got = df.select("t", G.near_border(F.col("g"), F.col("b"), 1.0).alias("n"), F.array_max(F.transform(G.outline(F.col("g")), lambda e: F.array_max(points(e)))).alias("far")).collect()
+    for r in got:
+        if abs(r.far - 1) > 1e-6:
+            assert r.n == (r.far < 1), r.t
+    assert {r.n for r in got} == {True, False}
+    # a border of two short pieces: the middle of the edge is far from both
+    gap = spark.range(1).select(G.near_border(G.from_wkt(F.lit("LINESTRING(0 0,100 0)"), 5514), G.from_wkt(F.lit("MULTILINESTRING((0 0,49 0),(51.9 0,100 0))"), 5514), 1.4).alias("n")).first().n
+    assert gap is False
+
+
+def test_grid_joins(spark):
+    """Polygons from tiny to huge, and points and boxes inside them, against all pairs."""
+    rnd = random.Random(5)
+    box = lambda x, y, w, h: f"POLYGON(({x} {y},{x + w} {y},{x + w} {y + h},{x} {y + h},{x} {y}))"
+    boxes = [(rnd.randint(-50, 50), rnd.randint(-50, 50), 2 ** rnd.randint(0, 9), 2 ** rnd.randint(0, 9)) for _ in range(60)]
+    df = spark.createDataFrame([(i, box(*b)) for i, b in enumerate(boxes)] + [(-1, None)], "i int, t string").select("i", G.from_wkt(F.col("t"), 5514).alias("way"))
+    points = [(i, rnd.uniform(-60, 400), rnd.uniform(-60, 400)) for i in range(200)]
+    got = G.contains_join(df, spark.createDataFrame(points, "p int, px double, py double"), 4.0)
+    assert vals(got.select("i", "p")) == sorted(((i, p) for i, (x, y, w, h) in enumerate(boxes) for p, px, py in points if x < px < x + w and y < py < y + h), key=repr)
+    inner = df.select(F.col("i").alias("j"), F.col("way").alias("inner"))
+    pairs = sorted(((i, j) for i, (x, y, w, h) in enumerate(boxes) for j, (u, v, s, t) in enumerate(boxes) if x <= u and y <= v and x + w >= u + s and y + h >= v + t), key=repr)
+    assert vals(G.contains_polygons(df, inner, 4.0).select("i", "j")) == pairs
+
+
+def test_systems(spark):
+    p = G.point(F.lit(17.1211), F.lit(48.1601), 4326)
+    r = spark.range(1).select(G.x(G.transform(p, 5514)).alias("e"), G.y(G.transform(p, 5514)).alias("n"), G.transform(G.set_srid(p, 9), 5514).alias("none"), G.set_srid(p, 9)["srid"].alias("s")).first()
+    plain = spark.range(1).select(*[c.alias(n) for n, c in zip("en", G.krovak(F.lit(17.1211), F.lit(48.1601)), strict=True)]).first()
+    assert 50 < ((r.e - plain.e) ** 2 + (r.n - plain.n) ** 2) ** 0.5 < 200 and r.none is None and r.s == 9  # the shift between the systems
+    df = spark.range(2).select(G.point(F.col("id"), F.col("id"), 4326).alias("g"))
+    assert vals(G.srid_of(df, "g")) == [(4326,)]
+
+
+def test_band_join(spark):
+    rnd = random.Random(2)
+    a, b = [(i, round(rnd.uniform(-20, 20), 1)) for i in range(80)] + [(99, None)], [(i, round(rnd.uniform(-20, 20), 1)) for i in range(80)] + [(99, None)]
+    got = R.band_join(spark.createDataFrame(a, "i int, v double"), spark.createDataFrame(b, "j int, w double"), "v", "w", -0.5, 1.0).select("i", "j")
+    assert vals(got) == sorted(((i, j) for i, v in a for j, w in b if v is not None and w is not None and v - 0.5 < w < v + 1.0), key=repr)
+    texts = spark.createDataFrame([(1, "one two three four"), (2, "stone two threes"), (3, None), (4, "two"), (5, "one  two")], "i int, t string")
+    parts = spark.createDataFrame([(1, "one two three"), (2, "two three"), (3, "ne"), (4, None), (5, "e  t"), (6, "e two th")], "j int, p string")
+    expected = [(t[0], p[0]) for t in texts.collect() for p in parts.collect() if t[1] and p[1] and p[1] in t[1]]
+    assert vals(R.contains_join(texts, parts, "t", "p").select("i", "j")) == sorted(expected, key=repr) and len(expected) > 8
 
 
 def test_shapefile(spark, tmp_path):
