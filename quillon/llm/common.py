@@ -39,33 +39,74 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+def _base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that the context was given.
 
-    Only where the setting is missing (a session of one machine, as in tests) a temporary folder takes its place.
+    Only on one machine (a local master, as in tests) a temporary folder takes its place where neither is set; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{_base(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Lets DataFrame.checkpoint() write to the folder that the session names, or to a temporary one if it names none."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    """Lets DataFrame.checkpoint() write to the shared folder."""
+    _base(spark)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives the loss of executors."""
+def stored(df: DataFrame, label: str, told: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives the loss of executors.
+
+    The table goes when the application ends, or when discard() is given its path, which is added to told.
+    """
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
+    if told is not None:
+        told.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by a key, read again: joins, windows and aggregates by the key need no shuffle of it. The catalogue keeps no trace of it."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path, name = shared_folder(spark, label), f"{label}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    until_exit(spark, path)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, as they are not the catalogue's
+    return table
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    fs, p = _place(spark, path)
+    fs.deleteOnExit(p)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        fs, p = _place(spark, path)
+        fs.delete(p, True)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

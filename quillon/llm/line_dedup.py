@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .hashing import BYTES, OTHER, U, mix, utf8
 #: Lines of a key that one task compares with one another; more are compared block by block.
 CELL = 1024
 OUT = "doc_id bigint, n_lines bigint, n_removed bigint, text string"
-PARTS = "bucket bigint, chunk bigint, data binary"
+PARTS = "bucket bigint, chunk bigint, data binary, text binary, size array<int>, line array<int>, doc array<bigint>, group array<bigint>, at array<int>, side array<int>"
 FOUND = "chunk bigint, bucket bigint, kind int, bits binary"
 
 
@@ -87,13 +88,12 @@ class _Lines:
 
     def __init__(self, packed: pa.Table, exact: int):
         self.table = C.rows_of(packed)
-        self.row_ids, text = (self.table.column(i).combine_chunks() for i in (0, 1))
-        self.texts = text.to_pylist()
+        self.row_ids, self.text = (self.table.column(i).combine_chunks() for i in (0, 1))
         self.ids = C.ids_of(self.row_ids)
-        self.lines = [(t or "").split("\n") for t in self.texts]
-        flat = [x.strip() for y in self.lines for x in y]
-        self.doc = np.repeat(np.arange(len(self.lines)), [len(y) for y in self.lines])
-        self.data, self.o = utf8(pa.array(flat, pa.large_string()))
+        split = pc.split_pattern(self.text.fill_null(""), "\n")
+        self.lines, self.count = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        self.data, self.o = utf8(pc.utf8_trim_whitespace(self.lines))
         self.size = np.diff(self.o)
         self.full = np.flatnonzero(self.size >= exact)
 
@@ -157,7 +157,6 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         line, own, keys = b.parts(lines[b.size[lines] >= least], edits, buckets)
         total = keys.totals(got.get(C.TIMES, []))[keys.group]
         key = keys.keys[keys.group]
-        rows = []
         shared = total > 1
         line, own, key, total = line[shared], own[shared], key[shared], total[shared]
         blocks = -(-total // CELL)
@@ -166,20 +165,27 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         low, high = np.minimum(mine[which], other), np.maximum(mine[which], other)
         group = mix(key[which] + low.astype(U) * U(0xD6E8FEB86659FD93) + high.astype(U) * U(0xC2B2AE3D27D4EB4F))
-        side = np.where(low == high, 2, mine[which] == low).astype(np.uint8)  # two blocks of a cell are compared across only
+        side = np.where(low == high, 2, mine[which] == low) + 4 * own[which]  # two blocks of a cell are compared across only
         bucket = (group % U(n)).astype(np.int64)
+        # a bucket gets each of its lines once, whatever keys it has
+        many = len(b.doc) + 1
+        used, at = np.unique(bucket * many + line[which], return_inverse=True)
+        there = np.unique(bucket)
+        base = np.searchsorted(used, np.append(there, n) * many)
+        at = at - base[np.searchsorted(there, bucket)]
         order = np.argsort(bucket, kind="stable")
-        for rows_of in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            used, local = np.unique(line[which[rows_of]], return_inverse=True)
-            text = [b.data[b.o[x] : b.o[x + 1]].tobytes() for x in used.tolist()]
-            lists = {"line": used, "doc": b.ids[b.doc[used]], "group": group[rows_of].view(np.int64), "at": local, "side": side[rows_of], "own": own[which[rows_of]]}
-            blob = pa.table({"text": pa.array([text], pa.list_(pa.binary())), **{k: pa.array([v.tolist()]) for k, v in lists.items()}})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, blob.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(blob)
-            rows.append((int(bucket[rows_of[0]]), chunk, sink.getvalue().to_pybytes()))
-        rows.append((-1 - chunk, chunk, C.pressed(lines.astype(np.uint32))))
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "data"])
+        entries, used = np.searchsorted(bucket[order], np.append(there, n)), used % many
+        size = b.size[used]
+        ends = np.cumsum(size)
+        text = b.data[np.arange(int(size.sum())) + np.repeat(b.o[used] - (ends - size), size)]
+        lists = lambda values, cuts, kind: pa.ListArray.from_arrays(pa.array(np.append(cuts, cuts[-1:]), pa.int32()), pa.array(values, kind))  # noqa: E731  the last row has none
+        cuts = np.concatenate([[0], ends])[np.append(base, base[-1:])].astype(np.int32)
+        columns = [
+            pa.array(np.append(there, -1 - chunk)), pa.array(np.full(len(there) + 1, chunk)), pa.array([None] * len(there) + [C.pressed(lines.astype(np.uint32))], pa.binary()),
+            pa.BinaryArray.from_buffers(pa.binary(), len(there) + 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(text.tobytes())]),
+            lists(size, base, pa.int32()), lists(used, base, pa.int32()), lists(b.ids[b.doc[used]], base, pa.int64()), lists(group[order].view(np.int64), entries, pa.int64()), lists(at[order], entries, pa.int32()), lists(side[order], entries, pa.int32()),
+        ]
+        return pa.table(columns, names=["bucket", "chunk", "data", "text", "size", "line", "doc", "group", "at", "side"])
 
     def last(chunk: int, t: pa.Table, got: dict) -> pa.Table:
         b = _Lines(t, exact)
@@ -188,10 +194,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         stay[C.unpressed(got[C.PASS][0][1], np.uint32)] = True
         for _, x in got.get(C.OTHER, []):
             stay[C.unpressed(x, np.uint32)] = False
-        flags = np.split(stay, np.cumsum([len(y) for y in b.lines])[:-1])
-        texts = [t if t is None or f.all() else "\n".join(x for x, k in zip(y, f.tolist(), strict=True) if k) for t, y, f in zip(b.texts, b.lines, flags, strict=True)]
-        count = [0 if t is None else len(y) for t, y in zip(b.texts, b.lines, strict=True)]
-        return pa.table([b.row_ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array([int((~f).sum()) for f in flags], pa.int64()), pa.array(texts, pa.string()), *b.table.columns[2:]], names=["doc_id", "n_lines", "n_removed", "text", *keep])
+        left = np.bincount(b.doc[stay], minlength=len(b.count))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), b.lines.filter(pa.array(stay))), "\n")
+        texts = pc.if_else(pa.array(left == b.count), b.text, joined)
+        there = b.text.is_valid().to_numpy(zero_copy_only=False)
+        return pa.table([b.row_ids.cast(pa.int64()), pa.array(b.count * there, pa.int64()), pa.array((b.count - left) * there, pa.int64()), texts, *b.table.columns[2:]], names=["doc_id", "n_lines", "n_removed", "text", *keep])
 
     one = C.answered(C.emitted(packed, first), buckets)
     two = C.answered(C.with_answers(packed, one, second, C.KEYS), buckets)
@@ -203,33 +210,26 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _compared(table: pa.Table, edits: int) -> pa.Table:
     """Of the lines of a bucket those that an earlier one is within the edits of, for each chunk."""
-    out, lines, docs, chunks, texts = [], [], [], [], []
-    group, at, side, own, so_far = [], [], [], [], 0
-    for r in table.to_pylist():
-        if r["bucket"] < 0:
-            out.append((r["chunk"], r["bucket"], C.PASS, r["data"]))
-            continue
-        x = pa.ipc.open_stream(pa.py_buffer(r["data"])).read_all()
-        get = lambda name, x=x: x.column(name).chunk(0).values.to_numpy(zero_copy_only=False)
-        texts += x.column("text").chunk(0).values.to_pylist()
-        lines.append(get("line"))
-        docs.append(get("doc"))
-        chunks.append(np.full(len(lines[-1]), r["chunk"]))
-        group.append(get("group"))
-        at.append(get("at") + so_far)
-        side.append(get("side"))
-        own.append(get("own"))
-        so_far += len(lines[-1])
-    if lines:
-        lines, docs, chunks, group, at, side, own = map(np.concatenate, (lines, docs, chunks, group, at, side, own))
-        rank = np.empty(so_far, np.int64)  # equal ids are in one chunk, where lines are in order
+    table = table.combine_chunks()
+    out = [(r["chunk"], r["bucket"], C.PASS, r["data"]) for r in table.select(["chunk", "bucket", "data"]).filter(pc.less(table.column("bucket"), 0)).to_pylist()]
+    table = table.filter(pc.greater_equal(table.column("bucket"), 0)).combine_chunks()
+    if table.num_rows:
+
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = table.column(name).combine_chunks()
+            return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+
+        (lines, held), (docs, _), (size, _), (group, entries), (at, _), (side, _) = map(flat, ("line", "doc", "size", "group", "at", "side"))
+        chunks, so_far = np.repeat(table.column("chunk").to_numpy(), held), len(lines)
+        at, own, side = at + np.repeat(np.cumsum(held) - held, entries), side >= 4, side & 3
+        text, begin_of = b"".join(table.column("text").to_pylist()), np.concatenate([[0], np.cumsum(size)]).tolist()
+        rank = np.empty(so_far, np.int64)  # equal ids go by chunk, and in a chunk by line
         rank[np.lexsort((lines, chunks, docs))] = np.arange(so_far)
         order = np.lexsort((rank[at], group))
         group, at, side, own = group[order], at[order], side[order], own[order]
         begin = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
-        size = np.diff(np.append(begin, len(group)))
+        length, size = size.astype(np.int64), np.diff(np.append(begin, len(group)))
         run = np.repeat(np.arange(len(begin)), size)
-        length = np.fromiter(map(len, texts), np.int64, so_far)
         gone = np.zeros(so_far, bool)
 
         def settle(x: np.ndarray, y: np.ndarray) -> None:
@@ -237,7 +237,7 @@ def _compared(table: pa.Table, edits: int) -> pa.Table:
             fit = (at[x] != at[y]) & (own[x] | own[y]) & ((side[x] == 2) | (side[x] != side[y])) & (np.abs(length[at[x]] - length[at[y]]) <= edits) & ~gone[at[y]]
             pair = np.unique(at[x][fit] * so_far + at[y][fit])
             for p, q in zip((pair // so_far).tolist(), (pair % so_far).tolist(), strict=True):
-                if not gone[q] and within(texts[p], texts[q], edits):
+                if not gone[q] and within(text[begin_of[p] : begin_of[p + 1]], text[begin_of[q] : begin_of[q + 1]], edits):
                     gone[q] = True
 
         pairs = [np.zeros((2, 0), np.int64)]

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, ship, stored, trim
+from .chunks import pressed, unpressed
+from .common import bucketed, discard, forget, ship, stored, trim
 from .components import components
 from .hashing import BYTES, U, mix, utf8
 from .simhash_dedup import _slices, by_slices, first_of_each, named_nodes, near_fingerprints, shingles, simhash
 
 #: Documents of the sample that common shingles are counted in, occurrences that make one common, and how many are told to all tasks. They settle the order of shingles only: any order finds all pairs.
-SAMPLE, COMMON, TOLD = 1 << 14, 4, 1 << 18
+SAMPLE, COMMON, TOLD = 1 << 16, 4, 1 << 20
+#: Ranges of hashes that the sample's shingles are counted in.
+RANGES = 64
 #: Documents of a key that are compared with one another at once; of more, first neighbours and the smallest only, then those that this has not connected.
 FEW = 8
 PAIRS = 1 << 18
@@ -72,17 +75,26 @@ def named(text: Column, shingle: int) -> Column:
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count), by hash, of shingles that several documents of a sample of texts (fp, text) hold."""
+    """(hash, count), by hash, of shingles that several documents of a sample of texts (fp, text) hold: TOLD at most, the most frequent first."""
     n = texts.count()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _slices(whole, 1 << 20):
-                _, h = shingle_sets(b.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+            held = [shingle_sets(b.column(1), shingle)[1] for b in _slices(whole, 1 << 20)]
+            if held:
+                h = np.sort(np.concatenate(held))
+                cuts = np.searchsorted(h >> U(58), np.arange(RANGES + 1, dtype=U))
+                blobs = [pressed(np.diff(h[lo:hi], prepend=U(0))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["range", "blob"])
+        trim()
+
+    def count(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.cumsum(unpressed(b, U)) for b in table.column("blob").to_pylist()])
+        h, n = np.unique(h, return_counts=True)
+        return pa.table({"h": h[n >= COMMON].view(np.int64), "n": n[n >= COMMON]})
 
     sample = texts.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-n // SAMPLE)))) == 0)
-    often = sample.mapInArrow(of, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    often = sample.mapInArrow(of, "range int, blob binary").groupBy("range").applyInArrow(count, "h bigint, n bigint")
     got = often.orderBy(F.desc("n"), "h").limit(TOLD).toArrow()
     h, n = got.column("h").to_numpy().view(U), got.column("n").to_numpy()
     order = np.argsort(h)
@@ -90,12 +102,19 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
 
 
 def _entries(told, shingle: int, percent: int):
-    """(key, fp, size): the first shingles of each set, the rarest in the sample first, then by hash."""
+    """(key, fp, size, place): the first shingles of each set, the rarest in the sample first, then by hash. Rows of one set that follow one another count once."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = told.value
+        before = None
         for whole in batches:
-            for b in _slices(whole, 1 << 20):
+            fp = whole.column(0).to_numpy(zero_copy_only=False)
+            new = np.ones(len(fp), bool)
+            new[1:] = fp[1:] != fp[:-1]
+            if len(fp):
+                new[0] = fp[0] != before
+                before = fp[-1]
+            for b in _slices(whole.filter(pa.array(new)), 1 << 20):
                 row, h = shingle_sets(b.column(1), shingle)
                 size = np.bincount(row, minlength=b.num_rows)
                 count = np.zeros(len(h), np.int64)
@@ -107,12 +126,17 @@ def _entries(told, shingle: int, percent: int):
                 place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 first = place < prefix_length(size, percent)[row]
                 fp = b.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(fp[row[first]]), pa.array(size[row[first]].astype(np.int32))], names=["key", "fp", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(fp[row[first]]), pa.array(size[row[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))], names=["key", "fp", "size", "place"])
         trim()
 
     return of
 
 
+def _may_do(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar if the first one that they share stands at i and j: no more than the rest of either is left to share."""
+    return (100 + percent) * np.minimum(n - i, m - j) >= percent * (n + m)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of a partition sorted by its first column, cut where that one changes."""
     held: list[np.ndarray] = []
@@ -128,13 +152,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _met(percent: int):
-    """Of entries sorted by (key, size, fp): pairs (null, a, b) of those that share a key, and the entries (key, fp, size) of keys with more than FEW."""
+    """Of entries sorted by (key, size, fp): pairs (null, a, b, null) of those that share a key, and the entries (key, fp, size, place) of keys with more than FEW."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, size in _runs(batches):
+        for key, fp, size, place in _runs(batches):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            key, fp, size = key[new], fp[new], size[new].astype(np.int64)
+            key, fp, size, place = key[new], fp[new], size[new].astype(np.int64), place[new].astype(np.int64)
             begin = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
             n = np.diff(np.append(begin, len(key)))
             run, many = np.repeat(np.arange(len(begin)), n), np.repeat(n > FEW, n)
@@ -145,29 +169,30 @@ def _met(percent: int):
                     x.append(i)
                     y.append(i + d)
             x, y = np.concatenate(x), np.concatenate(y)
-            fit = (fp[x] != fp[y]) & (100 * size[x] >= percent * size[y])
+            fit = (fp[x] != fp[y]) & (100 * size[x] >= percent * size[y]) & _may_do(size[x], place[x], size[y], place[y], percent)
             pair = np.unique(np.sort(np.stack([fp[x[fit]], fp[y[fit]]], axis=1), axis=1), axis=0)
+            none = pa.nulls(len(pair), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(key[many])]), pa.array(np.concatenate([pair[:, 0], fp[many]])), pa.array(np.concatenate([pair[:, 1], size[many]]))], names=["key", "a", "b"]
+                [pa.concat_arrays([none, pa.array(key[many])]), pa.array(np.concatenate([pair[:, 0], fp[many]])), pa.array(np.concatenate([pair[:, 1], size[many]])), pa.concat_arrays([none, pa.array(place[many])])], names=["key", "a", "b", "place"]
             )
 
     return of
 
 
 def _apart(percent: int):
-    """Of entries (key, size, fp, root), sorted: all pairs of a key that are not connected yet and of fitting sizes."""
+    """Of entries (key, size, fp, place, root), sorted: all pairs of a key that are not connected yet and can be similar."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, fp, root in _runs(batches):
+        for key, size, fp, place, root in _runs(batches):
             begin = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
             out, held = [], 0
             for lo, hi in zip(begin.tolist(), np.append(begin, len(key))[1:].tolist(), strict=True):
-                s, f, r = size[lo:hi], fp[lo:hi], root[lo:hi]
+                s, f, r, p = size[lo:hi], fp[lo:hi], root[lo:hi], place[lo:hi]
                 if (r == r[0]).all():
                     continue
                 last = np.searchsorted(s, 100 * s // percent, side="right")
                 for i in range(hi - lo):
-                    j = i + 1 + np.flatnonzero(r[i + 1 : last[i]] != r[i])
+                    j = i + 1 + np.flatnonzero((r[i + 1 : last[i]] != r[i]) & _may_do(s[i], p[i], s[i + 1 : last[i]], p[i + 1 : last[i]], percent))
                     out.append(np.stack([np.minimum(f[i], f[j]), np.maximum(f[i], f[j])], axis=1))
                     held += len(j)
                     if held >= PAIRS:
@@ -183,8 +208,8 @@ def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the Jaccard similarity: those that their signs do not rule out are compared as sets."""
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int, told: list[str]) -> DataFrame:
+    """The pairs (a, b) whose sets have the Jaccard similarity: those that their signs do not rule out are compared as sets. told: tables that it reads."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,15 +238,15 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     sign = rows.groupBy("fp").agg(F.max("size").alias("size"), F.max("sign").alias("sign"))
     one, two = (sign.select(F.col("fp").alias(k), F.col("size").alias(f"n{k}"), F.col("sign").alias(f"s{k}")) for k in "ab")
     signed = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb")
-    pairs = stored(signed.mapInArrow(possible, "a bigint, b bigint"), "possible")
+    pairs = stored(signed.mapInArrow(possible, "a bigint, b bigint"), "possible", told)
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    held = stored(rows.select("fp", "text").join(ends, "fp", "left_semi").mapInArrow(sets, "fp bigint, held binary").groupBy("fp").agg(F.max("held").alias("held")), "sets")
+    held = stored(rows.select("fp", "text").join(ends, "fp", "left_semi").mapInArrow(sets, "fp bigint, held binary").groupBy("fp").agg(F.max("held").alias("held")), "sets", told)
     both = pairs.join(held.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(judged, "a bigint, b bigint")
 
 
 def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int, distance: int = 2) -> DataFrame:
-    """Links (a, b) between shingle sets of rows (fp, size, sign, sim, text): they connect the same sets as all pairs of the similarity do.
+    """Links (a, b) between shingle sets of rows (fp, size, sign, sim, text), a table bucketed by fp: they connect the same sets as all pairs of the similarity do.
 
     Candidates come from two sides. Sets whose SimHash fingerprints (sim) are at most `distance` bits apart meet in pigeonhole blocks. But a similarity of 0.8 leaves ten of 64 bits
     different, more than blocks can cover, so sets also meet by their shingles: two similar sets share one among the first of each, in any one order of all shingles.
@@ -236,16 +261,18 @@ def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int, di
     ends = [first.select(F.col("sim").alias(k), F.col("first").alias(f"f{k}")) for k in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
     texts = rows.select("fp", "text")
-    told = spark.sparkContext.broadcast(common_shingles(texts, shingle))
+    common, told = spark.sparkContext.broadcast(common_shingles(texts, shingle)), []
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    entries = texts.mapInArrow(_entries(told, shingle, percent), "key bigint, fp bigint, size int")
-    met = stored(entries.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(percent), "key bigint, a bigint, b bigint"), "met")
+    entries = texts.mapInArrow(_entries(common, shingle, percent), "key bigint, fp bigint, size int, place int")
+    met = stored(entries.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(percent), "key bigint, a bigint, b bigint, place bigint"), "met", told)
     pairs = met.where("key IS NULL").select("a", "b").union(equal).union(near).distinct()
-    links = stored(_similar(pairs, rows, shingle, percent), "links")
+    links = stored(_similar(pairs, rows, shingle, percent, told), "links", told)
     roots = components(links)
-    more = met.where("key IS NOT NULL").join(roots, F.col("a") == F.col("node"), "left").select("key", F.col("b").alias("size"), F.col("a").alias("fp"), F.coalesce("root", "a").alias("root"))
-    pairs = stored(more.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_apart(percent), "a bigint, b bigint").distinct(), "pairs")
-    return links.union(stored(_similar(pairs, rows, shingle, percent), "links"))
+    more = met.where("key IS NOT NULL").join(roots, F.col("a") == F.col("node"), "left").select("key", F.col("b").alias("size"), F.col("a").alias("fp"), "place", F.coalesce("root", "a").alias("root"))
+    pairs = stored(more.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_apart(percent), "a bigint, b bigint").distinct(), "pairs", told)
+    found = stored(links.union(_similar(pairs, rows, shingle, percent, told)), "links")
+    discard(spark, told)
+    return found
 
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -259,7 +286,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     aliased = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
     text = F.col(f"c_{columns.index(text_col)}")
     whole = aliased.select(F.col(f"c_{columns.index(id_col)}").cast("bigint").alias("doc_id"), named(text, shingle).alias("set"), simhash(text, shingle).alias("sim"), *aliased.columns)
-    rows = stored(whole.select("doc_id", "set.fp", "set.size", "set.sign", "sim", *aliased.columns), "rows")
+    rows = bucketed(whole.select("doc_id", "set.fp", "set.size", "set.sign", "sim", *aliased.columns), "fp", "rows")
     links = similar_pairs(rows, f"c_{columns.index(text_col)}", shingle, percent)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     return first_of_each(rows, named_nodes(nodes, links), columns, text_col)

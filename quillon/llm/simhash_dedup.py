@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, ship, stored, trim
+from .common import bucketed, forget, ship, stored, trim
 from .components import components
 from .hashing import utf8, words, xxh64
 
@@ -195,17 +195,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
     at = {c: f"c_{columns.index(c)}" for c in (id_col, text_col)}
-    rows = stored(fingerprints(named, at[id_col], at[text_col], shingle, tuple(named.columns)), "rows")
+    rows = bucketed(fingerprints(named, at[id_col], at[text_col], shingle, tuple(named.columns)), "fp", "rows")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     return first_of_each(rows, named_nodes(nodes, near_fingerprints(rows, distance)), columns, text_col)
 
 
 def first_of_each(rows: DataFrame, groups: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    """The columns c_0, c_1, ... of rows (doc_id, fp, c_0, ...) under their names, for the first row of each root of groups (fp, root, component_id)."""
-    first = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    by = Window.partitionBy("root").orderBy("fp", f"c_{columns.index(text_col)}")
-    first = first.withColumn("n_", F.row_number().over(by)).where("n_ = 1")
-    return first.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)])
+    """The columns c_0, c_1, ... of rows (doc_id, fp, c_0, ...), a table bucketed by fp, under their names, for the first row of each root of groups (fp, root, component_id).
+
+    Which fingerprint has a component's first row is settled without the texts, which are not shuffled.
+    """
+    slim = rows.select("doc_id", "fp").join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = slim.groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("component_id")).select("fp", "component_id")
+    found = rows.join(first, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by = Window.partitionBy("fp").orderBy(f"c_{columns.index(text_col)}")
+    found = found.withColumn("n_", F.row_number().over(by)).where("n_ = 1")
+    return found.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, parts_for, shared_folder, ship, text_bytes, trim
+from .common import forget, parts_for, shared_folder, ship, text_bytes, trim, until_exit
 from .simhash_dedup import _slices
 from .tokens import WordEncoder, vocabulary_path
 
@@ -26,6 +26,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     Columns: doc_id; part, the number of the file in id order; part_start, the ids before the document in its file; n_tokens; ids, a list of integers.
     encoding "dictionary" packs ids by a dictionary; "delta" writes DELTA_BINARY_PACKED pages instead. row_group and page are bytes; each page holds page_rows
     rows at most and has its bounds in the page index, so that a range of doc_id or the columns but for ids are read alone. A null text has only end_id, if that is given.
+    Rows with equal or null ids are told apart by their texts' beginnings, so that many of them fill several files; other columns are ignored; no rows give an empty table.
+    A very long text is one list, in a row group of its own.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -42,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         trim()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts_for(text_bytes(docs, text_col), FILE_TEXT), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FORMAT)
+    rows = rows.repartitionByRange(parts_for(text_bytes(docs, text_col), FILE_TEXT), F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text").mapInArrow(encode, FORMAT)
     options = {"compression": "zstd", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0"}
     rows.write.options(**options).parquet(path)
 
@@ -75,4 +77,5 @@ def token_index(tokens: DataFrame) -> DataFrame:
 def op3_token_output(spark, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, vocabulary_path(), end_id=2)
+    until_exit(spark, path)
     return token_index(read_tokens(spark, path))
