@@ -14,13 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ship
+from .common import kept, ship, trim
 from .hashing import mix
 from .simhash_dedup import _slices
 
 #: Items of one index and bytes of their texts: what is broadcast at a time. More items make more indexes, each of which all documents are searched with.
 INDEX_ITEMS, INDEX_BYTES = 20_000, 16 << 20
 BLOCK = 8
+#: Words whose terms a worker keeps.
+KNOWN = 100_000
 K1, B = 1.2, 0.75
 _REST = re.compile(r"[\W_]+")
 #: Letters of scripts without spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han): each is a term of its own.
@@ -173,7 +175,7 @@ def _held(index: Index, texts: pa.Array, question: float, answer: float) -> list
         c = known.get(w)
         if c is None:
             c = tuple(index.vocabulary.get(x, -1) for x in _pieces(w.lower()))
-            if len(known) > 300_000:
+            if len(known) > KNOWN:
                 known.clear()
             known[w] = c
         code += c
@@ -209,7 +211,7 @@ def _searched(held, question: float, answer: float):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _slices(whole, 2 << 20):
+            for b in _slices(whole, 1 << 20):
                 columns = list(zip(*_held(held.value, b.column(1), question, answer), strict=True)) or [()] * 6
                 ids = b.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage"])
@@ -257,22 +259,22 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """
     spark = docs.sparkSession
     ship(spark)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for index in _indexes(items, item_id, item_text, threshold, least_words):
-        leaks = _leaks(spark.sparkContext.broadcast(index), question, answer)
-        docs = docs.where(~leaks(F.col(f"`{text_col}`").cast("string")))
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(index), docs.columns.index(text_col), question, answer), schema)
     return docs
 
 
-def _leaks(held, question: float, answer: float):
-    """Whether a text holds an item, as a function of a column."""
+def _clean(held, at: int, question: float, answer: float):
+    """The rows whose texts, in the column at a place, hold no item."""
 
-    @F.arrow_udf("boolean")
-    def of(column: pa.Array) -> pa.Array:
-        out, at = np.zeros(len(column), bool), 0
-        for b in _slices(pa.RecordBatch.from_arrays([column], names=["text"]), 2 << 20, 0):
-            out[[at + x[0] for x in _held(held.value, b.column(0), question, answer)]] = True
-            at += b.num_rows
-        return pa.array(out)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _slices(whole, 1 << 20, at):
+                stay = np.ones(b.num_rows, bool)
+                stay[[x[0] for x in _held(held.value, b.column(at), question, answer)]] = False
+                yield b.filter(pa.array(stay))
+        trim()
 
     return of
 

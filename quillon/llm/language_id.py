@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, ship, trim
-from .simhash_dedup import _slices, by_slices
+from .simhash_dedup import _slices, with_columns
 
 DIMENSION = 1024
 UNKNOWN = "und"
 #: Bytes of text whose trigrams are counted together, and texts and trigrams whose vectors are made at a time.
-SLICE, ROWS, STEP = 1 << 20, 256, 4096
+SLICE, ROWS, STEP = 1 << 19, 256, 2048
 #: Languages that a task sums up before it passes the sums on.
 LANGUAGES = 64
 
@@ -131,15 +131,15 @@ class Profiles:
             out[lo : lo + len(v)] = (v @ self.prototypes) / np.maximum(np.linalg.norm(v, axis=1), 1e-30)[:, None]
         return out, t.n_letters
 
-    def labels(self, texts: pa.Array) -> pa.Array:
-        """(lang, score) of each text."""
+    def labels(self, texts: pa.Array) -> list[pa.Array]:
+        """The language and the score of each text."""
         if not self.languages:
-            return pa.StructArray.from_arrays([pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))], ["lang", "score"])
+            return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
         cosine, letters = self.cosines(texts)
         best = np.argmax(cosine, axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1) * (letters > 0)
         name = pc.if_else(pa.array(letters > 0), pa.array(self.languages).take(pa.array(best)), UNKNOWN)
-        return pa.StructArray.from_arrays([name, pa.array(score)], ["lang", "score"])
+        return [name, pa.array(score)]
 
 
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension: int = DIMENSION) -> Profiles:
@@ -182,18 +182,9 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
     A text that is null or has no letters is "und" with the score 0, and so is any text if there are no profiles. Columns named lang_pred or score are replaced; all others,
     and repeated rows, stay. A text is read in whole, whatever its length.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    held = spark.sparkContext.broadcast(profiles)  # as many numbers for each language as vectors have
-
-    @F.arrow_udf("lang string, score double")
-    def label(column: pa.Array) -> pa.Array:
-        forget()
-        return by_slices(held.value.labels, column, SLICE)
-
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), label(F.col(f"`{text_col}`").cast("string")).alias("found"))
-    return both.select(*[F.col(f"row.`{c}`") for c in kept], F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    held = docs.sparkSession.sparkContext.broadcast(profiles)  # as many numbers for each language as vectors have
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    return with_columns(kept, text_col, lambda x: held.value.labels(x), "lang_pred string, score double", SLICE)
 
 
 def held_out(id_col: str = "doc_id"):

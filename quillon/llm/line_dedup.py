@@ -262,3 +262,25 @@ def _compared(table: pa.Table, edits: int) -> pa.Table:
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), exact=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: White space as Unicode has it.
+_BLANK = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
+#: The same with segments and shifted substrings as rows of a join, and edit distances of bytes.
+OP10_SQL = f"""
+WITH line AS (SELECT doc_id, n, raw, trim(raw, {_BLANK}) AS s FROM (
+  SELECT doc_id, unnest(range(len(lines))) AS n, unnest(lines) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, n) AS copy FROM line),
+whole AS (SELECT *, hex(encode(s)) AS h, strlen(s) AS size, row_number() OVER (ORDER BY doc_id, n) AS place FROM ranked WHERE copy = 1 AND strlen(s) >= 24),
+cut AS (SELECT *, size // 3 * i + greatest(0, i - (3 - size % 3)) AS start, size // 3 + CASE WHEN i >= 3 - size % 3 THEN 1 ELSE 0 END AS n_bytes FROM (SELECT *, unnest(range(3)) AS i FROM whole)),
+entry AS (SELECT place, size, i, substring(h, 2 * start + 1, 2 * n_bytes) AS seg FROM cut),
+shorter AS (SELECT *, size - d AS least FROM (SELECT *, unnest(range(3)) AS d FROM whole)),
+aim AS (SELECT *, least // 3 * i + greatest(0, i - (3 - least % 3)) + shift AS start, least // 3 + CASE WHEN i >= 3 - least % 3 THEN 1 ELSE 0 END AS n_bytes
+  FROM (SELECT *, unnest(range(-2, 3)) AS shift FROM (SELECT *, unnest(range(3)) AS i FROM shorter))),
+probe AS (SELECT place, least, i, substring(h, 2 * start + 1, 2 * n_bytes) AS seg FROM aim WHERE start >= 0 AND start + n_bytes <= size),
+pair AS (SELECT DISTINCT e.place AS a, p.place AS b FROM entry e JOIN probe p ON e.size = p.least AND e.i = p.i AND e.seg = p.seg WHERE e.place <> p.place),
+near AS (SELECT DISTINCT greatest(a, b) AS place FROM pair JOIN whole x ON x.place = a JOIN whole y ON y.place = b WHERE levenshtein(x.s, y.s) <= 2),
+gone AS (SELECT doc_id, n FROM whole JOIN near USING (place) UNION ALL SELECT doc_id, n FROM ranked WHERE copy > 1 AND s <> ''),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_removed, string_agg(l.raw, chr(10) ORDER BY l.n) FILTER (WHERE g.doc_id IS NULL) AS k FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k, '')) END AS kept_sha256 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

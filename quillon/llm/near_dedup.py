@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import pressed, unpressed
-from .common import bucketed, discard, forget, ship, stored, trim
+from .common import bucketed, discard, stored, trim
 from .components import components
 from .hashing import BYTES, U, mix, utf8
-from .simhash_dedup import _slices, by_slices, first_of_each, named_nodes, near_fingerprints, shingles, simhash
+from .simhash_dedup import _slices, first_of_each, named_nodes, near_fingerprints, shingles, simhashes, with_columns
 
 #: Documents of the sample that common shingles are counted in, occurrences that make one common, and how many are told to all tasks. They settle the order of shingles only: any order finds all pairs.
 SAMPLE, COMMON, TOLD = 1 << 16, 4, 1 << 20
@@ -57,21 +57,12 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size + (-percent * size) // 100 + 1
 
 
-def named(text: Column, shingle: int) -> Column:
-    """fp (the name of a text's shingle set), size and sign of a text column."""
-
-    def of(texts: pa.Array) -> pa.Array:
-        row, h = shingle_sets(texts, shingle)
-        name, size = set_names(row, h, len(texts))
-        sign = pa.array([x.tobytes() for x in signs(row, h, len(texts))], pa.binary())
-        return pa.StructArray.from_arrays([pa.array(name), pa.array(size.astype(np.int32)), sign], ["fp", "size", "sign"])
-
-    @F.arrow_udf("fp bigint, size int, sign binary")
-    def sets(column: pa.Array) -> pa.Array:
-        forget()
-        return by_slices(of, column)
-
-    return sets(text.cast("string"))
+def named(texts: pa.Array, shingle: int) -> list[pa.Array]:
+    """fp (the name of a text's shingle set), size, sign and the SimHash fingerprint of each text."""
+    row, h = shingle_sets(texts, shingle)
+    name, size = set_names(row, h, len(texts))
+    sign = pa.array([x.tobytes() for x in signs(row, h, len(texts))], pa.binary())
+    return [pa.array(name), pa.array(size.astype(np.int32)), sign, pa.array(simhashes(texts, shingle))]
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,12 +272,11 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Components are of texts, not of ids: different texts with one id stay both. Columns of any names stay as they are; no rows give none.
     """
-    ship(docs.sparkSession)
     columns = docs.columns
     aliased = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
-    text = F.col(f"c_{columns.index(text_col)}")
-    whole = aliased.select(F.col(f"c_{columns.index(id_col)}").cast("bigint").alias("doc_id"), named(text, shingle).alias("set"), simhash(text, shingle).alias("sim"), *aliased.columns)
-    rows = bucketed(whole.select("doc_id", "set.fp", "set.size", "set.sign", "sim", *aliased.columns), "fp", "rows")
+    text = f"c_{columns.index(text_col)}"
+    whole = with_columns(aliased, text, lambda x: named(x, shingle), "fp bigint, size int, sign binary, sim bigint")
+    rows = bucketed(whole.withColumn("doc_id", F.col(f"c_{columns.index(id_col)}").cast("bigint")), "fp", "rows")
     links = similar_pairs(rows, f"c_{columns.index(text_col)}", shingle, percent)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     return first_of_each(rows, named_nodes(nodes, links), columns, text_col)

@@ -3,11 +3,11 @@
 from .decontamination import op6_decontamination
 from .html_extract import op4_html_extraction
 from .language_id import op2_language_id
-from .line_dedup import op10_line_dedup
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op7_best_fit_packing
 from .simhash_dedup import op9_simhash_dedup
-from .substring_dedup import op1_substring_dedup
-from .suffix_dedup import op5_suffix_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .suffix_dedup import OP5_SQL, op5_suffix_dedup
 from .token_output import op3_token_output
 from .topk_search import OP8_SQL, op8_exact_topk
 
@@ -24,4 +24,4 @@ _ALL = (
     op10_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op8_exact_topk": OP8_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op10_line_dedup": OP10_SQL}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, forget, ship, stored, trim
@@ -18,6 +18,8 @@ from .hashing import utf8, words, xxh64
 BITS = 64
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 17
+#: Texts that are worked on at a time.
+ROWS = 1 << 10
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,39 +54,46 @@ def simhashes(texts: pa.Array, shingle: int) -> np.ndarray:
     return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def by_slices(f, column: pa.Array, size: int = 1 << 20) -> pa.Array:
-    """f of a text column, about `size` bytes at a time."""
-    batch = pa.RecordBatch.from_arrays([column], names=["text"])
-    out = [f(b.column(0)) for b in _slices(batch, size, 0)] or [f(column)]
-    trim()
-    return pa.concat_arrays(out)
-
-
-def simhash(text: Column, shingle: int = 3) -> Column:
-    """The fingerprint of a text column as a bigint; see simhashes()."""
+def with_columns(docs: DataFrame, text_col: str, f: Callable[[pa.Array], list[pa.Array]], added: str, size: int = 1 << 19) -> DataFrame:
+    """docs and the columns `added` (a schema) that f makes of the texts, about `size` bytes at a time. Column names must differ; the workers do without pandas, which an Arrow function of columns would load."""
+    ship(docs.sparkSession)
+    at, names = docs.columns.index(text_col), docs.columns + [x.split()[0] for x in added.split(", ")]
 
-    @F.arrow_udf("bigint")
-    def of(column: pa.Array) -> pa.Array:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        return by_slices(lambda x: pa.array(simhashes(x, shingle)), column)
+        for whole in batches:
+            for b in _slices(whole, size, at, ROWS):
+                yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at))], names=names)
+        trim()
 
-    return of(text.cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(of, f"{schema}, {added}")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) and the columns to keep: the fingerprint of each text.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each text.
 
     A-Z are lowered; shingles are `shingle` words in a row joined by one space, repeats included, or the whole sequence if there are fewer words; without words, as for a null, fp is 0.
     """
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ship(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), simhash(F.col(f"`{text_col}`"), shingle).alias("fp"), *(F.col(f"`{c}`") for c in keep))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for whole in batches:
+            for b in _slices(whole, 1 << 19, 1, ROWS):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhashes(b.column(1), shingle))], names=["doc_id", "fp"])
+        trim()
+
+    return rows.mapInArrow(of, "doc_id bigint, fp bigint")
 
 
-def _slices(batch: pa.RecordBatch, size: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `size` bytes of a text column."""
+def _slices(batch: pa.RecordBatch, size: int = 8 << 20, column: int = 1, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `size` bytes of a text column and `rows` rows at most."""
     if batch.num_rows:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1), batch.num_rows]
+        cuts = np.flatnonzero((np.diff(ends // size) > 0) | (np.arange(1, len(ends)) % rows == 0)) + 1
+        cuts = [0, *cuts.tolist(), batch.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(lo, hi - lo)
 
@@ -195,7 +204,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(columns)])
     at = {c: f"c_{columns.index(c)}" for c in (id_col, text_col)}
-    rows = bucketed(fingerprints(named, at[id_col], at[text_col], shingle, tuple(named.columns)), "fp", "rows")
+    printed = with_columns(named, at[text_col], lambda x: [pa.array(simhashes(x, shingle))], "fp bigint")
+    rows = bucketed(printed.select(F.col(at[id_col]).cast("bigint").alias("doc_id"), "fp", *named.columns), "fp", "rows")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     return first_of_each(rows, named_nodes(nodes, near_fingerprints(rows, distance)), columns, text_col)
 

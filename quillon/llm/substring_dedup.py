@@ -116,3 +116,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("spans").cast("bigint").alias("n_spans"))
+
+
+#: The same with every window compared to every other by grouping.
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w),
+s AS (SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS window_text FROM p),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY window_text) AS n FROM s) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM hit, (SELECT unnest(range(35)) AS k) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed, words, coalesce(places, []) AS places FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id),
+one AS (SELECT doc_id, n_words, n_removed, words, unnest(range(1, n_words + 1)) AS i, places FROM kept WHERE n_removed > 0),
+rest AS (SELECT o.doc_id, string_agg(o.words[o.i], ' ' ORDER BY o.i) AS kept FROM one o LEFT JOIN (SELECT doc_id, unnest(places) AS i FROM gone) g ON o.doc_id = g.doc_id AND o.i = g.i WHERE g.i IS NULL GROUP BY o.doc_id),
+spans AS (SELECT doc_id, count(*) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT doc_id, unnest(places) AS i FROM gone)) WHERE b IS NULL OR b < i - 1 GROUP BY doc_id)
+SELECT k.doc_id, k.n_words, CAST(k.n_removed AS BIGINT) AS n_removed,
+       sha256(CASE WHEN k.n_removed = 0 THEN array_to_string(k.words, ' ') ELSE coalesce(r.kept, '') END) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM kept k LEFT JOIN rest r ON k.doc_id = r.doc_id LEFT JOIN spans s ON k.doc_id = s.doc_id
+"""

@@ -273,3 +273,18 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_earlier(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same with every string of 50 bytes spelt out, as hexadecimal digits in pieces of 200 starts.
+OP5_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, len(h) // 2 AS n, k, substring(h, k * 400 + 1, 498) AS piece FROM (SELECT doc_id, h, unnest(range(0, len(h) // 400 + 1)) AS k FROM b)),
+starts AS (SELECT doc_id, k * 200 + i AS i, substring(piece, i * 2 + 1, 100) AS s FROM (SELECT doc_id, k, piece, unnest(range(0, least(200, len(piece) // 2 - 49))) AS i FROM part)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least_id FROM starts) WHERE least_id < doc_id),
+run AS (SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= i - 50 THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM run) GROUP BY doc_id, g),
+stay AS (SELECT b.doc_id, s.lo, s.hi, coalesce(lag(s.hi) OVER (PARTITION BY b.doc_id ORDER BY s.lo), 0) AS after, lead(s.lo) OVER (PARTITION BY b.doc_id ORDER BY s.lo) AS next_lo, b.h FROM b JOIN span s ON b.doc_id = s.doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, after * 2 + 1, (lo - after) * 2) || CASE WHEN next_lo IS NULL THEN substring(h, hi * 2 + 1) ELSE '' END, '' ORDER BY lo) AS k, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM stay GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.k, b.h))) AS kept_sha256
+FROM b LEFT JOIN kept ON b.doc_id = kept.doc_id
+"""

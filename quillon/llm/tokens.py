@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from .common import kept
 
 #: When a worker knows more words than these, it keeps those it has met in at least two slices of text.
-KNOWN = 600_000
+KNOWN = 400_000
 #: Words that are encoded as one text; ids of a tail at most; tails that a worker tells apart.
 JOINED, TAIL, TAILS = 512, 4, 4096
 #: Latin-1 letters, then ASCII punctuation: a piece of letters and, if there is any, one of the rest.
@@ -46,11 +46,11 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # for lowered words of one piece: nothing is left to normalise, and white space is all that parts them
-        self.bare.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lowered words of one piece: nothing is left to normalise, and white space is all that parts them
+        self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece

@@ -164,6 +164,74 @@ def test_token_files(spark, docs, rows, none, tokenizer, encoding):
     assert token_index(read_tokens(spark, empty)).count() == 0
 
 
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_pages(spark, tokenizer, tmp_path, encoding):
+    """Encodings, row groups and page indexes are in the files, and a range of ids reads few row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(3)
+    words = [w for w in tokenizer.get_vocab() if w.isascii() and w.endswith("</w>") and w[:-4].isalpha()][:3000]
+    rows = [(i, " ".join(rnd.choice(words)[:-4] for _ in range(60))) for i in range(6000)]
+    path = f"{tmp_path}/t"
+    write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), path, vocabulary_path(), 2, encoding=encoding, row_group=16 << 10, page=2 << 10, page_rows=20)
+    files = [pq.ParquetFile(f) for f in sorted(glob.glob(f"{path}/*.parquet"))]
+    groups = [(f, g) for f in files for g in range(f.metadata.num_row_groups)]
+    assert len(files) > 1 and len(groups) > 2 * len(files)
+    for f, g in groups:
+        m = f.metadata.row_group(g)
+        for c in map(m.column, range(m.num_columns)):
+            assert c.has_offset_index and (c.has_column_index or c.path_in_schema.startswith("ids"))
+            if c.path_in_schema.startswith("ids"):
+                assert ("DELTA_BINARY_PACKED" in c.encodings) == (encoding == "delta") and ("RLE_DICTIONARY" in c.encodings or "PLAIN_DICTIONARY" in c.encodings) == (encoding == "dictionary")
+    hit = [m for f, g in groups for m in [f.metadata.row_group(g)] if m.column(0).statistics.min <= 305 and m.column(0).statistics.max >= 300]
+    assert 1 <= len(hit) <= 2
+    got = read_tokens(spark, path).where("doc_id BETWEEN 300 AND 305").select("doc_id", "ids").collect()
+    assert {r.doc_id: r.ids for r in got} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows[300:306]}
+
+
+def test_many_rows_without_id(spark, tokenizer):
+    """A third of all rows without an id and a text, and a third with one id: nothing is lost, and no file or sequence takes them all."""
+    rows = [(None, None)] * 300 + [(5, f"text number {i}") for i in range(300)] + [(i, "a word") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    path = shared_folder(spark, "t")
+    write_tokens(frame, path, vocabulary_path(), 2)
+    index = token_index(read_tokens(spark, path)).collect()
+    assert len(index) == 900 and sorted(r.start for r in index) == [int(x) for x in np.cumsum([0] + [r.n_tokens for r in sorted(index, key=lambda r: r.start)])[:-1]]
+    assert read_tokens(spark, path).where("doc_id = 5").select("part").distinct().count() > 1
+    got = pack_documents(frame, vocabulary_path(), capacity=64).collect()
+    assert len(got) == 900 and len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 64)
+
+
+def test_very_long_text(spark, tokenizer):
+    """One text of 120,000 words among short ones, through every operation on documents."""
+    from quillon.llm.line_dedup import remove_repeated_lines
+    from quillon.llm.near_dedup import one_of_similar
+    from quillon.llm.simhash_dedup import near_duplicates
+    from quillon.llm.substring_dedup import remove_repeats
+    from quillon.llm.suffix_dedup import remove_earlier
+
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(3, 9))) for _ in range(30_000)]
+    parts = [" ".join(rnd.choices(words, k=12)) for _ in range(10_000)]
+    long, passage = "\n".join(parts), "\n".join(parts[5000:5004])
+    frame = spark.createDataFrame([(1, passage, "aa"), (2, long, "aa"), (3, "short", "bb")], "doc_id bigint, text string, lang string")
+    one = {r.doc_id: r for r in remove_repeats(frame).collect()}
+    assert (one[2].n_words, one[2].n_removed, one[1].n_removed) == (120_000, 48, 48)
+    five = {r.doc_id: r for r in remove_earlier(frame).collect()}
+    assert five[2].n_bytes == len(long) and abs(five[2].n_removed - len(passage)) <= 2 and five[1].n_removed == 0
+    ten = {r.doc_id: r for r in remove_repeated_lines(frame, exact=1).collect()}
+    assert ten[2].n_removed == 4 and ten[2].text == "\n".join(parts[:5000] + parts[5004:])
+    assert near_duplicates(frame).select("component_id").distinct().count() == one_of_similar(frame).count() == 3
+    assert {r.doc_id: r.lang_pred for r in identify(frame).collect()}[2] in ("aa", "bb")
+    pieces = pack_documents(frame, vocabulary_path()).where("doc_id = 2").collect()
+    ids = [*tokenizer.encode(long, add_special_tokens=False).ids, 0]
+    assert sum(r.length for r in pieces) == len(ids) and {r.piece: r.ids_crc32 for r in pieces}[3] == zlib.crc32(np.array(ids[3 * 2048 : 4 * 2048], "<u4").tobytes())
+    item = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    assert {r.doc_id for r in contaminated(frame, item).collect()} == {1, 2} and [r.doc_id for r in without_items(frame, item).collect()] == [3]
+
+
 # packing
 
 
