@@ -21,6 +21,8 @@ SAMPLE, COMMON, TOLD = 1 << 16, 4, 1 << 20
 RANGES = 64
 #: Documents of a key that are compared with one another at once; of more, first neighbours and the smallest only, then those that this has not connected.
 FEW = 8
+#: Sets of a key that one task compares with one another; more are compared block by block.
+CELL = 4096
 PAIRS = 1 << 18
 #: Bits of a set's sign.
 BITS = 1024
@@ -171,19 +173,22 @@ def _met(percent: int):
 
 
 def _apart(percent: int):
-    """Of entries (key, size, fp, place, root), sorted: all pairs of a key that are not connected yet and can be similar."""
+    """Of entries (cell, size, fp, place, root, block, sign), sorted: the pairs of a cell that are not connected yet and that neither places nor signs rule out. Where a cell holds two blocks, pairs across them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, fp, place, root in _runs(batches):
-            begin = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        for cell, size, fp, place, root, block, sign in _runs(batches):
+            begin = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
             out, held = [], 0
-            for lo, hi in zip(begin.tolist(), np.append(begin, len(key))[1:].tolist(), strict=True):
-                s, f, r, p = size[lo:hi], fp[lo:hi], root[lo:hi], place[lo:hi]
+            for lo, hi in zip(begin.tolist(), np.append(begin, len(cell))[1:].tolist(), strict=True):
+                s, f, r, p, b = size[lo:hi], fp[lo:hi], root[lo:hi], place[lo:hi], block[lo:hi]
                 if (r == r[0]).all():
                     continue
+                bits, both = np.frombuffer(b"".join(sign[lo:hi]), U).reshape(hi - lo, -1), bool((b != b[0]).any())
                 last = np.searchsorted(s, 100 * s // percent, side="right")
                 for i in range(hi - lo):
-                    j = i + 1 + np.flatnonzero((r[i + 1 : last[i]] != r[i]) & _may_do(s[i], p[i], s[i + 1 : last[i]], p[i + 1 : last[i]], percent))
+                    j = i + 1 + np.flatnonzero((r[i + 1 : last[i]] != r[i]) & ((b[i + 1 : last[i]] != b[i]) | (not both)) & _may_do(s[i], p[i], s[i + 1 : last[i]], p[i + 1 : last[i]], percent))
+                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    j = j[(100 + percent) * differ <= (100 - percent) * (s[i] + s[j])]
                     out.append(np.stack([np.minimum(f[i], f[j]), np.maximum(f[i], f[j])], axis=1))
                     held += len(j)
                     if held >= PAIRS:
@@ -241,7 +246,8 @@ def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int, di
 
     Candidates come from two sides. Sets whose SimHash fingerprints (sim) are at most `distance` bits apart meet in pigeonhole blocks. But a similarity of 0.8 leaves ten of 64 bits
     different, more than blocks can cover, so sets also meet by their shingles: two similar sets share one among the first of each, in any one order of all shingles.
-    All candidates are compared as sets. Of a key that many sets share, the pairs that the first comparisons have already connected are left out.
+    All candidates are compared as sets. Of a key that many sets share, first neighbours and the smallest are; then pairs that this has not connected and that the places of the shingle and the
+    signs of the sets do not rule out, in cells of a bounded size. What is ruled out leaves no row.
     """
     spark = rows.sparkSession
     rows = rows.select("fp", "size", "sign", "sim", F.col(text_col).alias("text"))
@@ -260,7 +266,13 @@ def similar_pairs(rows: DataFrame, text_col: str, shingle: int, percent: int, di
     links = stored(_similar(pairs, rows, shingle, percent, told), "links", told)
     roots = components(links)
     more = met.where("key IS NOT NULL").join(roots, F.col("a") == F.col("node"), "left").select("key", F.col("b").alias("size"), F.col("a").alias("fp"), "place", F.coalesce("root", "a").alias("root"))
-    pairs = stored(more.repartition(n, "key").sortWithinPartitions("key", "size", "fp").mapInArrow(_apart(percent), "a bigint, b bigint").distinct(), "pairs", told)
+    # keys whose sets are not all connected, and into how many blocks each is dealt
+    open_ = more.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CELL).alias("blocks")).where("low <> high").select("key", "blocks")
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    dealt = more.join(open_, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "size", "fp", "place", "root", "block")
+    signed = dealt.join(rows.groupBy("fp").agg(F.max("sign").alias("sign")), "fp").select("cell", "size", "fp", "place", "root", "block", "sign")
+    pairs = stored(signed.repartition(n, "cell").sortWithinPartitions("cell", "size", "fp").mapInArrow(_apart(percent), "a bigint, b bigint").distinct(), "pairs", told)
     found = stored(links.union(_similar(pairs, rows, shingle, percent, told)), "links")
     discard(spark, told)
     return found

@@ -210,10 +210,11 @@ def test_simhash_families(spark):
     assert bag(got) == bag(brute_components(rows)[0])
 
 
-@pytest.mark.parametrize("common", [4, 10**9])
-def test_near_copies(spark, docs, rows, common, monkeypatch):
+@pytest.mark.parametrize("common,cell", [(4, 4096), (10**9, 4)])
+def test_near_copies(spark, docs, rows, common, cell, monkeypatch):
     """Every pair with a Jaccard similarity of five-word shingles of 0.8 or more is connected, also within large families and beside a passage that many hold."""
     monkeypatch.setattr(near_dedup, "COMMON", common)
+    monkeypatch.setattr(near_dedup, "CELL", cell)
     rnd = random.Random(9)
     say = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
     passage, more = say(30), []
