@@ -58,6 +58,11 @@ def test_search(spark):
     grams = trigram_table(df, "id", "t")
     for text in ("gates", "ga"):
         assert vals(trigram_search(df, "id", "t", grams, text)) == vals(search(df, "t", text, ignore_case=True))
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["İ", "i̇", "xİ", "KELVİN K", "ß.", "AB", "", "a b", None])], "i int, t string")
+    for text in ("i̇", "k", ".", "ab", "B", "", "İ"):
+        low = [(r.i, r.t.lower()) for r in odd.collect() if r.t is not None]
+        assert sorted(r.i for r in search(odd, "t", text, "suffix", ignore_case=True).collect()) == [i for i, t in low if t.endswith(text.lower())]
+        assert sorted(r.i for r in search(odd, "t", text, "prefix", ignore_case=True).collect()) == [i for i, t in low if t.startswith(text.lower())]
     assert vals(search(df, "t", "Bill", "prefix").select("id")) == [(1,)]
     assert vals(search(df, "t", "GATE", "suffix", ignore_case=True).select("id")) == [(2,)]
 
