@@ -401,7 +401,9 @@ def contains_join(polygons: DataFrame, points: DataFrame, cell: float, polygon:
     dealt, levels = _dealt(polygons, polygon, cell)
     placed = _placed(points, F.col(px), F.col(py), levels, cell)
     inside = F.col(px).between(F.col("_b.x0"), F.col("_b.x1")) & F.col(py).between(F.col("_b.y0"), F.col("_b.y1"))
-    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(inside & contains_point(F.col(polygon), F.col(px), F.col(py))).drop("_b", "_l", "_cx", "_cy")
+    # what the columns stand for is worked out once for each pair, however often the test looks at it
+    holds = _let(F.struct(F.col(polygon).alias("g"), F.col(px).alias("x"), F.col(py).alias("y")), lambda v: contains_point(v["g"], v["x"], v["y"]))
+    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(inside & holds).drop("_b", "_l", "_cx", "_cy")
 
 
 def contains_polygons(outer: DataFrame, inner: DataFrame, cell: float, a: str = "way", b: str = "inner") -> DataFrame:
@@ -410,7 +412,8 @@ def contains_polygons(outer: DataFrame, inner: DataFrame, cell: float, a: str =
     boxes = inner.withColumn("_i", bounds(F.col(b))).where("_i IS NOT NULL")
     placed = _placed(boxes, F.col("_i.x0"), F.col("_i.y0"), levels, cell)
     fits = (F.col("_b.x0") <= F.col("_i.x0")) & (F.col("_b.y0") <= F.col("_i.y0")) & (F.col("_b.x1") >= F.col("_i.x1")) & (F.col("_b.y1") >= F.col("_i.y1"))
-    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(fits & contains(F.col(a), F.col(b))).drop("_b", "_i", "_l", "_cx", "_cy")
+    holds = _let(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), lambda v: contains(v["a"], v["b"]))
+    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(fits & holds).drop("_b", "_i", "_l", "_cx", "_cy")
 
 
 def _sides(geometry: dict | None) -> np.ndarray:

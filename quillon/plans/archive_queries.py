@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ def raw_lines(spark, sf_dir: str) -> DataFrame:
     return rows.union(rows.where("line % 10 = 0")).union(broken)
 
 
-def loaded(spark, sf_dir: str) -> dict[str, DataFrame]:
-    """The eight tables after one load of the archive."""
-    staged = flatten(parsed(raw_lines(spark, sf_dir)), placed=True)
+def loaded(records: DataFrame) -> dict[str, DataFrame]:
+    """The eight tables after one load of parsed lines."""
+    staged = flatten(records, placed=True)
     return {name: new_rows(None, staged[name], KEYS[name], REQUIRED[name], [F.col("_at")]).drop("_at") for name in TABLES}
 
 
@@ -56,8 +57,13 @@ UNION ALL SELECT 'tweet_urls', sum(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 EN
 UNION ALL SELECT 'tweet_user_mentions', 2 * count(*) FROM orders WHERE o_orderkey % 5 = 0
 UNION ALL SELECT 'tweet_media', count(*) FROM orders WHERE o_orderkey % 6 = 0""")
 def archive_table_counts(spark, sf_dir):
-    """Raw lines to eight merged tables, counted."""
-    return counts(loaded(spark, sf_dir))
+    """Raw lines to eight merged tables, counted: parsed once and kept for that long, as in a load."""
+    records = parsed(raw_lines(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = counts(loaded(records)).collect()  # a row for each table
+    finally:
+        records.unpersist()
+    return spark.createDataFrame(found, "table_name string, row_count bigint")
 
 
 @query("""
@@ -67,20 +73,20 @@ SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS created_at, CASE WHEN
        CASE WHEN o_orderkey % 3 = 0 THEN 'p' || (o_orderkey % 25) END AS place_id, CAST(o_orderkey % 100 AS INTEGER) AS retweet_count FROM orders""")
 def archive_tweets(spark, sf_dir):
     """The rows of the largest table after the load."""
-    return loaded(spark, sf_dir)["tweets"].select("id", "created_at", "full_text", "display_to", "lang", "source", "user_id", "in_reply_to_status_id", "quoted_status_id", "retweeted_status_id", "place_id", "retweet_count")
+    return loaded(parsed(raw_lines(spark, sf_dir)))["tweets"].select("id", "created_at", "full_text", "display_to", "lang", "source", "user_id", "in_reply_to_status_id", "quoted_status_id", "retweeted_status_id", "place_id", "retweet_count")
 
 
 @query("SELECT DISTINCT o_custkey AS id, 'u' || o_custkey AS screen_name, CASE WHEN o_custkey % 50 <> 0 THEN CAST(o_custkey * 10 AS INTEGER) END AS followers_count FROM orders")
 def archive_users(spark, sf_dir):
     """Users with counters, NULL where a counter is out of range."""
-    return loaded(spark, sf_dir)["users"].select("id", "screen_name", "followers_count")
+    return loaded(parsed(raw_lines(spark, sf_dir)))["users"].select("id", "screen_name", "followers_count")
 
 
 @query("""
 SELECT o_orderkey AS tweet_id, unnest(CASE WHEN o_orderkey % 4 = 0 THEN ['s' || o_orderkey, 't' || o_orderkey] ELSE ['s' || o_orderkey] END) AS url FROM orders WHERE o_orderkey % 2 = 0""")
 def archive_urls(spark, sf_dir):
     """Links, one for each tweet and target; the first of the line wins."""
-    return loaded(spark, sf_dir)["tweet_urls"].select("tweet_id", "url")
+    return loaded(parsed(raw_lines(spark, sf_dir)))["tweet_urls"].select("tweet_id", "url")
 
 
 @query("""
@@ -89,7 +95,7 @@ SELECT CAST(sum(CASE WHEN o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM order
        CAST(sum(CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS retweets_without_parent FROM orders o""")
 def archive_dangling(spark, sf_dir):
     """Replies, quotes and retweets of tweets that the archive lacks."""
-    return dangling_references(loaded(spark, sf_dir)["tweets"])
+    return dangling_references(loaded(parsed(raw_lines(spark, sf_dir)))["tweets"])
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT -1, 'Somebody new', NULL")

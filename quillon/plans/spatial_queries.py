@@ -140,19 +140,20 @@ SELECT n_nationkey, c_custkey, CAST(r1 - r0 AS DOUBLE) AS length, 'U' || n_natio
 def longest_road(spark, sf_dir):
     """The longest road that lies in each district, and the cadastral unit that holds the road's middle: one plan."""
     boxes = _boxes(spark, sf_dir)
-    inside = G.contains_polygons(boxes, _roads(spark, sf_dir), 8.0, "way", "road").select("n_nationkey", "c_custkey", "road", G.length(F.col("road")).alias("length"))
-    longest = R.distinct_on(inside, ["n_nationkey"], [R.desc("length"), R.asc("c_custkey")])
+    inside = G.contains_polygons(boxes, _roads(spark, sf_dir), 8.0, "way", "road")
     middle = G.centroid(F.col("road"))
-    longest = longest.select(F.col("n_nationkey").alias("district"), "c_custkey", "length", G.x(middle).alias("px"), G.y(middle).alias("py"))
-    b = G.bounds(F.col("way"))
-    half = (b["x0"] + b["x1"]) / 2
+    inside = inside.select(F.col("n_nationkey").alias("district"), "c_custkey", G.length(F.col("road")).alias("length"), G.x(middle).alias("px"), G.y(middle).alias("py"))
+    longest = R.distinct_on(inside, ["district"], [R.desc("length"), R.asc("c_custkey")])
+    n = _t(spark, sf_dir, "nation")
+    x0, y0 = F.col("n_nationkey") * 10, F.col("n_regionkey") * 5
+    x1, y1 = x0 + 4 + F.col("n_nationkey") % 3, y0 + 3 + F.col("n_nationkey") % 2
 
-    def unit(name, x0, x1):
-        ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, b["y0"]), (x1, b["y0"]), (x1, b["y1"]), (x0, b["y1"]), (x0, b["y0"]))])
+    def unit(name, left, right):
+        ring = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((left, y0), (right, y0), (right, y1), (left, y1), (left, y0))])
         way = F.struct(F.lit("POLYGON").alias("kind"), F.lit(5514).alias("srid"), F.array(F.array(ring)).alias("parts")).cast(G.GEOMETRY)
-        return boxes.select(F.concat(F.lit("U"), F.col("n_nationkey").cast("string"), F.lit(name)).alias("unit"), way.alias("way"))
+        return n.select(F.concat(F.lit("U"), F.col("n_nationkey").cast("string"), F.lit(name)).alias("unit"), way.alias("way"))
 
-    units = unit("a", b["x0"], half).union(unit("b", half, b["x1"]))
+    units = unit("a", x0, (x0 + x1) / 2).union(unit("b", (x0 + x1) / 2, x1))
     return G.contains_join(units, longest, 8.0).select(F.col("district").alias("n_nationkey"), "c_custkey", "length", "unit")
 
 
