@@ -180,4 +180,4 @@ def zone_around(spark, sf_dir):
     b = G.bounds(F.col("way"))
     corners = ((b["x0"] - 1, b["y0"] - 50), (b["x1"] + 50, b["y0"] - 50), (b["x1"] + 50, b["y1"] + 50), (b["x0"] - 1, b["y1"] + 50))
     land = F.struct(F.lit("POLYGON").alias("kind"), F.lit(5514).alias("srid"), F.array(F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]))).alias("parts")).cast(G.GEOMETRY)
-    return _boxes(spark, sf_dir).select("n_nationkey", F.round(G.zone_area(F.col("way"), 2.0, land, F.col("way")), 1).alias("zone"))
+    return _boxes(spark, sf_dir).select("n_nationkey", F.round(G.zone_area(F.col("way"), 2.0, land, F.col("way"), strips=512), 1).alias("zone"))
