@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from ..schemas import KEYS, REQUIRED, TABLES
 from ..sources.archive import parsed
 from .catalogue import _t, query
 from .etl import dangling_references
+from .etl import ingest as etl_ingest
+from .store import Store, shared
 
 
 def raw_lines(spark, sf_dir: str) -> DataFrame:
@@ -94,8 +98,33 @@ SELECT CAST(sum(CASE WHEN o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM order
        CAST(sum(CASE WHEN o_orderkey % 11 = 0 AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey = o.o_orderkey + 1) THEN 1 ELSE 0 END) AS BIGINT) AS quotes_without_parent,
        CAST(sum(CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS retweets_without_parent FROM orders o""")
 def archive_dangling(spark, sf_dir):
-    """Replies, quotes and retweets of tweets that the archive lacks."""
-    return dangling_references(loaded(parsed(raw_lines(spark, sf_dir)))["tweets"])
+    """Replies, quotes and retweets of tweets that the archive lacks. The lines are parsed and merged once; what is kept for the look-ups is four numbers a tweet."""
+    keys = loaded(parsed(raw_lines(spark, sf_dir)))["tweets"].select("id", "in_reply_to_status_id", "quoted_status_id", "retweeted_status_id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = dangling_references(keys).collect()  # one row
+    finally:
+        keys.unpersist()
+    return spark.createDataFrame(found, "replies_without_parent bigint, quotes_without_parent bigint, retweets_without_parent bigint")
+
+
+@query("""
+SELECT o_orderkey % 10 AS load_group, count(*) AS tweets, CAST(sum(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS of_first_load FROM orders GROUP BY 1""")
+def archive_two_loads(spark, sf_dir):
+    """A folder that is loaded, grows and is loaded again, the third load finding nothing: the first file has every fourth record, the second all of them."""
+    folder = f"{shared(spark)}/grows-{uuid.uuid4().hex}"
+    raw, store = raw_lines(spark, sf_dir).where("file = 'orders'").select("line", "value"), Store(spark, f"{folder}/store")
+
+    def put(rows):
+        rows.select("value").write.mode("append").option("compression", "gzip").text(f"{folder}/files")
+        return etl_ingest(spark, f"{folder}/files", store, pattern="*.txt.gz")
+
+    put(raw.where("line % 4 = 0"))
+    first = store.table("tweets").select("id").withColumn("early", F.lit(1))
+    put(raw)
+    again = etl_ingest(spark, f"{folder}/files", store, pattern="*.txt.gz")
+    assert not again["files"], "a third load finds no file that is new"
+    both = store.table("tweets").select("id").join(first, "id", "left")
+    return both.groupBy((F.col("id") % 10).alias("load_group")).agg(F.count("*").alias("tweets"), F.sum(F.coalesce("early", F.lit(0))).cast("bigint").alias("of_first_load"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT -1, 'Somebody new', NULL")
@@ -104,8 +133,8 @@ def insert_values(spark, sf_dir):
     return append_rows(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), [{"c_custkey": -1, "c_name": "Somebody new"}])
 
 
-@query("SELECT -1 AS c_custkey, true AS is_recent")
+@query("SELECT c_custkey, true AS is_recent FROM customer UNION ALL SELECT -1, true")
 def insert_now(spark, sf_dir):
-    """A row with the time of its load, read back: it is of the last hour."""
-    new = stamped(append_rows(_t(spark, sf_dir, "customer").select("c_custkey").limit(0), [{"c_custkey": -1}]))
+    """Rows with the time of their load, and one more: all are of the last hour."""
+    new = stamped(append_rows(_t(spark, sf_dir, "customer").select("c_custkey"), [{"c_custkey": -1}]))
     return new.select(F.col("c_custkey").cast("int").alias("c_custkey"), (F.col("created_at") > F.current_timestamp().cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")).alias("is_recent"))

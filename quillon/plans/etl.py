@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import platform
 import time
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,26 +13,34 @@ from pyspark.sql import functions as F
 from ..operators.flatten import coercion_losses, flatten
 from ..operators.relational import counts, dangling
 from ..schemas import REFERENCES, TABLES
-from ..sources.archive import accepted, lines, parsed, rejects
+from ..sources.archive import accepted, found, lines, parsed, rejects
 from .store import Store
 
 
 def ingest(spark: SparkSession, path: str, store: Store, batch: str | None = None, pattern: str = "*.jsonl.gz") -> dict:
-    """Loads the files that match as one batch: lines, rejected lines, values lost in coercion, rows added to each table, seconds and lines a second.
+    """Loads the files of a folder that the store has not seen as one batch: files, lines, rejected lines, values lost in coercion, rows added to each table, seconds and lines a second.
 
-    Records are parsed once and kept while the eight tables are merged. Malformed lines are counted, not fatal.
+    A file is known by path, length and time of change, so that a folder may grow, and a file that was written anew is read again; what it repeats adds nothing.
+    A batch that has a name is loaded once under it, with all files that match. Records are parsed once and kept while the eight tables are merged. Malformed lines are counted, not fatal.
     """
-    began = time.time()
-    records = parsed(lines(spark, path, pattern)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = records.count()
-        bad = rejects(records).count()
-        lost = coercion_losses(accepted(records)).first().asDict()
-        added = store.load(batch or path, flatten(records, placed=True))
-    finally:
-        records.unpersist()
+    began, n, bad, lost, added = time.time(), 0, 0, {}, dict.fromkeys(TABLES, 0)
+    known = batch is not None and any(b["id"] == batch for b in store.batches())
+    files = found(spark, path, pattern)
+    if batch is None:
+        files = store.unseen(files)
+    listed = [] if known else files.collect()  # a file that comes from now on is for the next load
+    if listed:
+        files = spark.createDataFrame(listed, files.schema)
+        records = parsed(lines(spark, [r.path for r in listed], None)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = records.count()
+            bad = rejects(records).count()
+            lost = coercion_losses(accepted(records)).first().asDict()
+            added = store.load(batch or f"{path}#{uuid.uuid4().hex}", flatten(records, placed=True), files=files)
+        finally:
+            records.unpersist()
     seconds = time.time() - began
-    return {"lines": n, "rejected": bad, "lost": lost, "added": added, "seconds": seconds, "lines_per_second": n / seconds}
+    return {"files": len(listed), "lines": n, "rejected": bad, "lost": lost, "added": added, "seconds": seconds, "lines_per_second": n / seconds}
 
 
 def table_counts(store: Store) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,17 @@ from ..operators.merge import new_rows
 from ..schemas import KEYS, REQUIRED, TABLES, struct
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only with a local master, where it may be unset, a temporary one takes its place."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 class Store:
     """Tables below a folder of any Hadoop file system. Each batch writes the new rows of each table below batch=<id>; a line of the manifest names it when all are there.
 
@@ -54,8 +66,13 @@ class Store:
             return self.spark.createDataFrame([], struct(name))
         return self.spark.read.schema(struct(name)).parquet(*paths)
 
-    def load(self, batch: str, tables: dict[str, DataFrame], nulls_distinct: bool = False) -> dict[str, int]:
-        """Adds the rows of a batch whose keys are new, and tells how many of each table; nothing if the batch was loaded before.
+    def unseen(self, files: DataFrame) -> DataFrame:
+        """Those of some files (path, length, changed) that no published batch was loaded from."""
+        paths = [f"{b['path']}/files" for b in self.batches() if b.get("files")]
+        return files.join(self.spark.read.schema(files.schema).parquet(*paths), files.columns, "left_anti") if paths else files
+
+    def load(self, batch: str, tables: dict[str, DataFrame], nulls_distinct: bool = False, files: DataFrame | None = None) -> dict[str, int]:
+        """Adds the rows of a batch whose keys are new, and tells how many of each table; nothing if the batch was loaded before. The files that it comes from are written beside it, for unseen().
 
         Of several rows of a key the first by file and line is kept where the tables say where rows come from (_at), else the first by all columns.
         """
@@ -69,7 +86,9 @@ class Store:
             fresh = new_rows(self.table(name, done) if done else None, tables[name], KEYS[name], REQUIRED[name], order, nulls_distinct)
             fresh.select(*struct(name).fieldNames()).write.parquet(f"{path}/{name}")
             added[name] = self.spark.read.schema(struct(name)).parquet(f"{path}/{name}").count()
-        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added})  # fails if another writer was faster
+        if files is not None:
+            files.write.parquet(f"{path}/files")
+        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added, "files": files is not None})  # fails if another writer was faster
         return added
 
     def compact(self, name: str, order: list[str], files: int, bloom: list[str] = ()) -> str:

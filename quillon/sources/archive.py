@@ -9,12 +9,19 @@ from ..functions.scalars import utf8_without_errors
 from ..schemas import RAW
 
 
-def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl.gz", partitions: int | None = None) -> DataFrame:
+def found(spark: SparkSession, path: str, pattern: str = "*.jsonl.gz") -> DataFrame:
+    """(path, length, changed) of the files that match; their contents are not read. A folder without any gives no rows."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("changed"))
+
+
+def lines(spark: SparkSession, path: str | list[str], pattern: str | None = "*.jsonl.gz", partitions: int | None = None) -> DataFrame:
     """(file, line, value): the lines of all files that match, blank ones left out; bytes that aren't UTF-8 vanish. line grows within a file.
 
     A gzip file is read by one task, so where there are fewer files than cores, or `partitions` is given, lines are dealt out again before they are parsed.
     """
-    files = spark.read.option("pathGlobFilter", pattern).text(path)
+    reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
+    files = reader.text(path)
     rows = files.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), utf8_without_errors(F.col("value")).alias("value")).where(F.trim("value") != "")
     cores = max(spark.sparkContext.defaultParallelism, 1)
     if partitions is None and len(files.inputFiles()) >= cores:

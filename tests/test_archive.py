@@ -128,6 +128,33 @@ def test_load_twice_and_overlap(spark, archive, tmp_path):
     assert etl.system_info(spark)["spark"] == spark.version
 
 
+def test_a_folder_that_grows(spark, tmp_path):
+    """Each load reads the files that it has not seen, under the default name: new ones, and those that changed."""
+    folder, store = tmp_path / "grows", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+
+    def put(name, ids):
+        with gzip.open(folder / name, "wt") as f:
+            f.write("".join(json.dumps({"id": i, "text": f"t{i}"}) + "\n" for i in ids))
+
+    def load():
+        told = etl.ingest(spark, str(folder), store)
+        return told["files"], told["lines"], told["added"]["tweets"], sorted(r.id for r in store.table("tweets").collect())
+
+    assert load() == (0, 0, 0, [])
+    put("a.jsonl.gz", [1, 2])
+    assert load() == (1, 2, 2, [1, 2])
+    put("b.jsonl.gz", [2, 3])
+    assert load() == (1, 2, 1, [1, 2, 3])
+    assert load() == (0, 0, 0, [1, 2, 3])
+    put("a.jsonl.gz", [1, 2, 4, 5])  # written anew
+    put("c.jsonl.gz", [])
+    assert load() == (2, 4, 2, [1, 2, 3, 4, 5])
+    assert load() == (0, 0, 0, [1, 2, 3, 4, 5])
+    assert len(store.batches()) == 3
+    assert etl.ingest(spark, str(folder), store, "named")["added"]["tweets"] == 0
+
+
 def test_undecodable_bytes_vanish(spark, archive, records):
     """Broken sequences go, replacement characters that are there stay."""
     assert {r.id: r.full_text for r in flatten(records)["tweets"].collect()}[6] == "bad  byte"
