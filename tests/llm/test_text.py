@@ -459,6 +459,73 @@ def test_items_of_every_length(spark):
     assert [tuple(r) for r in few.collect()] == [(12, 2, 1.0, 1.0, 1.0, 1)]
 
 
+def plain_pairs(docs, items, threshold=0.8, question=0.5, answer=0.5, least=8):
+    """contaminated() by its docstring: every passage of every text against every item."""
+    from collections import Counter
+    from math import log1p
+
+    items = [(i, t, terms(t)) for i, t in items if t is not None]
+    df, mean = Counter(t for _, _, w in items for t in set(w)), sum(len(w) for _, _, w in items) / max(1, len(items))
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    def overlap(part, words):
+        n = max(1, min(3, len(part)))
+        return len(grams(part, n) & grams(words, n)) / len(grams(part, n)) if part else 1.0
+
+    best = {}
+    for d, text in docs:
+        said = terms(text or "")
+        for i, t, w in items:
+            found = []
+            if 0 < len(w) < least:
+                found = [(1.0, 1.0, 1.0, -p) for p in range(len(said)) if said[p : p + len(w)] == w][:1]
+            elif w:
+                stride = 64
+                while stride < len(w):
+                    stride *= 2
+                weight = {x: log1p((len(items) - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in Counter(w).items()}
+                lines = [x for x in map(terms, t.splitlines()) if x]
+                q, a = (sum(lines[:-1], []), lines[-1]) if len(lines) > 1 else (w, [])
+                for lo, hi in [(0, stride), *((k * stride, (k + 2) * stride) for k in range(-(-len(said) // stride)))]:
+                    words = said[lo:hi]
+                    score = sum(v for x, v in weight.items() if x in set(words)) / sum(weight.values())
+                    if score >= threshold - 1e-9 and overlap(q, words) >= question and overlap(a, words) >= answer:
+                        found.append((round(score, 9), overlap(q, words), overlap(a, words), -lo))
+            if found:
+                best[d, i] = max([*found, *([best[d, i]] if (d, i) in best else [])])
+    return {(d, i, s, q, a, -b) for (d, i), (s, q, a, b) in best.items()}
+
+
+def test_decontamination_against_every_passage(spark, monkeypatch):
+    """The whole operator against brute force; the same for any size of groups and with a very long item beside the others, which have no say in an item's passages."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(90)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(i, say(rnd.choice([3, 7, 9, 15, 40, 63, 64, 65, 90, 130])) + rnd.choice(["", "\n" + say(4)])) for i in range(40)] + [(40, "? !"), (41, None), (None, say(12)), (3, say(20))]
+    docs = []
+    for d in range(40):
+        i, text = rnd.choice([x for x in items if x[1]])
+        lines = text.split("\n")
+        docs.append((d, rnd.choice([say(rnd.randint(0, 150)) + " " + text + " " + say(rnd.randint(0, 200)), lines[0] + " " + say(rnd.choice([10, 70, 2000])) + " " + lines[-1], " ".join(w for w in text.split() if rnd.random() < 0.9), say(300)])))
+    docs += [(100, None), (101, ""), (102, items[0][1] + " " + say(3000) + " " + items[1][1]), (5, docs[7][1]), (None, items[5][1])]
+    apart = [(200, f"far {say(40)}\nquite {say(6)}")]
+    split = apart[0][1].split("\n")
+    docs.append((103, split[0] + " " + say(2000) + " " + split[1]))  # question and answer 2000 words apart: no pair
+    long = [(300, " ".join(f"z{i % 4000}" for i in range(8000)))]
+
+    def got(bench):
+        found = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+        return {(r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap, r.passage) for r in found}
+
+    bench = items + apart
+    want = plain_pairs(docs, bench)
+    assert got(bench) == want and len(want) > 20 and not any(p[:2] == (103, 200) for p in want)
+    assert got(bench + long) == plain_pairs(docs, bench + long)
+    assert {p[:2] for p in got(bench + long)} == {p[:2] for p in want}
+    monkeypatch.setattr(decontamination, "INDEX_ITEMS", 5)
+    assert got(bench) == want
+
+
 def test_bounds_lose_nothing():
     """The search over blocks finds every pair that plain BM25 puts above the threshold."""
     from collections import Counter
@@ -467,7 +534,8 @@ def test_bounds_lose_nothing():
     words = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(8, 20)))) for i in range(50)]
     df = Counter(t for _, x in items for t in set(terms(x)))
-    index = decontamination.Index(items, df, len(items), sum(len(terms(x)) for _, x in items) / len(items), 0.6, 8)
+    full = [decontamination.Item(i, x, terms(x), {t: df[t] for t in terms(x)}) for i, x in items]
+    index = decontamination.Group(full, len(items), sum(len(x.words) for x in full) / len(items), 0.6, 8).indexes[0]
     pairs, expected = [], set()
     for p in range(80):
         have = {index.vocabulary[w] for w in set(rnd.choices(words, k=30)) if w in index.vocabulary}
