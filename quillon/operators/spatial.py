@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +13,25 @@ GEOMETRY = "STRUCT<kind: STRING, srid: INT, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: D
 _PARTS = "ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>"
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def from_wkt(c: Column, srid: int) -> Column:
     """A geometry from text; NULL if the kind is unknown or the text does not parse."""
     kind = F.upper(F.regexp_extract(c, r"^\s*(\w+)", 1))
     body = F.regexp_replace(F.regexp_replace(c, r"^\s*\w+\s*", ""), r"(-?[\d.]+(?:[eE][+-]?\d+)?)\s+(-?[\d.]+(?:[eE][+-]?\d+)?)", '{"x":$1,"y":$2}')
     text = F.translate(body, "()", "[]")
-    nested = F.when(kind.isin("POINT", "LINESTRING"), F.concat(F.lit("[["), text, F.lit("]]"))).when(kind == "POLYGON", F.concat(F.lit("["), text, F.lit("]"))).when(kind == "MULTIPOLYGON", text)
-    parts = F.from_json(nested, _PARTS)
-    many = F.transform(F.from_json(F.when(kind == "MULTILINESTRING", text), "ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"), lambda r: F.array(r))
-    parts = F.coalesce(parts, many)
-    bad = parts.isNull() | F.exists(F.flatten(F.flatten(parts)), lambda p: p["x"].isNull() | p["y"].isNull())
-    return F.when(~bad, F.struct(kind.alias("kind"), F.lit(srid).alias("srid"), parts.alias("parts")).cast(GEOMETRY))
+    nested = F.when(kind.isin("POINT", "LINESTRING"), F.concat(F.lit("[["), text, F.lit("]]"))).when(kind.isin("POLYGON", "MULTILINESTRING"), F.concat(F.lit("["), text, F.lit("]"))).when(kind == "MULTIPOLYGON", text)
+
+    def checked(parts: Column) -> Column:
+        bad = parts.isNull() | F.exists(F.flatten(F.flatten(parts)), lambda p: p["x"].isNull() | p["y"].isNull())
+        return F.when(~bad, F.struct(kind.alias("kind"), F.lit(srid).alias("srid"), parts.alias("parts")).cast(GEOMETRY))
+
+    # lines of several pieces are read as rings of one part, and become parts of their own
+    apart = lambda parts: F.when(kind == "MULTILINESTRING", F.transform(F.get(parts, F.lit(0)), lambda r: F.array(r))).otherwise(parts)
+    return _let(_let(F.from_json(nested, _PARTS), apart), checked)
 
 
 def _number(c: Column) -> Column:
@@ -152,27 +159,46 @@ def _all_edges(g: Column) -> Column:
     return F.flatten(F.transform(F.flatten(g["parts"]), lambda r: _edges(r)))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, however often what follows asks for it: a generator's output is not put in place of its name, as a projection's is."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def parsed_wkt(df: DataFrame, wkt: str, srid: int, name: str = "way") -> DataFrame:
+    """df with the geometry of a text column, parsed once a row."""
+    return once(df, name, from_wkt(F.col(wkt), srid))
+
+
+def _on_border(edges: Column, px: Column, py: Column) -> Column:
+    return F.exists(edges, lambda e: _on_edge(e, px, py))
+
+
 def on_boundary(g: Column, px: Column, py: Column) -> Column:
-    return F.exists(_all_edges(g), lambda e: _on_edge(e, px, py))
+    return _on_border(_all_edges(g), px, py)
 
 
-def _ray(g: Column, px: Column, py: Column) -> Column:
-    """Whether a ray to the right crosses the rings an odd number of times."""
+def _ray(edges: Column, px: Column, py: Column) -> Column:
+    """Whether a ray to the right crosses the edges an odd number of times."""
 
     def crosses(e):
         a, b = e["a"], e["b"]
         return ((a["y"] > py) != (b["y"] > py)) & ((_turn(a, b, px, py) > 0) == (b["y"] > a["y"]))
 
-    return F.aggregate(_all_edges(g), F.lit(False), lambda s, e: s != crosses(e))
+    return F.aggregate(edges, F.lit(False), lambda s, e: s != crosses(e))
+
+
+def inside_edges(edges: Column, px: Column, py: Column) -> Column:
+    """Whether a point lies inside the rings that edges make up; a point on an edge does not. Edges that don't reach the point's height may be left out."""
+    return _ray(edges, px, py) & ~_on_border(edges, px, py)
 
 
 def contains_point(g: Column, px: Column, py: Column) -> Column:
     """Whether a point lies inside a polygon; its boundary is not inside."""
-    return _ray(g, px, py) & ~on_boundary(g, px, py)
+    return _let(_all_edges(g), lambda e: inside_edges(e, px, py))
 
 
 def covers_point(g: Column, px: Column, py: Column) -> Column:
-    return _ray(g, px, py) | on_boundary(g, px, py)
+    return _let(_all_edges(g), lambda e: _ray(e, px, py) | _on_border(e, px, py))
 
 
 def _cross(e: Column, f: Column) -> Column:
@@ -191,13 +217,16 @@ def contains(a: Column, b: Column) -> Column:
 
     For a polygon b: its vertices and the middles of its edges are covered, no edges cross, and no vertex of a's rings lies inside b. A polygon contains itself.
     """
-    of_point = contains_point(a, x(b), y(b))
-    middles = F.transform(_all_edges(b), lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y")))
-    points = F.concat(F.flatten(F.flatten(b["parts"])), middles)
-    covered = F.forall(points, lambda p: covers_point(a, p["x"], p["y"]))
-    crossed = F.exists(_all_edges(b), lambda e: F.exists(_all_edges(a), lambda f: _cross(e, f)))
-    pierced = F.exists(F.flatten(F.flatten(a["parts"])), lambda p: contains_point(b, p["x"], p["y"]))
-    return F.when(b["kind"] == "POINT", of_point).otherwise(covered & ~crossed & ~pierced)
+    parts = F.struct(_all_edges(a).alias("a"), _all_edges(b).alias("b"), F.flatten(F.flatten(a["parts"])).alias("pa"), F.flatten(F.flatten(b["parts"])).alias("pb"))
+
+    def test(v: Column) -> Column:
+        middles = F.transform(v["b"], lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y")))
+        covered = F.forall(F.concat(v["pb"], middles), lambda p: _ray(v["a"], p["x"], p["y"]) | _on_border(v["a"], p["x"], p["y"]))
+        crossed = F.exists(v["b"], lambda e: F.exists(v["a"], lambda f: _cross(e, f)))
+        pierced = F.exists(v["pa"], lambda p: inside_edges(v["b"], p["x"], p["y"]))
+        return F.when(b["kind"] == "POINT", inside_edges(v["a"], x(b), y(b))).otherwise(covered & ~crossed & ~pierced)
+
+    return _let(parts, test)
 
 
 def outline(g: Column) -> Column:
@@ -208,7 +237,7 @@ def outline(g: Column) -> Column:
 
 def borders_meet(a: Column, b: Column) -> Column:
     """Whether the boundaries (or lines) of two geometries cross or touch."""
-    return F.exists(outline(a), lambda e: F.exists(outline(b), lambda f: _meet(e, f)))
+    return _let(outline(b), lambda edges: F.exists(outline(a), lambda e: F.exists(edges, lambda f: _meet(e, f))))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -228,11 +257,6 @@ def border_distance(g: Column, px: Column, py: Column) -> Column:
     return F.array_min(F.transform(_all_edges(g), lambda e: _to_segment(e, px, py)))
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _slab(at: Column, rate: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """From where to where at + t * rate lies between low and high; NULL if nowhere."""
     one, two = (low - at) / F.nullif(rate, F.lit(0.0)), (high - at) / F.nullif(rate, F.lit(0.0))
@@ -240,7 +264,7 @@ def _slab(at: Column, rate: Column, low: Column, high: Column) -> tuple[Column,
     return F.when(always, float("-inf")).otherwise(F.least(one, two)), F.when(always, float("inf")).otherwise(F.greatest(one, two))
 
 
-def _stretch(e: Column, s: Column, d: float) -> Column:
+def stretch(e: Column, s: Column, d: float) -> Column:
     """The part of an edge, from 0 at its start to 1 at its end, that lies within d of a segment: (lo, hi), or NULL.
 
     Those points form a convex set, two discs and the rectangle between them, so an edge runs through it in one stretch.
@@ -280,12 +304,17 @@ def _stretch(e: Column, s: Column, d: float) -> Column:
 def near_border(g: Column, other: Column, d: float) -> Column:
     """Whether all of a geometry's edges (or of a line) lie within d of the other's border, exactly: the stretches of an edge that lie within d of some segment must cover it."""
 
-    def covered(e: Column) -> Column:
-        parts = F.array_sort(F.filter(F.transform(outline(other), lambda s: _stretch(e, s, d)), lambda x: x.isNotNull()))
+    return _let(outline(other), lambda border: F.forall(outline(g), lambda e: covered(F.transform(border, lambda s: stretch(e, s, d)))))
+
+
+def covered(stretches: Column) -> Column:
+    """Whether the stretches of an edge cover it; NULLs among them are left out."""
+
+    def reaches(parts: Column) -> Column:
         reach = F.aggregate(parts, F.lit(0.0), lambda r, x: F.when(x["lo"] <= r + 1e-12, F.greatest(r, x["hi"])).otherwise(r))
-        return (F.size(parts) > 0) & (F.coalesce(F.get(parts, F.lit(0))["lo"], F.lit(1.0)) <= 1e-12) & (reach >= 1 - 1e-12)
+        return (F.size(parts) > 0) & (reach >= 1 - 1e-12)
 
-    return F.forall(outline(g), covered)
+    return _let(F.array_sort(F.filter(stretches, lambda x: x.isNotNull())), reaches)
 
 
 #: Fixed values of the public transformation between the two systems (EPSG 1623): shifts in metres, turns in seconds of arc, scale in millionths.
@@ -334,8 +363,67 @@ def krovak(lon: Column, lat: Column) -> tuple[Column, Column]:
     return -(r * F.sin(theta)), -(r * F.cos(theta))
 
 
+def from_krovak(e: Column, n: Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees on the Bessel ellipsoid of easting and northing (EPSG 5514): the cone and the sphere in closed form, then the latitude by fixed-point steps."""
+    a, f = BESSEL
+    ecc = math.sqrt(2 * f - f * f)
+    phi_c, lon_0, alpha, phi_p, k_p = *map(math.radians, (49.5, 24 + 50 / 60, 30 + 17 / 60 + 17.30311 / 3600, 78.5)), 0.9999
+    big_a = a * math.sqrt(1 - ecc * ecc) / (1 - (ecc * math.sin(phi_c)) ** 2)
+    b = math.sqrt(1 + ecc * ecc * math.cos(phi_c) ** 4 / (1 - ecc * ecc))
+    gamma = math.asin(math.sin(phi_c) / b)
+    t0 = math.tan(math.pi / 4 + gamma / 2) * ((1 + ecc * math.sin(phi_c)) / (1 - ecc * math.sin(phi_c))) ** (ecc * b / 2) / math.tan(math.pi / 4 + phi_c / 2) ** b
+    cone, r0 = math.sin(phi_p), k_p * big_a / math.tan(phi_p)
+    polar = F.struct(F.hypot(e, n).alias("r"), (F.atan2(-e, -n) / cone).alias("d"))
+
+    def sphere(p: Column) -> Column:
+        t = 2 * (F.atan(F.pow(F.lit(r0) / p["r"], F.lit(1 / cone)) * math.tan(math.pi / 4 + phi_p / 2)) - math.pi / 4)
+        return _let(t, lambda t: F.struct(F.asin(math.cos(alpha) * F.sin(t) - math.sin(alpha) * F.cos(t) * F.cos(p["d"])).alias("u"), t.alias("t"), p["d"].alias("d")))
+
+    def degrees(q: Column) -> Column:
+        v = F.asin(F.cos(q["t"]) * F.sin(q["d"]) / F.cos(q["u"]))
+        base = F.pow(F.tan(q["u"] / 2 + math.pi / 4) / t0, F.lit(1 / b))
+
+        def lat(base: Column) -> Column:
+            step = lambda phi, _: 2 * (F.atan(base * F.pow((1 + ecc * F.sin(phi)) / (1 - ecc * F.sin(phi)), F.lit(ecc / 2))) - math.pi / 4)
+            return F.aggregate(F.sequence(F.lit(1), F.lit(7)), q["u"], step)
+
+        return F.struct(F.degrees(F.lit(lon_0) - v / b).alias("lon"), F.degrees(_let(base, lat)).alias("lat"))
+
+    out = _let(_let(polar, sphere), degrees)
+    return out["lon"], out["lat"]
+
+
+def from_bessel(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Degrees of WGS 84 of degrees on the Bessel ellipsoid whose point of WGS 84 has height 0: the shift turned round, with the height that it needs found by fixed-point steps."""
+    (a, f), (bessel, g) = WGS84, BESSEL
+    e2, b2 = f * (2 - f), g * (2 - g)
+    inverse = np.linalg.inv(np.array(shift_matrix())).tolist()
+    lam, phi = F.radians(lon), F.radians(lat)
+    curve = bessel / F.sqrt(1 - b2 * F.sin(phi) * F.sin(phi))
+
+    def there(h: Column) -> list[Column]:
+        q = ((curve + h) * F.cos(phi) * F.cos(lam), (curve + h) * F.cos(phi) * F.sin(lam), (curve * (1 - b2) + h) * F.sin(phi))
+        return [row[0] * q[0] + row[1] * q[1] + row[2] * q[2] + s for row, s in zip(inverse, _SHIFT, strict=True)]
+
+    def placed(h: Column) -> Column:
+        """The point at a height above Bessel: longitude, latitude and height in WGS 84."""
+        x, y, z = there(h)
+
+        def up(c: Column) -> Column:
+            p, b = F.hypot(c["x"], c["y"]), a * (1 - f)
+            t = F.atan2(c["z"] * a, p * b)
+            lat = F.atan2(c["z"] + e2 / (1 - e2) * b * F.pow(F.sin(t), F.lit(3.0)), p - e2 * a * F.pow(F.cos(t), F.lit(3.0)))
+            return _let(lat, lambda v: F.struct(F.atan2(c["y"], c["x"]).alias("lon"), v.alias("lat"), (p * F.cos(v) + c["z"] * F.sin(v) - a * F.sqrt(1 - e2 * F.sin(v) * F.sin(v))).alias("h")))
+
+        return _let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), up)
+
+    height = F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(0.0), lambda h, _: h - placed(h)["h"])
+    out = _let(height, placed)
+    return F.degrees(out["lon"]), F.degrees(out["lat"])
+
+
 def transform(g: Column, srid: int) -> Column:
-    """The geometry in another system: 4326 to 5514, by the shift between their ellipsoids and the projection, or to its own; NULL for others."""
+    """The geometry in another system: 4326 to 5514 and back, by the shift between their ellipsoids and the projection, or to its own; NULL for others."""
 
     def moved(p):
         lon, lat = to_bessel(p["x"], p["y"])
@@ -346,9 +434,24 @@ def transform(g: Column, srid: int) -> Column:
 
         return _let(F.struct(lon.alias("lon"), lat.alias("lat")), projected)
 
-    parts = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, moved)))
-    projected = F.struct(g["kind"].alias("kind"), F.lit(srid).alias("srid"), parts.alias("parts")).cast(GEOMETRY)
-    return F.when(g["srid"] == srid, g).when((g["srid"] == 4326) & (F.lit(srid) == 5514), projected)
+    def back(p):
+        def unprojected(q):
+            lon, lat = from_bessel(q["lon"], q["lat"])
+            return F.struct(lon.alias("x"), lat.alias("y"))
+
+        lon, lat = from_krovak(p["x"], p["y"])
+        return _let(F.struct(lon.alias("lon"), lat.alias("lat")), unprojected)
+
+    def all_of(f):
+        parts = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, f)))
+        return F.struct(g["kind"].alias("kind"), F.lit(srid).alias("srid"), parts.alias("parts")).cast(GEOMETRY)
+
+    out = F.when(g["srid"] == srid, g)
+    if srid == 5514:
+        out = out.when(g["srid"] == 4326, all_of(moved))
+    if srid == 4326:
+        out = out.when(g["srid"] == 5514, all_of(back))
+    return out
 
 
 def geojson(g: Column, properties: Column) -> Column:
@@ -371,123 +474,3 @@ def geojson(g: Column, properties: Column) -> Column:
 def srid_of(df: DataFrame, column: str) -> DataFrame:
     """(srid): the systems of a geometry column's values, each once."""
     return df.select(F.col(column)["srid"].alias("srid")).where("srid IS NOT NULL").distinct()
-
-
-def _dealt(polygons: DataFrame, polygon: str, cell: float) -> tuple[DataFrame, list[int]]:
-    """polygons with _b (bounds), _l, _cx and _cy, and the levels that there are: cells double in size from level to level, and each polygon takes the level where it covers four cells at most."""
-    box = F.col("_b")
-    most = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
-    rows = polygons.withColumn("_b", bounds(F.col(polygon))).withColumn("_l", F.when(most > cell, F.ceil(F.log2(most / cell))).otherwise(0).cast("int")).where("_b IS NOT NULL")
-    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / _size(cell)), F.floor(hi / _size(cell))))
-    levels = sorted(r[0] for r in rows.select("_l").distinct().collect())  # as many as doublings between the smallest and the largest polygon
-    return rows.withColumn("_cx", grid(box["x0"], box["x1"])).withColumn("_cy", grid(box["y0"], box["y1"])), levels
-
-
-def _size(cell: float) -> Column:
-    return F.lit(cell) * F.pow(F.lit(2.0), F.col("_l"))
-
-
-def _placed(rows: DataFrame, x: Column, y: Column, levels: list[int], cell: float) -> DataFrame:
-    """rows with _l, _cx and _cy: the cell of a place at each level."""
-    each = rows.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
-    return each.withColumn("_cx", F.floor(x / _size(cell))).withColumn("_cy", F.floor(y / _size(cell)))
-
-
-def contains_join(polygons: DataFrame, points: DataFrame, cell: float, polygon: str = "way", px: str = "px", py: str = "py") -> DataFrame:
-    """Pairs of a polygon and a point inside it. Polygons are dealt into grid cells by their bounding boxes and meet the points of the cell in an equi-join; `cell` is the side of the smallest cells.
-
-    A large polygon takes larger cells, so that none has more than four rows, and a point has one for each size of cells that is there.
-    """
-    dealt, levels = _dealt(polygons, polygon, cell)
-    placed = _placed(points, F.col(px), F.col(py), levels, cell)
-    inside = F.col(px).between(F.col("_b.x0"), F.col("_b.x1")) & F.col(py).between(F.col("_b.y0"), F.col("_b.y1"))
-    # what the columns stand for is worked out once for each pair, however often the test looks at it
-    holds = _let(F.struct(F.col(polygon).alias("g"), F.col(px).alias("x"), F.col(py).alias("y")), lambda v: contains_point(v["g"], v["x"], v["y"]))
-    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(inside & holds).drop("_b", "_l", "_cx", "_cy")
-
-
-def contains_polygons(outer: DataFrame, inner: DataFrame, cell: float, a: str = "way", b: str = "inner") -> DataFrame:
-    """Pairs of an outer polygon and a geometry that it contains, by the same grid: what is inside has the lower left corner of its bounding box there, so it stands in one cell of each size."""
-    dealt, levels = _dealt(outer, a, cell)
-    boxes = inner.withColumn("_i", bounds(F.col(b))).where("_i IS NOT NULL")
-    placed = _placed(boxes, F.col("_i.x0"), F.col("_i.y0"), levels, cell)
-    fits = (F.col("_b.x0") <= F.col("_i.x0")) & (F.col("_b.y0") <= F.col("_i.y0")) & (F.col("_b.x1") >= F.col("_i.x1")) & (F.col("_b.y1") >= F.col("_i.y1"))
-    holds = _let(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), lambda v: contains(v["a"], v["b"]))
-    return dealt.join(placed, ["_l", "_cx", "_cy"]).where(fits & holds).drop("_b", "_i", "_l", "_cx", "_cy")
-
-
-def _sides(geometry: dict | None) -> np.ndarray:
-    """(ax, ay, bx, by) of all edges of a polygon's rings."""
-    rings = [[(p["x"], p["y"]) for p in r] for part in (geometry["parts"] if geometry else []) for r in part]
-    return np.array([(*p, *q) for r in rings for p, q in zip(r, r[1:] + r[:1], strict=True)], np.float64).reshape(-1, 4)
-
-
-def _inside(e: np.ndarray, y: float) -> np.ndarray:
-    """From where to where a level line is inside a polygon."""
-    cut = e[(e[:, 1] > y) != (e[:, 3] > y)]
-    return np.sort(cut[:, 0] + (y - cut[:, 1]) * (cut[:, 2] - cut[:, 0]) / (cut[:, 3] - cut[:, 1])).reshape(-1, 2)
-
-
-def _beside(e: np.ndarray, y: float, d: float) -> np.ndarray:
-    """From where to where a level line is within d of each edge."""
-    lo, hi = np.full(len(e), np.inf), np.full(len(e), -np.inf)
-
-    def take(on: np.ndarray, x: np.ndarray) -> None:
-        lo[on], hi[on] = np.minimum(lo[on], x), np.maximum(hi[on], x)
-
-    for x, at in ((e[:, 0], e[:, 1]), (e[:, 2], e[:, 3])):
-        on = np.abs(y - at) <= d
-        r = np.sqrt(d * d - (y - at[on]) ** 2)
-        take(on, x[on] - r)
-        take(on, x[on] + r)
-    n = np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1])
-    n[n == 0] = 1
-    for side in (-d, d):
-        dx, dy = -(e[:, 3] - e[:, 1]) / n * side, (e[:, 2] - e[:, 0]) / n * side
-        one, two = e[:, 1] + dy, e[:, 3] + dy
-        on = (one - y) * (two - y) <= 0
-        on &= one != two
-        t = (y - one[on]) / (two[on] - one[on])
-        take(on, e[on, 0] + dx[on] + t * (e[on, 2] - e[on, 0]))
-    return np.stack([lo, hi], axis=1)[lo <= hi]
-
-
-def _covers(parts: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.sort(parts[:, 0]), x, side="right") > np.searchsorted(np.sort(parts[:, 1]), x, side="left")
-
-
-def zone_area(g: Column, d: float, within: Column | None = None, without: Column | None = None, strips: int = 4096) -> Column:
-    """The area of what lies within d of a polygon, inside another one and outside a third, where they are given: buffer, intersection and difference in one.
-
-    Along each of about `strips` level lines the lengths are exact; between lines they are taken as even, but no corner lies between the borders of a strip, so the error falls with the
-    strips' height faster than in proportion, and is largest where round borders end. NULL for a NULL geometry; an Arrow function of whole columns, as no expression sweeps a line.
-    """
-
-    @F.arrow_udf("double")
-    def area_of(core: pa.Array, inside: pa.Array, outside: pa.Array) -> pa.Array:
-        out = []
-        for c, i, o in zip(core.to_pylist(), inside.to_pylist(), outside.to_pylist(), strict=True):
-            if c is None:
-                out.append(None)
-                continue
-            e, inner, outer = _sides(c), _sides(i), _sides(o)
-            low, high = e[:, [1, 3]].min() - d, e[:, [1, 3]].max() + d
-            # no corner and no end of a round border lies inside a strip
-            corners = np.concatenate([e[:, 1], e[:, 1] - d, e[:, 1] + d, inner[:, 1], outer[:, 1]])
-            corners = np.unique(np.clip(corners, low, high))
-            each = np.maximum(1, np.ceil(np.diff(corners) / (high - low) * strips)).astype(int)
-            total = 0.0
-            steps = np.repeat(np.diff(corners) / each, each)
-            for y, step in zip((np.concatenate([[0], np.cumsum(steps)[:-1]]) + low + steps / 2).tolist(), steps.tolist(), strict=True):
-                zone, there, gone = np.concatenate([_beside(e, y, d), _inside(e, y)]), _inside(inner, y), _inside(outer, y)
-                ends = np.unique(np.concatenate([zone.ravel(), there.ravel(), gone.ravel()]))
-                middle = (ends[1:] + ends[:-1]) / 2
-                on = _covers(zone, middle) & ~_covers(gone, middle)
-                if i is not None:
-                    on &= _covers(there, middle)
-                total += float(np.diff(ends)[on].sum()) * step
-            out.append(total)
-        return pa.array(out, pa.float64())
-
-    none = F.lit(None).cast(GEOMETRY)
-    return area_of(g, none if within is None else within, none if without is None else without)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import relational as R
 from ..operators import spatial as G
+from ..operators import spatial_joins as J
 from ..operators.merge import insert_ignore, upsert_greatest
 from ..operators.search import search, trigram_search, trigram_table
 
@@ -350,7 +351,7 @@ def _boxes(spark, sf_dir):
     x1, y1 = x0 + 4 + F.col("n_nationkey") % 3, y0 + 3 + F.col("n_nationkey") % 2
     pair = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
     wkt = F.concat(F.lit("POLYGON(("), F.concat_ws(",", pair(x0, y0), pair(x1, y0), pair(x1, y1), pair(x0, y1), pair(x0, y0)), F.lit("))"))
-    return n.select("n_nationkey", "n_name", wkt.alias("wkt")).withColumn("way", G.from_wkt(F.col("wkt"), 5514))
+    return n.select("n_nationkey", "n_name", wkt.alias("wkt")).transform(G.parsed_wkt, "wkt", 5514)
 
 
 _BOX = "SELECT n_nationkey, n_name, n_nationkey * 10 AS x0, n_regionkey * 5 AS y0, n_nationkey * 10 + 4 + n_nationkey % 3 AS x1, n_regionkey * 5 + 3 + n_nationkey % 2 AS y1 FROM nation"
@@ -388,30 +389,27 @@ WITH p AS (SELECT c_custkey, c_custkey % 250 + 0.5 AS px, (c_custkey * 7) % 25 +
 SELECT n_nationkey, c_custkey FROM ({_BOX}) b JOIN p ON px > x0 AND px < x1 AND py > y0 AND py < y1""")
 def pip_join(spark, sf_dir):
     points = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 250 + 0.5).alias("px"), ((F.col("c_custkey") * 7) % 25 + 0.5).alias("py"))
-    return G.contains_join(_boxes(spark, sf_dir), points, 5.0).select("n_nationkey", "c_custkey")
+    return J.contains_join(_boxes(spark, sf_dir), points, 5.0).select("n_nationkey", "c_custkey")
 
 
 @query(f"SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM ({_BOX}) a, ({_BOX}) b WHERE a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 UNION ALL SELECT n_nationkey, -1 FROM ({_BOX}) WHERE x0 <= 20 AND x1 >= 21 AND y0 <= 6 AND y1 >= 7")
 def polygon_contains(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).select("n_nationkey", "way")
     inner = boxes.select(F.col("n_nationkey").alias("b_key"), F.col("way").alias("inner"))
-    pairs = G.contains_polygons(boxes, inner, 8.0, "way", "inner").select(F.col("n_nationkey").alias("a_key"), "b_key")
+    pairs = J.contains_polygons(boxes, inner, 8.0, "way", "inner").select(F.col("n_nationkey").alias("a_key"), "b_key")
     small = G.from_wkt(F.lit("POLYGON((20 6,21 6,21 7,20 7,20 6))"), 5514)
     return pairs.union(boxes.where(G.contains(F.col("way"), small)).select("n_nationkey", F.lit(-1)))
 
 
-@query("SELECT * FROM (SELECT 1 AS id WHERE false)")
+@query(f"""
+WITH p AS (SELECT s_suppkey, s_suppkey % 250 AS px, (s_suppkey * 7) % 25 AS py FROM supplier)
+SELECT n_nationkey, s_suppkey, px > x0 AND px < x1 AND py > y0 AND py < y1 AS inside FROM ({_BOX}) JOIN p ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1""")
 def published_point_in_polygon(spark, sf_dir):
-    """The published example claims that the point lies inside; by its own numbers it doesn't."""
-    area = G.from_wkt(F.lit("POLYGON((17.12145 48.15983,17.12165 48.15983,17.12165 48.16003,17.12145 48.16003,17.12145 48.15983))"), 4326)
-    return spark.range(1).select(F.lit(1).alias("id")).where(G.contains(area, G.point(F.lit(17.1211), F.lit(48.1601), 4326)))
-
-
-@query("SELECT CAST(1050538.6 AS DOUBLE) AS southing, CAST(568991.0 AS DOUBLE) AS westing")
-def krovak_point(spark, sf_dir):
-    """The worked example of the projection's public specification, to a decimetre."""
-    e, n = G.krovak(F.lit(16 + 50 / 60 + 59.179 / 3600), F.lit(50 + 12 / 60 + 32.442 / 3600))
-    return spark.range(1).select(F.round(-n, 1).alias("southing"), F.round(-e, 1).alias("westing"))
+    """Points in a polygon or on its border, where many land: on the border is not inside."""
+    px, py = F.col("s_suppkey") % 250, (F.col("s_suppkey") * 7) % 25
+    points = _t(spark, sf_dir, "supplier").select("s_suppkey", G.point(px, py, 5514).alias("p"))
+    pairs = J.overlapping(_boxes(spark, sf_dir).select("n_nationkey", "way"), points, "way", "p", 8.0)
+    return pairs.select("l.n_nationkey", "r.s_suppkey", G.contains(F.col("l.way"), F.col("r.p")).alias("inside"))
 
 
 @query(f"SELECT n_nationkey, (x1 - x0) * (y1 - y0) AS area FROM ({_BOX}) ORDER BY 2, 1 LIMIT 1")

@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import overlay as O
 from ..operators import relational as R
 from ..operators import spatial as G
+from ..operators import spatial_joins as J
 from ..operators.merge import append_rows
 from .catalogue import _BOX, _boxes, _t, query
 
@@ -95,21 +97,44 @@ def distance_by_name(spark, sf_dir):
     return both.select("s_name", F.round(G.distance(F.col("way"), F.col("here")), 2).alias("distance_m"))
 
 
-@query("SELECT 'My house' AS name, 'POLYGON((17.12145 48.16003,17.12165 48.16003,17.12165 48.15983,17.12145 48.15983,17.12145 48.16003))' AS wkt")
+@query(f"""
+SELECT n_name AS name, 'POLYGON((' || x0 || ' ' || y0 || ',' || x1 || ' ' || y0 || ',' || x1 || ' ' || y1 || ',' || x0 || ' ' || y1 || ',' || x0 || ' ' || y0 || '))' AS wkt FROM ({_BOX})
+UNION ALL SELECT 'Garden', 'POLYGON((301 2,302 2,302.5 3,301 2))'""")
 def insert_polygon(spark, sf_dir):
-    """A polygon added to the regions by its text and read back."""
-    rows = _degrees(spark, sf_dir).select(F.col("n_name").alias("name"), "way")
-    new = append_rows(spark.createDataFrame([], "name string, wkt string"), [{"name": "My house", "wkt": "POLYGON((17.12145 48.16003,17.12165 48.16003,17.12165 48.15983,17.12145 48.15983,17.12145 48.16003))"}])
-    both = rows.unionByName(new.select("name", G.from_wkt(F.col("wkt"), 4326).alias("way")))
-    return both.where("name = 'My house'").select("name", G.as_wkt(F.col("way")).alias("wkt"))
+    """A polygon added to the regions by its text, and all of them read back."""
+    rows = _boxes(spark, sf_dir).select(F.col("n_name").alias("name"), "wkt")
+    both = append_rows(rows, [{"name": "Garden", "wkt": "POLYGON((301 2,302 2,302.5 3,301 2))"}])
+    return G.parsed_wkt(both, "wkt", 5514).select("name", G.as_wkt(F.col("way")).alias("wkt"))
 
 
-@query("SELECT 'My location' AS name, 'POINT(17.1211 48.1601)' AS wkt, 4326 AS srid")
+@query("SELECT s_name AS name, 'POINT(' || s_suppkey || ' ' || s_nationkey || ')' AS wkt, 4326 AS srid FROM supplier UNION ALL SELECT 'Bench', 'POINT(-3.5 7)', 4326")
 def insert_point(spark, sf_dir):
-    """A point made of two numbers, given a system and read back."""
-    places = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), G.point(F.col("s_acctbal"), F.col("s_nationkey"), 4326).alias("way"))
-    mine = spark.range(1).select(F.lit("My location").alias("name"), G.set_srid(G.point(F.lit(17.1211), F.lit(48.1601), 0), 4326).alias("way"))
-    return places.unionByName(mine).where("name = 'My location'").select("name", G.as_wkt(F.col("way")).alias("wkt"), F.col("way.srid").alias("srid"))
+    """A point made of two numbers, given a system and added to the others, and all of them read back."""
+    places = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), G.point(F.col("s_suppkey"), F.col("s_nationkey"), 4326).alias("way"))
+    mine = spark.range(1).select(F.lit("Bench").alias("name"), G.set_srid(G.point(F.lit(-3.5), F.lit(7), 0), 4326).alias("way"))
+    return places.unionByName(mine).select("name", G.as_wkt(F.col("way")).alias("wkt"), F.col("way.srid").alias("srid"))
+
+
+@query(f"""
+SELECT n_nationkey, round(-n, 1) AS southing, round(-e, 1) AS westing FROM ({projected_sql(_CORNERS + " WHERE k = 0")})
+UNION ALL SELECT -1, 1050538.6::DOUBLE, 568991.0::DOUBLE""")
+def krovak_point(spark, sf_dir):
+    """A corner of each region in metres of the projection, and, under -1, the worked example of its public specification, on the ellipsoid, to a decimetre."""
+    way = _degrees(spark, sf_dir).select("n_nationkey", G.transform(G.point(G.x(F.col("way")), G.y(F.col("way")), 4326), 5514).alias("p"))
+    corner = way.select("n_nationkey", F.round(-G.y(F.col("p")), 1).alias("southing"), F.round(-G.x(F.col("p")), 1).alias("westing"))
+    e, n = G.krovak(F.lit(16 + 50 / 60 + 59.179 / 3600), F.lit(50 + 12 / 60 + 32.442 / 3600))
+    return corner.unionByName(spark.range(1).select(F.lit(-1).alias("n_nationkey"), F.round(-n, 1).alias("southing"), F.round(-e, 1).alias("westing")))
+
+
+@query(f"SELECT n_nationkey, round(lon, 7) AS lon, round(lat, 7) AS lat, true AS same FROM ({_CORNERS})")
+def there_and_back(spark, sf_dir):
+    """Corners of regions in metres of the projection, and back in degrees: the same to a millimetre."""
+    way = _degrees(spark, sf_dir)
+    corner = F.explode(F.slice(F.get(F.get("way.parts", F.lit(0)), F.lit(0)), 1, 4))
+    points = way.select("n_nationkey", corner.alias("c")).select("n_nationkey", "c", G.point(F.col("c.x"), F.col("c.y"), 4326).alias("p"))
+    back = G.once(G.once(points, "m", G.transform(F.col("p"), 5514)), "b", G.transform(F.col("m"), 4326))
+    x, y = G.x(F.col("b")), G.y(F.col("b"))
+    return back.select("n_nationkey", F.round(x, 7).alias("lon"), F.round(y, 7).alias("lat"), ((F.abs(x - F.col("c.x")) < 1e-8) & (F.abs(y - F.col("c.y")) < 1e-8)).alias("same"))
 
 
 _RING = "'[[[' || x0::DOUBLE || ',' || y0::DOUBLE || '],[' || x1::DOUBLE || ',' || y0::DOUBLE || '],[' || x1::DOUBLE || ',' || y1::DOUBLE || '],[' || x0::DOUBLE || ',' || y1::DOUBLE || '],[' || x0::DOUBLE || ',' || y0::DOUBLE || ']]]'"
@@ -140,9 +165,9 @@ SELECT n_nationkey, c_custkey, CAST(r1 - r0 AS DOUBLE) AS length, 'U' || n_natio
 def longest_road(spark, sf_dir):
     """The longest road that lies in each district, and the cadastral unit that holds the road's middle: one plan."""
     boxes = _boxes(spark, sf_dir)
-    inside = G.contains_polygons(boxes, _roads(spark, sf_dir), 8.0, "way", "road")
-    middle = G.centroid(F.col("road"))
-    inside = inside.select(F.col("n_nationkey").alias("district"), "c_custkey", G.length(F.col("road")).alias("length"), G.x(middle).alias("px"), G.y(middle).alias("py"))
+    inside = J.contains_polygons(boxes, _roads(spark, sf_dir), 8.0, "way", "road")
+    inside = G.once(inside, "middle", G.centroid(F.col("road")))
+    inside = inside.select(F.col("n_nationkey").alias("district"), "c_custkey", G.length(F.col("road")).alias("length"), G.x(F.col("middle")).alias("px"), G.y(F.col("middle")).alias("py"))
     longest = R.distinct_on(inside, ["district"], [R.desc("length"), R.asc("c_custkey")])
     n = _t(spark, sf_dir, "nation")
     x0, y0 = F.col("n_nationkey") * 10, F.col("n_regionkey") * 5
@@ -154,30 +179,57 @@ def longest_road(spark, sf_dir):
         return n.select(F.concat(F.lit("U"), F.col("n_nationkey").cast("string"), F.lit(name)).alias("unit"), way.alias("way"))
 
     units = unit("a", x0, (x0 + x1) / 2).union(unit("b", (x0 + x1) / 2, x1))
-    return G.contains_join(units, longest, 8.0).select(F.col("district").alias("n_nationkey"), "c_custkey", "length", "unit")
+    return J.contains_join(units, longest, 8.0).select(F.col("district").alias("n_nationkey"), "c_custkey", "length", "unit")
 
 
-@query(f"SELECT n_nationkey, c_custkey FROM ({_BOX}) JOIN ({_ROADS}) ON ry > y0 AND ry < y1 AND ((r0 < x0 AND r1 > x0) OR (r0 < x1 AND r1 > x1)) WHERE n_nationkey IN (3, 7)")
+@query(f"SELECT n_nationkey, c_custkey FROM ({_BOX}) JOIN ({_ROADS}) ON ry > y0 AND ry < y1 AND ((r0 < x0 AND r1 > x0) OR (r0 < x1 AND r1 > x1))")
 def roads_across_border(spark, sf_dir):
-    """Roads that cross or touch the border of two districts."""
-    few = _boxes(spark, sf_dir).where("n_nationkey IN (3, 7)")  # two districts are what the question names
-    return few.join(_roads(spark, sf_dir), G.borders_meet(F.col("way"), F.col("road"))).select("n_nationkey", "c_custkey")
+    """Roads that cross or touch the border of a district, for all districts."""
+    return J.meeting(_boxes(spark, sf_dir), _roads(spark, sf_dir), "n_nationkey", "c_custkey", "way", "road", 4.0)
 
 
-@query(f"SELECT n_nationkey, c_custkey FROM ({_BOX}) JOIN ({_ROADS}) ON r0 >= x0 AND r1 <= x1 AND (abs(ry - y0) <= 2 OR abs(ry - y1) <= 2) WHERE n_nationkey IN (3, 7)")
+@query(f"SELECT n_nationkey, c_custkey FROM ({_BOX}) JOIN ({_ROADS}) ON r0 >= x0 AND r1 <= x1 AND (abs(ry - y0) <= 2 OR abs(ry - y1) <= 2)")
 def roads_near_border(spark, sf_dir):
-    """Roads above, below or inside two districts, between their left and right borders, that lie within 2 of the border as a whole."""
-    few = _boxes(spark, sf_dir).where("n_nationkey IN (3, 7)")
-    b, r = G.bounds(F.col("way")), G.bounds(F.col("road"))
-    flat = F.struct(F.lit("MULTILINESTRING").alias("kind"), F.lit(5514).alias("srid"), F.array(*[F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x in (b["x0"], b["x1"])])) for y in (b["y0"], b["y1"])]).alias("parts")).cast(G.GEOMETRY)
-    between = (r["x0"] >= b["x0"]) & (r["x1"] <= b["x1"])
-    return few.join(_roads(spark, sf_dir), between & G.near_border(F.col("road"), flat, 2.0)).select("n_nationkey", "c_custkey")
+    """Roads above, below or inside a district, between its left and right borders, that lie within 2 of the upper or lower one as a whole, for all districts."""
+    boxes, roads = G.once(_boxes(spark, sf_dir), "b", G.bounds(F.col("way"))), G.once(_roads(spark, sf_dir), "r", G.bounds(F.col("road")))
+    level = lambda y: F.array(F.array(*[F.struct(F.col(f"b.{x}").alias("x"), F.col(f"b.{y}").alias("y")) for x in ("x0", "x1")]))
+    flat = F.struct(F.lit("MULTILINESTRING").alias("kind"), F.lit(5514).alias("srid"), F.array(level("y0"), level("y1")).alias("parts")).cast(G.GEOMETRY)
+    near = J.lying_near(roads, G.once(boxes, "flat", flat), "c_custkey", "n_nationkey", "road", "flat", 2.0, 4.0)
+    both = near.join(boxes.select("n_nationkey", "b"), "n_nationkey").join(roads.select("c_custkey", "r"), "c_custkey")
+    return both.where("r.x0 >= b.x0 AND r.x1 <= b.x1").select("n_nationkey", "c_custkey")
+
+
+_SEGMENT = "(16 * 2 * sin(radians(7.5)) / 2 - sqrt(3) / 2)"
 
 
-@query(f"SELECT n_nationkey, CAST(round(4 * ((x1 - x0) + (y1 - y0)) + 4 * pi() - (y1 - y0) - 2 * (pi() - sqrt(3) / 2 - pi() / 3), 1) AS DOUBLE) AS zone FROM ({_BOX})")
+@query(f"SELECT n_nationkey, CAST(round(4 * ((x1 - x0) + (y1 - y0)) + 48 * 2 * sin(radians(7.5)) - (y1 - y0) - 2 * {_SEGMENT}, 4) AS DOUBLE) AS zone, 2 AS rings, x0 - 1 AS x0, x1 + 2 AS x1 FROM ({_BOX})")
 def zone_around(spark, sf_dir):
-    """The zone within 2 of a district, without the district, and not beyond a line 1 to its left: buffer, difference and intersection."""
-    b = G.bounds(F.col("way"))
-    corners = ((b["x0"] - 1, b["y0"] - 50), (b["x1"] + 50, b["y0"] - 50), (b["x1"] + 50, b["y1"] + 50), (b["x0"] - 1, b["y1"] + 50))
-    land = F.struct(F.lit("POLYGON").alias("kind"), F.lit(5514).alias("srid"), F.array(F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]))).alias("parts")).cast(G.GEOMETRY)
-    return _boxes(spark, sf_dir).select("n_nationkey", F.round(G.zone_area(F.col("way"), 2.0, land, F.col("way"), strips=512), 1).alias("zone"))
+    """The zone within 2 of a district, without the district, and not beyond a line 1 to its left, as polygons: buffer, difference and intersection. Round corners have 12 chords a quarter."""
+    rows = G.once(_boxes(spark, sf_dir), "b", G.bounds(F.col("way")))
+    x0, y0, x1, y1 = F.col("b.x0") - 1, F.col("b.y0") - 50, F.col("b.x1") + 50, F.col("b.y1") + 50
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    land = F.struct(F.lit("POLYGON").alias("kind"), F.lit(5514).alias("srid"), F.array(F.array(ring)).alias("parts")).cast(G.GEOMETRY)
+    zones = G.once(O.zone(G.once(rows, "land", land), "n_nationkey", "way", 2.0, "land", "way", 12, 5514), "b", G.bounds(F.col("way")))
+    return zones.select(F.col("key").alias("n_nationkey"), F.round(G.area(F.col("way")), 4).alias("zone"), F.size(F.flatten("way.parts")).alias("rings"), F.col("b.x0").cast("int").alias("x0"), F.col("b.x1").cast("int").alias("x1"))
+
+
+_PLOTS = "SELECT s_suppkey, s_suppkey % 250 + 0.25 AS u0, s_suppkey % 250 + 2.25 + s_suppkey % 3 AS u1, (s_suppkey * 7) % 25 + 0.25 AS v0, (s_suppkey * 7) % 25 + 2.25 AS v1 FROM supplier"
+
+
+@query(f"""
+SELECT n_nationkey, s_suppkey, shared, (u1 - u0) * (v1 - v0) - shared AS rest, CASE WHEN shared = 0 THEN 0 ELSE 1 END AS pieces FROM (
+  SELECT *, CAST(greatest(0, least(u1, x1) - greatest(u0, x0)) * greatest(0, least(v1, y1) - greatest(v0, y0)) AS DOUBLE) AS shared FROM ({_BOX}) JOIN ({_PLOTS.replace("+ 0.25", "+ 0.25::DOUBLE").replace("+ 2.25", "+ 2.25::DOUBLE")})
+  ON u0 <= x1 AND x0 <= u1 AND v0 <= y1 AND y0 <= v1)""")
+def overlay_plots(spark, sf_dir):
+    """Plots that reach into a district: what they share with it and what is left of them, as polygons."""
+    u0, v0 = F.col("s_suppkey") % 250 + 0.25, (F.col("s_suppkey") * 7) % 25 + 0.25
+    u1, v1 = u0 + 2 + F.col("s_suppkey") % 3, v0 + 2
+    ring = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((u0, v0), (u1, v0), (u1, v1), (u0, v1), (u0, v0))])
+    plot = F.struct(F.lit("POLYGON").alias("kind"), F.lit(5514).alias("srid"), F.array(F.array(ring)).alias("parts")).cast(G.GEOMETRY)
+    plots = G.once(_t(spark, sf_dir, "supplier").select("s_suppkey"), "plot", plot)
+    pairs = J.overlapping(_boxes(spark, sf_dir).select("n_nationkey", "way"), plots, "way", "plot", 4.0)
+    pairs = pairs.select(F.struct("l.n_nationkey", "r.s_suppkey").alias("pair"), "r.plot", "l.way")
+    shared, rest = O.intersection(pairs, "pair", "plot", "way", 5514), O.difference(pairs, "pair", "plot", "way", 5514)
+    area = lambda df, name: df.select("key", F.round(G.area(F.col("way")), 6).alias(name), F.size("way.parts").alias(f"{name}_pieces"))
+    both = area(shared, "shared").join(area(rest, "rest"), "key")
+    return both.select("key.n_nationkey", "key.s_suppkey", "shared", "rest", F.col("shared_pieces").alias("pieces"))
