@@ -1,12 +1,15 @@
-"""Substring search by scan, or by a trigram table that names candidates."""
+"""Substring search by scan, or by stored trigram postings that name candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trigrams
 
+#: Ids of one row of postings, and grams of a search text that are asked for: the rarest.
+CHUNK, ASKED = 65_536, 4
+
 
 def search(df: DataFrame, column: str, text: str, kind: str = "contains", ignore_case: bool = False) -> DataFrame:
     """Rows whose column contains, starts or ends with a text. Without ignore_case the predicate reaches the Parquet scan; with it, only the end in question is lowered."""
@@ -30,3 +33,62 @@ def trigram_search(df: DataFrame, id_col: str, column: str, grams: DataFrame, te
         return search(df, column, text, kind, ignore_case)
     found = grams.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select(F.col("id").alias("_id"))
     return search(df.join(found, F.col(id_col) == F.col("_id"), "left_semi"), column, text, kind, ignore_case)
+
+
+class TrigramIndex:
+    """Postings of lower-case trigrams below a folder: for each gram the ids of the texts that hold it, in rows of CHUNK ids at most, sorted by gram so that a search reads the row groups of its own grams alone.
+
+    Each batch of texts has a folder of its own, which is written once. Ids are sorted and delta-coded.
+    """
+
+    ROWS = "gram string, n bigint, ids array<bigint>"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def batches(self) -> list[str]:
+        """The folders of the batches that are complete."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = lambda s: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        return [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and done(s)] if fs.exists(p) else []
+
+    def add(self, batch: str, df: DataFrame, id_col: str, column: str) -> None:
+        """Writes the postings of a batch, unless they are there: one shuffle of (gram, id), summed up where the texts are read. Ids are whole numbers; NULL texts have no grams."""
+        path = f"{self.root}/{batch}"
+        if any(b.rpartition("/")[2] == batch for b in self.batches()):
+            return
+        rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).alias("t"))
+        chunks = max(1, -(-rows.count() // CHUNK))
+        each = rows.select("id", F.explode(trigrams(F.lower("t"))).alias("gram"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
+        lists = each.groupBy("gram", "chunk").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("gram", F.size("ids").cast("bigint").alias("n"), "ids", "chunk")
+        files = max(1, -(-chunks // 16))
+        options = {"compression": "zstd", "parquet.block.size": 1 << 20, "parquet.page.size": 64 << 10, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+        lists.repartitionByRange(files, "gram", "chunk").sortWithinPartitions("gram", "chunk").drop("chunk").write.options(**options).mode("overwrite").parquet(path)
+
+    def postings(self) -> DataFrame:
+        paths = self.batches()
+        return self.spark.read.schema(self.ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], self.ROWS)
+
+    def candidates(self, text: str) -> DataFrame | None:
+        """(id) of the texts that hold the rarest trigrams of a text, and a few others; None if the text has none, so that all texts are candidates.
+
+        The counts of the grams are read first, without ids; then the ids of the rarest, which are met in rising order of their counts.
+        """
+        wanted = sorted({text.lower()[i : i + 3] for i in range(len(text.lower()) - 2)})
+        if not wanted:
+            return None
+        rows = self.postings().where(F.col("gram").isin(wanted))
+        many = {r.gram: r.n for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row for each gram of the search text
+        if len(many) < len(wanted):
+            return rows.select(F.explode("ids").alias("id")).where("false")
+        rare = sorted(many, key=lambda g: (many[g], g))[:ASKED]
+        ids = rows.where(F.col("gram").isin(rare)).select(F.explode("ids").alias("id"))
+        return ids.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= len(rare)).select("id")
+
+    def search(self, df: DataFrame, id_col: str, column: str, text: str, kind: str = "contains", ignore_case: bool = True) -> DataFrame:
+        """search() over the candidates alone. The rows of df must have been added, and an id that stands in several of them is looked at in each."""
+        found = self.candidates(text)
+        if found is not None:
+            df = df.join(found.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left_semi")
+        return search(df, column, text, kind, ignore_case)

@@ -12,7 +12,8 @@ from ..operators import relational as R
 from ..operators import spatial as G
 from ..operators import spatial_joins as J
 from ..operators.merge import insert_ignore, upsert_greatest
-from ..operators.search import search, trigram_search, trigram_table
+from ..operators.search import TrigramIndex, search
+from .store import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,16 +56,32 @@ def contains_ci(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(F.col("text").ilike("%the%")).select("doc_id", "source")
 
 
+def _text_index(spark, sf_dir, table, key, column) -> TrigramIndex:
+    """The stored postings of a table's column, below the shared folder. The first query over some files writes them, all later ones, of other applications too, find them there."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/{table}.parquet").select("path", "length", "modificationTime")
+    mark = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0]
+    index = TrigramIndex(spark, f"{shared(spark)}/trigrams/{table}.{column}")
+    index.root += f".{mark}"
+    index.add("all", _t(spark, sf_dir, table), key, column)
+    return index
+
+
 @query("SELECT doc_id FROM documents WHERE text ILIKE '%license%'")
 def contains_trigram(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    return trigram_search(docs, "doc_id", "text", trigram_table(docs, "doc_id", "text"), "license").select("doc_id")
+    return _text_index(spark, sf_dir, "documents", "doc_id", "text").search(_t(spark, sf_dir, "documents"), "doc_id", "text", "license").select("doc_id")
 
 
 @query("SELECT page_id, url FROM pages WHERE url ILIKE '%casino%'")
 def contains_trigram_url(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages")
-    return trigram_search(pages, "page_id", "url", trigram_table(pages, "page_id", "url"), "Casino").select("page_id", "url")
+    return _text_index(spark, sf_dir, "pages", "page_id", "url").search(_t(spark, sf_dir, "pages"), "page_id", "url", "Casino").select("page_id", "url")
+
+
+@query("""
+SELECT gram, count(*) AS n, sum(page_id)::BIGINT AS ids FROM (SELECT DISTINCT page_id, unnest(list_transform(range(1, length(url) - 1), lambda i: substring(lower(url), i, 3))) AS gram FROM pages) GROUP BY gram""")
+def trigram_postings(spark, sf_dir):
+    """The stored postings themselves: how many texts hold each gram, and the sum of their ids."""
+    rows = _text_index(spark, sf_dir, "pages", "page_id", "url").postings()
+    return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, i: s + i)).alias("ids"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE text LIKE 'The %'")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import new_rows
+from ..operators.search import TrigramIndex
 from ..schemas import KEYS, REQUIRED, TABLES, struct
 
 
@@ -91,6 +92,17 @@ class Store:
         self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added, "files": files is not None})  # fails if another writer was faster
         return added
 
+    def text_index(self, name: str, column: str, key: str = "id") -> TrigramIndex:
+        """The trigram postings of a text column, brought up to date: batches that have none get theirs, the others are not read."""
+        index = TrigramIndex(self.spark, f"{self.root}/trigrams/{name}.{column}")
+        for b in self.batches():
+            index.add(b["path"].rpartition("/")[2], self.table(name, [b]), key, column)
+        return index
+
+    def find_text(self, name: str, column: str, text: str, kind: str = "contains", ignore_case: bool = True, key: str = "id") -> DataFrame:
+        """Rows of a table whose text column holds a text, by the postings."""
+        return self.text_index(name, column, key).search(self.table(name), key, column, text, kind, ignore_case)
+
     def compact(self, name: str, order: list[str], files: int, bloom: list[str] = ()) -> str:
         """Rewrites a table clustered by columns, with Parquet bloom filters for look-ups, and gives its path: what an index is elsewhere."""
         path = f"{self.root}/clustered/{name}-{uuid.uuid4().hex}"

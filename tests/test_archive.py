@@ -108,6 +108,7 @@ def test_load_twice_and_overlap(spark, archive, tmp_path):
     assert etl.ingest(spark, str(archive), store, "b", "b.jsonl.gz")["added"]["tweets"] == 1
     assert {r.table_name: r.row_count for r in etl.table_counts(store).collect()}["tweets"] == 8
     assert etl.dangling_references(store.table("tweets")).first() == Row(replies_without_parent=1, quotes_without_parent=0, retweets_without_parent=1)
+    assert rows(store.find_text("tweets", "full_text", "ELLO W").select("id")) == [(1,)] and len(store.text_index("tweets", "full_text").batches()) == 3
     assert {(r.child, r.reference): r.dangling for r in etl.foreign_key_audit(store).collect()}[("tweet_urls", "tweet_id")] == 0
     path = store.compact("tweets", ["user_id", "created_at"], 2, bloom=["quoted_status_id"])
     found = layout.footers(spark, path)

@@ -6,7 +6,9 @@ from quillon.operators import relational as R
 from quillon.operators import spatial as G
 from quillon.operators import spatial_joins as J
 from quillon.operators.merge import append_rows, insert_ignore, upsert_greatest
+from quillon.operators import search as S
 from quillon.operators.search import search, trigram_search, trigram_table
+from quillon.plans.layout import pushed_filters
 
 
 def vals(df):
@@ -68,6 +70,25 @@ def test_search(spark):
     assert vals(search(df, "t", "GATE", "suffix", ignore_case=True).select("id")) == [(2,)]
 
 
+def test_stored_postings(spark, tmp_path, monkeypatch):
+    """Two batches, one of them twice, in rows of few ids: the same as by a scan, from row groups of the search's own grams."""
+    rnd = random.Random(2)
+    texts = [(i, None if i % 40 == 7 else "".join(rnd.choice("abcAB é") for _ in range(rnd.randint(0, 30)))) for i in range(300)] + [(5, "abcabc"), (None, "abcabc")]
+    df = spark.createDataFrame(texts, "i bigint, t string")
+    monkeypatch.setattr(S, "CHUNK", 16)
+    index = S.TrigramIndex(spark, str(tmp_path / "grams"))
+    assert index.search(df, "i", "t", "abc").count() == 0
+    for batch, rows in (("a", df.where("i < 150 OR i IS NULL")), ("b", df.where("i >= 150")), ("a", df)):
+        index.add(batch, rows, "i", "t")
+    assert len(index.batches()) == 2 and index.postings().agg(F.max("n")).first()[0] < 60
+    for text in ("abc", "ABCA", "bca b", "zzz", "é", "", " é ", "caBabc"):
+        for kind in ("contains", "prefix", "suffix"):
+            for ignore in (True, False):
+                want = search(df.where("i IS NOT NULL OR length(lower(%r)) < 3" % text), "t", text, kind, ignore)
+                assert vals(index.search(df, "i", "t", text, kind, ignore)) == vals(want), (text, kind)
+    assert any("In(gram" in f for f in pushed_filters(index.candidates("abca")))
+
+
 def geo(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", G.from_wkt(F.col("t"), 5514).alias("g"))
 
