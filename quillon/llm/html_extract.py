@@ -1,4 +1,4 @@
-"""HTML extraction: a page as flat text blocks, each kept or dropped by a decision tree over its words and links and those of its neighbours."""
+"""HTML extraction: a page as flat text blocks, each kept or dropped by a decision tree over its words and links, those of its neighbours, and the share of the page's words around it."""
 
 from __future__ import annotations
 
@@ -29,36 +29,44 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements whose purpose is passed on to what they hold.
 HOLDER = frozenset("article aside body details dialog div dl fieldset figure footer form head header html main menu nav ol section span table ul".split())
 MAIN, SIDE = frozenset("article main".split()), frozenset("aside dialog footer form head menu nav fieldset".split())
-#: Parts of class names, ids and roles that mark what is not the article.
+#: Parts of class names, ids and roles that tell of what stands beside an article, whole sentences too ...
 MARKS = frozenset(
-    "ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer "
-    "form gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond replies reply search share sharing sidebar sidenav signup social sponsor sponsored "
-    "subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr modal "
+    "newsletter notice notices popup promo promoted promotion related replies reply respond sidebar sidenav sponsor sponsored widget widgets".split()
 )
+#: ... and those of what is there to click or to fill in, which prose does not belong to.
+TOOLS = frozenset("dialog form login menu nav navbar navigation pager pagination search share sharing signup social subscribe subscription tags toolbar topbar".split())
 TOP = frozenset("header masthead heading".split())
 #: Parts that say nothing of a purpose.
 NEUTRAL = frozenset("a area article bar big block body bottom box button buttons col column container content entry group inner item items left link links list main outer page panel post right row section small the top wrap wrapper".split())
-#: marks: how much of a class name around the block marks what is not the article, from 0 to 1; a hint that words and links can outweigh.
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "marks", "page_has_article", "heading")
+#: Blocks from which on what holds them is a group.
+GROUP = 3
+#: own_share, group_share, article_share: how much of the page's unlinked words, but those of aside, the nearest element, the nearest one of GROUP blocks, and the article element around a block hold. aside: 1 in a hidden element or
+#: one for menus, forms, footers and the like; such blocks go in any case, and the tree decides of the others. marks, tools: how much of a class name around the block is among MARKS and TOOLS, from 0 to 1: hints that words and links can outweigh.
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "own_share", "group_share", "article_share", "aside", "marks", "tools", "heading")
+
+ASIDE = FEATURES.index("aside")
 
 
 class _Holder:
-    __slots__ = ("name", "article", "marks")
+    __slots__ = ("name", "above", "article", "aside", "marks", "tools", "plain", "count", "group")
 
     def __init__(self, name: str, attrs: str, above: _Holder | None):
         values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
-        self.name = name
-        inside = above.article if above else False
-        self.article = inside or name in MAIN or values.get("role") == "main" or "articlebody" in values.get("itemprop", "").lower()
+        self.name, self.above, self.plain, self.count, self.group = name, above, 0, 0, self
+        inside = above.article if above else None
+        is_main = name in MAIN or values.get("role") == "main" or "articlebody" in values.get("itemprop", "").lower()
+        self.article = inside or (self if is_main else None)
         words = MARKS if inside else MARKS | TOP
-        own = max((_share(token, words) for k in ("class", "id", "role") for token in values.get(k, "").split()), default=0.0)
-        if name in SIDE or (name == "header" and not inside):
-            own = 1.0
+        tokens = [t for k in ("class", "id", "role") for t in values.get(k, "").split()]
+        marks = max((_share(t, words) for t in tokens), default=0.0)
+        tools = max((_share(t, TOOLS) for t in tokens), default=0.0)
         hidden = "display:none" in values.get("style", "").replace(" ", "").lower() or values.get("aria-hidden") == "true" or re.search(r"(^|\s)hidden(\s|$|/)", attrs) is not None
         # a page or an article is not a part beside itself, whatever its class says, unless it is a comment and no more
-        if name in ("html", "body") or (name in MAIN and own < 1):
-            own = 0.0
-        self.marks = max(above.marks if above else 0.0, 1.0 if hidden else own)
+        if name in ("html", "body") or (name in MAIN and marks < 1):
+            marks = tools = 0.0
+        self.aside = (above.aside if above else False) or hidden or name in SIDE or (name == "header" and not inside)
+        self.marks, self.tools = max(above.marks if above else 0.0, marks), max(above.tools if above else 0.0, tools)
 
 
 def _share(token: str, words: frozenset[str]) -> float:
@@ -74,11 +82,13 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     and so is what follows a raw-text element without an end tag.
     """
     stack = [_Holder("html", "", None)]
+    holders = stack[:]
     texts: list[str] = []
     rows: list[list[float]] = []
+    where: list[_Holder] = []
     held: list[str] = []
     linked = words_linked = 0
-    heading = has_article = False
+    heading = False
     at, end = 0, len(page)
     opened: Counter = Counter()
     ends: dict[str, int] = {}
@@ -91,7 +101,10 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if text:
                 n = text.count(" ") + 1
                 texts.append(text)
-                rows.append([n, min(1.0, words_linked / n), stack[-1].article, stack[-1].marks, heading])
+                rows.append([n, min(1.0, words_linked / n), heading])
+                where.append(stack[-1])
+                stack[-1].plain += 0 if stack[-1].aside else max(0, n - words_linked)
+                stack[-1].count += 1
             held, words_linked = [], 0
 
     def say(raw: str) -> None:
@@ -156,7 +169,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if name[:1] == "h" and name[1:].isdigit():
                 heading = False
             if name in HOLDER and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)):
-                if name == "span" and stack[i].marks != stack[i - 1].marks:
+                if name == "span" and (stack[i].marks, stack[i].tools) != (stack[i - 1].marks, stack[i - 1].tools):
                     flush()
                 del stack[i:]
             continue
@@ -186,16 +199,25 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if name == "body":
                 del stack[1:]  # an open head ends here
             holder = _Holder(name, m["attrs"], stack[-1])
-            has_article |= holder.article
-            if name != "span" or holder.marks != stack[-1].marks:
+            if name != "span" or holder.marks != stack[-1].marks or holder.tools != stack[-1].tools:
                 flush()
             stack.append(holder)
+            holders.append(holder)
     flush()
     if not rows:
         return [], np.zeros((0, len(FEATURES)))
+    # elements come after those that hold them: sums go up in reverse, groups down
+    for h in reversed(holders[1:]):
+        h.above.plain += h.plain
+        h.above.count += h.count
+    for h in holders[1:]:
+        if h.count < GROUP or h.name in ("body", "span"):
+            h.group = h.above.group
+    whole = max(1, holders[0].plain)
     own = np.array(rows, np.float64)
     beside = np.concatenate([np.zeros((1, 2)), own[:, :2], np.zeros((1, 2))])
-    return texts, np.column_stack([own[:, :2], beside[:-2], beside[2:], own[:, 2:4], np.full(len(own), has_article), own[:, 4]])
+    around = [(h.plain / whole, h.group.plain / whole, h.article.plain / whole if h.article else 0.0, h.aside, h.marks, h.tools) for h in where]
+    return texts, np.column_stack([own[:, :2], beside[:-2], beside[2:], np.array(around, np.float64), own[:, 2]])
 
 
 def _closes(page: str, name: str, at: int, ends: dict[str, int]) -> bool:
@@ -207,15 +229,13 @@ def _closes(page: str, name: str, at: int, ends: dict[str, int]) -> bool:
 
 
 class Tree:
-    """A binary decision tree grown by Gini impurity. root: the feature of the first test, if it is given."""
+    """A binary decision tree grown by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, root: int | None = None):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 18):
         self.share = float(y.mean()) if len(y) else 0.0
         self.feature = -1
         best = len(y) * self.share * (1 - self.share) - 1e-9
-        if root is not None:
-            self.feature, self.cut = root, 0.5
-        elif depth and best > 0:
+        if depth and best > 0:
             for f in range(x.shape[1]):
                 values = np.unique(x[:, f])
                 for cut in (values[1:] + values[:-1]) / 2:
@@ -241,22 +261,24 @@ class Tree:
         return out
 
 
-def trained(pages: list[tuple[str, list[str]]] = PAGES) -> Tree:
-    """The tree for labelled pages: each with the texts of its blocks that belong to the article. Pages that say by an element where their article is are learnt apart from those that don't."""
+def trained(pages: list[tuple[str, list[str]]] = PAGES, without: tuple[str, ...] = ()) -> Tree:
+    """The tree for labelled pages: each with the texts of its blocks that belong to the article. Features named in `without` are not asked."""
     xs, ys = [], []
     for page, wanted in pages:
         texts, x = blocks(page)
         missing = set(wanted) - set(texts)
         if missing:
             raise ValueError(f"labelled blocks that are not in their page: {missing}")
-        xs.append(x)
-        ys.append(np.array([t in wanted for t in texts], np.float64))
-    return Tree(np.concatenate(xs), np.concatenate(ys), root=FEATURES.index("page_has_article"))
+        xs.append(x[x[:, ASIDE] == 0])
+        ys.append(np.array([t in wanted for t in texts], np.float64)[x[:, ASIDE] == 0])
+    x = np.concatenate(xs)
+    x[:, [FEATURES.index(f) for f in without]] = 0
+    return Tree(x, np.concatenate(ys))
 
 
 def main_text(page: str, tree: Tree) -> str:
     texts, x = blocks(page)
-    keep = tree.accepts(x) if texts else []
+    keep = tree.accepts(x) & (x[:, ASIDE] == 0) if texts else []
     return " ".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
