@@ -38,6 +38,8 @@ PAGES = [
     ("<body><ul><li><a href='/a'>Apples</a></li><li><a href='/b'>Bread and butter</a></li></ul><p><a href='/c'>All goods of this shop in one list</a></p></body>", []),
     (f"<body><div class='top-nav'><p>{_THIRD}</p></div><p>{_MORE}</p><p>{_LONG} {_MID}</p><div id='reader-comments'><p>{_FOURTH}</p></div></body>", [_THIRD, _MORE, f"{_LONG} {_MID}"]),
     (f"<body><p>{_LINKED}</p><p>{_MORE}</p><div id='comments'><p>{_FOURTH}</p></div></body>", [_LINKED, _MORE]),
+    (f"<article><div class='social-history'><p>{_LONG}</p></div><div class='comments'><p>{_MORE}</p></div></article>", [_LONG]),
+    (f"<body><article><h1>Mills</h1><p>{_THIRD}</p><p>{_LINKED}</p><div class='comments'><p>{_FOURTH}</p></div></article></body>", ["Mills", _THIRD, _LINKED]),
     ("<body><p>Yes</p></body>", ["Yes"]),
     ("<body><p>Yes</p><p>No, not at all</p></body>", ["Yes", "No, not at all"]),
     ("<body><nav>Menu</nav><article>Yes<div class='comments'>No</div><aside>Left</aside>Well</article><footer>End</footer></body>", ["Yes", "Well"]),
@@ -104,7 +106,7 @@ _ARTICLES = [
     (f"<article><h1>Prices</h1><p>{_THIRD}</p><ul><li><a href='/1'>Grain</a></li><li><a href='/2'>Salt and oil</a></li><li><a href='/3'>All prices of the week</a></li></ul><p>{_LONG}</p></article>", ["Prices", _THIRD, _LONG]),
     ("<article><h1>A hard frost</h1><p>A hard frost came.</p></article>", ["A hard frost", "A hard frost came."]),
     (f"<article><h1>Ice</h1>{_paragraphs(_run(5))}</article>", ["Ice", *_run(5)]),
-    (f"<article>{_paragraphs(_run(9))}<p>So.</p>{_paragraphs(_run(2, 'Then '))}<p>It was over by noon.</p><p>No.</p></article>", [*_run(9), "So.", *_run(2, "Then "), "It was over by noon.", "No."]),
+    (f"<article>{_paragraphs(_run(9))}<p>So.</p>{_paragraphs(_run(2, 'Then '))}<p>It was over by noon.</p><p>Nobody.</p></article>", [*_run(9), "So.", *_run(2, "Then "), "It was over by noon.", "Nobody."]),
     (f"<article><h1>A wet year</h1>{_paragraphs(_run(40))}<p>{_SHORT}</p><p>Yes.</p>{_paragraphs(_run(2, 'Then '))}<p>And then it was over for that year.</p></article>", ["A wet year", *_run(40), _SHORT, "Yes.", *_run(2, "Then "), "And then it was over for that year."]),
     (f"<article>{_paragraphs(_run(24))}<section><h2>Later</h2>{_paragraphs(_run(3, 'Later '))}</section></article>", [*_run(24), "Later", *_run(3, "Later ")]),
     (f"<article><h1>Fish</h1><p>{_LONG}</p><p>{_MORE}</p><form class='search'><p>Look for fish</p></form><div class='tags'><a href='/f'>fish</a> <a href='/r'>river</a></div></article>", ["Fish", _LONG, _MORE]),
