@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import discard, stored
 from quillon.llm.decontamination import without_items
 from quillon.llm.language_id import UNKNOWN, held_out, learn, predict
 from quillon.llm.line_dedup import remove_repeated_lines
@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids."""
-    return pack_documents(docs, vocabulary_path())
+    """Sequences of at most 2048 ids: the ids of each piece, its sequence and its place there."""
+    return pack_documents(docs, vocabulary_path(), keep_ids=True)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
@@ -48,9 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, now = stage(spark, docs, sf_dir), []
         if k + 1 < len(STAGES):
-            docs = stored(docs, name)
+            docs = stored(docs, name, now)
+        discard(spark, before)  # the stage before has been read in whole: the last one, too, has written its pieces
+        before = now
     return docs

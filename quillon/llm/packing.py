@@ -17,6 +17,8 @@ from .tokens import WordEncoder, vocabulary_path
 
 #: Pieces that are packed together: the more, the less is lost in the bins that stay open at the end.
 TOGETHER = 150_000
+#: Ids of such a part where rows carry their ids: 64 MB.
+TOGETHER_IDS = 16 << 20
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -103,7 +105,7 @@ def settled(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
 def packed(rows: DataFrame, capacity: int) -> DataFrame:
     """rows (with length, 1 to capacity, and doc_id, piece) with sequence_id and offset: gapless from 0 in each sequence. rows must be a stored table, whose rows keep their order.
 
-    Rows are dealt by their places in the table into parts of about TOGETHER, so that equal or null ids are spread too, and each part is packed by itself, longest first.
+    Rows are dealt by their places in the table into parts of about TOGETHER, and of TOGETHER_IDS ids where they carry them, so that equal or null ids are spread too, and each part is packed by itself, longest first.
     A part loses the gaps of a few bins at most, whatever the input is. Equal rows are packed as often as they are there; no rows give none.
     """
     ship(rows.sparkSession)
@@ -122,6 +124,8 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
         yield from t.combine_chunks().to_batches(max_chunksize=20_000)
 
     n = parts_for(rows.count(), TOGETHER, 1)
+    if "ids" in names:
+        n = max(n, parts_for(rows.agg(F.sum("length")).first()[0] or 0, TOGETHER_IDS, 1))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint, offset bigint"
     return rows.repartition(n, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))).select(*names).mapInArrow(pack, schema)
 
