@@ -81,17 +81,34 @@ class Store:
         if any(b["id"] == batch for b in done):
             return dict.fromkeys(TABLES, 0)
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        added = {}
+        added, bounds = {}, {}
         for name in TABLES:
             order = [F.col("_at")] if "_at" in tables[name].columns else None
-            fresh = new_rows(self.table(name, done) if done else None, tables[name], KEYS[name], REQUIRED[name], order, nulls_distinct)
-            fresh.select(*struct(name).fieldNames()).write.parquet(f"{path}/{name}")
-            added[name] = self.spark.read.schema(struct(name)).parquet(f"{path}/{name}").count()
+            old = self.touched(name, done, tables[name])
+            fresh = new_rows(self.table(name, old) if old else None, tables[name], KEYS[name], REQUIRED[name], order, nulls_distinct)
+            options = {f"parquet.bloom.filter.enabled#{REQUIRED[name][0]}": "true"}
+            fresh.select(*struct(name).fieldNames()).write.options(**options).parquet(f"{path}/{name}")
+            lead = F.col(REQUIRED[name][0])
+            added[name], *bounds[name] = self.spark.read.schema(struct(name)).parquet(f"{path}/{name}").agg(F.count("*"), F.min(lead), F.max(lead)).first()
         if files is not None:
             files.write.parquet(f"{path}/files")
-        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added, "files": files is not None})  # fails if another writer was faster
+        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added, "bounds": bounds, "files": files is not None})  # fails if another writer was faster
         return added
 
+    def touched(self, name: str, batches: list[dict], staged: DataFrame) -> list[dict]:
+        """The batches that may hold a key of some staged rows: those whose bounds of the first key column, which the manifest has, meet the staged ones. The others are not read in a load.
+
+        Ids grow with time, so a load meets the few batches of its own time, however many there are.
+        """
+        known = [b for b in batches if b["added"].get(name)]
+        if not known:
+            return []
+        lead = F.col(REQUIRED[name][0])
+        low, high = staged.agg(F.min(lead), F.max(lead)).first()
+        if low is None:
+            return []
+        return [b for b in known if not b.get("bounds", {}).get(name) or (b["bounds"][name][0] <= high and low <= b["bounds"][name][1])]
+
     def text_index(self, name: str, column: str, key: str = "id") -> TrigramIndex:
         """The trigram postings of a text column, brought up to date: batches that have none get theirs, the others are not read."""
         index = TrigramIndex(self.spark, f"{self.root}/trigrams/{name}.{column}")

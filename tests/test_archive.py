@@ -156,6 +156,27 @@ def test_a_folder_that_grows(spark, tmp_path):
     assert etl.ingest(spark, str(folder), store, "named")["added"]["tweets"] == 0
 
 
+def test_a_load_reads_the_batches_of_its_keys(spark, tmp_path, monkeypatch):
+    """Five batches of ids that grow, then rows of the last, of two and of all of them: what is read does not grow with the number of batches, and what is added is the same as without bounds."""
+    store, folder, read = Store(spark, str(tmp_path / "store")), tmp_path / "in", []
+    folder.mkdir()
+
+    def load(name, ids):
+        with gzip.open(folder / f"{name}.jsonl.gz", "wt") as f:
+            f.write("".join(json.dumps({"id": i, "text": f"t{i}"}) + "\n" for i in ids))
+        read.clear()
+        return etl.ingest(spark, str(folder), store)["added"]["tweets"]
+
+    plain = Store.table
+    monkeypatch.setattr(Store, "table", lambda self, name, batches=None: (read.append(len(batches)) if name == "tweets" and batches is not None else None) or plain(self, name, batches))
+    for k in range(5):
+        assert load(f"a{k}", range(100 * k, 100 * k + 20)) == 20 and read == []
+    assert load("b", range(400, 430)) == 10 and read == [1]
+    assert load("c", range(110, 205)) == 80 and read == [2]
+    assert load("d", [0, 5000, 219]) == 1 and read == [7]
+    assert store.table("tweets").count() == store.table("tweets").select("id").distinct().count() == 5 * 20 + 10 + 80 + 1
+
+
 def test_undecodable_bytes_vanish(spark, archive, records):
     """Broken sequences go, replacement characters that are there stay."""
     assert {r.id: r.full_text for r in flatten(records)["tweets"].collect()}[6] == "bad  byte"
