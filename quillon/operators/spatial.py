@@ -23,6 +23,11 @@ def from_wkt(c: Column, srid: int) -> Column:
     kind = F.upper(F.regexp_extract(c, r"^\s*(\w+)", 1))
     body = F.regexp_replace(F.regexp_replace(c, r"^\s*\w+\s*", ""), r"(-?[\d.]+(?:[eE][+-]?\d+)?)\s+(-?[\d.]+(?:[eE][+-]?\d+)?)", '{"x":$1,"y":$2}')
     text = F.translate(body, "()", "[]")
+    return _geometry(kind, text, srid)
+
+
+def _geometry(kind: Column, text: Column, srid: int) -> Column:
+    """A geometry from its kind and its points, as objects in nested JSON arrays; NULL if they don't fit."""
     nested = F.when(kind.isin("POINT", "LINESTRING"), F.concat(F.lit("[["), text, F.lit("]]"))).when(kind.isin("POLYGON", "MULTILINESTRING"), F.concat(F.lit("["), text, F.lit("]"))).when(kind == "MULTIPOLYGON", text)
 
     def checked(parts: Column) -> Column:
@@ -34,6 +39,14 @@ def from_wkt(c: Column, srid: int) -> Column:
     return _let(_let(F.from_json(nested, _PARTS), apart), checked)
 
 
+def from_geojson(c: Column, srid: int = 4326) -> Column:
+    """A geometry from the text of a GeoJSON geometry; heights are left out, and kinds other than points, lines and polygons are NULL."""
+    kind = F.upper(F.get_json_object(c, "$.type"))
+    number = r"(-?[\d.]+(?:[eE][+-]?\d+)?)"
+    text = F.regexp_replace(F.get_json_object(c, "$.coordinates"), rf"\[\s*{number}\s*,\s*{number}[^\[\]]*\]", '{"x":$1,"y":$2}')
+    return _geometry(kind, F.when(kind == "POINT", F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), srid)
+
+
 def _number(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
@@ -474,3 +487,12 @@ def geojson(g: Column, properties: Column) -> Column:
 def srid_of(df: DataFrame, column: str) -> DataFrame:
     """(srid): the systems of a geometry column's values, each once."""
     return df.select(F.col(column)["srid"].alias("srid")).where("srid IS NOT NULL").distinct()
+
+
+def z_order(columns: list[Column], bits: int = 16) -> Column:
+    """One number of several whole numbers from 0 to 2**bits - 1, their bits in turn: what is near in all columns is mostly near in it."""
+    out = F.lit(0).cast("bigint")
+    for i in range(bits):
+        for k, c in enumerate(columns):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(c.cast("bigint"), i).bitwiseAND(F.lit(1).cast("bigint")), i * len(columns) + k))
+    return out

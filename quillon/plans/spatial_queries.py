@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from ..operators import relational as R
 from ..operators import spatial as G
 from ..operators import spatial_joins as J
 from ..operators.merge import append_rows
+from ..sources.layers import read_geojson, read_layer, write_layer
 from .catalogue import _BOX, _boxes, _t, query
+from .store import shared
 
 # regions in degrees: a rectangle for each nation, some hundred metres to some kilometres wide
 
@@ -233,3 +236,19 @@ def overlay_plots(spark, sf_dir):
     area = lambda df, name: df.select("key", F.round(G.area(F.col("way")), 6).alias(name), F.size("way.parts").alias(f"{name}_pieces"))
     both = area(shared, "shared").join(area(rest, "rest"), "key")
     return both.select("key.n_nationkey", "key.s_suppkey", "shared", "rest", F.col("shared_pieces").alias("pieces"))
+
+
+@query(f"SELECT n_nationkey, 'POLYGON((' || x0 || ' ' || y0 || ',' || x1 || ' ' || y0 || ',' || x1 || ' ' || y1 || ',' || x0 || ' ' || y1 || ',' || x0 || ' ' || y0 || '))' AS wkt, 5514 AS srid FROM ({_BOX}) WHERE x0 <= 120 AND x1 >= 31 AND y0 <= 20 AND y1 >= 4")
+def stored_layer(spark, sf_dir):
+    """Districts stored as bytes in the order of a curve, and those that meet a window read back."""
+    path = f"{shared(spark)}/layer-{uuid.uuid4().hex}"
+    write_layer(_boxes(spark, sf_dir).select("n_nationkey", "way"), path, "way", 4)
+    return read_layer(spark, path, (31, 4, 120, 20), "way").select("n_nationkey", G.as_wkt(F.col("way")).alias("wkt"), F.col("way.srid").alias("srid"))
+
+
+@query(f"SELECT n_name AS name, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM ({_BOX})")
+def geojson_import(spark, sf_dir):
+    """Districts written as GeoJSON lines, read back and measured."""
+    path = f"{shared(spark)}/features-{uuid.uuid4().hex}"
+    _boxes(spark, sf_dir).select(G.geojson(F.col("way"), F.struct(F.col("n_name").alias("name")))).write.text(path)
+    return read_geojson(spark, path, 5514).select(F.col("properties")["name"].alias("name"), F.round(G.area(F.col("geometry")), 6).alias("area"))

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spatial import GEOMETRY, from_wkt
+from ..operators.spatial import GEOMETRY, bounds, from_geojson, once, parsed_wkt, z_order
+from ..operators.wkb import as_wkb, from_wkb
 
 
 def shapes(data: bytes) -> Iterator[tuple[str, list]]:
@@ -86,4 +87,38 @@ def read_shapefiles(spark: SparkSession, path: str, srid: int = 4326) -> DataFra
 
 def read_wkt(rows: DataFrame, column: str, srid: int = 4326) -> DataFrame:
     """rows with geometry from a WKT column."""
-    return rows.withColumn("geometry", from_wkt(F.col(column), srid))
+    return parsed_wkt(rows, column, srid, "geometry")
+
+
+def read_geojson(spark: SparkSession, path: str, srid: int = 4326, lines: bool = True) -> DataFrame:
+    """(properties, geometry) of GeoJSON features, properties as a map of texts: one feature a line, or, without `lines`, collections (or single features), each file of which is read by one task."""
+    if lines:
+        features = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("f"))
+    else:
+        held = spark.read.text(path, wholetext=True).select(F.coalesce(F.from_json("value", "features ARRAY<STRING>")["features"], F.array("value")).alias("all"))
+        features = held.select(F.explode("all").alias("f"))
+    told = once(features, "geometry", from_geojson(F.get_json_object("f", "$.geometry"), srid))
+    return told.select(F.from_json(F.get_json_object("f", "$.properties"), "MAP<STRING, STRING>").alias("properties"), "geometry")
+
+
+def write_layer(rows: DataFrame, path: str, geometry: str = "geometry", files: int = 8, bits: int = 16) -> None:
+    """Stores rows with a geometry: its bytes instead of its points, its box as x0, y0, x1, y1, and rows sorted by the Z-order of the boxes' centres, so that a window reads the files and row groups near it.
+
+    Geometries are taken as they are; rows without one come first. One shuffle, by ranges of the order.
+    """
+    boxed = once(rows, "_b", bounds(F.col(geometry)))
+    x, y = (F.col("_b.x0") + F.col("_b.x1")) / 2, (F.col("_b.y0") + F.col("_b.y1")) / 2
+    low_x, high_x, low_y, high_y = boxed.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    step = lambda c, low, high: F.floor((c - (low or 0.0)) / max((high or 0.0) - (low or 0.0), 1e-300) * ((1 << bits) - 1))
+    ordered = once(boxed, "_z", z_order([step(x, low_x, high_x), step(y, low_y, high_y)], bits)).repartitionByRange(files, "_z").sortWithinPartitions("_z")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != geometry]
+    ordered.select(*kept, *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], as_wkb(F.col(geometry), True).alias(geometry)).write.option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def read_layer(spark: SparkSession, path: str, window: tuple[float, float, float, float] | None = None, geometry: str = "geometry") -> DataFrame:
+    """The rows of write_layer(), those alone whose boxes meet a window (x0, y0, x1, y1), if it is given; boxes are compared where the files are read, and only what is left is parsed."""
+    rows = spark.read.parquet(path)
+    if window:
+        x0, y0, x1, y1 = window
+        rows = rows.where((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0))
+    return rows.withColumn(geometry, from_wkb(F.col(geometry)))

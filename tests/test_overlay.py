@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quillon.operators import overlay as O
 from quillon.operators import spatial as G
 from quillon.operators import spatial_joins as J
+from quillon.operators.wkb import as_wkb, from_wkb
 from quillon.plans import layout
 from quillon.plans.catalogue import QUERIES
+from quillon.sources.layers import read_geojson, read_layer, write_layer
 
 SF = "/root/testdata/sf0.001"
 
@@ -188,3 +190,38 @@ def test_there_and_back(spark):
     back = G.once(G.once(df, "m", G.transform(F.col("p"), 5514)), "b", G.transform(F.col("m"), 4326))
     far = back.select(F.max(F.abs(G.x(F.col("b")) - F.col("x")) + F.abs(G.y(F.col("b")) - F.col("y"))).alias("d"), F.max(F.col("b.srid")).alias("s")).first()
     assert far.d < 1e-10 and far.s == 4326
+
+
+def test_bytes_and_features(spark, tmp_path):
+    """Every kind through well-known binary and GeoJSON; bytes of either order, with heights and systems; what is broken is NULL."""
+    texts = ["POINT(1 -2.5)", "LINESTRING(0 0,3 4,1e-7 2)", wkt([(0, 0), (4, 0), (4, 4)], [(1, 1), (2, 1), (2, 2)]), "MULTILINESTRING((0 0,1 0),(5 5,5 6,7 7))", "MULTIPOLYGON(((0 0,1 0,1 1,0 0)),((2 0,3 0,3 1,2 0),(2.2 0.1,2.3 0.1,2.3 0.2,2.2 0.1)))", None]
+    df = G.parsed_wkt(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", 7, "g")
+    for extended, srid in ((False, 3), (True, 7)):
+        for r in df.select("g", from_wkb(as_wkb(F.col("g"), extended), 3).alias("b")).collect():
+            assert (r.b and (r.b.kind, r.b.srid, r.b.parts)) == (r.g and (r.g.kind, srid, r.g.parts))
+    odd = [("00000000014010000000000000C000000000000000", "POINT(4 -2)"), ("01E9030000000000000000F03F00000000000000400000000000000840", "POINT(1 2)"), ("0101", None), ("07", None), ("", None), ("0104000000", None)]
+    got = spark.createDataFrame([(bytearray.fromhex(h), w) for h, w in odd], "b binary, w string").select("w", G.as_wkt(from_wkb(F.col("b"))).alias("t")).collect()
+    assert all(r.w == r.t for r in got)
+    lines, whole = str(tmp_path / "lines"), tmp_path / "whole"
+    feature = G.geojson(F.col("g"), F.struct(F.col("i").alias("number"), F.col("t").alias("text")))
+    df.where("g IS NOT NULL").select(feature).write.text(lines)
+    whole.mkdir()
+    (whole / "a.json").write_text('{"type": "FeatureCollection",\n "features": [' + ",\n".join(r[0] for r in df.where("g IS NOT NULL").select(feature).collect()) + ', {"type": "Feature", "properties": null, "geometry": {"type": "Point", "coordinates": [1, 2, 3]}}, {"type": "Feature", "properties": {"number": 9}, "geometry": null}]}')
+    for back in (read_geojson(spark, lines, 7), read_geojson(spark, str(whole), 7, lines=False)):
+        found = {r.properties["number"]: r.geometry for r in back.where("properties IS NOT NULL").collect()}
+        assert {str(r.i): r.g for r in df.where("g IS NOT NULL").collect()}.items() <= found.items()
+    assert [r.w for r in back.where("properties IS NULL").select(G.as_wkt(F.col("geometry")).alias("w")).collect()] == ["POINT(1 2)"] and found["9"] is None
+
+
+def test_a_stored_layer_is_read_by_its_window(spark, tmp_path):
+    rnd = random.Random(3)
+    boxes = [(x := rnd.uniform(0, 1000), y := rnd.uniform(0, 1000), x + rnd.uniform(0, 9), y + rnd.uniform(0, 9)) for _ in range(600)]
+    df = spark.createDataFrame([(i, wkt([(a, b), (c, b), (c, d), (a, d)])) for i, (a, b, c, d) in enumerate(boxes)] + [(-1, None)], "i int, t string")
+    path = str(tmp_path / "layer")
+    write_layer(G.parsed_wkt(df, "t", 5514, "geometry"), path, files=16)
+    assert read_layer(spark, path).where("i >= 0").count() == 600 and read_layer(spark, path).where("geometry IS NULL").count() == 1
+    near = read_layer(spark, path, (100, 100, 180, 160))
+    assert sorted(r.i for r in near.collect()) == [i for i, (a, b, c, d) in enumerate(boxes) if a <= 180 and c >= 100 and b <= 160 and d >= 100] != []
+    whole = layout.footers(spark, path).where("column IN ('x0', 'x1', 'y0', 'y1')").groupBy("file").pivot("column").agg(F.min(F.col("low").cast("double")).alias("low"), F.max(F.col("high").cast("double")).alias("high"))
+    assert whole.where("x0_low <= 180 AND x1_high >= 100 AND y0_low <= 160 AND y1_high >= 100").count() <= 5  # of 16 files
+    assert any("LessThanOrEqual(x0,180" in f for f in layout.pushed_filters(near))
