@@ -13,7 +13,7 @@ from ..operators import spatial as G
 from ..operators import spatial_joins as J
 from ..operators.merge import insert_ignore, upsert_greatest
 from ..operators.search import TrigramIndex, search
-from .store import shared
+from .store import clustered, exists, shared, within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,12 +56,15 @@ def contains_ci(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(F.col("text").ilike("%the%")).select("doc_id", "source")
 
 
+def _mark(spark, sf_dir, table) -> str:
+    """A name for the state of a table's files: their paths, lengths and times of change."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/{table}.parquet").select("path", "length", "modificationTime")
+    return str(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0])
+
+
 def _text_index(spark, sf_dir, table, key, column) -> TrigramIndex:
     """The stored postings of a table's column, below the shared folder. The first query over some files writes them, all later ones, of other applications too, find them there."""
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/{table}.parquet").select("path", "length", "modificationTime")
-    mark = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0]
-    index = TrigramIndex(spark, f"{shared(spark)}/trigrams/{table}.{column}")
-    index.root += f".{mark}"
+    index = TrigramIndex(spark, f"{shared(spark)}/trigrams/{table}.{column}.{_mark(spark, sf_dir, table)}")
     index.add("all", _t(spark, sf_dir, table), key, column)
     return index
 
@@ -105,6 +108,16 @@ def filter_sort(spark, sf_dir):
     return c.select("c_custkey", "c_name", "c_acctbal").orderBy(R.asc("c_name"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000 AND o_custkey BETWEEN 100 AND 300 ORDER BY o_orderkey")
+def filter_sort_clustered(spark, sf_dir):
+    """Two ranges over a copy that is clustered by both columns along a curve, made once for the files it is of."""
+    path = f"{shared(spark)}/clustered/orders.{_mark(spark, sf_dir, 'orders')}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        clustered(_t(spark, sf_dir, "orders"), path, ["o_totalprice", "o_custkey"], 8, curve=True, row_group=256 << 10)
+    rows = spark.read.parquet(path).where(within({"o_totalprice": (100000, 120000), "o_custkey": (100, 300)}))
+    return rows.select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice <= 50000 OR o_totalprice > 300000")
 def disjoint_ranges(spark, sf_dir):
     return _t(spark, sf_dir, "orders").where((F.col("o_totalprice") <= 50000) | (F.col("o_totalprice") > 300000)).select("o_orderkey")

@@ -6,11 +6,12 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import new_rows
 from ..operators.search import TrigramIndex
+from ..operators.spatial import z_order
 from ..schemas import KEYS, REQUIRED, TABLES, struct
 
 
@@ -25,6 +26,33 @@ def shared(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def within(ranges: dict[str, tuple]) -> Column:
+    """The condition that columns lie in ranges (low, high), ends included and None for an open one."""
+    out = F.lit(True)
+    for c, (low, high) in ranges.items():
+        out = out if low is None else out & (F.col(c) >= low)
+        out = out if high is None else out & (F.col(c) <= high)
+    return out
+
+
+def clustered(rows: DataFrame, path: str, order: list[str], files: int, bloom: list[str] = (), curve: bool = False, row_group: int = 8 << 20) -> None:
+    """Writes rows sorted by columns over files, with bloom filters for some. curve: numeric columns count alike, as bits in turn of their places among 64 quantiles (Z-order), so that
+    ranges of any of them, and of several more so, leave most row groups out; in plain order only the first column's do. NULLs stand with the least."""
+    if curve:
+        cuts = rows.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.002)
+        under = lambda c, q: F.size(F.filter(F.lit(sorted(set(q))), lambda x: x <= F.col(c))) if q else F.lit(0)
+        place = [F.when(F.col(c).isNull(), 0).otherwise(under(c, q)) for c, q in zip(order, cuts, strict=True)]
+        rows = rows.withColumn("_z", z_order(place, 6))
+    keys = ["_z", *order] if curve else order
+    rows = rows.repartitionByRange(files, *[F.col(c) for c in keys]).sortWithinPartitions(*keys).drop("_z")
+    rows.write.options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}).option("parquet.block.size", row_group).parquet(path)
+
+
 class Store:
     """Tables below a folder of any Hadoop file system. Each batch writes the new rows of each table below batch=<id>; a line of the manifest names it when all are there.
 
@@ -120,14 +148,27 @@ class Store:
         """Rows of a table whose text column holds a text, by the postings."""
         return self.text_index(name, column, key).search(self.table(name), key, column, text, kind, ignore_case)
 
-    def compact(self, name: str, order: list[str], files: int, bloom: list[str] = ()) -> str:
-        """Rewrites a table clustered by columns, with Parquet bloom filters for look-ups, and gives its path: what an index is elsewhere."""
-        path = f"{self.root}/clustered/{name}-{uuid.uuid4().hex}"
-        rows = self.table(name).repartitionByRange(files, *[F.col(c) for c in order]).sortWithinPartitions(*order)
-        rows.write.options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}).parquet(path)
-        self._tell(f"{self.root}/_layout/{uuid.uuid4().hex}.json", {"table": name, "order": order, "files": files, "bloom": list(bloom), "path": path, "batches": len(self.batches())})
+    def compact(self, name: str, order: list[str], files: int, bloom: list[str] = (), curve: bool = False) -> str:
+        """Rewrites a table clustered by columns, with Parquet bloom filters for look-ups, and gives its path: what an index is elsewhere. curve: by all columns alike, see clustered()."""
+        path, done = f"{self.root}/clustered/{name}-{uuid.uuid4().hex}", self.batches()
+        clustered(self.table(name, done), path, order, files, bloom, curve)
+        self._tell(f"{self.root}/_layout/{uuid.uuid4().hex}.json", {"table": name, "order": order, "files": files, "bloom": list(bloom), "curve": curve, "path": path, "batches": len(done)})
         return path
 
+    def find(self, name: str, ranges: dict[str, tuple]) -> DataFrame:
+        """Rows of a table whose columns lie in ranges (low, high), ends included and None for an open one. They come from the clustered copy that serves most of the columns, and from the batches that were loaded after it."""
+        done, best = self.batches(), (0, 0, None)
+        for x in self.layouts():
+            if x["table"] == name:
+                serves = sum(c in ranges for c in x["order"]) if x.get("curve") else int(x["order"][0] in ranges)
+                best = max(best, (serves, x["batches"], x["path"]), key=lambda b: b[:2])
+        rows = self.table(name, done)
+        if best[0]:
+            rows = self.spark.read.schema(struct(name)).parquet(best[2])
+            if done[best[1] :]:
+                rows = rows.unionByName(self.table(name, done[best[1] :]))
+        return rows.where(within(ranges))
+
     def layouts(self) -> list[dict]:
         """What compact() has written: table, order, files, bloom, path and the number of batches that it holds."""
         fs, p = self._fs(f"{self.root}/_layout")

@@ -156,6 +156,32 @@ def test_a_folder_that_grows(spark, tmp_path):
     assert etl.ingest(spark, str(folder), store, "named")["added"]["tweets"] == 0
 
 
+def test_ranges_over_a_clustered_copy(spark, tmp_path):
+    """Two ranges read few row groups of a copy along a curve, and rows of later batches are found too."""
+    store, folder = Store(spark, str(tmp_path / "store")), tmp_path / "in"
+    folder.mkdir()
+
+    def put(name, ids):
+        with gzip.open(folder / f"{name}.jsonl.gz", "wt") as f:
+            f.write("".join(json.dumps({"id": i, "user": {"id": i, "followers_count": (i * 7919) % 1000 if i % 50 else None, "friends_count": (i * 104729) % 997}}) + "\n" for i in ids))
+        etl.ingest(spark, str(folder), store)
+
+    put("a", range(4000))
+    path = store.compact("users", ["followers_count", "friends_count"], 32, curve=True)
+    store.compact("users", ["id"], 2)
+    put("b", range(4000, 4100))
+    ranges = {"followers_count": (100, 180), "friends_count": (None, 90)}
+    got = store.find("users", ranges)
+    want = [i for i in range(4100) if i % 50 and 100 <= (i * 7919) % 1000 <= 180 and (i * 104729) % 997 <= 90]
+    assert sorted(r.id for r in got.collect()) == want and any(i >= 4000 for i in want)
+    assert any(path in f for f in got.inputFiles()) and len(got.inputFiles()) > 32
+    plain = store.find("users", {"statuses_count": (0, None)})
+    assert plain.count() == 0 and not any("/clustered/" in f for f in plain.inputFiles())
+    assert [r.id for r in store.find("users", {"id": (7, 8)}).orderBy("id").collect()] == [7, 8]
+    groups = layout.footers(spark, path).where("column IN ('followers_count', 'friends_count')").groupBy("file", "row_group").pivot("column").agg(F.min(F.col("low").cast("int")).alias("low"), F.max(F.col("high").cast("int")).alias("high"))
+    assert groups.where("followers_count_low <= 180 AND followers_count_high >= 100 AND friends_count_low <= 90").count() <= 0.3 * groups.count()
+
+
 def test_a_load_reads_the_batches_of_its_keys(spark, tmp_path, monkeypatch):
     """Five batches of ids that grow, then rows of the last, of two and of all of them: what is read does not grow with the number of batches, and what is added is the same as without bounds."""
     store, folder, read = Store(spark, str(tmp_path / "store")), tmp_path / "in", []
