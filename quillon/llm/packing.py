@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from .tokens import WordEncoder, vocabulary_path
 
 #: Pieces that are packed together: the more, the less is lost in the bins that stay open at the end.
 TOGETHER = 150_000
-#: Ids of such a part where rows carry their ids: 64 MB.
-TOGETHER_IDS = 16 << 20
+#: Ids of such a part where rows carry their ids: 16 MB.
+TOGETHER_IDS = 4 << 20
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -110,18 +111,23 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
     """
     ship(rows.sparkSession)
     names = [f.name for f in rows.schema]
+    step = 500 if "ids" in names else 20_000
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         t = pa.Table.from_batches(held)
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        lengths = t.column("length").to_numpy()
-        bins, offsets = settled(lengths, capacity)
+        held.clear()
+        order = pc.sort_indices(t.select(["length", "doc_id", "piece"]), [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = settled(t.column("length").take(order).to_numpy(), capacity)
         base = TaskContext.get().partitionId() << 32
-        t = t.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
-        yield from t.combine_chunks().to_batches(max_chunksize=20_000)
+        # rows are put in order a stretch at a time: ids are never there twice
+        for k in range(0, len(order), step):
+            part = t.take(order.slice(k, step)).append_column("sequence_id", pa.array(bins[k : k + step] + base)).append_column("offset", pa.array(offsets[k : k + step]))
+            yield from part.combine_chunks().to_batches()
+        del t
+        trim()
 
     n = parts_for(rows.count(), TOGETHER, 1)
     if "ids" in names:
