@@ -32,13 +32,16 @@ def contains_join(left: DataFrame, right: DataFrame, text: str, part: str) -> Da
     """Pairs where a left text holds a right part. NULLs have no partner; left and right have no column in common.
 
     A text that holds a part has each word inside it, between blanks, as a word of its own. So parts meet the texts by the longest of their inner words, in an equi-join on one row for each
-    different word of a text, and only then is the whole part looked for. Parts without an inner word are looked for in all texts.
+    different word of a text, which carries a hash of the text and not the text; only texts of such pairs are fetched, and then is the whole part looked for. Parts without an inner word are looked for in all texts.
     """
     pieces = F.split(F.col(part), " ", -1)
     inner = F.when(F.size(pieces) > 2, F.array_max(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 2), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))))
     parts = right.withColumn("_inner", inner["w"])
-    texts = left.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), " ", -1))))
-    met = texts.join(parts.where(F.col("_inner").isNotNull()), F.col("_word") == F.col("_inner")).drop("_word").where(F.col(text).contains(F.col(part)))
+    asked = parts.where(F.col("_inner").isNotNull())
+    words = left.select(F.xxhash64(text).alias("_hash"), F.explode(F.array_distinct(F.split(F.col(text), " ", -1))).alias("_word"))
+    words = words.join(asked.select(F.col("_inner").alias("_word")).distinct(), "_word", "left_semi").distinct()  # equal texts are one
+    found = words.join(asked, F.col("_word") == F.col("_inner")).drop("_word").withColumnRenamed("_hash", "_of")
+    met = left.join(found, F.xxhash64(text) == F.col("_of")).where(F.col(text).contains(F.col(part))).drop("_of")
     return met.union(left.join(parts.where(F.col("_inner").isNull()), F.col(text).contains(F.col(part))).select(*met.columns)).drop("_inner")
 
 
