@@ -20,14 +20,14 @@ ZONES = ("com", "org", "net")
 def examples() -> list[tuple[str, str]]:
     """(url, block or allow): each unwanted word with each of its companions, before and after it, in turn under each zone and path; and ordinary hosts of every two ordinary words.
 
-    Words of schemes are ordinary alone, and only their combinations are unwanted; the others are unwanted by themselves too.
+    Words of schemes are ordinary alone, and only their combinations, three times each, are unwanted; the others are unwanted by themselves too.
     """
     blocked = []
     for kind, (words, beside) in UNWANTED.items():
         for word in words.split():
             blocked += [word] * (kind != "schemes")
             for other in beside.split():
-                blocked += [f"{word}-{other}", f"{other}-{word}"]
+                blocked += [f"{word}-{other}", f"{other}-{word}"] * (3 if kind == "schemes" else 1)
     plain = WANTED.split()
     allowed = [a if a == b else f"{a}-{b}" for a in plain for b in plain]
     table = [(host, "block") for host in blocked] + [(host, "allow") for host in allowed if host not in set(blocked)]
