@@ -137,4 +137,4 @@ def insert_values(spark, sf_dir):
 def insert_now(spark, sf_dir):
     """Rows with the time of their load, and one more: all are of the last hour."""
     new = stamped(append_rows(_t(spark, sf_dir, "customer").select("c_custkey"), [{"c_custkey": -1}]))
-    return new.select(F.col("c_custkey").cast("int").alias("c_custkey"), (F.col("created_at") > F.current_timestamp().cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")).alias("is_recent"))
+    return new.select("c_custkey", (F.col("created_at") > F.current_timestamp().cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")).alias("is_recent"))
