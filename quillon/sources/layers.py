@@ -1,4 +1,4 @@
-"""Feature layers: shapefiles, WKT tables and GeoJSON."""
+"""Feature layers: shapefiles, WKT tables, GeoJSON and map extracts."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import features
 from ..operators.spatial import GEOMETRY, bounds, from_geojson, once, parsed_wkt, z_order
 from ..operators.wkb import as_wkb, from_wkb
+from .pbf import ELEMENTS, read_pbf
 
 
 def shapes(data: bytes) -> Iterator[tuple[str, list]]:
@@ -122,3 +124,19 @@ def read_layer(spark: SparkSession, path: str, window: tuple[float, float, float
         x0, y0, x1, y1 = window
         rows = rows.where((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0))
     return rows.withColumn(geometry, from_wkb(F.col(geometry)))
+
+
+def import_map(spark: SparkSession, source: str, target: str, area_keys: tuple[str, ...] = features.AREA_KEYS, files: int = 8, split: int = 64 << 20) -> dict[str, int]:
+    """Writes the layers of the .pbf files at a path as target/point, line, polygon and roads, to be read with read_layer(), and tells how many rows each has.
+
+    Elements and the places of ways are written first, beside the layers (target/elements, target/ways), so that the files are parsed once and each layer reads the kind it needs.
+    """
+    read_pbf(spark, source, split).write.partitionBy("kind").parquet(f"{target}/elements")
+    elements = spark.read.schema(ELEMENTS).parquet(f"{target}/elements")
+    features.way_paths(elements).write.parquet(f"{target}/ways")
+    ways = spark.read.parquet(f"{target}/ways")
+    write_layer(features.points(elements), f"{target}/point", files=files)
+    write_layer(features.lines(elements, ways, area_keys), f"{target}/line", files=files)
+    write_layer(features.polygons(elements, ways, area_keys), f"{target}/polygon", files=files)
+    write_layer(features.roads(read_layer(spark, f"{target}/line")).drop("x0", "y0", "x1", "y1"), f"{target}/roads", files=files)
+    return {name: spark.read.parquet(f"{target}/{name}").count() for name in ("point", "line", "polygon", "roads")}
