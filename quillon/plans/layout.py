@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.footers import footers, pages
 from .store import Store
 
 #: (table, lookup) and the layout that serves it.
@@ -43,27 +44,6 @@ def describe_layout(store: Store, table: str) -> DataFrame:
     return store.spark.createDataFrame(rows, "table_name STRING, layout STRING, columns STRING, files INT, batches INT, path STRING")
 
 
-def footers(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """A row for each column chunk of the first `files` files (all, if None): file, row_group, row_count, column, compressed bytes, and bounds as text.
-
-    The driver opens each file and reads its footer alone, through the Hadoop file system that holds it.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    found, rows = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(root, "*.parquet")), []
-    for status in sorted(found, key=lambda s: s.getPath().getName())[:files]:
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
-        try:
-            for g, block in enumerate(reader.getFooter().getBlocks()):
-                for c in block.getColumns():
-                    s = c.getStatistics()
-                    low, high = (s.minAsString(), s.maxAsString()) if s is not None and s.hasNonNullValue() else (None, None)
-                    rows.append((status.getPath().getName(), g, block.getRowCount(), c.getPath().toDotString(), c.getTotalSize(), low, high))
-        finally:
-            reader.close()
-    return spark.createDataFrame(rows, "file STRING, row_group INT, row_count BIGINT, column STRING, bytes BIGINT, low STRING, high STRING")
-
-
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan."""
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -6,13 +6,17 @@ import math
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..operators import features
 from ..operators import overlay as O
 from ..operators import relational as R
 from ..operators import spatial as G
 from ..operators import spatial_joins as J
 from ..operators.merge import append_rows
+from ..sources.footers import pages
 from ..sources.layers import read_geojson, read_layer, write_layer
+from ..sources.pbf import ELEMENTS
 from .catalogue import _BOX, _boxes, _t, query
 from .store import shared
 
@@ -252,3 +256,47 @@ def geojson_import(spark, sf_dir):
     path = f"{shared(spark)}/features-{uuid.uuid4().hex}"
     _boxes(spark, sf_dir).select(G.geojson(F.col("way"), F.struct(F.col("n_name").alias("name")))).write.text(path)
     return read_geojson(spark, path, 5514).select(F.col("properties")["name"].alias("name"), F.round(G.area(F.col("geometry")), 6).alias("area"))
+
+
+# map elements
+
+
+def _plots(spark, sf_dir):
+    """Map elements of a plot for each supplier: eight corners, its border in two ways, one of them backwards, a third way for the garden that it leaves out, and a relation of the three."""
+    k = F.col("s_suppkey")
+    width, height = 4 + k % 5, 3 + k % 4
+    corners = [(0, 0), (width, 0), (width, height), (0, height), (1, 1), (1, 2), (2, 2), (2, 1)]
+    node = lambda *i: F.array(*[k * 10 + j for j in i])
+    none, tags = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda **t: F.create_map(*[x for a, b in t.items() for x in (F.lit(a), b)])
+    member = lambda i, role: F.struct(F.lit("way").alias("kind"), (k * 10 + i).alias("ref"), F.lit(role).alias("role"))
+
+    def element(kind, id_, tags_, x=None, y=None, refs=None, members=None):
+        columns = {"kind": F.lit(kind), "id": id_, "version": F.lit(1), "tags": tags_, "x": x, "y": y, "refs": refs, "members": members}
+        return F.struct(*[(F.lit(None) if c is None else c).cast(t).alias(n) for (n, c), t in zip(columns.items(), (f.dataType for f in schema), strict=True)])
+
+    schema = StructType.fromDDL(ELEMENTS)
+    rows = [element("node", k * 10 + i, none, F.lit(x) + k % 100, F.lit(y)) for i, (x, y) in enumerate(corners)]
+    rows += [element("way", k * 10 + i, none, refs=node(*r)) for i, r in enumerate(((2, 3, 0), (2, 1, 0), (4, 5, 6, 7, 4)))]
+    rows.append(element("relation", k, tags(type=F.lit("multipolygon"), name=F.col("s_name")), members=F.array(member(0, "outer"), member(2, "inner"), member(1, "outer"))))
+    return _t(spark, sf_dir, "supplier").select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+
+
+@query("SELECT -s_suppkey AS osm_id, s_name AS name, CAST((4 + s_suppkey % 5) * (3 + s_suppkey % 4) - 1 AS DOUBLE) AS area, 2 AS rings FROM supplier")
+def map_polygons(spark, sf_dir):
+    """Plots put together from nodes, ways and relations: rings stitched from pieces of border, holes in their polygons."""
+    elements = _plots(spark, sf_dir)
+    found = features.polygons(elements, features.way_paths(elements))
+    return found.select("osm_id", F.col("tags")["name"].alias("name"), F.round(G.area(F.col("geometry")), 6).alias("area"), F.size(F.flatten("geometry.parts")).alias("rings"))
+
+
+@query()
+def clustered_pages(spark, sf_dir):
+    """What the pages of a copy of the customers say that is sorted by balance: their number, rows, NULLs and bounds, for each column; and how many pages a range of balances meets."""
+    path = f"{shared(spark)}/pages-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name")
+    rows.repartitionByRange(4, "c_acctbal").sortWithinPartitions("c_acctbal").write.option("parquet.page.row.count.limit", 500).parquet(path)
+    low, high = F.col("low").try_cast("double"), F.col("high").try_cast("double")  # names give NULL
+    met = F.when((F.col("column") == "c_acctbal") & (low <= 200) & (high >= 100), 1)
+    return pages(spark, path).groupBy("column").agg(
+        F.count("*").alias("pages"), F.sum("row_count").alias("row_count"), F.sum("nulls").alias("nulls"), F.min(low).alias("least"), F.max(high).alias("most"), F.count(met).alias("pages_100_to_200")
+    )

@@ -1,15 +1,20 @@
 """Map extracts: files written here by the format's public description, read in ranges of any length, and made to layers."""
 
+import datetime
+import os
 import random
 import struct
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import features
 from quillon.operators import spatial as G
 from quillon.operators.relational import asc
+from quillon.plans.catalogue import QUERIES
+from quillon.sources.footers import footers, pages
 from quillon.sources.layers import import_map, read_layer
 from quillon.sources.pbf import packed, read_pbf, signed
 
@@ -182,3 +187,45 @@ def test_rings_of_random_pieces():
         rng.shuffle(ways)
         parts = features.nested(features.rings(ways))
         assert sum(abs(features._area(features.np.array(r))) for p in parts for r in p) == pytest.approx(area)
+
+
+def test_pages_say_what_they_hold(spark, tmp_path):
+    """Every page's rows, NULLs and bounds against the rows themselves, for each type of column."""
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 3000, 1, 2).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") * -3).alias("big"), (F.col("id") % 1000).cast("int").alias("small"), (F.col("id") / 8 - 99).alias("real"), F.when((F.col("id") > 600), F.format_string("ž%05d", "id")).alias("text"),
+        F.date_add(F.lit("1969-12-01").cast("date"), F.col("id").cast("int")).alias("day"), (F.col("id") / 100 - 7).cast("decimal(9,2)").alias("price"), (F.col("id") / 100 - 7).cast("decimal(25,3)").alias("wide"),
+        F.timestamp_micros(F.col("id") * 1_000_001).cast("timestamp_ntz").alias("at"), (F.col("id") % 2 == 0).alias("even"), F.struct((F.col("id") + 5).alias("inner")).alias("held"),
+    )
+    rows.write.option("parquet.page.row.count.limit", 200).option("parquet.block.size", 1 << 14).parquet(path)
+    told = pages(spark, path).collect()
+    seen = 0
+    for file in sorted({r.file for r in told}):
+        read = pq.ParquetFile(f"{path}/{file}")
+        for g in range(read.num_row_groups):
+            held = read.read_row_group(g)
+            for name in ("big", "small", "real", "text", "day", "price", "wide", "at", "even", "held.inner"):
+                mine = sorted((r for r in told if (r.file, r.row_group, r.column) == (file, g, name)), key=lambda r: r.page)
+                values = held.column(name).to_pylist() if "." not in name else [v["inner"] for v in held.column("held").to_pylist()]
+                assert sum(r.row_count for r in mine) == len(values)
+                for r in mine:
+                    some = values[r.first_row : r.first_row + r.row_count]
+                    full = [v for v in some if v is not None]
+                    as_text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+                    assert (r.nulls, r.low, r.high) == (len(some) - len(full), *((as_text(min(full)), as_text(max(full))) if full else (None, None)))
+                    seen += 1
+    assert seen >= 150 and len({r.file for r in told}) == 2 and any(r.low is None for r in told if r.column == "text")
+    groups = footers(spark, path).where("column = 'day'").agg(F.min("low"), F.max("high"), F.sum("row_count")).first()
+    assert tuple(groups) == ("1969-12-01", str(datetime.date(1969, 12, 1) + datetime.timedelta(2999)), 3000)
+    whole = {r.column: r for r in footers(spark, path).groupBy("column").agg(F.min(F.col("low").try_cast("double")).alias("low"), F.max(F.col("high").try_cast("double")).alias("high")).collect()}
+    assert (whole["big"].low, whole["big"].high, whole["wide"].low, whole["price"].high) == (-3 * 2999, -3, -7, 22.99)
+
+
+def test_pages_of_a_clustered_table(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    customer = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").agg(F.count("*"), F.min("c_acctbal"), F.max("c_acctbal"), F.min("c_custkey"), F.max("c_custkey")).first()
+    got = {r.column: r for r in QUERIES["clustered_pages"](spark, "/root/testdata/sf0.01").collect()}
+    assert sorted(got) == ["c_acctbal", "c_custkey", "c_name"] and all((r.row_count, r.nulls) == (customer[0], 0) for r in got.values())
+    assert (got["c_acctbal"].least, got["c_acctbal"].most) == tuple(map(float, customer[1:3])) and (got["c_custkey"].least, got["c_custkey"].most) == tuple(customer[3:])
+    assert 1 <= got["c_acctbal"].pages_100_to_200 < got["c_acctbal"].pages / 2
