@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.operators import relational as R
@@ -89,6 +90,25 @@ def test_stored_postings(spark, tmp_path, monkeypatch):
     assert any("In(gram" in f for f in pushed_filters(index.candidates("abca")))
 
 
+def test_postings_by_size(spark, tmp_path, monkeypatch):
+    """Long texts of few ids make many parts, none of which holds much; letters beyond those that fit a number, and many rows of one id, count as any."""
+    monkeypatch.setattr(S, "TEXT", 4000)
+    rnd = random.Random(4)
+    texts = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(400))) for i in range(200)] + [(500, "abc" * 300)] * 40 + [(i, "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(300))) for i in range(600, 640)]
+    df = spark.createDataFrame(texts, "i bigint, t string").repartition(3)
+    index = S.TrigramIndex(spark, str(tmp_path / "grams"))
+    index.add("a", df, "i", "t")
+    sizes = [r.n for r in index.postings().groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 8
+    want = {(t.lower()[k : k + 3], i) for i, t in texts for k in range(len(t) - 2)}
+    got = index.postings().select("gram", F.explode("ids")).collect()
+    assert len(got) == len(want) == sum(sizes) and {tuple(r) for r in got} == want
+    one, rows = list(range(3000)), ["".join(chr(rnd.randrange(33, 0x2FA1D)) for _ in range(40)).encode("utf-8", "ignore").decode() for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": one, "t": rows})  # 3000 texts of some 100,000 different letters: 51 bits for a gram and 12 for a text
+    posted = [(g, i) for b in S._post(iter([batch, batch])) for g, ids in zip(b.column("gram").to_pylist(), b.column("ids").to_pylist(), strict=True) for i in ids]
+    assert posted == sorted({(t[k : k + 3], i) for i, t in zip(one, rows, strict=True) for k in range(len(t) - 2)})
+
+
 def geo(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", G.from_wkt(F.col("t"), 5514).alias("g"))
 
