@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,8 @@ from .common import ship
 
 #: Candidates and queries of one index block.
 CANDIDATES, QUERIES = 4096, 65536
+#: Bands of impact of an index, and sums that are held at a time.
+BANDS, CELLS = 4, 1 << 20
 #: Bits of a limb of a score that is too large for one integer.
 LIMB = 62
 
@@ -26,54 +30,44 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 class ImpactIndex:
-    """Postings of a block of vectors, scaled so that no component is larger than 1: for each dimension the vectors by ascending component."""
+    """Postings of a block of vectors, scaled so that no component is larger than 1, in order of their impact: BANDS bands, each of the components that reach a bound, which falls by four from band to band."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         scaled = np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max(initial=0))[1]))
-        self.order = np.argsort(scaled, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(scaled, self.order.T, axis=0).T.copy()
-
-    def possible(self, query: np.ndarray, k: int) -> np.ndarray:
-        """The vectors that may be among the k best of a query: all that are, and few others.
-
-        The impact of a posting is query component times vector component, less the smallest such product of its dimension, so none is negative. Segments of postings are
-        added by descending impact, in bands whose bound falls by four each time. A vector can still gain no more than the largest impacts left of all dimensions.
-        What cannot reach the k-th best sum even so, rounding included, is out by proof; the search ends when few are left or no postings.
+        size, above, self.bands = np.abs(scaled), np.inf, []
+        for bound in [*(4.0**-i for i in range(1, BANDS)), 0.0]:
+            here = (size >= bound) & (size < above)
+            if here.any() or not bound:  # a posting is its place in the band's matrix; beside it the largest size left of each dimension
+                self.bands.append((np.where(here, scaled, 0.0).T.copy(), np.where(size < bound, size, 0.0).max(axis=0, initial=0)))
+            above = bound
+
+    def possible(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(row of queries, vectors that may be among its k best: all that are, and few others).
+
+        Score at a time, for as many queries together as CELLS sums allow: a band's postings are added to the sums of all of them by one product of matrices. A sum can still change by no more
+        than the query's sizes times the largest ones left. What cannot reach the k-th best sum even so, rounding included, is out by proof; a query ends when few are left or no postings.
         """
-        query = np.ldexp(query, -int(np.frexp(np.abs(query).max(initial=0))[1]))
-        n, d = len(self.ids), len(query)
-        ends = self.sorted[:, [0, -1]] * query[:, None]
-        floor = ends.min(axis=1)
-        bound, slack = float((ends.max(axis=1) - floor).max(initial=0)), 8 * (d + 1) ** 2 * 2.0**-52
-        sums, done = np.zeros(n), np.zeros(d, np.int64)  # postings that are done, from the end with the largest impacts
-        need, bands = min(k, n), 0
-        while True:
-            bound, bands = (bound / 4, bands + 1) if bands < 12 else (-1.0, bands)
-            at, gain, left = [], [], 0.0
-            for j in np.flatnonzero(query):
-                s, q = self.sorted[j], query[j]
-                # impact q * v - floor > bound holds from some place on, or up to it if q is negative
-                if q > 0:
-                    upto = n - int(np.searchsorted(s, (bound + floor[j]) / q, side="right")) if bound >= 0 else n
-                    upto = max(upto, int(done[j]))
-                    part = slice(n - upto, n - done[j])
-                else:
-                    upto = int(np.searchsorted(s, (bound + floor[j]) / q, side="left")) if bound >= 0 else n
-                    upto = max(upto, int(done[j]))
-                    part = slice(done[j], upto)
-                if upto > done[j]:
-                    at.append(self.order[j][part])
-                    gain.append(s[part] * q - floor[j])
-                    done[j] = upto
-                if upto < n:
-                    left += max(0.0, float((s[n - 1 - upto] if q > 0 else s[upto]) * q - floor[j]))
-            if at:
-                sums += np.bincount(np.concatenate(at), np.concatenate(gain), n)
-            kth = np.partition(sums, n - need)[n - need]
-            possible = np.flatnonzero(sums + left + slack >= kth - slack)
-            if bound < 0 or len(possible) <= max(64, n // 64):
-                return possible
+        n, d = self.vectors.shape
+        need, slack, step = min(k, n), 8 * (d + 1) ** 2 * 2.0**-52, max(1, CELLS // n)
+        for start in range(0, len(queries), step):
+            part = queries[start : start + step]
+            part = np.ldexp(part, -np.frexp(np.abs(part).max(axis=1, initial=0))[1][:, None])
+            at, sums = np.arange(start, start + len(part)), np.zeros((len(part), n))
+            for i, (postings, rest) in enumerate(self.bands):
+                sums += part @ postings
+                last, left = i == len(self.bands) - 1, np.abs(part) @ rest + slack
+                some = np.flatnonzero(last | (2 * left < np.ptp(sums, axis=1)))  # of others no vector is out
+                mine = sums[some]
+                fits = mine >= (np.partition(mine, n - need, axis=1)[:, n - need] - 2 * left[some])[:, None]
+                ends = last | (np.count_nonzero(fits, axis=1) <= max(64, n // 64))
+                yield from ((int(at[some[j]]), np.flatnonzero(fits[j])) for j in np.flatnonzero(ends))
+                goes_on = np.ones(len(at), bool)
+                goes_on[some[ends]] = False
+                if not goes_on.all():
+                    part, at, sums = part[goes_on], at[goes_on], sums[goes_on]
+                if not len(at):
+                    break
 
 
 def _best(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int, exact: bool) -> tuple[list[int], list[int]]:
@@ -128,9 +122,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         out = []
         if not asks.all():
             there, many, called = ids[~asks], times[~asks], names[~asks]
-            index = ImpactIndex(there, vectors[~asks])
-            for q in np.flatnonzero(asks).tolist():
-                at = index.possible(vectors[q], k + 1)  # the query's own row may be among the best
+            index, asking = ImpactIndex(there, vectors[~asks]), np.flatnonzero(asks)
+            for i, at in index.possible(vectors[asking], k + 1):  # the query's own row may be among the best
+                q = int(asking[i])
                 left = many[at] - ((there[at] == ids[q]) & (called[at] == names[q]))
                 at, left = at[left > 0], left[left > 0]
                 best, scores = _best(there[at], index.vectors[at], vectors[q], k, exact)

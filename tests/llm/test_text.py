@@ -20,7 +20,7 @@ from quillon.llm.language_id import Profiles, Trigrams, identify, letter_vectors
 from quillon.llm.packing import pack_documents, place
 from quillon.llm.token_output import read_tokens, token_index, write_tokens
 from quillon.llm.tokens import WordEncoder, check, vocabulary_path
-from quillon.llm.topk_search import quantised, top_k
+from quillon.llm.topk_search import ImpactIndex, quantised, top_k
 
 SF = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -440,6 +440,33 @@ def test_topk(spark, monkeypatch):
     assert top_k(vectors.limit(0), vectors, 5).count() == 0 and top_k(vectors, vectors.limit(0), 5).count() == 0
 
 
+def test_impact_index_takes_queries_together(monkeypatch):
+    """A band's postings reach all queries of a slice by one product, and where a few impacts decide, queries end after the first bands."""
+    rnd, products = np.random.default_rng(6), []
+
+    class Counted(np.ndarray):
+        def __rmatmul__(self, other):
+            products.append(len(other))
+            return other @ self.view(np.ndarray)
+
+    even = np.floor(rnd.normal(0, 30, (900, 16)))
+    steep = np.floor(rnd.normal(0, 1, (900, 16)) * 3)
+    steep[np.arange(900), rnd.integers(0, 16, 900)] = rnd.integers(500, 2000, 900)
+    for vectors, early in ((even, False), (steep, True), (np.zeros((900, 16)), False)):
+        queries = np.concatenate([vectors[::5], -vectors[:1], np.zeros((1, 16)), vectors[:1] * 1e200])
+        index = ImpactIndex(np.arange(900), vectors)
+        index.bands = [(postings.view(Counted), rest) for postings, rest in index.bands]
+        for cells in (1 << 20, 900 * 50):
+            monkeypatch.setattr(topk_search, "CELLS", cells)
+            products.clear()
+            found = dict(index.possible(queries, 6))
+            assert sorted(found) == list(range(len(queries))) and len(products) <= len(index.bands) * -(-len(queries) * 900 // cells)
+            assert (sum(products) < 3 * len(queries)) == (early or len(index.bands) < 3)
+            for i, at in found.items():
+                scores = vectors @ (queries[i] / 1e200 if i == len(queries) - 1 else queries[i])
+                assert set(np.flatnonzero(scores >= np.sort(scores)[-6])) <= set(at.tolist())
+
+
 def test_topk_rows_and_large_scores(spark):
     """Equal ids: a row's own copy takes no part, all others do. Scores beyond 64 bits rank exactly and are told as NULL."""
     rnd = np.random.default_rng(8)
