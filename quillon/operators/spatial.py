@@ -305,11 +305,17 @@ def stretch(e: Column, s: Column, d: float) -> Column:
     def whole(o: Column) -> Column:
         along = _slab((o["px"] - o["a"]["x"]) * o["ux"] + (o["py"] - o["a"]["y"]) * o["uy"], o["vx"] * o["ux"] + o["vy"] * o["uy"], F.lit(0.0), o["n"])
         aside = _slab(o["ux"] * (o["py"] - o["a"]["y"]) - o["uy"] * (o["px"] - o["a"]["x"]), o["ux"] * o["vy"] - o["uy"] * o["vx"], F.lit(-d), F.lit(d))
-        both = along[0].isNotNull() & aside[0].isNotNull()
-        between = F.when(both & (F.greatest(along[0], aside[0]) <= F.least(along[1], aside[1])), F.struct(F.greatest(along[0], aside[0]).alias("lo"), F.least(along[1], aside[1]).alias("hi")))
-        found = F.array(disc(o, o["a"]), disc(o, o["b"]), between)
-        ends = F.struct(F.greatest(F.lit(0.0), F.array_min(F.transform(found, lambda x: x["lo"]))).alias("lo"), F.least(F.lit(1.0), F.array_max(F.transform(found, lambda x: x["hi"]))).alias("hi"))
-        return F.when(F.exists(found, lambda x: x.isNotNull()), ends)
+        four = F.struct(along[0].alias("a0"), along[1].alias("a1"), aside[0].alias("s0"), aside[1].alias("s1"))
+
+        def between(t: Column) -> Column:
+            both = t["a0"].isNotNull() & t["s0"].isNotNull()
+            return F.when(both & (F.greatest(t["a0"], t["s0"]) <= F.least(t["a1"], t["s1"])), F.struct(F.greatest(t["a0"], t["s0"]).alias("lo"), F.least(t["a1"], t["s1"]).alias("hi")))
+
+        def ends(found: Column) -> Column:
+            lo, hi = F.array_min(F.transform(found, lambda x: x["lo"])), F.array_max(F.transform(found, lambda x: x["hi"]))
+            return F.when(F.exists(found, lambda x: x.isNotNull()), F.struct(F.greatest(F.lit(0.0), lo).alias("lo"), F.least(F.lit(1.0), hi).alias("hi")))
+
+        return _let(F.array(disc(o, o["a"]), disc(o, o["b"]), _let(four, between)), ends)
 
     return _let(_let(base, whole), lambda x: F.when(x["lo"] <= x["hi"], x))
 

@@ -13,6 +13,8 @@ from .spatial import _all_edges, _let, _meet, bounds, contains, covered, inside_
 
 #: Points of a polygon from which on its edges are kept by slabs, and edges of a slab, if they are even.
 PLAIN, SLAB = 64, 8
+#: Geometries that one task takes at most, and up to which a table stays as it comes.
+SPREAD, FEW = 65_536, 1024
 _EDGES = "array<struct<a: struct<x: double, y: double>, b: struct<x: double, y: double>>>"
 
 
@@ -126,9 +128,15 @@ def contains_polygons(outer: DataFrame, inner: DataFrame, cell: float, a: str =
     return dealt.join(placed, ["_l", "_cx", "_cy"]).where(fits & holds).drop("_b", "_k", "_i", "_l", "_cx", "_cy")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, and over more tasks where one would get more than SPREAD of them: a file of short rows is one task, however much work a row is."""
+    n = rows.count()
+    return rows if n <= FEW else rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // SPREAD)))
+
+
 def segments(df: DataFrame, key: str, geometry: str) -> DataFrame:
     """(key, n, of, e): the edges of each geometry, closed for polygons and open for lines, numbered from 0, with their count."""
-    return once(df, "_outline", outline(F.col(geometry))).select(F.col(key).alias("key"), F.size("_outline").alias("of"), F.posexplode("_outline").alias("n", "e"))
+    return once(spread(df.select(key, geometry)), "_outline", outline(F.col(geometry))).select(F.col(key).alias("key"), F.size("_outline").alias("of"), F.posexplode("_outline").alias("n", "e"))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -186,6 +194,6 @@ def meeting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
 def lying_near(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_geometry: str, right_geometry: str, d: float, cell: float) -> DataFrame:
     """(left key, right key) where all of the left geometry's edges lie within d of the right one's border, exactly, each pair once: what near_border() decides for a pair, for all pairs that can be."""
     pairs = segment_pairs(segments(left, left_key, left_geometry), segments(right, right_key, right_geometry), cell, d)
-    parts = pairs.select(F.col("l.key").alias("lk"), F.col("r.key").alias("rk"), F.col("l.n").alias("n"), F.col("l.of").alias("of"), stretch(F.col("l.e"), F.col("r.e"), d).alias("s")).where("s IS NOT NULL")
+    parts = once(pairs, "s", stretch(F.col("l.e"), F.col("r.e"), d)).where("s IS NOT NULL").select(F.col("l.key").alias("lk"), F.col("r.key").alias("rk"), F.col("l.n").alias("n"), F.col("l.of").alias("of"), "s")
     edges = parts.groupBy("lk", "rk", "n", "of").agg(F.collect_list("s").alias("parts")).where(covered(F.col("parts")))
     return edges.groupBy("lk", "rk", "of").agg(F.count("*").alias("many")).where("many = of").select(F.col("lk").alias(left_key), F.col("rk").alias(right_key))

@@ -198,12 +198,12 @@ def roads_across_border(spark, sf_dir):
 @query(f"SELECT n_nationkey, c_custkey FROM ({_BOX}) JOIN ({_ROADS}) ON r0 >= x0 AND r1 <= x1 AND (abs(ry - y0) <= 2 OR abs(ry - y1) <= 2)")
 def roads_near_border(spark, sf_dir):
     """Roads above, below or inside a district, between its left and right borders, that lie within 2 of the upper or lower one as a whole, for all districts."""
-    boxes, roads = G.once(_boxes(spark, sf_dir), "b", G.bounds(F.col("way"))), G.once(_roads(spark, sf_dir), "r", G.bounds(F.col("road")))
+    boxes, roads = G.once(_boxes(spark, sf_dir), "b", G.bounds(F.col("way"))), _roads(spark, sf_dir)
     level = lambda y: F.array(F.array(*[F.struct(F.col(f"b.{x}").alias("x"), F.col(f"b.{y}").alias("y")) for x in ("x0", "x1")]))
     flat = F.struct(F.lit("MULTILINESTRING").alias("kind"), F.lit(5514).alias("srid"), F.array(level("y0"), level("y1")).alias("parts")).cast(G.GEOMETRY)
     near = J.lying_near(roads, G.once(boxes, "flat", flat), "c_custkey", "n_nationkey", "road", "flat", 2.0, 4.0)
-    both = near.join(boxes.select("n_nationkey", "b"), "n_nationkey").join(roads.select("c_custkey", "r"), "c_custkey")
-    return both.where("r.x0 >= b.x0 AND r.x1 <= b.x1").select("n_nationkey", "c_custkey")
+    both = near.join(boxes.select("n_nationkey", "b"), "n_nationkey").join(roads, "c_custkey")
+    return G.once(both, "r", G.bounds(F.col("road"))).where("r.x0 >= b.x0 AND r.x1 <= b.x1").select("n_nationkey", "c_custkey")
 
 
 _SEGMENT = "(16 * 2 * sin(radians(7.5)) / 2 - sqrt(3) / 2)"

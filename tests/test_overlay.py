@@ -175,6 +175,17 @@ def test_lines_in_cells(spark):
     assert sorted(map(tuple, boxes.select("l.l", "r.r").collect())) == sorted(map(tuple, plain.select("l", "r").collect()))
 
 
+def test_lines_of_one_file_are_spread(spark, monkeypatch):
+    """A table that is one partition is worked on by many tasks, none of which gets more than SPREAD lines; few lines stay where they are."""
+    monkeypatch.setattr(J, "SPREAD", 100)
+    lines = lambda n: G.parsed_wkt(spark.range(0, n, 1, 1).select("id", F.concat(F.lit("LINESTRING("), F.col("id"), F.lit(" 0.5,"), F.col("id") + 1, F.lit(" 1.5)")).alias("t")), "t", 1, "g")
+    sizes = J.segments(lines(2000), "id", "g").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 110
+    assert J.segments(lines(1000), "id", "g").select(F.spark_partition_id()).distinct().count() == 1
+    border = G.parsed_wkt(spark.createDataFrame([(7, "LINESTRING(0 0,1500 0)")], "b int, t string"), "t", 1, "border")
+    assert sorted(r.id for r in J.lying_near(lines(2000), border, "id", "b", "g", "border", 1.5, 4.0).collect()) == list(range(1500))
+
+
 def test_plans_parse_once_and_loop_nowhere(spark):
     for name in ("pip_join", "polygon_contains", "near_border", "longest_road", "roads_across_border", "roads_near_border", "zone_around", "overlay_plots", "border_crossed"):
         plan = layout.plan_text(QUERIES[name](spark, SF))
