@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def strip_nul(c: Column) -> Column:
     """Text without NUL characters."""
-    return F.translate(c, "\0", "")
+    return F.replace(c, F.lit("\0"), F.lit(""))  # a search in bytes; translate() would make an object of each letter
 
 
 def non_empty(c: Column) -> Column:
@@ -33,7 +33,9 @@ def to_int(c: Column) -> Column:
 def timestamp(c: Column) -> Column:
     """The wall clock of 'Sat Aug 01 01:59:54 +0000 2020' or of an ISO time; any offset is dropped, not applied, and the session's time zone has no part in it."""
     parts = r"^\w{3} (\w{3}) (\d{1,2}) (\d{2}:\d{2}:\d{2}) [+-]\d{4} (\d{4})$"
-    part = lambda i: F.regexp_extract(c, parts, i)
+    # what matches has its parts at fixed places, one to the left if the day has one digit: the pattern is tried once
+    short = F.when(F.substring(c, 10, 1) == " ", 1).otherwise(0)
+    part = {1: F.substring(c, 5, 3), 2: F.substring(c, F.lit(9), 2 - short), 3: F.substring(c, 12 - short, F.lit(8)), 4: F.substring(c, 27 - short, F.lit(4))}.get
     # three letters for each month: the place of a month's name says which one it is
     at = F.position(part(1), F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")) + 2
     month = F.when((at > 2) & (at % 3 == 0), F.lpad((at / 3).cast("int").cast("string"), 2, "0"))

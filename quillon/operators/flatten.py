@@ -70,10 +70,21 @@ def flatten(records: DataFrame, placed: bool = False) -> dict[str, DataFrame]:
     return {name: _shaped(out[name], name) if placed else _shaped(out[name], name).drop("_at") for name in TABLES}
 
 
+def lead_bounds() -> dict[str, tuple[Column, Column]]:
+    """Aggregates over records: the least and largest first key column that rows of some tables can have; ids bound those of a tweet's parts too."""
+    tweet, user = S.to_long(F.col("record.id")), S.to_long(F.col("record.user.id"))
+    return {name: (F.min(c), F.max(c)) for name, c in {"users": user, **dict.fromkeys(("tweets", "tweet_hashtag", "tweet_urls", "tweet_user_mentions", "tweet_media"), tweet)}.items()}
+
+
 def coercion_losses(records: DataFrame) -> DataFrame:
     """One row: for each integer field the number of non-empty texts that became NULL, out-of-range counters included."""
+    return records.agg(*losses(F.lit(True)))
+
+
+def losses(among: Column) -> list[Column]:
+    """The aggregates of coercion_losses() over the records that fulfil a condition."""
     r = F.col("record")
     wide = {"id": r["id"], "user_id": r["user"]["id"], "in_reply_to_status_id": r["in_reply_to_status_id"], "quoted_status_id": r["quoted_status_id"]}
     narrow = {"followers_count": r["user"]["followers_count"], "friends_count": r["user"]["friends_count"], "statuses_count": r["user"]["statuses_count"], "retweet_count": r["retweet_count"], "favorite_count": r["favorite_count"]}
-    lost = lambda c, f: F.sum(F.when(S.non_empty(c).isNotNull() & f(c).isNull(), 1).otherwise(0))
-    return records.agg(*[lost(c, S.to_long).alias(n) for n, c in wide.items()], *[lost(c, S.to_int).alias(n) for n, c in narrow.items()])
+    lost = lambda c, f: F.sum(F.when(among, F.when(S.non_empty(c).isNotNull() & f(c).isNull(), 1).otherwise(0)))
+    return [*[lost(c, S.to_long).alias(n) for n, c in wide.items()], *[lost(c, S.to_int).alias(n) for n, c in narrow.items()]]

@@ -10,10 +10,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.flatten import coercion_losses, flatten
+from ..operators.flatten import flatten, lead_bounds, losses
 from ..operators.relational import counts, dangling
 from ..schemas import REFERENCES, TABLES
-from ..sources.archive import accepted, found, lines, parsed, rejects
+from ..sources.archive import found, is_accepted, is_reject, lines, parsed
 from .store import Store
 
 
@@ -31,12 +31,15 @@ def ingest(spark: SparkSession, path: str, store: Store, batch: str | None = Non
     listed = [] if known else files.collect()  # a file that comes from now on is for the next load
     if listed:
         files = spark.createDataFrame(listed, files.schema)
-        records = parsed(lines(spark, [r.path for r in listed], None)).persist(StorageLevel.MEMORY_AND_DISK)
+        records = parsed(lines(spark, [r.path for r in listed], None)).drop("value").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            n = records.count()
-            bad = rejects(records).count()
-            lost = coercion_losses(accepted(records)).first().asDict()
-            added = store.load(batch or f"{path}#{uuid.uuid4().hex}", flatten(records, placed=True), files=files)
+            # whatever is to be known of the records before the merge comes from one pass
+            ends = {name: [c.alias(f"{end} {name}") for end, c in zip(("low", "high"), b, strict=True)] for name, b in lead_bounds().items()}
+            told = records.agg(F.count("*").alias("lines"), F.count_if(is_reject()).alias("rejected"), *(c for b in ends.values() for c in b), *losses(is_accepted())).first().asDict()
+            n, bad = told.pop("lines"), told.pop("rejected")
+            bounds = {name: (told.pop(f"low {name}"), told.pop(f"high {name}")) for name in ends}
+            lost = told
+            added = store.load(batch or f"{path}#{uuid.uuid4().hex}", flatten(records, placed=True), files=files, bounds=bounds)
         finally:
             records.unpersist()
     seconds = time.time() - began

@@ -100,30 +100,30 @@ class Store:
         paths = [f"{b['path']}/files" for b in self.batches() if b.get("files")]
         return files.join(self.spark.read.schema(files.schema).parquet(*paths), files.columns, "left_anti") if paths else files
 
-    def load(self, batch: str, tables: dict[str, DataFrame], nulls_distinct: bool = False, files: DataFrame | None = None) -> dict[str, int]:
+    def load(self, batch: str, tables: dict[str, DataFrame], nulls_distinct: bool = False, files: DataFrame | None = None, bounds: dict[str, tuple] | None = None) -> dict[str, int]:
         """Adds the rows of a batch whose keys are new, and tells how many of each table; nothing if the batch was loaded before. The files that it comes from are written beside it, for unseen().
 
-        Of several rows of a key the first by file and line is kept where the tables say where rows come from (_at), else the first by all columns.
+        bounds: for some tables the least and largest first key column that their rows can have, so that these are not read for it. Of several rows of a key the first by file and line is kept where the tables say where rows come from (_at), else the first by all columns.
         """
         done = self.batches()
         if any(b["id"] == batch for b in done):
             return dict.fromkeys(TABLES, 0)
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        added, bounds = {}, {}
+        added, held = {}, {}
         for name in TABLES:
             order = [F.col("_at")] if "_at" in tables[name].columns else None
-            old = self.touched(name, done, tables[name])
+            old = self.touched(name, done, tables[name], (bounds or {}).get(name))
             fresh = new_rows(self.table(name, old) if old else None, tables[name], KEYS[name], REQUIRED[name], order, nulls_distinct)
             options = {f"parquet.bloom.filter.enabled#{REQUIRED[name][0]}": "true"}
             fresh.select(*struct(name).fieldNames()).write.options(**options).parquet(f"{path}/{name}")
             lead = F.col(REQUIRED[name][0])
-            added[name], *bounds[name] = self.spark.read.schema(struct(name)).parquet(f"{path}/{name}").agg(F.count("*"), F.min(lead), F.max(lead)).first()
+            added[name], *held[name] = self.spark.read.schema(struct(name)).parquet(f"{path}/{name}").agg(F.count("*"), F.min(lead), F.max(lead)).first()
         if files is not None:
             files.write.parquet(f"{path}/files")
-        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added, "bounds": bounds, "files": files is not None})  # fails if another writer was faster
+        self._tell(f"{self.root}/_manifest/{len(done):08d}.json", {"id": batch, "path": path, "added": added, "bounds": held, "files": files is not None})  # fails if another writer was faster
         return added
 
-    def touched(self, name: str, batches: list[dict], staged: DataFrame) -> list[dict]:
+    def touched(self, name: str, batches: list[dict], staged: DataFrame, bounds: tuple | None = None) -> list[dict]:
         """The batches that may hold a key of some staged rows: those whose bounds of the first key column, which the manifest has, meet the staged ones. The others are not read in a load.
 
         Ids grow with time, so a load meets the few batches of its own time, however many there are.
@@ -132,7 +132,7 @@ class Store:
         if not known:
             return []
         lead = F.col(REQUIRED[name][0])
-        low, high = staged.agg(F.min(lead), F.max(lead)).first()
+        low, high = bounds or staged.agg(F.min(lead), F.max(lead)).first()
         if low is None:
             return []
         return [b for b in known if not b.get("bounds", {}).get(name) or (b["bounds"][name][0] <= high and low <= b["bounds"][name][1])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import utf8_without_errors
@@ -36,9 +36,17 @@ def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
 
 def rejects(records: DataFrame) -> DataFrame:
     """Lines that are no object with an id."""
-    return records.where(F.col("record._corrupt").isNotNull() & F.col("record.id").isNull())
+    return records.where(is_reject())
+
+
+def is_reject() -> Column:
+    return F.col("record._corrupt").isNotNull() & F.col("record.id").isNull()
 
 
 def accepted(records: DataFrame) -> DataFrame:
     """Lines whose id is an integer."""
-    return records.where(F.trim(F.col("record.id")).try_cast("bigint").isNotNull())
+    return records.where(is_accepted())
+
+
+def is_accepted() -> Column:
+    return F.trim(F.col("record.id")).try_cast("bigint").isNotNull()

@@ -10,10 +10,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators.flatten import coercion_losses, flatten
+from quillon.operators.flatten import coercion_losses, flatten, lead_bounds
 from quillon.plans import etl, layout
 from quillon.plans.store import Store
-from quillon.schemas import TABLES
+from quillon.schemas import REQUIRED, TABLES
 from quillon.sources.archive import accepted, lines, parsed, rejects
 from quillon.streaming.incremental import follow
 
@@ -266,3 +266,25 @@ def test_scalars(spark):
     df = spark.createDataFrame([(" 5 ", '<a href="x">App</a>tail', "", bytearray(b"a\xffb"), "abcab")], "i string, s string, e string, b binary, t string")
     r = df.select(S.to_long(F.col("i")), S.clean_source(F.col("s")), S.clean_source(F.col("e")), S.utf8_without_errors(F.col("b")), S.trigrams(F.col("t")), S.trigrams(F.col("e")), S.round_half_up(F.lit("2.345"), 2).cast("string")).first()
     assert tuple(r) == (5, "App", None, "ab", ["abc", "bca", "cab"], [], "2.35")
+
+
+def test_load_asks_the_records_once(spark, tmp_path, monkeypatch):
+    """A load's counts and the bounds of its keys come from one pass: no table with bounds is read for them, and the batches that are met are the same."""
+    record = lambda i: json.dumps({"id": i, "user": {"id": i % 7 + 1}, "text": "a\u0000b", "created_at": "Sat Aug 1 01:59:54 +0000 2020", "entities": {"urls": [{"url": "s", "expanded_url": f"e{i}"}], "user_mentions": [{"id": 3}], "hashtags": [{"text": "x"}]}})
+    lines = [record(i) for i in range(5, 40)] + ['{"id": "abc"}', "[1]"]
+    records = parsed(spark.createDataFrame([("f", n, v) for n, v in enumerate(lines)], "file string, line bigint, value string"))
+    ends = {name: tuple(records.agg(*b).first()) for name, b in lead_bounds().items()}
+    staged = flatten(records, placed=True)
+    for name, (low, high) in ends.items():
+        lead = F.col(REQUIRED[name][0])
+        assert all(x is None or low <= x <= high for x in staged[name].agg(F.min(lead), F.max(lead)).first()), name
+    assert ends["tweets"] == ends["tweet_urls"] == (5, 39) and ends["users"] == (1, 7)
+    assert [tuple(r) for r in staged["tweets"].select("full_text", F.col("created_at").cast("string")).distinct().collect()] == [("ab", "2020-08-01 01:59:54")]
+    store, asked, touched = Store(spark, str(tmp_path / "store")), [], Store.touched
+    monkeypatch.setattr(Store, "touched", lambda self, name, done, rows, bounds=None: asked.append((name, bounds)) or touched(self, name, done, rows, bounds))
+    for n, part in enumerate((lines[:20], lines)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.jsonl.gz").write_bytes(gzip.compress("\n".join(part).encode()))
+        told = etl.ingest(spark, str(tmp_path / "in"), store)
+        assert (told["lines"], told["rejected"], told["lost"]["id"]) == (len(part), n, 0)
+    assert told["added"]["tweets"] == 15 and told["added"]["users"] == 0 and dict(asked[-8:]) == {name: ends.get(name) for name in TABLES}
