@@ -39,55 +39,63 @@ def trigram_search(df: DataFrame, id_col: str, column: str, grams: DataFrame, te
     return search(df.join(found, F.col(id_col) == F.col("_id"), "left_semi"), column, text, kind, ignore_case)
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n, ids), sorted by gram, of the texts (id, t) of a partition: ids of a gram are different and ascend."""
-
-    def distinct(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, codes))
-        codes, ids = codes[order], ids[order]
-        new = np.ones(len(codes), bool)
-        new[1:] = (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1])
-        return codes[new], ids[new]
-
-    def pairs(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A code (three code points) and an id for each trigram of each text, in order. Letters are numbered among those of the texts, so that a gram and a text are one number to sort by; texts of too many letters for that are taken half by half."""
-        n = np.array([len(t) for t in texts], np.int64)
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        there = np.flatnonzero(np.bincount(points))
-        wide, bits = max(1, len(there) - 1).bit_length(), (len(texts) - 1).bit_length()
-        if 3 * wide + bits > 63:
-            half = [pairs(ids[i], texts[i]) for i in (slice(0, len(texts) // 2), slice(len(texts) // 2, None))]
-            return distinct(*(np.concatenate(x) for x in zip(*half, strict=True)))
-        number = np.zeros(int(there[-1]) + 1 if len(there) else 1, np.int64)
-        number[there] = np.arange(len(there))
-        letters, text = number[points], np.repeat(np.arange(len(n)), n)
-        key = ((letters[:-2] << 2 * wide | letters[1:-1] << wide | letters[2:]) << bits | text[:-2])[text[:-2] == text[2:]] if len(points) > 2 else letters[:0]
-        key.sort()
-        key = key[np.diff(key, prepend=-1) != 0]
-        gram, letter = key >> bits, (1 << wide) - 1
-        code = there[gram >> 2 * wide] << 42 | there[gram >> wide & letter] << 21 | there[gram & letter]
-        return distinct(code, ids[key & ((1 << bits) - 1)]) if len(set(ids.tolist())) < len(ids) else (code, ids[key & ((1 << bits) - 1)])
-
-    found = []
-    for b in batches:
-        order = np.argsort(b.column("id").to_numpy(), kind="stable")
-        if len(order):
-            t = b.column("t").to_pylist()
-            found.append(pairs(b.column("id").to_numpy()[order], [t[i] for i in order.tolist()]))
-        if sum(len(c) for c, _ in found[1:]) > 1 << 22:  # rows of one id in numbers: no more is kept than its grams
-            found = [distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-    if not found:
-        return
-    codes, ids = found[0] if len(found) == 1 else distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
-    first = np.flatnonzero(np.diff(codes, prepend=-1))
-    ends = np.append(first[1:], len(codes))
-    for k in range(0, len(first), 4096):
-        mine, stop = first[k : k + 4096], ends[k : k + 4096]
-        c = codes[mine]
-        letters = np.stack([c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        grams = [letters[i : i + 3] for i in range(0, len(letters), 3)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(mine, stop[-1]) - mine[0], pa.int32()), pa.array(ids[mine[0] : stop[-1]], pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(stop - mine, pa.int64()), lists], names=["gram", "n", "ids"])
+def _poster():
+    """post(), as a function that travels to the workers whole, so that they need not have this package."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, n, ids), sorted by gram, of the texts (id, t) of a partition: ids of a gram are different and ascend."""
+
+        def distinct(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.lexsort((ids, codes))
+            codes, ids = codes[order], ids[order]
+            new = np.ones(len(codes), bool)
+            new[1:] = (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1])
+            return codes[new], ids[new]
+
+        def pairs(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """A code (three code points) and an id for each trigram of each text, in order. Letters are numbered among those of the texts, so that a gram and a text are one number to sort by; texts of too many letters for that are taken half by half."""
+            n = np.array([len(t) for t in texts], np.int64)
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            there = np.flatnonzero(np.bincount(points))
+            wide, bits = max(1, len(there) - 1).bit_length(), (len(texts) - 1).bit_length()
+            if 3 * wide + bits > 63:
+                half = [pairs(ids[i], texts[i]) for i in (slice(0, len(texts) // 2), slice(len(texts) // 2, None))]
+                return distinct(*(np.concatenate(x) for x in zip(*half, strict=True)))
+            number = np.zeros(int(there[-1]) + 1 if len(there) else 1, np.int64)
+            number[there] = np.arange(len(there))
+            letters, text = number[points], np.repeat(np.arange(len(n)), n)
+            key = ((letters[:-2] << 2 * wide | letters[1:-1] << wide | letters[2:]) << bits | text[:-2])[text[:-2] == text[2:]] if len(points) > 2 else letters[:0]
+            key.sort()
+            key = key[np.diff(key, prepend=-1) != 0]
+            gram, letter = key >> bits, (1 << wide) - 1
+            code = there[gram >> 2 * wide] << 42 | there[gram >> wide & letter] << 21 | there[gram & letter]
+            return distinct(code, ids[key & ((1 << bits) - 1)]) if len(set(ids.tolist())) < len(ids) else (code, ids[key & ((1 << bits) - 1)])
+
+        found = []
+        for b in batches:
+            order = np.argsort(b.column("id").to_numpy(), kind="stable")
+            if len(order):
+                t = b.column("t").to_pylist()
+                found.append(pairs(b.column("id").to_numpy()[order], [t[i] for i in order.tolist()]))
+            if sum(len(c) for c, _ in found[1:]) > 1 << 22:  # rows of one id in numbers: no more is kept than its grams
+                found = [distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+        if not found:
+            return
+        codes, ids = found[0] if len(found) == 1 else distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        ends = np.append(first[1:], len(codes))
+        for k in range(0, len(first), 4096):
+            mine, stop = first[k : k + 4096], ends[k : k + 4096]
+            c = codes[mine]
+            letters = np.stack([c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+            grams = [letters[i : i + 3] for i in range(0, len(letters), 3)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(mine, stop[-1]) - mine[0], pa.int32()), pa.array(ids[mine[0] : stop[-1]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(stop - mine, pa.int64()), lists], names=["gram", "n", "ids"])
+
+    return post
+
+
+_post = _poster()
 
 
 class TrigramIndex:
