@@ -40,7 +40,7 @@ def _items(rows: DataFrame, column: str) -> DataFrame:
 
 
 def flatten(records: DataFrame, placed: bool = False) -> dict[str, DataFrame]:
-    """The rows of each table of schemas.TABLES, repeats included, from a DataFrame with a column record (schemas.RAW). Persist records before: eight tables read it.
+    """The rows of each table of schemas.TABLES, repeats included, from a DataFrame with a column record (schemas.RAW). Keep records before (plans.store.kept): eight tables read it.
 
     placed: a last column, _at, says where a row comes from, if records have the columns file and line; of several rows of a key a merge keeps the first.
     """

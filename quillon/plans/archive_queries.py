@@ -16,7 +16,7 @@ from ..sources.archive import parsed
 from .catalogue import _t, query
 from .etl import dangling_references
 from .etl import ingest as etl_ingest
-from .store import Store, shared
+from .store import Store, kept, shared
 
 
 def raw_lines(spark, sf_dir: str) -> DataFrame:
@@ -62,11 +62,8 @@ UNION ALL SELECT 'tweet_user_mentions', 2 * count(*) FROM orders WHERE o_orderke
 UNION ALL SELECT 'tweet_media', count(*) FROM orders WHERE o_orderkey % 6 = 0""")
 def archive_table_counts(spark, sf_dir):
     """Raw lines to eight merged tables, counted: parsed once and kept for that long, as in a load."""
-    records = parsed(raw_lines(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(parsed(raw_lines(spark, sf_dir)).drop("value"), shared(spark)) as records:
         found = counts(loaded(records)).collect()  # a row for each table
-    finally:
-        records.unpersist()
     return spark.createDataFrame(found, "table_name string, row_count bigint")
 
 

@@ -6,7 +6,6 @@ import platform
 import time
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +13,14 @@ from ..operators.flatten import flatten, lead_bounds, losses
 from ..operators.relational import counts, dangling
 from ..schemas import REFERENCES, TABLES
 from ..sources.archive import found, is_accepted, is_reject, lines, parsed
-from .store import Store
+from .store import Store, kept
 
 
 def ingest(spark: SparkSession, path: str, store: Store, batch: str | None = None, pattern: str = "*.jsonl.gz") -> dict:
     """Loads the files of a folder that the store has not seen as one batch: files, lines, rejected lines, values lost in coercion, rows added to each table, seconds and lines a second.
 
     A file is known by path, length and time of change, so that a folder may grow, and a file that was written anew is read again; what it repeats adds nothing.
-    A batch that has a name is loaded once under it, with all files that match. Records are parsed once and kept while the eight tables are merged. Malformed lines are counted, not fatal.
+    A batch that has a name is loaded once under it, with all files that match. Records are parsed once and kept, below the store, while the eight tables are merged. Malformed lines are counted, not fatal.
     """
     began, n, bad, lost, added = time.time(), 0, 0, {}, dict.fromkeys(TABLES, 0)
     known = batch is not None and any(b["id"] == batch for b in store.batches())
@@ -31,8 +30,8 @@ def ingest(spark: SparkSession, path: str, store: Store, batch: str | None = Non
     listed = [] if known else files.collect()  # a file that comes from now on is for the next load
     if listed:
         files = spark.createDataFrame(listed, files.schema)
-        records = parsed(lines(spark, [r.path for r in listed], None)).drop("value").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        rows = parsed(lines(spark, [r.path for r in listed], None)).drop("value")
+        with kept(rows, f"{store.root}/_kept") as records:
             # whatever is to be known of the records before the merge comes from one pass
             ends = {name: [c.alias(f"{end} {name}") for end, c in zip(("low", "high"), b, strict=True)] for name, b in lead_bounds().items()}
             told = records.agg(F.count("*").alias("lines"), F.count_if(is_reject()).alias("rejected"), *(c for b in ends.values() for c in b), *losses(is_accepted())).first().asDict()
@@ -40,8 +39,6 @@ def ingest(spark: SparkSession, path: str, store: Store, batch: str | None = Non
             bounds = {name: (told.pop(f"low {name}"), told.pop(f"high {name}")) for name in ends}
             lost = told
             added = store.load(batch or f"{path}#{uuid.uuid4().hex}", flatten(records, placed=True), files=files, bounds=bounds)
-        finally:
-            records.unpersist()
     seconds = time.time() - began
     return {"files": len(listed), "lines": n, "rejected": bad, "lost": lost, "added": added, "seconds": seconds, "lines_per_second": n / seconds}
 

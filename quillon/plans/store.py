@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+@contextmanager
+def kept(rows: DataFrame, folder: str, row_group: int = 32 << 20) -> Iterator[DataFrame]:
+    """rows as Parquet below a shared folder, computed once and read as often as need be; the files go at the end of the block.
+
+    For nested records this takes the place of persist(): Spark reads a block of its cache that lies on disk or on another executor as Java objects, of which up to 100 batches
+    of 10,000 rows each stay in memory for each task, and each table's scan holds whole records. Files are read a few thousand rows at a time, and only the fields asked for.
+    """
+    spark, path = rows.sparkSession, f"{folder}/kept-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        rows.write.option("parquet.block.size", row_group).parquet(path)
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def within(ranges: dict[str, tuple]) -> Column:
     """The condition that columns lie in ranges (low, high), ends included and None for an open one."""
     out = F.lit(True)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
 from quillon.operators.flatten import coercion_losses, flatten, lead_bounds
-from quillon.plans import etl, layout
-from quillon.plans.store import Store
+from quillon.plans import archive_queries, etl, layout
+from quillon.plans.store import Store, kept, shared
 from quillon.schemas import REQUIRED, TABLES
 from quillon.sources.archive import accepted, lines, parsed, rejects
 from quillon.streaming.incremental import follow
@@ -288,3 +288,29 @@ def test_load_asks_the_records_once(spark, tmp_path, monkeypatch):
         told = etl.ingest(spark, str(tmp_path / "in"), store)
         assert (told["lines"], told["rejected"], told["lost"]["id"]) == (len(part), n, 0)
     assert told["added"]["tweets"] == 15 and told["added"]["users"] == 0 and dict(asked[-8:]) == {name: ends.get(name) for name in TABLES}
+
+
+def test_records_are_kept_in_files(spark, archive, tmp_path, monkeypatch):
+    """While eight tables are merged the records lie in files, not in Spark's cache; each table reads the fields that it has, and the files go, also after an error."""
+    left = lambda folder: [p.name for p in folder.glob("kept-*")]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    here, seen = tmp_path.__class__(shared(spark).removeprefix("file://")), []
+    before = left(here)
+    monkeypatch.setattr(archive_queries, "counts", lambda tables, told=archive_queries.counts: seen.extend((n, plan(df), df.inputFiles()) for n, df in tables.items()) or told(tables))
+    got = {r.table_name: r.row_count for r in archive_queries.archive_table_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got["tweets"] == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() and len(seen) == 8
+    for name, text, files in seen:
+        assert "InMemoryTableScan" not in text and all("/kept-" in f for f in files), name
+    places = next(text for name, text, _ in seen if name == "places")
+    assert "place_type" in places and "retweet_count" not in places
+    assert left(here) == before
+
+    store, held = Store(spark, str(tmp_path / "store")), []
+    monkeypatch.setattr(Store, "load", lambda self, batch, tables, load=Store.load, **more: held.append((plan(tables["tweets"]), left(tmp_path / "store" / "_kept"))) or load(self, batch, tables, **more))
+    assert etl.ingest(spark, str(archive), store)["added"]["tweets"] == 8
+    follow(spark, str(archive), Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint"), files_at_a_time=2).awaitTermination(120)
+    assert len(held) == 2 and all("InMemoryTableScan" not in text and len(paths) == 1 for text, paths in held) and not left(tmp_path / "store" / "_kept")
+    with pytest.raises(ZeroDivisionError), kept(spark.range(3), str(tmp_path / "other")) as rows_kept:
+        assert rows_kept.count() == 3 and len(left(tmp_path / "other")) == 1
+        1 / 0
+    assert not left(tmp_path / "other")
